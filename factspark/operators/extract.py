@@ -9,6 +9,7 @@ approximate one: strings and comments are blanked, then brackets are followed.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,7 @@ FIELDS = [f.split()[0] for f in RECORD.split(", ")]
 _BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`")
 _IMPORT = re.compile(r"(?m)^[ \t]*import\b(\s+type\b(?!\s*,|\s+from\b))?([^;'\"()]*?)(?:\bfrom\s*)?(['\"])")
 _DECL = re.compile(r"(?<![.\w$])(abstract\s+class|class|interface|enum|type|function)\b\s*\*?\s*([A-Za-z_$][\w$]*)")
-_CHAIN = re.compile(r"([A-Za-z_$][\w$]*(?:\s*[?!]?\.\s*#?[A-Za-z_$][\w$]*)*)\s*(?:<[^<>()]*>)?\s*(?:\?\.\s*)?\(|[{}()]|;|=")
+_CHAIN = re.compile(r"([A-Za-z_$][\w$]*(?:\s*[?!]?\.\s*#?[A-Za-z_$][\w$]*)*)\s*(?:<[^<>()]*>)?\s*(?:\?\.\s*)?\(|[{}()]|;|=|\n")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "function", "return", "super", "import", "typeof", "await",
              "constructor", "with", "new", "async"}
 _TS_KIND = {"class": 0, "abstract class": 1, "interface": 2, "enum": 3, "type": 4, "function": 5}
@@ -49,7 +50,6 @@ def _blank(source: str) -> str:
 
 def _lines(source: str) -> Callable[[int], int]:
     starts = [m.start() for m in re.finditer("\n", source)]
-    import bisect
     return lambda at: bisect.bisect_left(starts, at) + 1
 
 
@@ -82,10 +82,13 @@ def _chunks(text: str, start: int, end: int) -> Iterator[tuple[int, str]]:
         yield begin + len(piece) - len(piece.lstrip()), piece.strip()
 
 
-def _decorators_before(text: str, at: int) -> list[str]:
-    head = re.sub(r"(?:\b(?:export|default|declare|public|private|protected|final|static|abstract|sealed)\s*)+$", "", text[:at].rstrip() + " ")
-    block = re.search(r"((?:@[\w.]+(?:\([^()]*\))?\s*)+)$", head)
-    return _DECOR.findall(block.group(1)) if block else []
+_LEAD = re.compile(r"((?:@[\w.]+(?:\([^()]*\))?\s*|\b(?:export|default|declare|public|private|protected|final|static|abstract|sealed)\s+)+)$")
+
+
+def _lead(text: str, at: int) -> tuple[int, list[str]]:
+    """Where a declaration's modifiers start, and the decorators among them."""
+    block = _LEAD.search(text[max(0, at - 2000):at])
+    return (at - len(block.group(1)), _DECOR.findall(block.group(1))) if block else (at, [])
 
 
 def extract_typescript(source: str) -> Iterator[dict]:
@@ -123,7 +126,7 @@ def extract_typescript(source: str) -> Iterator[dict]:
     for _, at, kind, name, body in sorted(found):
         own = ord_
         yield {"rec_type": "entity", "ord": own, "name": name, "kind": kind, "line": line(at),
-               "modifiers": _decorators_before(text, at)}
+               "modifiers": _lead(text, at)[1]}
         ord_ += 1
         if kind != "class" or body < 0:
             continue
@@ -153,7 +156,7 @@ def _typescript_calls(text: str, line: Callable[[int], int], blocks: dict) -> It
             if scope:
                 scope.pop()
             assigned = False
-        elif c in ";=":
+        elif c in ";=\n":
             assigned = c == "="
         elif c == "(":
             parens.append("")
@@ -228,14 +231,14 @@ def extract_java(source: str) -> Iterator[dict]:
     types = [m for m in _JAVA_TYPE.finditer(text) if m.group(1) in rank]
     for m in sorted(types, key=lambda m: (rank[m.group(1)], m.start())):
         own, word = ord_, m.group(1)
+        start, marks = _lead(text, m.start())
         yield {"rec_type": "entity", "ord": own, "name": m.group(2), "kind": "class" if word == "record" else word,
-               "line": line(m.start()), "modifiers": _decorators_before(text, m.start())}
+               "line": line(start), "modifiers": marks}
         ord_ += 1
         body = text.find("{", m.end())
         if word not in ("class", "record") or body < 0:
             continue
         for where, piece in _chunks(text, body + 1, _close(text, body)):
-            lead = re.match(r"(?:@[\w.]+(?:\([^()]*\))?\s*)*", piece).end()
             method = _JAVA_METHOD.match(piece.split("=")[0])
             if re.search(r"\b(class|interface|enum|record)\s", piece.split("{")[0]):
                 continue
@@ -246,7 +249,7 @@ def extract_java(source: str) -> Iterator[dict]:
                 more = re.findall(r",\s*([A-Za-z_$][\w$]*)\s*(?:=|,|$)", re.sub(r"<[^<>]*>|\([^()]*\)", "", piece)) if field else []
                 names, kind = ([field.group(1), *more] if field else []), "field"
             for name in names:
-                yield {"rec_type": "entity", "ord": ord_, "parent_ord": own, "name": name, "kind": kind, "line": line(where + lead)}
+                yield {"rec_type": "entity", "ord": ord_, "parent_ord": own, "name": name, "kind": kind, "line": line(where)}
                 ord_ += 1
 
 
@@ -271,7 +274,7 @@ def extract_records(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for ws, pkg, path, language, content in zip(batch.ws, batch.pkg_id, batch.path, batch.language, batch.content):
-                base = {"ws": ws, "pkg_id": pkg, "path": path}
+                base = {**dict.fromkeys(FIELDS), "ws": ws, "pkg_id": pkg, "path": path}
                 try:
                     rows = [{**base, **r} for r in chosen[language](content)] if language in chosen else []
                 except (SyntaxError, ValueError, RecursionError) as error:
