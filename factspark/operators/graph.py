@@ -203,7 +203,7 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
 def dependents(edges: DataFrame, cap: int | None = 40) -> DataFrame:
     """Reverse adjacency ``(ws, id, dependent, pos)`` in declaration order, capped per node."""
     back = edges.select("ws", F.col("dst").alias("id"), F.col("src").alias("dependent"), "edge_ord")
-    return top_n(back, ["ws", "id"], ["edge_ord", "dependent"], cap, rank="pos")
+    return top_n(back, ["ws", "id"], ["edge_ord", "dependent"], cap, rank="pos").drop("edge_ord")
 
 
 def most_cited(edges: DataFrame, k: int = 8) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factspark.functions import manifests as MF
 from factspark.functions import paths as P
 from factspark.functions.text import first_nonblank, first_paragraph, head
+from factspark.session import cut_lineage
 
 NAME = P.basename
 
@@ -123,8 +124,9 @@ def python_units(files: DataFrame) -> DataFrame:
     its import packages when there are at least two, else the import packages
     inside the only one, else the root itself.
     """
-    dists = manifest_dirs(files, P.MANIFEST_FILES["python"])
-    coded = _levels_below(files, dists, ".py", 2)
+    # Both tables are small (directories, not files) and feed many branches below.
+    dists = cut_lineage(manifest_dirs(files, P.MANIFEST_FILES["python"]))
+    coded = cut_lineage(_levels_below(files, dists, ".py", 2))
     shape = coded.groupBy("ws").agg(F.count("*").alias("n"), F.max(F.col("dir") == "").alias("root"))
     many = coded.join(shape.where((F.col("n") >= 2) | ~F.col("root")).select("ws"), "ws", "left_semi")
     single = dists.select("ws").distinct().join(many.select("ws").distinct(), "ws", "left_anti")
@@ -136,11 +138,13 @@ def python_units(files: DataFrame) -> DataFrame:
         .where((F.col("_base") == "") | F.startswith("path", F.lit("src/"))) \
         .withColumn("_rel", F.split(_child(F.col("_base"), F.col("path")), "/"))
     prefix = F.when(F.col("_base") == "", F.lit("")).otherwise("src/")
-    one = placed.where(F.size("_rel").between(2, 3)).select(
-        "ws", F.concat(prefix, F.get("_rel", F.lit(0))).alias("dir")).distinct()
-    two = placed.where(F.size("_rel").between(3, 4) & (F.get("_rel", F.lit(1)) != "__pycache__")).select(
+    tops = cut_lineage(placed.where(F.size("_rel").between(2, 4)).select(
         "ws", F.concat(prefix, F.get("_rel", F.lit(0))).alias("_top"),
-        F.concat(prefix, F.array_join(F.slice("_rel", 1, 2), "/")).alias("dir")).distinct()
+        F.when(F.size("_rel") > 2, F.concat(prefix, F.array_join(F.slice("_rel", 1, 2), "/"))).alias("_inner"),
+        (F.size("_rel") < 4).alias("_near")).distinct())
+    one = tops.where("_near").select("ws", F.col("_top").alias("dir")).distinct()
+    two = tops.where(F.col("_inner").isNotNull() & ~F.endswith("_inner", F.lit("/__pycache__"))).select(
+        "ws", "_top", F.col("_inner").alias("dir")).distinct()
     n_one = one.groupBy("ws").agg(F.count("*").alias("n"))
     wide = one.join(n_one.where(F.col("n") >= 2).select("ws"), "ws", "left_semi")
     narrow = one.join(n_one.where(F.col("n") == 1).select("ws"), "ws", "left_semi").withColumnRenamed("dir", "_top")
@@ -171,7 +175,7 @@ def java_units(files: DataFrame) -> DataFrame:
     mods = inside.select("ws", F.col("module").alias("dir")).distinct()
     by_pom = mods.join(poms, ["ws", "dir"], "left_semi")
     by_tree = mods.join(with_pom, "ws", "left_anti").where(depth_of(F.col("dir")) <= 2)
-    modules = by_pom.unionByName(by_tree)
+    modules = cut_lineage(by_pom.unionByName(by_tree))
     counts = modules.groupBy("ws").agg(F.count("*").alias("n"))
     several = modules.join(counts.where(F.col("n") >= 2).select("ws"), "ws", "left_semi") \
         .select("ws", short_id(F.col("dir"), F.col("ws")).alias("id"), "dir", F.lit("module").alias("kind"))
@@ -186,11 +190,12 @@ def java_units(files: DataFrame) -> DataFrame:
     same = F.transform(F.arrays_zip("lo", "hi"), lambda z: F.coalesce(z["lo"] == z["hi"], F.lit(False)))
     stop = F.array_position(same, F.lit(False)).cast("int")
     common = F.array_join(F.when(stop > 0, F.slice("lo", F.lit(1), stop - 1)).otherwise(F.col("lo")), "/")
-    root = span.select("ws", "module", F.coalesce("main.rdir", common).alias("root"))
+    root = cut_lineage(span.select("ws", "module", F.coalesce("main.rdir", common).alias("root")))
     placed = src.join(root, ["ws", "module"])
     below = F.when(F.col("root") == "", F.col("rel")).when(
         F.startswith("rel", F.concat("root", F.lit("/"))), F.substring(F.col("rel"), F.length("root") + 2, F.length("rel")))
     placed = placed.withColumn("_p", F.split(below, "/")).where(F.col("_p").isNotNull())
+    placed = cut_lineage(placed.select("ws", "module", "root", "_p"))
     direct = placed.where(F.size("_p") == 1).select("ws", "module", "root").distinct()
     layers = placed.where(F.size("_p").between(2, 5) & (F.get("_p", F.lit(0)) != "src")).select(
         "ws", "module", "root", F.get("_p", F.lit(0)).alias("id")).distinct()

@@ -71,12 +71,11 @@ def owners_by_dir(files: DataFrame, nodes: DataFrame) -> DataFrame:
 def owners_by_layout(files: DataFrame, known_ids: DataFrame) -> DataFrame:
     """Owner by ``packages/<a>/`` or ``packages/<a>/<b>/`` against the known ids."""
     ids = known_ids.select("ws", "id").distinct()
-    one = ids.select("ws", F.col("id").alias("_a"))
-    two = ids.select("ws", F.col("id").alias("_b"))
-    seg = files.withColumn("_pa", F.regexp_extract("path", r"^packages/([^/]+)/", 1)) \
-        .withColumn("_pb", F.regexp_extract("path", r"^packages/[^/]+/([^/]+)/", 1))
-    return (seg.join(one, (seg["ws"] == one["ws"]) & (seg["_pa"] == one["_a"]), "left").drop(one["ws"])
-            .join(two, (seg["ws"] == two["ws"]) & (seg["_pb"] == two["_b"]), "left").drop(two["ws"])
+    seg = (files.withColumn("_pa", F.regexp_extract("path", r"^packages/([^/]+)/", 1))
+           .withColumn("_pb", F.regexp_extract("path", r"^packages/[^/]+/([^/]+)/", 1)))
+    one = ids.select("ws", F.col("id").alias("_pa"), F.col("id").alias("_a"))
+    two = ids.select("ws", F.col("id").alias("_pb"), F.col("id").alias("_b"))
+    return (seg.join(one, ["ws", "_pa"], "left").join(two, ["ws", "_pb"], "left")
             .withColumn("owner", F.coalesce("_a", "_b")).drop("_pa", "_pb", "_a", "_b"))
 
 

@@ -122,7 +122,7 @@ def _(t):
 
 @query("ext_annotation_kinds", f"""
     SELECT o_orderkey, kind, value, CAST(ord AS BIGINT) AS ord FROM (
-      SELECT o_orderkey, 'stereotype' AS kind, unnest(['RestController', 'FeignClient', 'KafkaListener']) AS value, unnest([1, 2, 3]) AS ord FROM orders
+      SELECT o_orderkey, 'stereotype' AS kind, unnest(['RestController', 'FeignClient', 'KafkaListener', 'RabbitListener']) AS value, unnest([1, 2, 3, 4]) AS ord FROM orders
       UNION ALL SELECT o_orderkey, 'client', 'svc-' || {_X}, 1 FROM orders
       UNION ALL SELECT o_orderkey, 'listener', unnest(['t' || {_A}, 'u', 'q' || {_B}]), unnest([1, 2, 3]) FROM orders
       UNION ALL SELECT o_orderkey, 'endpoint', '/get/' || {_P}, 1 FROM orders)""")
@@ -378,7 +378,7 @@ def _(t):
       d AS (SELECT token, name, ord, levenshtein(token, name) AS dist FROM a JOIN n ON abs(length(token) - length(name)) <= 2 WHERE token NOT IN (SELECT token FROM p))
     SELECT * FROM p UNION ALL SELECT token, arg_min(name, (dist, ord, name)) FROM d WHERE dist <= 2 GROUP BY token""")
 def _(t):
-    h = t.rel("hrefs").select("page_id", F.lower(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("token"))
+    h = t.rel("hrefs").select("page_id", F.explode(F.regexp_extract_all(F.lower("html"), F.lit('href="([^"]*)"'), 1)).alias("token"))
     per = h.distinct().groupBy("token").agg(F.count("*").alias("n"), F.min("page_id").alias("ord"))
     known = per.where(c("n") >= 5).select(F.lit("web").alias("ws"), c("token").alias("name"), "ord")
     asked = per.where(c("n") < 5).select(F.lit("web").alias("ws"), "token")

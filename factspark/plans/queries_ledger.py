@@ -107,7 +107,7 @@ def _(t):
 
 
 @query("win_newest_n", """
-    SELECT ws, call_id, at FROM {usage} QUALIFY row_number() OVER (PARTITION BY ws ORDER BY at DESC, call_id DESC) <= 10""")
+    SELECT ws, call_id, "at" FROM {usage} QUALIFY row_number() OVER (PARTITION BY ws ORDER BY "at" DESC, call_id DESC) <= 10""")
 def _(t):
     return U.newest_calls(t.rel("usage").select("ws", "call_id", "at"))
 
@@ -259,10 +259,10 @@ def _(t):
       party AS (SELECT DISTINCT c_mktsegment AS ws, unnest(['n' || c_nationkey, 'x' || (c_custkey % 9)]) AS id FROM customer),
       core AS (SELECT DISTINCT c_mktsegment AS ws, 'n' || (c_custkey % 5) AS id FROM customer WHERE c_mktsegment <> 'BUILDING'),
       ent AS (SELECT DISTINCT c_mktsegment AS ws, 'e' || (c_custkey % 11) AS id FROM customer),
-      some AS (SELECT ws, 'seq' AS chapter, id FROM path UNION SELECT ws, 'interaction', id FROM party UNION SELECT ws, 'interaction', id FROM path
+      sm AS (SELECT ws, 'seq' AS chapter, id FROM path UNION SELECT ws, 'interaction', id FROM party UNION SELECT ws, 'interaction', id FROM path
         UNION SELECT ws, 'deps', id FROM core UNION SELECT ws, 'er', id FROM ent UNION SELECT ws, 'er', id FROM core UNION SELECT ws, 'er', id FROM path),
       k AS (SELECT DISTINCT c_mktsegment AS ws, unnest(['concepts','seq','flow','interaction','deps','er','catalog']) AS chapter FROM customer)
-    SELECT ws, chapter, id FROM some UNION ALL SELECT ws, chapter, NULL FROM k WHERE (ws, chapter) NOT IN (SELECT (ws, chapter) FROM some)""")
+    SELECT ws, chapter, id FROM sm UNION ALL SELECT ws, chapter, NULL FROM k WHERE (ws, chapter) NOT IN (SELECT (ws, chapter) FROM sm)""")
 def _(t):
     cu = t.table("customer").withColumn("ws", c("c_mktsegment"))
     s = lambda p, e: F.concat(F.lit(p), e.cast("string"))

@@ -243,8 +243,8 @@ def headed_docs(t):
 
 
 _HEADS = f"""
-    lines AS (SELECT ws, doc, doc_id, unnest({_MARK}) AS line, unnest(range(len(string_split(raw, chr(10))))) AS at FROM {{headed}}),
-    heads AS (SELECT ws, doc, doc_id, at, at // 4 AS ord, 1 + at // 4 % 3 AS level FROM lines WHERE at % 4 = 0)"""
+    lines AS (SELECT ws, doc, doc_id, unnest({_MARK}) AS line, unnest(range(len(string_split(raw, chr(10))))) AS k FROM {{headed}}),
+    heads AS (SELECT ws, doc, doc_id, k, k // 4 AS ord, 1 + k // 4 % 3 AS level FROM lines WHERE k % 4 = 0)"""
 
 
 @query("doc_heading_tree", f"""
@@ -257,8 +257,8 @@ def _(t):
 
 @query("doc_heading_body", f"""
     WITH {_HEADS}
-    SELECT doc, at // 4 AS ord, trim(string_agg(trim(substr(trim(line, chr(9) || chr(13) || ' '), 1, 400), chr(9) || chr(13) || ' '), chr(10) ORDER BY at) FILTER (WHERE at % 4 <> 0)) IS NOT NULL AS has_body,
-      coalesce(substr(string_agg(substr(trim(line, chr(9) || chr(13) || ' '), 1, 400), chr(10) ORDER BY at) FILTER (WHERE at % 4 <> 0), 1, 2000), '') AS body
+    SELECT doc, k // 4 AS ord, trim(string_agg(trim(substr(trim(line, chr(9) || chr(13) || ' '), 1, 400), chr(9) || chr(13) || ' '), chr(10) ORDER BY k) FILTER (WHERE k % 4 <> 0)) IS NOT NULL AS has_body,
+      coalesce(substr(trim(string_agg(substr(trim(line, chr(9) || chr(13) || ' '), 1, 400), chr(10) ORDER BY k) FILTER (WHERE k % 4 <> 0), chr(9) || chr(10) || chr(13) || ' '), 1, 2000), '') AS body
     FROM lines GROUP BY ALL""")
 def _(t):
     from factspark.operators.docset import heading_rows
@@ -276,15 +276,15 @@ def _(t):
 
 @query("doc_outline", f"""
     WITH {_HEADS}
-    SELECT doc, '【' || doc || '】' || chr(10) || string_agg(trim(line, chr(9) || chr(13) || ' '), chr(10) ORDER BY at) AS outline
-    FROM lines WHERE at % 4 = 0 AND at // 4 < 40 AND contains(doc, 'design') GROUP BY doc""")
+    SELECT doc, '【' || doc || '】' || chr(10) || string_agg(trim(line, chr(9) || chr(13) || ' '), chr(10) ORDER BY k) AS outline
+    FROM lines WHERE k % 4 = 0 AND k // 4 < 40 AND contains(doc, 'design') GROUP BY doc""")
 def _(t):
     from factspark.operators.docset import claim_outlines
     return claim_outlines(headed_docs(t)).select("doc", "outline")
 
 
 @query("doc_section", """
-    SELECT doc_id, CASE WHEN n > 4 THEN (SELECT trim(string_agg(l, chr(10) ORDER BY k), chr(9) || chr(10) || chr(13) || ' ') FROM
+    SELECT doc_id, CASE WHEN n > 4 THEN (SELECT coalesce(trim(string_agg(l, chr(10) ORDER BY k), chr(9) || chr(10) || chr(13) || ' '), '') FROM
         (SELECT unnest(ls) AS l, unnest(range(len(ls))) AS k) WHERE k BETWEEN 5 AND 11 AND k <> 8
           OR k = 8) END AS section
     FROM (SELECT doc_id, ls, len(ls) AS n FROM (SELECT doc_id, list_transform(string_split(raw, chr(10)), lambda l, i:
