@@ -64,22 +64,25 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(text, FENCED, "")
 
 
-def first_flow_block(text: Column) -> Column:
-    """``struct(kind, body, heading)`` of the first flow diagram or arrow text block."""
-    parts = F.regexp_extract_all(text, F.lit(HEADING_OR_FENCE), 0)
-    shaped = F.transform(parts, lambda p, i: F.struct(
-        i.alias("at"),
-        F.when(~p.rlike(r"^\s*```"), heading_title(F.regexp_replace(trimmed(p), r"^#{1,6}\s+", ""))).alias("heading"),
-        F.when(p.rlike(r"^\s*```"), F.regexp_extract(p, FENCE_OPEN, 1)).alias("lang"),
-        trimmed(F.regexp_replace(F.regexp_replace(p, r"^\s*```[^\n]*\n", ""), r"(^|\n)[ \t]*```[^\n]*$", "")).alias("body")))
-    diagram = lambda b: b["lang"].isin("mermaid", "") & b["body"].rlike(FLOW_SOURCE)
-    arrows = lambda b: b["lang"].isin("text", "txt") & F.contains(b["body"], F.lit("->"))
-    block = F.get(F.filter(shaped, lambda b: b["lang"].isNotNull() & (diagram(b) | arrows(b))), F.lit(0))
-    before = F.filter(shaped, lambda b: b["heading"].isNotNull() & (b["at"] < block["at"]))
-    heading = F.element_at(before, F.when(F.size(before) > 0, F.lit(-1)))["heading"]
-    return F.when(block.isNotNull(), F.struct(
-        F.when(block["lang"].isin("mermaid", ""), "mermaid").otherwise("pseudo").alias("kind"),
-        block["body"].alias("body"), F.coalesce(heading, F.lit("")).alias("heading")))
+def with_flow_block(df: DataFrame, text: str, out: str = "block") -> DataFrame:
+    """Add ``struct(kind, body, heading)`` of the first flow diagram or arrow text block.
+
+    The steps are separate columns so that each array is built once per row.
+    """
+    df = df.withColumn("_parts", F.regexp_extract_all(text, F.lit(HEADING_OR_FENCE), 0))
+    df = df.withColumn("_fences", F.filter(
+        F.transform("_parts", lambda p, i: F.struct(i.alias("at"), F.regexp_extract(p, FENCE_OPEN, 1).alias("lang"), p.alias("raw"))),
+        lambda b: b["raw"].rlike(r"^\s*```") & (
+            (b["lang"].isin("mermaid", "") & b["raw"].rlike(FLOW_SOURCE))
+            | (b["lang"].isin("text", "txt") & F.contains(b["raw"], F.lit("->"))))))
+    df = df.withColumn("_hit", F.get("_fences", F.lit(0)))
+    inner = F.regexp_replace(F.regexp_replace(F.col("_hit.raw"), r"^\s*```[^\n]*\n", ""), r"(^|\n)[ \t]*```[^\n]*$", "")
+    before = F.filter(F.slice("_parts", F.lit(1), F.coalesce(F.col("_hit.at"), F.lit(0))), lambda p: ~p.rlike(r"^\s*```"))
+    df = df.withColumn("_before", F.element_at(F.concat(F.array(F.lit("# ")), before), -1))
+    heading = heading_title(F.regexp_replace(trimmed(F.col("_before")), r"^#{1,6}\s*", ""))
+    return df.withColumn(out, F.when(F.col("_hit").isNotNull(), F.struct(
+        F.when(F.col("_hit.lang").isin("mermaid", ""), "mermaid").otherwise("pseudo").alias("kind"),
+        trimmed(inner).alias("body"), heading.alias("heading")))).drop("_parts", "_fences", "_hit", "_before")
 
 
 def anchor(doc: Column, heading: Column) -> Column:
@@ -87,33 +90,36 @@ def anchor(doc: Column, heading: Column) -> Column:
     return F.concat(doc, F.lit("#"), name)
 
 
-def parsed_messages(text: Column, limit: int | None = 16) -> Column:
-    """Messages ``struct(src, dst, label)`` of a diagram or of plain arrow lines.
+def with_messages(df: DataFrame, text: str, out: str = "messages", limit: int | None = 16) -> DataFrame:
+    """Add messages ``struct(src, dst, label)`` of a diagram or of plain arrow lines.
 
-    A participant's alias holds from its own line on.
+    A participant's alias holds from its own line on.  The steps are separate
+    columns so that each array is built once per row.
     """
-    diagram = F.regexp_extract(text, r"(?s)```mermaid\s*\n(.*?)```", 1)
-    in_diagram = text.rlike(r"(?s)```mermaid\s*\n.*?```")
-    rows = F.transform(lines_of(F.when(in_diagram, diagram).otherwise(text)),
-                       lambda l, i: F.struct(i.alias("at"), trimmed(l).alias("line")))
-    is_party = lambda r: in_diagram & r["line"].rlike(PARTICIPANT)
-    aliases = F.transform(
-        F.filter(rows, lambda r: is_party(r) & (F.regexp_extract(r["line"], PARTICIPANT, 2) != "")),
+    block = r"(?s)```mermaid\s*\n(.*?)```"
+    df = df.withColumn("_in", F.col(text).rlike(block))
+    df = df.withColumn("_rows", F.transform(
+        lines_of(F.when(F.col("_in"), F.regexp_extract(text, block, 1)).otherwise(F.col(text))),
+        lambda l, i: F.struct(i.alias("at"), trimmed(l).alias("line"))))
+    df = df.withColumn("_names", F.when(F.col("_in"), F.transform(
+        F.filter("_rows", lambda r: r["line"].rlike(PARTICIPANT) & (F.regexp_extract(r["line"], PARTICIPANT, 2) != "")),
         lambda r: F.struct(r["at"].alias("at"), F.regexp_extract(r["line"], PARTICIPANT, 1).alias("id"),
-                           trimmed(F.regexp_extract(r["line"], PARTICIPANT, 2)).alias("name")))
-    said = F.filter(rows, lambda r: r["line"].rlike(ARROW_LINE) & ~F.startswith(r["line"], F.lit("```"))
-                    & ~is_party(r) & ~(in_diagram & r["line"].rlike(DIAGRAM_NOISE)))
-
-    def named(r: Column, group: int) -> Column:
-        raw = F.regexp_extract(r["line"], ARROW_LINE, group)
-        hits = F.filter(aliases, lambda a: (a["id"] == raw) & (a["at"] < r["at"]))
-        return F.coalesce(F.element_at(hits, F.when(F.size(hits) > 0, F.lit(-1)))["name"], raw)
-    messages = F.filter(
-        F.transform(said, lambda r: F.struct(
-            named(r, 1).alias("src"), named(r, 2).alias("dst"),
-            head(trimmed(F.regexp_extract(r["line"], ARROW_LINE, 3)), 60).alias("label"))),
-        lambda m: m["src"] != m["dst"])
-    return messages if limit is None else F.slice(messages, 1, limit)
+                           trimmed(F.regexp_extract(r["line"], PARTICIPANT, 2)).alias("name"))))
+        .otherwise(F.array().cast("array<struct<at:int,id:string,name:string>>")))
+    df = df.withColumn("_said", F.transform(
+        F.filter("_rows", lambda r: r["line"].rlike(ARROW_LINE) & ~F.startswith(r["line"], F.lit("```"))
+                 & ~(F.col("_in") & (r["line"].rlike(PARTICIPANT) | r["line"].rlike(DIAGRAM_NOISE)))),
+        lambda r: F.struct(r["at"].alias("at"), F.regexp_extract(r["line"], ARROW_LINE, 1).alias("a"),
+                           F.regexp_extract(r["line"], ARROW_LINE, 2).alias("b"),
+                           head(trimmed(F.regexp_extract(r["line"], ARROW_LINE, 3)), 60).alias("label"))))
+
+    def named(r: Column, raw: str) -> Column:
+        own = F.filter("_names", lambda n: (n["id"] == r[raw]) & (n["at"] < r["at"]))
+        return F.element_at(F.concat(F.array(r[raw]), F.transform(own, lambda n: n["name"])), -1)
+    found = F.filter(F.transform("_said", lambda r: F.struct(
+        named(r, "a").alias("src"), named(r, "b").alias("dst"), r["label"].alias("label"))), lambda m: m["src"] != m["dst"])
+    df = df.withColumn(out, found if limit is None else F.slice(found, 1, limit))
+    return df.drop("_in", "_rows", "_names", "_said")
 
 
 def table_cells(line: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factspark.functions import markdown as M
 from factspark.functions import paths as P
+from factspark.functions.rows import inlined
 from factspark.functions.text import head, md_links
 from factspark.operators.ranking import first_of, top_n
 
@@ -75,7 +76,7 @@ def heading_rows(docs: DataFrame, desc_chars: int = 220, body_chars: int = 2000)
         return F.struct(k.alias("ord"), h["level"].alias("level"), M.heading_title(h["raw"]).alias("title"),
                         head(F.trim(head(said, 600)), desc_chars).alias("descr"),
                         head(M.trimmed(F.array_join(shown, "\n")), body_chars).alias("body"), h["raw"].alias("raw"))
-    rows = shaped.select("ws", "doc", F.inline(F.transform("heads", part)))
+    rows = inlined(shaped, ["ws", "doc"], F.transform("heads", part), "ord")
     before = Window.partitionBy("ws", "doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(before) for k in range(1, 6)}
     parent = F.lit(None).cast("int")

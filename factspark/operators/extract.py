@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspark.functions import paths as P
+from factspark.functions.rows import inlined
 from factspark.functions.text import NOISE_CALLS
 from factspark.operators.ranking import top_n
+from factspark.session import spread
 
 CALL_CAP = 200
 RECORD = ("ws string, pkg_id string, path string, rec_type string, ord long, parent_ord long, name string, kind string, "
@@ -285,7 +287,7 @@ def extract_records(files: DataFrame) -> DataFrame:
                 frame[name] = frame[name].astype("Int64")
             frame["type_only"] = frame["type_only"].astype("boolean")
             yield frame
-    return files.select("ws", "pkg_id", "path", "language", "content").mapInPandas(run, RECORD)
+    return spread(files.select("ws", "pkg_id", "path", "language", "content")).mapInPandas(run, RECORD)
 
 
 def imports_of(records: DataFrame) -> DataFrame:
@@ -355,7 +357,7 @@ def annotation_profile(files: DataFrame, budget: int | None = 24) -> DataFrame:
     client_list = F.when(client.isNotNull(), F.array(client)).otherwise(F.array().cast("array<string>"))
     found = F.concat(tagged("stereotype", first_per_line), tagged("client", client_list),
                      tagged("listener", heard), tagged("endpoint", routes))
-    rows = scan_budget(files, budget).select("ws", "node", "pos", F.inline(found))
+    rows = inlined(scan_budget(files, budget), ["ws", "node", "pos"], found, "kind")
     seen = rows.groupBy("ws", "node", "kind", "value").agg(F.min(F.struct("pos", "i")).alias("at"))
     ranked = top_n(seen, ["ws", "node", "kind"], ["at", "value"], max(PROFILE_CAPS.values()), rank="ord")
     cap = F.create_map(*[F.lit(x) for p in PROFILE_CAPS.items() for x in p])[F.col("kind")]

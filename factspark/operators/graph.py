@@ -73,16 +73,18 @@ def resolve_modules(requests: DataFrame, files: DataFrame, packages: DataFrame,
 def resolve_calls(calls: DataFrame, imports: DataFrame, entities: DataFrame, packages: DataFrame,
                   id_prefix: str = "", mode: str = "reference") -> DataFrame:
     """Cross-package calls ``(ws, ord, src, dst, sym, file)``; test callers are left out."""
-    files = file_packages(entities, imports, packages)
-    made = (calls.withColumn("file", P.norm_path(F.col("from_file")))
-            .where(~P.is_test_call(F.col("file")))
-            .select("ws", "file", F.col("call_ord").alias("ord"), F.col("callee").alias("sym"),
-                    F.coalesce("root", "callee").alias("binding")))
-    bound = made.join(bound_imports(imports), ["ws", "file", "binding"])
+    # Both are read several times below, so they are written once.
+    files = cut_lineage(file_packages(entities, imports, packages))
+    bound = cut_lineage(bound_imports(imports))
     target = resolve_modules(bound, files, packages, id_prefix, mode).withColumnRenamed("pkg_id", "dst")
-    source = files.withColumnRenamed("pkg_id", "src")
-    return (bound.join(target, ["ws", "file", "spec"]).join(source, ["ws", "file"])
-            .where(F.col("src") != F.col("dst")).select("ws", "ord", "src", "dst", "sym", "file"))
+    # Bindings are resolved to package pairs first, so the calls are joined once.
+    links = (bound.join(target, ["ws", "file", "spec"])
+             .join(files.withColumnRenamed("pkg_id", "src"), ["ws", "file"])
+             .where((F.col("src") != F.col("dst")) & ~P.is_test_call(F.col("file")))
+             .select("ws", "file", "binding", "src", "dst"))
+    made = calls.select("ws", P.norm_path(F.col("from_file")).alias("file"), F.col("call_ord").alias("ord"),
+                        F.col("callee").alias("sym"), F.coalesce("root", "callee").alias("binding"))
+    return made.join(links, ["ws", "file", "binding"]).select("ws", "ord", "src", "dst", "sym", "file")
 
 
 def import_edges(imports: DataFrame, packages: DataFrame, id_prefix: str = "",

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspark.functions import markdown as M
+from factspark.functions.rows import exploded
 from factspark.functions.text import trimmed
 from factspark.operators.ranking import first_of, top_n
+from factspark.session import cut_lineage
 
 # File suffixes that make a token a file reference.
 FILE_SUFFIXES = "ts|tsx|js|mjs|cjs|jsx|py|java|json|md|ya?ml|toml|go|rs|kt|swift|c|cpp|h|hpp"
@@ -72,8 +74,8 @@ def nearest_known(tokens: DataFrame, known: DataFrame) -> DataFrame:
                 .join(names, ["ws", "name"]).groupBy("ws", "token").agg(F.min(entry).alias("_k")))
     by_prefix = continued.union(extended).groupBy("ws", "token").agg(F.min("_k").alias("_k"))
     rest = asked.join(by_prefix, ["ws", "token"], "left_anti")
-    left = rest.select("ws", "token", F.explode(_signatures(F.col("token"))).alias("_s"))
-    right = names.select("ws", "name", "ord", F.explode(_signatures(F.col("name"))).alias("_s"))
+    left = exploded(rest, ["ws", "token"], _signatures(F.col("token")), "_s")
+    right = exploded(names, ["ws", "name", "ord"], _signatures(F.col("name")), "_s")
     pairs = left.join(right, ["ws", "_s"]).select("ws", "token", "name", "ord").distinct()
     distance = F.levenshtein(F.col("token"), F.col("name"), 2)
     by_distance = (pairs.withColumn("_d", distance).where(F.col("_d") >= 0)
@@ -107,7 +109,7 @@ def claims(docs: DataFrame) -> DataFrame:
                        lambda t, i: item(1, F.lit("file"), t, as_path(t), none, none, i))
     rows = F.transform("table_edges", lambda e, i: item(
         2, F.lit("edge"), F.concat(e["src"], F.lit(" → "), e["dst"]), none, e["src"], e["dst"], i))
-    return shaped.select("ws", "doc", F.explode(F.concat(marked, bare, rows)).alias("c")).select("ws", "doc", "c.*")
+    return exploded(shaped, ["ws", "doc"], F.concat(marked, bare, rows), "c").select("ws", "doc", "c.*")
 
 
 def unknown_files(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def wrong_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
 def violation_report(docs: DataFrame, packages: DataFrame, files: DataFrame, edges: DataFrame,
                      cap: int | None = 30) -> DataFrame:
     """All violations of each document, capped in order and then made distinct."""
-    found = claims(docs)
+    found = cut_lineage(claims(docs))  # read by three checks
     rows = (unknown_files(found, files).unionByName(unknown_packages(found, packages))
             .unionByName(wrong_edges(found, edges)))
     return first_of(top_n(rows, ["ws", "doc"], ["ord"], cap), ["ws", "doc", "kind", "token"], ["ord"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factspark.functions import answers as J
 from factspark.functions import paths as P
+from factspark.functions.rows import exploded, inlined
 from factspark.operators import digest as D
 from factspark.operators import docset as DS
 from factspark.operators import extract as E
@@ -14,7 +15,7 @@ from factspark.operators import layout as L
 from factspark.operators import quality as Q
 from factspark.plans.registry import query
 from factspark.plans.relations import RELATIONS
-from factspark.session import cut_lineage
+from factspark.session import cut_lineage, spread
 
 c = F.col
 _A, _B, _X, _Y, _P = "(o_custkey % 25)", "((o_custkey + 1) % 25)", "(o_custkey % 13)", "((o_custkey + 7) % 40)", "(o_custkey % 40)"
@@ -278,6 +279,10 @@ def _(t):
 
 # -------------------------------------------------------------- prose checks
 
+def docs(t):
+    return spread(t.rel("prose").select("ws", "doc", "text"))
+
+
 def truth(t):
     o = t.rel("prose").select("ws", "o_orderkey", "o_custkey")
     n = lambda k: F.concat(F.lit("n"), (c("o_custkey") % k).cast("string"))
@@ -307,34 +312,34 @@ _OUT = ["doc", "ord", "kind", "token", "reason", "suggestion"]
       UNION ALL SELECT doc, 10000000, 'file', {_PATH} || CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '' END || '.ts' FROM {{prose}}
       UNION ALL SELECT doc, 10000001, 'file', {_PATH} || CASE WHEN o_orderkey % 7 = 0 THEN 'y' ELSE '' END || '.ts' FROM {{prose}})""")
 def _(t):
-    return Q.claims(t.rel("prose").select("ws", "doc", "text")).where(c("kind") != "edge").select("doc", "ord", "kind", "token")
+    return Q.claims(docs(t)).where(c("kind") != "edge").select("doc", "ord", "kind", "token")
 
 
 @query("gate_tables", f"WITH {_ROWS} SELECT doc, ord, src, dst FROM tb")
 def _(t):
-    return Q.claims(t.rel("prose").select("ws", "doc", "text")).where(c("kind") == "edge").select("doc", "ord", "src", "dst")
+    return Q.claims(docs(t)).where(c("kind") == "edge").select("doc", "ord", "src", "dst")
 
 
 @query("gate_files", _FILES)
 def _(t):
-    return Q.unknown_files(Q.claims(t.rel("prose").select("ws", "doc", "text")), truth(t)[1]).select(*_OUT)
+    return Q.unknown_files(Q.claims(docs(t)), truth(t)[1]).select(*_OUT)
 
 
 @query("gate_packages", _PACKS)
 def _(t):
-    return Q.unknown_packages(Q.claims(t.rel("prose").select("ws", "doc", "text")), truth(t)[0]).select(*_OUT)
+    return Q.unknown_packages(Q.claims(docs(t)), truth(t)[0]).select(*_OUT)
 
 
 @query("gate_edges", f"WITH {_TRUE}, {_ROWS} {_BADEDGE}")
 def _(t):
-    return Q.wrong_edges(Q.claims(t.rel("prose").select("ws", "doc", "text")), truth(t)[2]).select(*_OUT)
+    return Q.wrong_edges(Q.claims(docs(t)), truth(t)[2]).select(*_OUT)
 
 
 @query("gate_report", f"""WITH {_TRUE}, {_ROWS}, v AS ({_FILES} UNION ALL {_PACKS} UNION ALL {_BADEDGE})
     SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc, kind, token ORDER BY ord) = 1""")
 def gate_report(t):
     packages, files, edges = truth(t)
-    return Q.violation_report(t.rel("prose").select("ws", "doc", "text"), packages, files, edges).select(*_OUT)
+    return Q.violation_report(docs(t), packages, files, edges).select(*_OUT)
 
 
 @query("gate_cited", f"""SELECT doc, '@corp/n' || {_Y} AS name, CAST(1 AS BIGINT) AS first_ord FROM {{prose}} p WHERE o_orderkey % 6 <> 0
@@ -378,7 +383,7 @@ def _(t):
       d AS (SELECT token, name, ord, levenshtein(token, name) AS dist FROM a JOIN n ON abs(length(token) - length(name)) <= 2 WHERE token NOT IN (SELECT token FROM p))
     SELECT * FROM p UNION ALL SELECT token, arg_min(name, (dist, ord, name)) FROM d WHERE dist <= 2 GROUP BY token""")
 def _(t):
-    h = t.rel("hrefs").select("page_id", F.explode(F.regexp_extract_all(F.lower("html"), F.lit('href="([^"]*)"'), 1)).alias("token"))
+    h = exploded(t.rel("hrefs"), ["page_id"], F.regexp_extract_all(F.lower("html"), F.lit('href="([^"]*)"'), 1), "token")
     per = h.distinct().groupBy("token").agg(F.count("*").alias("n"), F.min("page_id").alias("ord"))
     known = per.where(c("n") >= 5).select(F.lit("web").alias("ws"), c("token").alias("name"), "ord")
     asked = per.where(c("n") < 5).select(F.lit("web").alias("ws"), "token")
@@ -389,7 +394,7 @@ def _(t):
 
 @query("json_outermost", "SELECT id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0 THEN id END AS found FROM {answers}")
 def _(t):
-    return t.rel("answers").select("id", F.get_json_object(J.outermost_object(c("text")), "$.figId").alias("found"))
+    return spread(t.rel("answers")).select("id", F.get_json_object(J.outermost_object(c("text")), "$.figId").alias("found"))
 
 
 @query("json_outermost_array", "SELECT doc_id, len(string_split(text, ' ')) AS items FROM documents")
@@ -402,23 +407,23 @@ def _(t):
 @query("json_balanced", "SELECT id, CASE WHEN o_orderkey % 8 <> 0 THEN id END AS found FROM {answers}")
 def _(t):
     body = J.balanced_object()(c("text"), c("id"))
-    return t.rel("answers").select("id", F.get_json_object(body, "$.figId").alias("found"))
+    return spread(t.rel("answers")).select("id", F.get_json_object(body, "$.figId").alias("found"))
 
 
 @query("json_sanitize_messages", f"""
     SELECT id, 'n' || {_P} AS src, 'n' || {_X} AS dst, 'go ' || {_A} AS label FROM {{answers}} WHERE o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0 AND {_P} <> {_X}""")
 def _(t):
     n = lambda k: F.concat(F.lit("n"), (c("o_custkey") % k).cast("string"))
-    a = t.rel("answers").withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.seqMessages"), J.MESSAGES_JSON))
-    return a.select("id", F.inline(J.clean_messages(c("raw"), F.array(n(40), n(13)))))
+    a = spread(t.rel("answers")).withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.seqMessages"), J.MESSAGES_JSON))
+    return inlined(a, ["id"], J.clean_messages(c("raw"), F.array(n(40), n(13))), "src")
 
 
 @query("json_sanitize_events", f"""
     SELECT id, 'e' || {_A} AS event, CASE o_orderkey % 2 WHEN 0 THEN 'serial' ELSE 'emit' END AS mode, 'n' || {_P} AS producers, 'n' || {_X} || ',n' || {_Y} AS consumers
     FROM {{answers}} WHERE o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0""")
 def _(t):
-    a = t.rel("answers").withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.events"), J.EVENTS_JSON))
-    e = a.select("id", F.inline(J.clean_events(c("raw"))))
+    a = spread(t.rel("answers")).withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.events"), J.EVENTS_JSON))
+    e = inlined(a, ["id"], J.clean_events(c("raw")), "event")
     return e.select("id", "event", "mode", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers"))
 
 
@@ -427,8 +432,7 @@ def _(t):
 def _(t):
     tree = F.concat(F.lit('[{"name":" Top ","desc":"'), c("source"), F.lit(
         '","children":[{"name":" "},{"name":"Mid","children":[{"name":"Low","children":[{"name":"deeper"}]}]}]},{"desc":"no name"},{"name":"End"}]'))
-    return t.table("documents").select("doc_id", F.inline(J.clean_tree(F.from_json(tree, J.TREE_JSON)))) \
-        .select("doc_id", "path", c("depth").cast("long").alias("depth"), "name")
+    return inlined(t.table("documents"), ["doc_id"], J.clean_tree(F.from_json(tree, J.TREE_JSON)), "path").select("doc_id", "path", c("depth").cast("long").alias("depth"), "name")
 
 
 @query("json_core_ids", """

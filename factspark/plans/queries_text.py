@@ -8,9 +8,11 @@ from factspark.functions import manifests as MF
 from factspark.functions import markdown as M
 from factspark.functions import paths as P
 from factspark.functions import text as X
+from factspark.functions.rows import exploded, inlined
 from factspark.operators import extract as E
 from factspark.operators import ranking as R
 from factspark.plans.registry import query
+from factspark.session import spread
 
 c = F.col
 
@@ -135,7 +137,7 @@ def _(t):
     SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, chr(9) || chr(13) || ' ')),
       lambda l: l <> '' AND NOT regexp_matches(l, '^(#|<!--|```)'))[1], 1, 220), '') AS paragraph FROM documents""")
 def _(t):
-    return t.table("documents").select("doc_id", X.first_paragraph(c("text")).alias("paragraph"))
+    return t.wide("documents").select("doc_id", X.first_paragraph(c("text")).alias("paragraph"))
 
 
 @query("str_locale_key", """
@@ -155,7 +157,7 @@ def _(t):
     anchors = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)
     md = F.array_join(F.transform(anchors, lambda h: F.concat(
         F.lit("![pic](x.md) [go]("), h, F.lit(".md#top) [out](https://a.example/b.md) [txt](b.txt)"))), "\n")
-    return t.rel("hrefs").select("page_id", F.explode(X.md_links(md)).alias("target"))
+    return exploded(t.rel("hrefs"), ["page_id"], X.md_links(md), "target")
 
 
 @query("str_path_resolve", """
@@ -171,19 +173,19 @@ def _(t):
       lambda w: NOT lower(w) IN ('the','and','for','with','from','into','call','calls','via','using','this','that')))), '|') AS symbols
     FROM documents""".replace("{{2,}}", "{{2,}}"))
 def _(t):
-    return t.table("documents").select("doc_id", F.array_join(F.array_sort(X.symbols_in(c("text"))), "|").alias("symbols"))
+    return t.wide("documents").select("doc_id", F.array_join(F.array_sort(X.symbols_in(c("text"))), "|").alias("symbols"))
 
 
 @query("usage_tokens", r"""
     SELECT doc_id, (3 * a + 8 * (n - a) + 11) // 12 AS tokens
     FROM (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS a FROM documents)""")
 def _(t):
-    return t.table("documents").select("doc_id", X.token_estimate(c("text")).alias("tokens"))
+    return t.wide("documents").select("doc_id", X.token_estimate(c("text")).alias("tokens"))
 
 
 @query("str_djb2")
 def _(t):
-    return t.table("documents").select("doc_id", X.djb2_base36(F.concat("source", F.lit("|"), "lang", F.lit("|"), "text")).alias("hash"))
+    return t.wide("documents").select("doc_id", X.djb2_base36(F.concat("source", F.lit("|"), "lang", F.lit("|"), "text")).alias("hash"))
 
 
 @query("str_target_key", """
@@ -239,7 +241,7 @@ def headed_text():
 
 
 def headed_docs(t):
-    return t.rel("headed").select("ws", "doc", "doc_id", headed_text().alias("text"))
+    return spread(t.rel("headed")).select("ws", "doc", "doc_id", headed_text().alias("text"))
 
 
 _HEADS = f"""
@@ -316,7 +318,8 @@ def _(t):
         .otherwise(F.concat(F.lit("```text\na -> "), lang, F.lit("\n```\n")))
     calm = F.replace(F.replace(c("text"), F.lit("`"), F.lit("'")), F.lit("#"), F.lit("."))
     text = F.concat(calm, F.lit("\n"), lead, calm, F.lit("\n"), block, calm)
-    return t.table("documents").select("doc_id", M.first_flow_block(text).alias("b")).select("doc_id", "b.*")
+    docs = t.wide("documents").select("doc_id", text.alias("text"))
+    return M.with_flow_block(docs, "text", "b").select("doc_id", "b.*")
 
 
 @query("doc_messages", """
@@ -328,7 +331,8 @@ def _(t):
     text = F.concat(F.lit("intro x -> y: not in the diagram\n```mermaid\nsequenceDiagram\nparticipant P as Payer "), a,
                     F.lit("\nNote over P: hi\nP->>"), b, F.lit(": pay "), c("o_orderstatus"), F.lit("\nP->>P: self\n1. "), b,
                     F.lit(" --> P\nend\n```\n"))
-    return t.table("orders").select("o_orderkey", F.inline(M.parsed_messages(text)))
+    docs = t.wide("orders").select("o_orderkey", text.alias("text"))
+    return inlined(M.with_messages(docs, "text"), ["o_orderkey"], "messages", "src")
 
 
 @query("doc_subgraph", """
@@ -341,7 +345,7 @@ def _(t):
     stage = F.concat(F.lit("Pay "), (c("o_custkey") % 40).cast("string"))
     source = F.concat(F.lit('flowchart TD\nsubgraph "'), stage, F.lit('"\na1 --> b'), b,
                       F.lit("\nsubgraph inner\nc1 --> d1\nend\nend\nsubgraph Rest\nx1 --> y1\nend\nd1 ==> z9\n"))
-    d = t.table("orders").select("o_orderkey", source.alias("s"), stage.alias("stage")) \
+    d = t.wide("orders").select("o_orderkey", source.alias("s"), stage.alias("stage")) \
         .withColumn("block", M.subgraph_block(c("s"), c("stage")))
     ids = M.block_node_ids(c("block"))
     return d.select("o_orderkey", "block", F.array_join(M.subgraph_titles(c("s")), "|").alias("titles"),
@@ -359,7 +363,7 @@ def _(t):
     FROM {manifests} JOIN orders USING (o_orderkey)""")
 def _(t):
     m = t.rel("manifests")
-    return m.select("dir", F.explode(MF.manifest_deps(c("content"), c("language"))).alias("dep"))
+    return exploded(m, ["dir"], MF.manifest_deps(c("content"), c("language")), "dep")
 
 
 @query("man_names", """
@@ -378,4 +382,4 @@ def _(t):
     FROM {manifests} JOIN orders USING (o_orderkey) WHERE o_orderkey % 3 = 2""")
 def _(t):
     m = t.rel("manifests").where(c("language") == "java")
-    return m.select("dir", F.explode(MF.pom_dependency_ids(c("content"))).alias("dep"))
+    return exploded(m, ["dir"], MF.pom_dependency_ids(c("content")), "dep")

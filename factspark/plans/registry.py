@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factspark.plans.relations import RELATIONS, sql_with
-from factspark.session import ensure_checkpoint_dir
+from factspark.session import ensure_checkpoint_dir, spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -23,6 +23,10 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row."""
+        return spread(self.table(name))
+
     def rel(self, name: str) -> DataFrame:
         """A derived relation, expanded from its SQL text over the tables."""
         text = RELATIONS[name]
