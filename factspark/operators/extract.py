@@ -21,7 +21,6 @@ from factspark.functions import paths as P
 from factspark.functions.rows import inlined
 from factspark.functions.text import NOISE_CALLS
 from factspark.operators.ranking import top_n
-from factspark.session import spread
 
 CALL_CAP = 200
 RECORD = ("ws string, pkg_id string, path string, rec_type string, ord long, parent_ord long, name string, kind string, "
@@ -35,6 +34,13 @@ _DECL = re.compile(r"(?<![.\w$])(abstract\s+class|class|interface|enum|type|func
 _CHAIN = re.compile(r"([A-Za-z_$][\w$]*(?:\s*[?!]?\.\s*#?[A-Za-z_$][\w$]*)*)\s*(?:<[^<>()]*>)?\s*(?:\?\.\s*)?\(|[{}()]|;|=|\n")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "function", "return", "super", "import", "typeof", "await",
              "constructor", "with", "new", "async"}
+_DOT = re.compile(r"[?!]?\.")
+_NOT_CALL = re.compile(r"\b(new|function)\s*\*?$")
+_BODY = re.compile(r"\s*(?::\s*[^{};=()]+(?:\{[^{}]*\}[^{};=()]*)?)?\{")
+_PAIR = {"{}": re.compile(r"[{}]"), "()": re.compile(r"[()]")}
+_STEP = re.compile(r"[{}()\[\];\n]")
+_OPEN_END = re.compile(r"[=,|&<:?(+\-*/]\s*$")
+_ONLY_MARKS = re.compile(r"\s*(@[\w.]+(\([^()]*\))?\s*)*$")
 _TS_KIND = {"class": 0, "abstract class": 1, "interface": 2, "enum": 3, "type": 4, "function": 5}
 _DECOR = re.compile(r"@([\w.]+)(?:\([^()]*\))?\s*")
 _MEMBER = re.compile(r"^(?:@[\w.]+(?:\([^()]*\))?\s*)*(?:(?:public|private|protected|static|readonly|abstract|override|async|get"
@@ -57,7 +63,7 @@ def _lines(source: str) -> Callable[[int], int]:
 
 def _close(text: str, at: int, pair: str = "{}") -> int:
     depth = 0
-    for m in re.compile("[" + re.escape(pair) + "]").finditer(text, at):
+    for m in _PAIR[pair].finditer(text, at):
         depth += 1 if m.group() == pair[0] else -1
         if depth == 0:
             return m.start()
@@ -67,16 +73,17 @@ def _close(text: str, at: int, pair: str = "{}") -> int:
 def _chunks(text: str, start: int, end: int) -> Iterator[tuple[int, str]]:
     """Members of a class body: pieces between ``;``, closed blocks and line ends at depth 0."""
     depth, begin = 0, start
-    for m in re.compile(r"[{}()\[\];\n]").finditer(text, start, end):
+    for m in _STEP.finditer(text, start, end):
         c, at = m.group(), m.start()
         if c in "{([":
             depth += 1
         elif c in "})]":
             depth -= 1
+        if depth:
+            continue
         piece = text[begin:at + 1]
-        ended = c == ";" or c == "}" or (c == "\n" and not re.search(r"[=,|&<:?(+\-*/]\s*$", piece)
-                                         and not re.match(r"\s*(@[\w.]+(\([^()]*\))?\s*)*$", piece))
-        if depth == 0 and ended and piece.strip():
+        ended = c == ";" or c == "}" or (c == "\n" and not _OPEN_END.search(piece) and not _ONLY_MARKS.match(piece))
+        if ended and piece.strip():
             yield begin + len(piece) - len(piece.lstrip()), piece.strip().rstrip(";").rstrip()
             begin = at + 1
     if text[begin:end].strip():
@@ -110,7 +117,7 @@ def extract_typescript(source: str) -> Iterator[dict]:
     found, blocks = [], {}
     for m in _DECL.finditer(text):
         word, name = re.sub(r"\s+", " ", m.group(1)), m.group(2)
-        before = text[:m.start()].rstrip()
+        before = text[max(0, m.start() - 256):m.start()].rstrip()
         if before.endswith("abstract") and word == "class":
             continue
         if word in ("function", "class") and re.search(r"([=(,:?&|!\[]|=>|\breturn)$", re.sub(r"\basync$", "", before).rstrip()):
@@ -165,17 +172,19 @@ def _typescript_calls(text: str, line: Callable[[int], int], blocks: dict) -> It
         elif c == ")":
             last_root = parens.pop() if parens else ""
         else:
-            chain = [s.strip().lstrip("#") for s in re.split(r"[?!]?\.", m.group(1))]
-            before = text[:m.start()].rstrip()[-12:]
+            path = m.group(1)
+            chain = [s.strip().lstrip("#") for s in _DOT.split(path)] if "." in path else [path]
+            before = text[max(0, m.start() - 256):m.start()].rstrip()[-12:]
             joined = before.endswith(".")
             root = last_root if joined else (chain[0] if chain[0] != "this" else "")
             parens.append(root)
             open_at = m.end() - 1
-            if not joined and (len(chain) == 1 and chain[0] in _KEYWORDS - {"constructor"} or re.search(r"\b(new|function)\s*\*?$", before)):
+            if not joined and (len(chain) == 1 and chain[0] in _KEYWORDS - {"constructor"} or _NOT_CALL.search(before)):
                 continue
-            after = re.compile(r"\s*(?::\s*[^{};=()]+(?:\{[^{}]*\}[^{};=()]*)?)?\{").match(text, _close(text, open_at, "()") + 1)
+            plain = len(chain) == 1 and not joined
+            after = _BODY.match(text, _close(text, open_at, "()") + 1) if plain else None
             in_class = bool(scope) and scope[-1][0] == "class" and not any(parens[:-1])
-            if len(chain) == 1 and not joined and not before.endswith("@") and (
+            if plain and not before.endswith("@") and (
                     (in_class and not assigned) or (after and (before[-1:] in ",{}" or before.endswith("async")))):
                 if after:
                     pending[after.end() - 1] = ("function", chain[0])
@@ -287,7 +296,7 @@ def extract_records(files: DataFrame) -> DataFrame:
                 frame[name] = frame[name].astype("Int64")
             frame["type_only"] = frame["type_only"].astype("boolean")
             yield frame
-    return spread(files.select("ws", "pkg_id", "path", "language", "content")).mapInPandas(run, RECORD)
+    return files.select("ws", "pkg_id", "path", "language", "content").mapInPandas(run, RECORD)
 
 
 def imports_of(records: DataFrame) -> DataFrame:

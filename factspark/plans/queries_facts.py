@@ -25,7 +25,7 @@ _A, _B, _X, _Y, _P = "(o_custkey % 25)", "((o_custkey + 1) % 25)", "(o_custkey %
 
 def records(t, language: str | None = None):
     files = t.rel("sources")
-    return E.extract_records(files if language is None else files.where(c("language") == language))
+    return E.extract_records(spread(files if language is None else files.where(c("language") == language)))
 
 
 _COLS = ["path", "rec_type", "ord", "name", "kind", "line", "spec", "names", "caller", "root", "parent_ord"]

@@ -234,11 +234,11 @@ def _(t):
 
 
 @query("jn_validated_ids", """
-    WITH s AS (SELECT ws, dst AS id, min(ord) AS ord FROM {calls} WHERE dst IN (SELECT 'm' || p_partkey FROM part WHERE p_size % 2 = 0) GROUP BY ws, dst),
+    WITH s AS (SELECT ws, dst AS id, min(ord) AS ord FROM {calls} WHERE dst IN (SELECT 'm' || p_partkey FROM part WHERE p_type <> 'ECONOMY') GROUP BY ws, dst),
       r AS (SELECT ws, id, ord, row_number() OVER (PARTITION BY ws ORDER BY ord, id) AS pos FROM s)
     SELECT * FROM r WHERE pos <= 25""")
 def _(t):
-    known = t.table("part").where(c("p_size") % 2 == 0).select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("pkg_id"))
+    known = t.table("part").where(c("p_type") != "ECONOMY").select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("pkg_id"))
     pk = t.rel("call_nodes").join(known, "pkg_id", "left_semi")
     return G.valid_ids(t.rel("calls").select("ws", c("dst").alias("id"), "ord"), pk)
 
@@ -428,7 +428,9 @@ def _(t):
 
 
 def entries_of(t):
-    return t.rel("call_nodes").where(c("pkg_ord") % 50 == 3).select("ws", c("pkg_id").alias("id"))
+    """Packages of promotional parts stand for those with an entry file."""
+    promo = t.table("part").where(c("p_type") == "PROMO").select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("id"))
+    return t.rel("call_nodes").select("ws", c("pkg_id").alias("id")).join(promo, "id", "left_semi").select("ws", "id")
 
 
 @query("gr_bfs_messages")
@@ -471,7 +473,7 @@ def _(t):
       seen AS (SELECT ws, dst AS id, min(ord) AS ord FROM {{calls}} WHERE ws LIKE 'A%' GROUP BY ALL),
       prop AS (SELECT ws, id FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY ord, id) AS rn FROM seen) WHERE rn <= 25),
       big AS (SELECT ws FROM prop GROUP BY ws HAVING count(*) >= 4),
-      seed AS (SELECT ws, pkg_id AS id FROM {{call_nodes}} WHERE pkg_ord % 50 = 3),
+      seed AS (SELECT ws, pkg_id AS id FROM {{call_nodes}} WHERE pkg_id IN (SELECT 'm' || p_partkey FROM part WHERE p_type = 'PROMO')),
       near AS (SELECT ws, id FROM seed UNION SELECT e.ws, dst FROM edges e JOIN seed s ON s.ws = e.ws AND s.id = src UNION SELECT e.ws, src FROM edges e JOIN seed s ON s.ws = e.ws AND s.id = dst)
     SELECT ws, pkg_id AS id, CAST(0 AS BIGINT) AS tier FROM {{call_nodes}} WHERE ws IN (SELECT ws FROM small)
     UNION ALL SELECT ws, id, 1 FROM prop WHERE ws IN (SELECT ws FROM big) AND ws NOT IN (SELECT ws FROM small)
