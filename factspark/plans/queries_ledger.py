@@ -30,7 +30,9 @@ def snap_diff(t):
     return S.snapshot_diff(t.rel("files_before"), t.rel("files_after"))
 
 
-@query("snap_commit")
+@query("snap_commit", f"""WITH {_DIFF}
+    SELECT ws, path, version, CASE WHEN change IN ('unchanged', 'touched') THEN old_size ELSE new_size END AS size,
+      CASE WHEN change IN ('unchanged', 'touched') THEN old_md5 ELSE new_md5 END AS md5 FROM diff WHERE change <> 'removed'""")
 def _(t):
     """Write a snapshot, commit it, and read it back as the current one."""
     folder = t.work_dir()

@@ -183,7 +183,9 @@ def _(t):
     return t.wide("documents").select("doc_id", X.token_estimate(c("text")).alias("tokens"))
 
 
-@query("str_djb2")
+@query("str_djb2", """
+    SELECT doc_id, lower(to_base(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(source || '|' || lang || '|' || text, ''),
+      lambda ch: CAST(unicode(ch) AS BIGINT))), lambda h, ch: (h * 33 + ch) % 4294967296), 36)) AS hash FROM documents""")
 def _(t):
     return t.wide("documents").select("doc_id", X.djb2_base36(F.concat("source", F.lit("|"), "lang", F.lit("|"), "text")).alias("hash"))
 

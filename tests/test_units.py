@@ -386,3 +386,44 @@ def test_natural_order_and_next_number(spark):
     df = spark.createDataFrame([("w", n) for n in ("dynamic-10", "dynamic-2", "zeta", "alpha")], "ws string, id string")
     assert [r.id for r in df.orderBy(R.natural_key(F.col("id"))).collect()] == ["dynamic-2", "dynamic-10", "alpha", "zeta"]
     assert R.next_number(df, ["ws"], "id", r"^dynamic-(\d+)$").first().next_no == 11
+
+
+# -------------------------------------------------------------------- streams
+
+def test_status_changes_equals_loop(spark, tmp_path):
+    from factspark.streaming.jobs import status_changes
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(5)
+    rows, want = [], []
+    for ws in ("a", "b", "c"):
+        at, last = 0, None
+        for _ in range(60):
+            at += rng.randint(1, 120)
+            seq = rng.randint(0, 3)
+            rows.append((ws, seq, at))
+            if last is None or (seq != last[0] and at - last[1] >= 150):
+                last = (seq, at)
+                want.append((ws, seq, at))
+    schema = "ws string, seq long, at long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = status_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    running = (out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+               .option("path", str(tmp_path / "out")).trigger(availableNow=True).start())
+    running.awaitTermination()
+    assert tuples(spark.read.schema(schema).parquet(str(tmp_path / "out"))) == sorted(want)
+
+
+def test_one_workspace_with_most_rows(spark):
+    """Caps and edge lists stay whole when one workspace dominates."""
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("w"), (F.col("id") % 7).cast("string"))).alias("ws"),
+        F.col("id").alias("ord"), F.concat(F.lit("p"), (F.col("id") % 5).cast("string")).alias("src"),
+        F.concat(F.lit("q"), (F.col("id") % 3).cast("string")).alias("dst"), F.concat(F.lit("s"), (F.col("id") % 11).cast("string")).alias("sym"),
+        F.lit("f").alias("file"))
+    edges = G.aggregate_edges(rows)
+    assert edges.agg(F.sum("calls")).first()[0] == 30000
+    assert {(r.symbols, len(r.syms)) for r in edges.where("ws = 'hot'").collect()} == {(11, 8)}
+    assert R.top_n(rows, ["ws"], ["ord"], 5).where("ws = 'hot'").count() == 5
+    plan = R.top_n(rows, ["ws"], ["ord"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # once before the shuffle, once after
