@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from factspark.llm import quality  # noqa: F401
+from factspark.llm import bpe, quality  # noqa: F401
 from factspark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
