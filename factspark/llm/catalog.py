@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from factspark.llm import bpe, mixing, ngram_lm, quality, simhash  # noqa: F401
+from factspark.llm import bpe, language_id, mixing, ngram_lm, quality, simhash  # noqa: F401
 from factspark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
