@@ -208,3 +208,17 @@ def op1_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs, fold(F.col("doc_id"), 5) != 0)
     return found.select("doc_id", (F.coalesce(fold(F.col("doc_id"), 5), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+def accepted(text: Column, model: LanguageFilter, spark: SparkSession, min_coverage: float = 0.1) -> Column:
+    """Whether a text has a determined language that knows at least ``min_coverage`` of its trigrams."""
+    shipped = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        letters = letter_table()
+        for texts in batches:
+            found = shipped.value.decide([t or "" for t in texts], letters)
+            yield (found["lang_pred"] != UNDETERMINED) & (found["coverage"] >= min_coverage)
+
+    return decide(text)
