@@ -121,6 +121,8 @@ class Automaton:
         probability = [plain]
         self.arcs: dict[int, tuple[float, int]] = {}
         word_of, history_of = [np.arange(sizes[0])], [np.zeros(sizes[0], dtype="i8")]
+        # Near its start a text has no history of full length; what stands there is a shorter n-gram again.
+        depth, full = np.arange(len(self.word)) - np.repeat(first, np.diff(chunk.starts)), [None]
         for k in range(1, order):
             seen[base[k - 1]:base[k - 1] + sizes[k - 1]] = counts[k - 1]
             at, where = chunk.at[k], np.full(sizes[k], -1, dtype="i8")
@@ -128,6 +130,7 @@ class Automaton:
             history = np.ones(sizes[k], dtype="i8")
             starts_here = np.isin(where, first)
             history[~starts_here] = base[k - 1] + chunk.at[k - 1][where[~starts_here] - 1]
+            full.append(depth[where] >= k - 1)
             word_of.append(chunk.at[0][where])
             history_of.append(history)
             lower = probability[k - 1][chunk.at[k - 1][where]]
@@ -140,7 +143,7 @@ class Automaton:
         for k in range(order):
             # A history of this order continues as the longest state: the n-gram itself, below the highest order.
             target = base[k] + np.arange(sizes[k]) if k < order - 1 else (self.fail_target(chunk, k, base) if order > 1 else np.zeros(sizes[k], dtype="i8"))
-            keep = np.flatnonzero(counts[k] > 0) if k else np.arange(sizes[0])
+            keep = np.flatnonzero((counts[k] > 0) & full[k]) if k else np.arange(sizes[0])
             keys = history_of[k][keep] * self.words + word_of[k][keep]
             self.arcs.update(zip(keys.tolist(), zip(np.log10(probability[k][keep]).tolist(), target[keep].tolist())))
 

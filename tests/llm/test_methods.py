@@ -163,25 +163,23 @@ def test_lm_scores(spark, texts):
 
 
 def test_lm_of_higher_order():
-    """Order 3 by the automaton and by the recursion."""
+    """Order 3 by the automaton and by the recursion; the first text is learned from, the second is new."""
     random.seed(2)
-    words = np.array([random.randint(3, 9) for _ in range(400)] + [ngram_lm.END], dtype="u8")
-    chunk = ngram_lm.Chunk(words, np.array([0, len(words)]), 3)
-    counts = [np.bincount(a, minlength=len(g)).astype("f8") * (np.arange(len(g)) % 3 > 0 if k else 1) for k, (a, g) in enumerate(zip(chunk.at, chunk.grams))]
-    stats = {"tokens": int(counts[0].sum()), "types": int((counts[0] > 0).sum()), "once": 1, "twice": 1}
+    texts = [[random.randint(3, 9) for _ in range(n)] + [ngram_lm.END] for n in (400, 300)]
+    chunk = ngram_lm.Chunk(np.array(texts[0] + texts[1], dtype="u8"), np.array([0, 401, 702]), 3)
+    counts = [np.bincount(a[:401], minlength=len(g)).astype("f8") for a, g in zip(chunk.at, chunk.grams)]
+    seen = [collections.Counter(tuple((["<s>"] + texts[0])[i - n + 1:i + 1]) for i in range(n - 1, 402)) for n in (1, 2, 3)]
+    stats = {"tokens": 401, "types": len(set(texts[0])), "once": 1, "twice": 1}
     automaton = ngram_lm.Automaton(chunk, counts, stats, 1, 5.0)
-    total = 0.0
-    for i in range(len(words)):
-        p = (counts[0][chunk.at[0][i]] - 1 / 3) / stats["tokens"]
-        for k in (1, 2):
-            if k == 2 and i == 0:
-                history = None
-            else:
-                history = 1.0 if k == 1 and i == 0 else counts[k - 1][chunk.at[k - 1][i - 1]]
-            if history is not None:
-                p = (counts[k][chunk.at[k][i]] + 5.0 * p) / (history + 5.0)
-        total += math.log10(p)
-    assert math.isclose(automaton.score(0, len(words)), total, rel_tol=1e-2)
+    for text, a in zip(texts, (0, 401)):
+        total, marked = 0.0, ["<s>", *text]
+        for i in range(1, len(marked)):
+            p = (seen[0][marked[i],] - 1 / 3) / 401
+            for n in (2, 3):
+                if i >= n - 1:
+                    p = (seen[n - 1][tuple(marked[i - n + 1:i + 1])] + 5.0 * p) / (seen[n - 2][tuple(marked[i - n + 1:i])] + 5.0)
+            total += math.log10(p)
+        assert math.isclose(automaton.score(a, a + len(text)), total, rel_tol=1e-9)
 
 
 def test_chat_round_trip(spark):
