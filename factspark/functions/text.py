@@ -137,10 +137,10 @@ def first_nonblank(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def symbol_evidence(symbols: Column, total: Column | None = None, shown: int = 3, kept: int = 8) -> Column:
-    """What an edge says about its symbols: some shown, more kept, the rest counted."""
+def symbol_evidence(symbols: Column, total: Column | None = None, shown: int = 3, kept: int | None = None) -> Column:
+    """What an edge says about its symbols: some shown, all (or ``kept`` of them) kept, the rest counted."""
     total = F.size(symbols).cast("long") if total is None else total
     return F.struct(
         F.slice(symbols, 1, shown).alias("shown"),
-        F.when(total > shown, F.slice(symbols, 1, kept)).alias("kept"),
+        F.when(total > shown, F.slice(symbols, 1, kept) if kept else symbols).alias("kept"),
         F.greatest(total - shown, F.lit(0)).cast("long").alias("more"))

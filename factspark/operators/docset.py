@@ -19,14 +19,14 @@ CANDIDATES = [
 
 
 def resolve_docs(files: DataFrame, language: str = "中文", exclude: list[str] | None = None,
-                 extra: list[str] | None = None, limit: int = 8, link_scan: int | None = None) -> DataFrame:
+                 extra: list[str] | None = None, limit: int | None = None, link_scan: int | None = None) -> DataFrame:
     """Ordered document set ``(ws, pos, path)`` of ``files(ws, path, content)``.
 
     Listed candidates come first, then the files directly under ``docs/`` by
     name, then ``extra``, then whatever those documents link to, one hop only.
     Language variants count as one document and the reader's variant is taken.
     Only candidates' content is read; the link targets are matched by path.
-    ``link_scan`` bounds how far into a document links are followed (all by default).
+    ``limit`` bounds the set; ``link_scan`` bounds how far into a document links are followed (all by default).
     """
     order = list(CANDIDATES) if language == "English" else [CANDIDATES[1], CANDIDATES[0], *CANDIDATES[2:]]
     listed = F.create_map(*[x for i, p in enumerate(order) for x in (F.lit(p), F.lit(i))])
@@ -52,9 +52,10 @@ def resolve_docs(files: DataFrame, language: str = "中文", exclude: list[str]
     members = hubs.select("ws", "key", "path", "rel", at.alias("at")).union(found.select("ws", "key", "path", "rel", then.alias("at")))
     keys = top_n(members.groupBy("ws", "key").agg(F.min("at").alias("start")), ["ws"], ["start"], limit, rank="pos")
     # Nothing is added after the last document that fits, not even a variant.
-    full = keys.where(F.col("pos") == limit).select("ws", F.col("start").alias("_end"))
-    open_rows = (members.join(keys, ["ws", "key"]).join(full, "ws", "left")
-                 .where(F.col("_end").isNull() | (F.col("at") <= F.col("_end"))))
+    open_rows = members.join(keys, ["ws", "key"])
+    if limit is not None:
+        full = keys.where(F.col("pos") == limit).select("ws", F.col("start").alias("_end"))
+        open_rows = open_rows.join(full, "ws", "left").where(F.col("_end").isNull() | (F.col("at") <= F.col("_end")))
     tag = P.locale_rank(P.locale_tag(F.col("rel")), language)
     return first_of(open_rows.withColumn("_tag", tag), ["ws", "key"], ["_tag", "at"]).select("ws", "pos", "path")
 
@@ -97,10 +98,10 @@ def usable_trees(headings: DataFrame) -> DataFrame:
     return counts.where((F.col("roots") >= 2) | (F.col("children") > 0))
 
 
-def claim_outlines(docs: DataFrame, cap: int = 40) -> DataFrame:
-    """Heading outline of each claim document, the first ``cap`` headings."""
+def claim_outlines(docs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Heading outline of each claim document, all or the first ``cap`` headings."""
     claims = docs.where(P.is_claim_doc(F.col("doc")))
     shaped = M.with_headings(claims.select("ws", "doc", "text"))
-    lines = F.transform(F.slice("heads", 1, cap), lambda h: M.trimmed(F.get("lines", h["at"])))
+    lines = F.transform(F.slice("heads", 1, cap) if cap else F.col("heads"), lambda h: M.trimmed(F.get("lines", h["at"])))
     return (shaped.where(F.size("heads") > 0)
             .select("ws", "doc", F.concat(F.lit("【"), F.col("doc"), F.lit("】\n"), F.array_join(lines, "\n")).alias("outline")))

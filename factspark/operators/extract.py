@@ -315,18 +315,19 @@ def calls_of(records: DataFrame) -> DataFrame:
         F.col("name").alias("callee"), "root", "line")
 
 
-def members(entities: DataFrame, cap: int | None = 6) -> DataFrame:
-    """Methods of each class in order: ``(ws, file, parent_ord, names)``, a few per class."""
+def members(entities: DataFrame, cap: int | None = None) -> DataFrame:
+    """Methods of each class in order: ``(ws, file, parent_ord, names)``, all or the first ``cap``."""
     own = top_n(entities.where(F.col("kind") == "method"), ["ws", "file", "parent_ord"], ["ord"], cap)
     return own.groupBy("ws", "file", "parent_ord").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
 
 
-def collected_sources(files: DataFrame, max_bytes: int = 262144, cap: int | None = 400) -> DataFrame:
-    """Source files of each package: known suffix, no skipped directory, readable size, capped."""
+def collected_sources(files: DataFrame, max_bytes: int | None = None, cap: int | None = None) -> DataFrame:
+    """Source files of each package: known suffix, no skipped directory; ``cap`` and then ``max_bytes`` bound them."""
     kept = files.where(P.is_source_file(F.col("path"), F.col("language"))
                        & ~P.in_skipped_dir(F.col("path"), P.INDEX_SKIP_DIRS))
-    return top_n(kept, ["ws", "pkg_id"], ["path"], cap).where(F.col("size") <= max_bytes)
+    kept = top_n(kept, ["ws", "pkg_id"], ["path"], cap)
+    return kept if max_bytes is None else kept.where(F.col("size") <= max_bytes)
 
 
 # Annotations that say what a Java class is for.
@@ -336,19 +337,20 @@ STEREOTYPES = [
     "RabbitListener", "StreamListener", "EventListener", "TransactionalEventListener", "Async", "EnableFeignClients",
     "EnableEurekaClient", "Mapper",
 ]
-# How many values of each kind a profile keeps.
-PROFILE_CAPS = {"stereotype": 12, "client": 8, "listener": 8, "endpoint": 8}
 PRIORITY_FILE = r"(Application|Controller|Service|Client|Listener|Consumer|Producer|Config)\.java$"
 
 
-def scan_budget(files: DataFrame, budget: int | None = 24) -> DataFrame:
+def scan_budget(files: DataFrame, budget: int | None = None) -> DataFrame:
     """The files of each node an annotation scan reads: telling names first, then by name."""
     rank = F.when(F.col("path").rlike(PRIORITY_FILE), 0).otherwise(1)
     return top_n(files, ["ws", "node"], [rank, F.col("path")], budget, rank="pos")
 
 
-def annotation_profile(files: DataFrame, budget: int | None = 24) -> DataFrame:
-    """``(ws, node, kind, value, ord)`` of ``files(ws, node, path, content)``, distinct and capped per kind."""
+def annotation_profile(files: DataFrame, budget: int | None = None, caps: dict[str, int] | None = None) -> DataFrame:
+    """``(ws, node, kind, value, ord)`` of ``files(ws, node, path, content)``, distinct.
+
+    ``budget`` bounds the files of a node, ``caps`` the values of a kind.
+    """
     text = F.col("content")
     first_per_line = F.filter(F.transform(
         F.split(text, "\n"), lambda l: F.regexp_extract(l, rf"@({'|'.join(STEREOTYPES)})\b", 1)), lambda s: s != "")
@@ -358,7 +360,7 @@ def annotation_profile(files: DataFrame, budget: int | None = 24) -> DataFrame:
     heard = F.flatten(F.transform(
         F.concat(F.regexp_extract_all(text, F.lit(r"(?s)@KafkaListener\s*\((.*?)\)"), 1),
                  F.regexp_extract_all(text, F.lit(r"(?s)@RabbitListener\s*\((.*?)\)"), 1)),
-        lambda a: F.slice(F.regexp_extract_all(a, F.lit(r"[\"']([^\"']+)[\"']"), 1), 1, 4)))
+        lambda a: F.regexp_extract_all(a, F.lit(r"[\"']([^\"']+)[\"']"), 1)))
     routes = F.regexp_extract_all(text, F.lit(r"@(?:Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*[\"']([^\"']+)[\"']"), 1)
 
     def tagged(kind: str, values):
@@ -368,22 +370,25 @@ def annotation_profile(files: DataFrame, budget: int | None = 24) -> DataFrame:
                      tagged("listener", heard), tagged("endpoint", routes))
     rows = inlined(scan_budget(files, budget), ["ws", "node", "pos"], found, "kind")
     seen = rows.groupBy("ws", "node", "kind", "value").agg(F.min(F.struct("pos", "i")).alias("at"))
-    ranked = top_n(seen, ["ws", "node", "kind"], ["at", "value"], max(PROFILE_CAPS.values()), rank="ord")
-    cap = F.create_map(*[F.lit(x) for p in PROFILE_CAPS.items() for x in p])[F.col("kind")]
-    return ranked.where(F.col("ord") <= cap).select("ws", "node", "kind", "value", "ord")
+    ranked = top_n(seen, ["ws", "node", "kind"], ["at", "value"], max(caps.values()) if caps else None, rank="ord")
+    if caps:
+        cap = F.create_map(*[F.lit(x) for p in caps.items() for x in p])[F.col("kind")]
+        ranked = ranked.where(F.col("ord") <= cap)
+    return ranked.select("ws", "node", "kind", "value", "ord")
 
 
-def insights(entries: DataFrame, max_bytes: int = 65536) -> DataFrame:
+def insights(entries: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """What entry sources ``(ws, pkg_id, content)`` provide, listen to and register.
 
-    Only packages with a finding are returned.
+    Only packages with a finding are returned; sources over ``max_bytes`` are left out.
     """
     text = F.col("content")
 
     def either(pattern: str, *groups: int):
         hits = F.regexp_extract_all(text, F.lit(pattern), 0)
         return F.array_distinct(F.filter(F.transform(hits, lambda h: F.regexp_extract(h, r"'([^']+)'", 1)), lambda v: v != ""))
-    out = entries.where(F.octet_length(text) <= max_bytes).select(
+    read = entries if max_bytes is None else entries.where(F.octet_length(text) <= max_bytes)
+    out = read.select(
         "ws", "pkg_id",
         either(r"ctx\.provide\(\s*'[^']+'|super\(\s*ctx\s*,\s*'[^']+'").alias("provides"),
         either(r"ctx\.on(?:ce)?\(\s*'[^']+'|@Remote\(\s*'[^']+'\)").alias("listens"),
@@ -396,14 +401,20 @@ REGISTRATION = (r"(ctx\.(on|provide|effect|emit|waterfall|serial|parallel|inject
                 r"|harness\.(handle|registerTool)\(|@Remote\()")
 
 
-def key_lines(content, language, cap: int = 18):
+def key_lines(content, language, cap: int | None = None, width: int | None = None):
     """Registration lines of TypeScript, annotation lines of other languages."""
     rows = F.split(content, "\n")
     hit = lambda l: F.when(language == "typescript", l.rlike(REGISTRATION)).otherwise(l.rlike(r"^\s*@[A-Za-z]"))
-    return F.transform(F.slice(F.filter(rows, hit), 1, cap), lambda l: F.substring(F.trim(l), 1, 120))
+    found = F.filter(rows, hit)
+    found = F.transform(F.slice(found, 1, cap) if cap else found, lambda l: F.trim(l))
+    return F.transform(found, lambda l: F.substring(l, 1, width)) if width else found
 
 
-def snippet(content, lines: int = 90, width: int = 140):
-    rows = F.slice(F.split(content, "\n"), 1, lines)
+def snippet(content, lines: int | None = None, width: int | None = None):
+    """The first ``lines`` of a source, each cut to ``width``; all of it by default."""
+    rows = F.split(content, "\n")
+    rows = F.slice(rows, 1, lines) if lines else rows
+    if not width:
+        return F.array_join(rows, "\n")
     return F.array_join(F.transform(rows, lambda l: F.when(
         F.length(l) > width, F.concat(F.substring(l, 1, width - 3), F.lit("…"))).otherwise(l)), "\n")

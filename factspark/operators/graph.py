@@ -7,6 +7,8 @@ made distinct, so that a name used everywhere costs one probe, not one per use.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from factspark.functions import paths as P
 from factspark.operators.ranking import top_n
 from factspark.session import cut_lineage
 
+MAX_CHARS = 2147483647
+
 
 # ---------------------------------------------------------------- resolution
 
@@ -38,10 +42,15 @@ def bound_imports(imports: DataFrame) -> DataFrame:
             .select("ws", "file", "binding", F.col("_i.spec").alias("spec")))
 
 
+def without_prefix(name: Column, prefix: str) -> Column:
+    """``name`` without a literal ``prefix``."""
+    return F.when(F.startswith(name, F.lit(prefix)), F.substring(name, len(prefix) + 1, MAX_CHARS)).otherwise(name) if prefix else name
+
+
 def bare_spellings(spec: Column, id_prefix: str = "") -> Column:
     """The ways a bare specifier may spell a package id."""
     stripped = F.regexp_replace(spec, r"^@[^/]+/", "")
-    short = F.regexp_replace(stripped, f"^{id_prefix}", "") if id_prefix else stripped
+    short = without_prefix(stripped, id_prefix)
     return F.array_distinct(F.array(spec, stripped, F.substring_index(spec, "/", -1), short))
 
 
@@ -73,9 +82,8 @@ def resolve_modules(requests: DataFrame, files: DataFrame, packages: DataFrame,
 def resolve_calls(calls: DataFrame, imports: DataFrame, entities: DataFrame, packages: DataFrame,
                   id_prefix: str = "", mode: str = "reference") -> DataFrame:
     """Cross-package calls ``(ws, ord, src, dst, sym, file)``; test callers are left out."""
-    # Both are read several times below, so they are written once.
-    files = cut_lineage(file_packages(entities, imports, packages))
-    bound = cut_lineage(bound_imports(imports))
+    files = file_packages(entities, imports, packages)
+    bound = bound_imports(imports)
     target = resolve_modules(bound, files, packages, id_prefix, mode).withColumnRenamed("pkg_id", "dst")
     # Bindings are resolved to package pairs first, so the calls are joined once.
     links = (bound.join(target, ["ws", "file", "spec"])
@@ -96,7 +104,7 @@ def import_edges(imports: DataFrame, packages: DataFrame, id_prefix: str = "",
     first segment.
     """
     def short(s: Column) -> Column:
-        return F.regexp_replace(s, f"^{id_prefix}", "") if id_prefix else s
+        return without_prefix(s, id_prefix)
     uses = imports.groupBy("ws", "pkg_id", "spec", P.dirname(F.col("from_file")).alias("dir")) \
         .agg(F.min("imp_ord").alias("ord"))
     relative = uses.where(F.startswith("spec", F.lit(".")))
@@ -158,22 +166,18 @@ def declared_targets(targets: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 
 # --------------------------------------------------------------- aggregation
 
-def aggregate_edges(calls: DataFrame, evidence: int = 8) -> DataFrame:
-    """One row per edge: calls, distinct symbols, first file, the first symbols in order.
+def aggregate_edges(calls: DataFrame, evidence: int | None = None) -> DataFrame:
+    """One row per edge: calls, distinct symbols, first file, its symbols in order.
 
-    Calls are first reduced to ``(edge, symbol)``; only ``evidence`` symbols per
-    edge are ever collected.
+    Calls are first reduced to ``(edge, symbol)``, so the list of an edge is as long as the
+    interface that it uses; ``evidence`` keeps its first symbols.  One aggregation gives totals and list.
     """
     per_sym = calls.groupBy("ws", "src", "dst", "sym").agg(
         F.count("*").alias("n"), F.min("ord").alias("ord"), F.min(F.struct("ord", "file")).alias("first"))
-    totals = per_sym.groupBy("ws", "src", "dst").agg(
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "sym"))), lambda x: x["sym"])
+    return per_sym.groupBy("ws", "src", "dst").agg(
         F.sum("n").alias("calls"), F.count("*").alias("symbols"), F.min("ord").alias("edge_ord"),
-        F.min("first").alias("_f"))
-    kept = top_n(per_sym.select("ws", "src", "dst", "sym", "ord"), ["ws", "src", "dst"], ["ord", "sym"], evidence)
-    lists = kept.groupBy("ws", "src", "dst").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("ord", "sym"))), lambda x: x["sym"]).alias("syms"))
-    return totals.join(lists, ["ws", "src", "dst"]).select(
-        "ws", "src", "dst", "calls", "symbols", "edge_ord", F.col("_f.file").alias("file"), "syms")
+        F.min("first")["file"].alias("file"), (F.slice(listed, 1, evidence) if evidence else listed).alias("syms"))
 
 
 def edge_set(calls: DataFrame) -> DataFrame:
@@ -202,8 +206,8 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
     return one.groupBy("ws", "a", "b").agg(F.count("*").alias("directions"))
 
 
-def dependents(edges: DataFrame, cap: int | None = 40) -> DataFrame:
-    """Reverse adjacency ``(ws, id, dependent, pos)`` in declaration order, capped per node."""
+def dependents(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """Reverse adjacency ``(ws, id, dependent, pos)`` in declaration order, the first ``cap`` per node."""
     back = edges.select("ws", F.col("dst").alias("id"), F.col("src").alias("dependent"), "edge_ord")
     return top_n(back, ["ws", "id"], ["edge_ord", "dependent"], cap, rank="pos").drop("edge_ord")
 
@@ -224,7 +228,7 @@ def core_subgraph(edges: DataFrame, core: DataFrame) -> DataFrame:
             .select("ws", "src", "dst", "edge_ord"))
 
 
-def edges_touching(edges: DataFrame, ids: DataFrame, cap: int | None = 15) -> DataFrame:
+def edges_touching(edges: DataFrame, ids: DataFrame, cap: int | None = None) -> DataFrame:
     """Edges with an end in ``ids(ws, id)``, the first ``cap`` of each workspace."""
     some = ids.select("ws", "id").distinct()
     out = edges.join(some.withColumnRenamed("id", "src"), ["ws", "src"], "left_semi").select(*edges.columns)
@@ -240,12 +244,13 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return some.union(out).union(into).distinct()
 
 
-def pair_evidence(pairs: DataFrame, calls: DataFrame, by_symbol: int = 20, by_package: int = 15) -> DataFrame:
+def pair_evidence(pairs: DataFrame, calls: DataFrame, by_symbol: int | None = None,
+                  by_package: int | None = None) -> DataFrame:
     """Calls that support a labelled pair.
 
     ``pairs(ws, pair_id, src, dst, symbols)``, ``calls(ws, ord, src, caller, callee, file)``.
     Calls that mention one of the symbols come first; a pair without any gets the
-    calls made by its two packages.  Candidates are capped per symbol and per
+    calls made by its two packages.  With caps, candidates are cut per symbol and per
     package before they meet the pairs, which loses nothing a pair could show.
     """
     named = calls.select("ws", "ord", "caller", "callee", "file",
@@ -277,7 +282,7 @@ def usable_tiers(sources: list[DataFrame], minimum: int = 3) -> DataFrame:
     return first_tier(out)
 
 
-def path_entities(entities: DataFrame, messages: DataFrame, packages: DataFrame, cap: int | None = 120) -> DataFrame:
+def path_entities(entities: DataFrame, messages: DataFrame, packages: DataFrame, cap: int | None = None) -> DataFrame:
     """Types and functions of the packages that appear in the messages."""
     ends = messages.select("ws", F.explode(F.array("src", "dst")).alias("pkg_id")).distinct()
     top = (entities.where(~F.col("kind").isin("field", "method"))
@@ -287,7 +292,7 @@ def path_entities(entities: DataFrame, messages: DataFrame, packages: DataFrame,
 
 
 def core_tiers(packages: DataFrame, proposals: DataFrame, edges: DataFrame, entries: DataFrame,
-               minimum: int = 4, maximum: int = 25) -> DataFrame:
+               minimum: int = 4, maximum: int | None = None) -> DataFrame:
     """Core packages: all of a small workspace, else valid proposals, else entries and neighbours.
 
     ``proposals(ws, ord, id)`` may hold unknown and repeated ids.
@@ -303,7 +308,7 @@ def core_tiers(packages: DataFrame, proposals: DataFrame, edges: DataFrame, entr
     return out.withColumn("tier", F.col("tier").cast("long"))
 
 
-def valid_ids(proposals: DataFrame, packages: DataFrame, cap: int | None = 25) -> DataFrame:
+def valid_ids(proposals: DataFrame, packages: DataFrame, cap: int | None = None) -> DataFrame:
     """Known ids, each once at its first place, the first ``cap`` of each workspace."""
     seen = proposals.where(F.col("id").isNotNull()).groupBy("ws", "id").agg(F.min("ord").alias("ord"))
     known = packages.select("ws", F.col("pkg_id").alias("id"))
@@ -312,8 +317,8 @@ def valid_ids(proposals: DataFrame, packages: DataFrame, cap: int | None = 25) -
 
 # ----------------------------------------------------------------- traversal
 
-def bfs_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Distance of every node reachable from ``seeds(ws, id)``.
+def bfs_depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Distance of every node reachable from ``seeds(ws, id)``; ``max_depth`` ends the walk early.
 
     One join per level against the whole edge table; each level is checkpointed,
     so the plan stays short and a lost executor costs one level.
@@ -321,7 +326,7 @@ def bfs_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataF
     links = cut_lineage(edges.select("ws", "src", "dst").distinct())
     level = cut_lineage(seeds.select("ws", "id").distinct().withColumn("depth", F.lit(0).cast("long")))
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 1) if max_depth else count(1):
         step = (level.select("ws", F.col("id").alias("src")).join(links, ["ws", "src"])
                 .select("ws", F.col("dst").alias("id")).distinct()
                 .join(seen.select("ws", "id"), ["ws", "id"], "left_anti"))
@@ -333,16 +338,15 @@ def bfs_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataF
 
 
 def bfs_messages(edges: DataFrame, entries: DataFrame, packages: DataFrame,
-                 cap: int = 24, minimum: int = 3) -> DataFrame:
-    """The first ``cap`` edges met when each workspace is walked breadth first.
+                 cap: int | None = None, minimum: int = 3) -> DataFrame:
+    """The edges met, or the first ``cap`` of them, when each workspace is walked breadth first.
 
     The walk starts at the entry packages in order, or at all packages by
     in-degree where there is no entry.  Every popped package emits all of its
     edges; a workspace with fewer than ``minimum`` messages yields none.
 
     A package that emits nothing cannot matter and each other one emits at least
-    one edge, so ``cap`` packages per workspace and level suffice: a level is a
-    small table, whatever the size of the graph.
+    one edge, so with a ``cap`` as many packages per workspace and level suffice.
     """
     links = cut_lineage(edges.select("ws", "src", "dst", "edge_ord"))
     out_deg = links.select("ws", F.col("src").alias("id")).distinct()
@@ -358,19 +362,20 @@ def bfs_messages(edges: DataFrame, entries: DataFrame, packages: DataFrame,
     queue = cut_lineage(top_n(seeds, ["ws"], [F.col("_in").desc(), F.col("pkg_ord"), F.col("id")], cap, rank="pop")
                         .select("ws", "id", "pop"))
     popped, out = queue.select("ws", "id"), None
-    for level in range(cap):
+    for level in range(cap) if cap else count():
         emitted = (queue.select("ws", F.col("id").alias("src"), "pop").join(links, ["ws", "src"])
                    .withColumn("level", F.lit(level).cast("long")))
         emitted = cut_lineage(top_n(emitted, ["ws"], ["pop", "edge_ord", "dst"], cap))
         if emitted.isEmpty():
             break
         out = emitted if out is None else out.union(emitted)
-        full = out.groupBy("ws").agg(F.count("*").alias("_n")).where(F.col("_n") >= cap).select("ws")
         found = (emitted.groupBy("ws", F.col("dst").alias("id"))
                  .agg(F.min(F.struct("pop", "edge_ord", "dst")).alias("_at"))
-                 .join(full, "ws", "left_anti")
                  .join(popped, ["ws", "id"], "left_anti")
                  .join(out_deg, ["ws", "id"], "left_semi"))
+        if cap:
+            full = out.groupBy("ws").agg(F.count("*").alias("_n")).where(F.col("_n") >= cap).select("ws")
+            found = found.join(full, "ws", "left_anti")
         queue = cut_lineage(top_n(found, ["ws"], ["_at"], cap, rank="pop").select("ws", "id", "pop"))
         if queue.isEmpty():
             break
@@ -382,8 +387,8 @@ def bfs_messages(edges: DataFrame, entries: DataFrame, packages: DataFrame,
     return listed.join(enough, "ws", "left_semi").select("ws", "msg_ord", "src", "dst", "edge_ord")
 
 
-def reference_messages(edges: DataFrame, packages: DataFrame, cap: int = 24, minimum: int = 3) -> DataFrame:
-    """Reference edges in package order, the first ``cap`` of each workspace."""
+def reference_messages(edges: DataFrame, packages: DataFrame, cap: int | None = None, minimum: int = 3) -> DataFrame:
+    """Reference edges in package order, all or the first ``cap`` of each workspace."""
     order = packages.select("ws", F.col("pkg_id").alias("src"), "pkg_ord")
     listed = top_n(edges.join(order, ["ws", "src"]), ["ws"], ["pkg_ord", "src", "edge_ord", "dst"], cap, rank="msg_ord")
     enough = listed.groupBy("ws").agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum).select("ws")

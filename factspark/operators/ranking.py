@@ -10,21 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factspark.session import cut_lineage
+
 
 def _cols(names) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
 def top_n(df: DataFrame, keys, order, n: int | None, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group; ``rank`` keeps their position from 1."""
+    """The first ``n`` rows of each group, all of them without ``n``; ``rank`` keeps their position from 1."""
     if n is None:
-        return df
+        return positions(df, keys, order, rank) if rank else df
     pos = rank or "_pos"
     ranked = (df.withColumn(pos, F.row_number().over(Window.partitionBy(*_cols(keys)).orderBy(*_cols(order))))
               .where(F.col(pos) <= n))
     return ranked.withColumn(pos, F.col(pos).cast("long")) if rank else ranked.drop(pos)
 
 
+def positions(df: DataFrame, keys, order, rank: str) -> DataFrame:
+    """Every row with its position from 1 in its group, without sorting a group in one task.
+
+    Rows are dealt by ranges of group and order.  A window numbers the rows of a group inside one
+    range; the ranges of a group hand their sizes on, one row each.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    dealt = df.select("*", *[k.alias(n) for k, n in zip(_cols(keys), names)])
+    dealt = cut_lineage(dealt.repartitionByRange(*_cols(keys), *_cols(order)).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *names).orderBy(*_cols(order))
+    before = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range", *names).agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", *[F.col(n).alias(f"{n}s") for n in names], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = dealt.withColumn("_in", F.row_number().over(inside)).withColumnRenamed("_range", "_own")
+    same = [F.col("_own") == F.col("_range"), *[F.col(n).eqNullSafe(F.col(f"{n}s")) for n in names]]
+    rows = rows.join(sizes, same).withColumn(rank, (F.col("_in") + F.col("_before")).cast("long"))
+    return rows.select(*df.columns, rank)
+
+
 def first_of(df: DataFrame, keys, order) -> DataFrame:
     """One row per key: the first in ``order``."""
     return top_n(df, keys, order, 1)
@@ -35,9 +56,9 @@ def first_seen(df: DataFrame, keys, order: str) -> DataFrame:
     return df.groupBy(*_cols(keys)).agg(F.min(order).alias("first_ord"))
 
 
-def batches(df: DataFrame, keys, order, size: int = 40, max_batches: int = 2) -> DataFrame:
-    """Number fixed-size batches (``batch`` from 0) and keep the first few."""
-    kept = top_n(df, keys, order, size * max_batches, rank="_n")
+def batches(df: DataFrame, keys, order, size: int = 40, max_batches: int | None = None) -> DataFrame:
+    """Number fixed-size batches (``batch`` from 0); ``max_batches`` keeps the first few."""
+    kept = top_n(df, keys, order, max_batches and size * max_batches, rank="_n")
     return kept.withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
@@ -60,9 +81,9 @@ def next_number(df: DataFrame, keys, name: str, pattern: str) -> DataFrame:
     return df.groupBy(*_cols(keys)).agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_no"))
 
 
-def newest_notes(df: DataFrame, keys, target: str, question: str, at: str, n: int = 200) -> DataFrame:
-    """One note per target and question head, then the newest ``n`` of each group."""
-    head = F.substring(F.substring_index(F.col(question), "\n", 1), 1, 100)
+def newest_notes(df: DataFrame, keys, target: str, question: str, at: str, n: int | None = None) -> DataFrame:
+    """One note per target and first line of the question, then the newest ``n`` of each group."""
+    head = F.substring_index(F.col(question), "\n", 1)
     tagged = df.withColumn("question_head", head)
     single = first_of(tagged, [*keys, target, "question_head"], [F.col(at)])
     return top_n(single, keys, [F.col(at).desc()], n)

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspark.functions import paths as P
 
-MD5_LIMIT = 2 * 1024 * 1024
-
-
-def content_md5(content: Column, size: Column, limit: int = MD5_LIMIT) -> Column:
-    """md5 of a file; NULL over the size limit, where the version decides alone."""
-    return F.when(size.isNull() | (size <= limit), F.md5(content))
-
-
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Classify every path of two snapshots.
 
@@ -26,7 +18,7 @@ def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     prev = previous.select("ws", "path", F.col("version").alias("old_version"),
                            F.col("size").alias("old_size"), F.col("md5").alias("old_md5"))
     now = current.select("ws", "path", F.col("version").alias("new_version"), F.col("size").alias("new_size"),
-                         content_md5(F.col("content").cast("binary"), F.col("size")).alias("new_md5"))
+                         F.md5(F.col("content").cast("binary")).alias("new_md5"))
     same = F.col("old_version") == F.col("new_version")
     change = (F.when(F.col("new_version").isNull(), "removed")
               .when(F.col("old_version").isNull(), "added")

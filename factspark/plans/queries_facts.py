@@ -15,7 +15,7 @@ from factspark.operators import layout as L
 from factspark.operators import quality as Q
 from factspark.plans.registry import query
 from factspark.plans.relations import RELATIONS
-from factspark.session import cut_lineage, spread
+from factspark.session import cut_lineage
 
 c = F.col
 _A, _B, _X, _Y, _P = "(o_custkey % 25)", "((o_custkey + 1) % 25)", "(o_custkey % 13)", "((o_custkey + 7) % 40)", "(o_custkey % 40)"
@@ -25,7 +25,7 @@ _A, _B, _X, _Y, _P = "(o_custkey % 25)", "((o_custkey + 1) % 25)", "(o_custkey %
 
 def records(t, language: str | None = None):
     files = t.rel("sources")
-    return E.extract_records(spread(files if language is None else files.where(c("language") == language)))
+    return E.extract_records(files if language is None else files.where(c("language") == language))
 
 
 _COLS = ["path", "rec_type", "ord", "name", "kind", "line", "spec", "names", "caller", "root", "parent_ord"]
@@ -114,8 +114,8 @@ def _(t):
 @query("ext_annotations", """
     WITH f AS (SELECT ws, pkg_id AS node, path, o_orderkey, row_number() OVER (PARTITION BY ws, pkg_id ORDER BY CASE WHEN regexp_matches(path, '(Application|Controller|Service|Client|Listener|Consumer|Producer|Config)[.]java$') THEN 0 ELSE 1 END, path) AS pos
         FROM {sources} WHERE language = 'java'),
-      e AS (SELECT ws, node, 'endpoint' AS kind, '/o' || o_orderkey AS value, row_number() OVER (PARTITION BY ws, node ORDER BY pos) AS ord FROM f WHERE pos <= 24)
-    SELECT DISTINCT ws, node, 'stereotype' AS kind, 'Service' AS value, CAST(1 AS BIGINT) AS ord FROM f UNION ALL SELECT * FROM e WHERE ord <= 8""")
+      e AS (SELECT ws, node, 'endpoint' AS kind, '/o' || o_orderkey AS value, row_number() OVER (PARTITION BY ws, node ORDER BY pos) AS ord FROM f)
+    SELECT DISTINCT ws, node, 'stereotype' AS kind, 'Service' AS value, CAST(1 AS BIGINT) AS ord FROM f UNION ALL SELECT * FROM e""")
 def _(t):
     files = t.rel("sources").where(c("language") == "java").select("ws", c("pkg_id").alias("node"), "path", "content")
     return E.annotation_profile(files)
@@ -162,8 +162,8 @@ def _(t):
     WITH p AS (SELECT ws, pkg_id, pkg_ord, row_number() OVER (PARTITION BY ws ORDER BY pkg_ord, pkg_id) AS pos FROM {source_packages}),
       e AS (SELECT ws, pkg_id, name, ord, row_number() OVER (PARTITION BY ws, pkg_id ORDER BY ord, name) AS rn FROM {source_entities} WHERE kind NOT IN ('method', 'field')),
       d AS (SELECT ws, pkg_id, dep, ord, row_number() OVER (PARTITION BY ws, pkg_id ORDER BY ord, dep) AS rn FROM (SELECT ws, pkg_id, spec AS dep, min(imp_ord) AS ord FROM {source_imports} GROUP BY ALL)),
-      l AS (SELECT p.ws, pos, '- ' || p.pkg_id || ' (typescript); deps: ' || coalesce((SELECT string_agg(dep, ', ' ORDER BY ord, dep) FROM d WHERE d.ws = p.ws AND d.pkg_id = p.pkg_id AND rn <= 6), 'none')
-        || '; entities: ' || coalesce((SELECT string_agg(name, ', ' ORDER BY ord, name) FROM e WHERE e.ws = p.ws AND e.pkg_id = p.pkg_id AND rn <= 8), 'none') AS line FROM p WHERE pos <= 60)
+      l AS (SELECT p.ws, pos, '- ' || p.pkg_id || ' (typescript); deps: ' || coalesce((SELECT string_agg(dep, ', ' ORDER BY ord, dep) FROM d WHERE d.ws = p.ws AND d.pkg_id = p.pkg_id), 'none')
+        || '; entities: ' || coalesce((SELECT string_agg(name, ', ' ORDER BY ord, name) FROM e WHERE e.ws = p.ws AND e.pkg_id = p.pkg_id), 'none') AS line FROM p)
     SELECT ws, string_agg(line, chr(10) ORDER BY pos) AS digest FROM l GROUP BY ws""")
 def _(t):
     pk = t.rel("source_packages").select("ws", "pkg_id", "pkg_ord", F.lit("typescript").alias("language"))
@@ -280,7 +280,7 @@ def _(t):
 # -------------------------------------------------------------- prose checks
 
 def docs(t):
-    return spread(t.rel("prose").select("ws", "doc", "text"))
+    return t.rel("prose").select("ws", "doc", "text")
 
 
 def truth(t):
@@ -394,7 +394,7 @@ def _(t):
 
 @query("json_outermost", "SELECT id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0 THEN id END AS found FROM {answers}")
 def _(t):
-    return spread(t.rel("answers")).select("id", F.get_json_object(J.outermost_object(c("text")), "$.figId").alias("found"))
+    return t.rel("answers").select("id", F.get_json_object(J.outermost_object(c("text")), "$.figId").alias("found"))
 
 
 @query("json_outermost_array", "SELECT doc_id, len(string_split(text, ' ')) AS items FROM documents")
@@ -407,14 +407,14 @@ def _(t):
 @query("json_balanced", "SELECT id, CASE WHEN o_orderkey % 8 <> 0 THEN id END AS found FROM {answers}")
 def _(t):
     body = J.balanced_object()(c("text"), c("id"))
-    return spread(t.rel("answers")).select("id", F.get_json_object(body, "$.figId").alias("found"))
+    return t.rel("answers").select("id", F.get_json_object(body, "$.figId").alias("found"))
 
 
 @query("json_sanitize_messages", f"""
     SELECT id, 'n' || {_P} AS src, 'n' || {_X} AS dst, 'go ' || {_A} AS label FROM {{answers}} WHERE o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0 AND {_P} <> {_X}""")
 def _(t):
     n = lambda k: F.concat(F.lit("n"), (c("o_custkey") % k).cast("string"))
-    a = spread(t.rel("answers")).withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.seqMessages"), J.MESSAGES_JSON))
+    a = t.rel("answers").withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.seqMessages"), J.MESSAGES_JSON))
     return inlined(a, ["id"], J.clean_messages(c("raw"), F.array(n(40), n(13))), "src")
 
 
@@ -422,7 +422,7 @@ def _(t):
     SELECT id, 'e' || {_A} AS event, CASE o_orderkey % 2 WHEN 0 THEN 'serial' ELSE 'emit' END AS mode, 'n' || {_P} AS producers, 'n' || {_X} || ',n' || {_Y} AS consumers
     FROM {{answers}} WHERE o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0""")
 def _(t):
-    a = spread(t.rel("answers")).withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.events"), J.EVENTS_JSON))
+    a = t.rel("answers").withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.events"), J.EVENTS_JSON))
     e = inlined(a, ["id"], J.clean_events(c("raw")), "event")
     return e.select("id", "event", "mode", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers"))
 

@@ -30,7 +30,7 @@ def edges_of(t, relation: str = "calls"):
     WITH per AS (SELECT ws, src, dst, sym, count(*) AS n, min(ord) AS ord FROM {nation_calls} GROUP BY ws, src, dst, sym),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY ws, src, dst ORDER BY ord, sym) AS rn FROM per)
     SELECT ws, src, dst, CAST(sum(n) AS BIGINT) AS calls, count(*) AS symbols, min(ord) AS edge_ord,
-      string_agg(sym, '|' ORDER BY rn) FILTER (WHERE rn <= 8) AS syms,
+      string_agg(sym, '|' ORDER BY rn) AS syms,
       (SELECT min(file) FROM {nation_calls} k WHERE k.ws = ranked.ws AND k.src = ranked.src AND k.dst = ranked.dst AND k.ord = min(ranked.ord)) AS file
     FROM ranked GROUP BY ws, src, dst""")
 def agg_edges(t):
@@ -70,23 +70,20 @@ def _(t):
 @query("agg_nested_children", """
     SELECT l_orderkey, string_agg(part, '|' ORDER BY l_linenumber, part) AS members FROM (
       SELECT l_orderkey, l_linenumber, l_partkey || ':' || l_suppkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey || ':' || l_suppkey) AS rn FROM lineitem)
-    WHERE rn <= 6 GROUP BY l_orderkey""")
+    GROUP BY l_orderkey""")
 def _(t):
     part = F.concat(c("l_partkey").cast("string"), F.lit(":"), c("l_suppkey").cast("string"))
-    own = R.top_n(t.table("lineitem").select("l_orderkey", "l_linenumber", part.alias("part")),
-                  ["l_orderkey"], ["l_linenumber", "part"], 6)
+    own = t.table("lineitem").select("l_orderkey", "l_linenumber", part.alias("part"))
     listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "part")))
     return own.groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["part"]), "|").alias("members"))
 
 
 @query("agg_groups", """
-    SELECT r_name AS grp, count(*) AS packages, string_agg(n_name, '|' ORDER BY n_name) FILTER (WHERE rn <= 60) AS members
+    SELECT r_name AS grp, count(*) AS packages, string_agg(n_name, '|' ORDER BY n_name) AS members
     FROM (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS rn FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY r_name""")
 def _(t):
     n = t.table("nation").join(t.table("region"), c("n_regionkey") == c("r_regionkey")).select(c("r_name").alias("grp"), "n_name")
-    kept = R.top_n(n, ["grp"], ["n_name"], 60)
-    lists = kept.groupBy("grp").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("members"))
-    return n.groupBy("grp").agg(F.count("*").alias("packages")).join(lists, "grp")
+    return n.groupBy("grp").agg(F.count("*").alias("packages"), F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("members"))
 
 
 @query("agg_coverage", """
@@ -104,7 +101,7 @@ def _(t):
     WITH per AS (SELECT ws, src, dst, sym, min(ord) AS ord FROM {nation_calls} GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY ws, src, dst ORDER BY ord, sym) AS rn FROM per)
     SELECT ws, src, dst, string_agg(sym, '|' ORDER BY rn) FILTER (WHERE rn <= 3) AS shown,
-      CASE WHEN count(*) > 3 THEN string_agg(sym, '|' ORDER BY rn) FILTER (WHERE rn <= 8) END AS kept, greatest(count(*) - 3, 0) AS more
+      CASE WHEN count(*) > 3 THEN string_agg(sym, '|' ORDER BY rn) END AS kept, greatest(count(*) - 3, 0) AS more
     FROM r GROUP BY ws, src, dst""")
 def _(t):
     e = G.aggregate_edges(t.rel("nation_calls")).withColumn("e", X.symbol_evidence(c("syms"), c("symbols")))
@@ -201,8 +198,7 @@ def _(t):
 
 
 @query("jn_dependents", f"""WITH {_EDGES}
-    SELECT ws, dst AS id, src AS dependent, row_number() OVER (PARTITION BY ws, dst ORDER BY edge_ord, src) AS pos FROM edges
-    QUALIFY row_number() OVER (PARTITION BY ws, dst ORDER BY edge_ord, src) <= 40""")
+    SELECT ws, dst AS id, src AS dependent, row_number() OVER (PARTITION BY ws, dst ORDER BY edge_ord, src) AS pos FROM edges""")
 def _(t):
     return G.dependents(edges_of(t))
 
@@ -236,7 +232,7 @@ def _(t):
 @query("jn_validated_ids", """
     WITH s AS (SELECT ws, dst AS id, min(ord) AS ord FROM {calls} WHERE dst IN (SELECT 'm' || p_partkey FROM part WHERE p_type <> 'ECONOMY') GROUP BY ws, dst),
       r AS (SELECT ws, id, ord, row_number() OVER (PARTITION BY ws ORDER BY ord, id) AS pos FROM s)
-    SELECT * FROM r WHERE pos <= 25""")
+    SELECT * FROM r""")
 def _(t):
     known = t.table("part").where(c("p_type") != "ECONOMY").select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("pkg_id"))
     pk = t.rel("call_nodes").join(known, "pkg_id", "left_semi")
@@ -249,7 +245,7 @@ def _(t):
       a AS (SELECT pairs.ws, pair_id, ord, caller, callee, file, row_number() OVER (PARTITION BY pairs.ws, pair_id ORDER BY ord, callee) AS rn FROM pairs JOIN k ON k.ws = pairs.ws AND (k.caller = sym OR k.callee = sym)),
       b AS (SELECT pairs.ws, pair_id, ord, caller, callee, file, row_number() OVER (PARTITION BY pairs.ws, pair_id ORDER BY ord, callee) AS rn FROM pairs JOIN k ON k.ws = pairs.ws AND k.src = pairs.src
         WHERE (pairs.ws, pair_id) NOT IN (SELECT (ws, pair_id) FROM a))
-    SELECT ws, pair_id, ord, caller, callee, file, 'symbol' AS via FROM a WHERE rn <= 20 UNION ALL SELECT ws, pair_id, ord, caller, callee, file, 'package' FROM b WHERE rn <= 15""")
+    SELECT ws, pair_id, ord, caller, callee, file, 'symbol' AS via FROM a UNION ALL SELECT ws, pair_id, ord, caller, callee, file, 'package' FROM b""")
 def _(t):
     pkg = F.regexp_extract("from_file", r"^packages/([^/]+)/", 1)
     k = t.rel("source_calls").select("ws", c("call_ord").alias("ord"), pkg.alias("src"), "caller", "callee", c("from_file").alias("file"))
@@ -260,8 +256,7 @@ def _(t):
 
 @query("jn_edges_touching", f"""WITH {_EDGES}
     SELECT * FROM (SELECT ws, src, dst, edge_ord, row_number() OVER (PARTITION BY ws ORDER BY edge_ord, src, dst) AS rn FROM edges
-      WHERE src IN (SELECT 'm' || p_partkey FROM part WHERE p_size = 7) OR dst IN (SELECT 'm' || p_partkey FROM part WHERE p_size = 7)) r
-    WHERE rn <= 15""".replace("SELECT * FROM (SELECT", "SELECT ws, src, dst, edge_ord FROM (SELECT"))
+      WHERE src IN (SELECT 'm' || p_partkey FROM part WHERE p_size = 7) OR dst IN (SELECT 'm' || p_partkey FROM part WHERE p_size = 7)) r""".replace("SELECT * FROM (SELECT", "SELECT ws, src, dst, edge_ord FROM (SELECT"))
 def _(t):
     some = t.table("part").where(c("p_size") == 7).select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("id"))
     ids = t.rel("call_nodes").select("ws", c("pkg_id").alias("id")).join(some, "id", "left_semi")
@@ -279,7 +274,7 @@ def _(t):
 @query("jn_path_entities", """
     SELECT ws, pkg_id, name, kind FROM (SELECT e.ws, e.pkg_id, name, kind, row_number() OVER (PARTITION BY e.ws ORDER BY pkg_ord, e.pkg_id, ord) AS rn
       FROM {source_entities} e JOIN {source_packages} p ON p.ws = e.ws AND p.pkg_id = e.pkg_id
-      WHERE kind NOT IN ('field', 'method') AND e.pkg_id IN (SELECT 'n' || n_nationkey FROM nation)) WHERE rn <= 120""")
+      WHERE kind NOT IN ('field', 'method') AND e.pkg_id IN (SELECT 'n' || n_nationkey FROM nation))""")
 def _(t):
     n = t.table("nation").select(F.concat(F.lit("n"), c("n_nationkey").cast("string")).alias("src"))
     ws = F.array(*[F.lit(f"w{i}") for i in range(1, 6)])
@@ -326,7 +321,7 @@ def _(t):
 
 @query("win_batches", """
     SELECT ws, doc_id, (rn - 1) // 40 AS batch FROM (SELECT source AS ws, d.doc_id, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) AS rn
-      FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)) WHERE rn <= 80""")
+      FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels))""")
 def _(t):
     missing = t.table("documents").select(c("source").alias("ws"), "doc_id").join(t.table("labels").select("doc_id"), "doc_id", "left_anti")
     return R.batches(missing, ["ws"], ["doc_id"]).select("ws", "doc_id", "batch")
@@ -338,15 +333,15 @@ def _(t):
       FROM {sources} WHERE language = 'java') WHERE pos <= 24""")
 def _(t):
     files = t.rel("sources").where(c("language") == "java").select("ws", c("pkg_id").alias("node"), "path")
-    return scan_budget(files)
+    return scan_budget(files, 24)
 
 
 @query("win_natural_order", """
     WITH x AS (SELECT ws, replace(name, 'draw-', '') AS id FROM {ledger}), n AS (SELECT ws, id, TRY_CAST(nullif(regexp_extract(id, '^dynamic-([0-9]+)$', 1), '') AS BIGINT) AS num FROM x)
-    SELECT ws, id, pos FROM (SELECT ws, id, row_number() OVER (PARTITION BY ws ORDER BY num IS NULL, num, id) AS pos FROM n) WHERE pos <= 200""")
+    SELECT ws, id, pos FROM (SELECT ws, id, row_number() OVER (PARTITION BY ws ORDER BY num IS NULL, num, id) AS pos FROM n)""")
 def _(t):
     x = t.rel("ledger").select("ws", F.regexp_replace("name", "^draw-", "").alias("id"))
-    return R.top_n(x, ["ws"], [R.natural_key(c("id"))], 200, rank="pos")
+    return R.top_n(x, ["ws"], [R.natural_key(c("id"))], None, rank="pos")
 
 
 @query("win_precedence_merge", """
@@ -359,7 +354,7 @@ def _(t):
 
 
 @query("win_dedupe_keep_n", """
-    WITH q AS (SELECT conv_id, turn, role, string_split(text, chr(10))[1][1:100] AS head FROM conversations),
+    WITH q AS (SELECT conv_id, turn, role, string_split(text, chr(10))[1] AS head FROM conversations),
       s AS (SELECT conv_id, role, head, min(turn) AS turn FROM q GROUP BY ALL)
     SELECT role, conv_id, turn, head FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) <= 3""")
 def _(t):
@@ -421,7 +416,7 @@ def _(t):
 
 @query("gr_bfs_levels", f"""WITH RECURSIVE {_EDGES}, {_DEGREES},
       walk(ws, id, depth) AS (SELECT ws, id, 0 FROM deg WHERE cited_by = 0 AND cites >= 2
-        UNION SELECT e.ws, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.ws = w.ws AND e.src = w.id WHERE w.depth < 12)
+        UNION SELECT e.ws, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.ws = w.ws AND e.src = w.id WHERE w.depth < 40)
     SELECT ws, id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ws, id""")
 def _(t):
     return G.bfs_depths(edges_of(t), seeds_of(t))
@@ -447,7 +442,7 @@ def _(t):
 
 @query("gr_ref_edges", f"""WITH {_EDGES}
     SELECT ws, src, dst, msg_ord FROM (SELECT e.ws, src, dst, row_number() OVER (PARTITION BY e.ws ORDER BY pkg_ord, src, edge_ord, dst) AS msg_ord
-      FROM edges e JOIN {{call_nodes}} n ON n.ws = e.ws AND n.pkg_id = src) WHERE msg_ord <= 24""".replace("{{call_nodes}}", "{call_nodes}"))
+      FROM edges e JOIN {{call_nodes}} n ON n.ws = e.ws AND n.pkg_id = src)""".replace("{{call_nodes}}", "{call_nodes}"))
 def _(t):
     return G.reference_messages(edges_of(t), t.rel("call_nodes")).select("ws", "src", "dst", "msg_ord")
 
@@ -471,7 +466,7 @@ def _(t):
 @query("gr_core_tiers", f"""
     WITH {_EDGES}, small AS (SELECT ws FROM {{call_nodes}} GROUP BY ws HAVING count(*) < 4),
       seen AS (SELECT ws, dst AS id, min(ord) AS ord FROM {{calls}} WHERE ws LIKE 'A%' GROUP BY ALL),
-      prop AS (SELECT ws, id FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY ord, id) AS rn FROM seen) WHERE rn <= 25),
+      prop AS (SELECT ws, id FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY ord, id) AS rn FROM seen)),
       big AS (SELECT ws FROM prop GROUP BY ws HAVING count(*) >= 4),
       seed AS (SELECT ws, pkg_id AS id FROM {{call_nodes}} WHERE pkg_id IN (SELECT 'm' || p_partkey FROM part WHERE p_type = 'PROMO')),
       near AS (SELECT ws, id FROM seed UNION SELECT e.ws, dst FROM edges e JOIN seed s ON s.ws = e.ws AND s.id = src UNION SELECT e.ws, src FROM edges e JOIN seed s ON s.ws = e.ws AND s.id = dst)

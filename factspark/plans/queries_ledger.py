@@ -18,7 +18,7 @@ c = F.col
 
 _DIFF = """diff AS (SELECT coalesce(b.ws, a.ws) AS ws, coalesce(b.path, a.path) AS path,
       CASE WHEN a.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' WHEN a.version = b.version THEN 'unchanged'
-        WHEN a.size <= 2097152 AND md5(a.content) = b.md5 THEN 'touched' ELSE 'modified' END AS change,
+        WHEN md5(a.content) = b.md5 THEN 'touched' ELSE 'modified' END AS change,
       a.version, md5(a.content) AS new_md5, b.md5 AS old_md5, a.size AS new_size, b.size AS old_size
     FROM {files_before} b FULL JOIN {files_after} a ON a.ws = b.ws AND a.path = b.path)"""
 

@@ -12,7 +12,6 @@ from factspark.functions.rows import exploded, inlined
 from factspark.operators import extract as E
 from factspark.operators import ranking as R
 from factspark.plans.registry import query
-from factspark.session import spread
 
 c = F.col
 
@@ -31,8 +30,7 @@ def _(t):
 @query("src_collect_cap", """
     SELECT ws, pkg_id, path FROM (
       SELECT ws, pkg_id, path, octet_length(encode(content)) AS size, row_number() OVER (PARTITION BY ws, pkg_id ORDER BY path) AS rn FROM {sources}
-      WHERE regexp_matches(path, '[.](ts|tsx|py|java)$') AND NOT contains(path, '/dist/'))
-    WHERE rn <= 400 AND size <= 262144""")
+      WHERE regexp_matches(path, '[.](ts|tsx|py|java)$') AND NOT contains(path, '/dist/'))""")
 def _(t):
     files = t.rel("sources").withColumn("size", F.octet_length("content")).drop("content")
     return E.collected_sources(files).select("ws", "pkg_id", "path")
@@ -137,7 +135,7 @@ def _(t):
     SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, chr(9) || chr(13) || ' ')),
       lambda l: l <> '' AND NOT regexp_matches(l, '^(#|<!--|```)'))[1], 1, 220), '') AS paragraph FROM documents""")
 def _(t):
-    return t.wide("documents").select("doc_id", X.first_paragraph(c("text")).alias("paragraph"))
+    return t.table("documents").select("doc_id", X.first_paragraph(c("text")).alias("paragraph"))
 
 
 @query("str_locale_key", """
@@ -173,21 +171,21 @@ def _(t):
       lambda w: NOT lower(w) IN ('the','and','for','with','from','into','call','calls','via','using','this','that')))), '|') AS symbols
     FROM documents""".replace("{{2,}}", "{{2,}}"))
 def _(t):
-    return t.wide("documents").select("doc_id", F.array_join(F.array_sort(X.symbols_in(c("text"))), "|").alias("symbols"))
+    return t.table("documents").select("doc_id", F.array_join(F.array_sort(X.symbols_in(c("text"))), "|").alias("symbols"))
 
 
 @query("usage_tokens", r"""
     SELECT doc_id, (3 * a + 8 * (n - a) + 11) // 12 AS tokens
     FROM (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS a FROM documents)""")
 def _(t):
-    return t.wide("documents").select("doc_id", X.token_estimate(c("text")).alias("tokens"))
+    return t.table("documents").select("doc_id", X.token_estimate(c("text")).alias("tokens"))
 
 
 @query("str_djb2", """
     SELECT doc_id, lower(to_base(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(source || '|' || lang || '|' || text, ''),
       lambda ch: CAST(unicode(ch) AS BIGINT))), lambda h, ch: (h * 33 + ch) % 4294967296), 36)) AS hash FROM documents""")
 def _(t):
-    return t.wide("documents").select("doc_id", X.djb2_base36(F.concat("source", F.lit("|"), "lang", F.lit("|"), "text")).alias("hash"))
+    return t.table("documents").select("doc_id", X.djb2_base36(F.concat("source", F.lit("|"), "lang", F.lit("|"), "text")).alias("hash"))
 
 
 @query("str_target_key", """
@@ -243,7 +241,7 @@ def headed_text():
 
 
 def headed_docs(t):
-    return spread(t.rel("headed")).select("ws", "doc", "doc_id", headed_text().alias("text"))
+    return t.rel("headed").select("ws", "doc", "doc_id", headed_text().alias("text"))
 
 
 _HEADS = f"""
@@ -320,7 +318,7 @@ def _(t):
         .otherwise(F.concat(F.lit("```text\na -> "), lang, F.lit("\n```\n")))
     calm = F.replace(F.replace(c("text"), F.lit("`"), F.lit("'")), F.lit("#"), F.lit("."))
     text = F.concat(calm, F.lit("\n"), lead, calm, F.lit("\n"), block, calm)
-    docs = t.wide("documents").select("doc_id", text.alias("text"))
+    docs = t.table("documents").select("doc_id", text.alias("text"))
     return M.with_flow_block(docs, "text", "b").select("doc_id", "b.*")
 
 
@@ -333,7 +331,7 @@ def _(t):
     text = F.concat(F.lit("intro x -> y: not in the diagram\n```mermaid\nsequenceDiagram\nparticipant P as Payer "), a,
                     F.lit("\nNote over P: hi\nP->>"), b, F.lit(": pay "), c("o_orderstatus"), F.lit("\nP->>P: self\n1. "), b,
                     F.lit(" --> P\nend\n```\n"))
-    docs = t.wide("orders").select("o_orderkey", text.alias("text"))
+    docs = t.table("orders").select("o_orderkey", text.alias("text"))
     return inlined(M.with_messages(docs, "text"), ["o_orderkey"], "messages", "src")
 
 
@@ -347,7 +345,7 @@ def _(t):
     stage = F.concat(F.lit("Pay "), (c("o_custkey") % 40).cast("string"))
     source = F.concat(F.lit('flowchart TD\nsubgraph "'), stage, F.lit('"\na1 --> b'), b,
                       F.lit("\nsubgraph inner\nc1 --> d1\nend\nend\nsubgraph Rest\nx1 --> y1\nend\nd1 ==> z9\n"))
-    d = t.wide("orders").select("o_orderkey", source.alias("s"), stage.alias("stage")) \
+    d = t.table("orders").select("o_orderkey", source.alias("s"), stage.alias("stage")) \
         .withColumn("block", M.subgraph_block(c("s"), c("stage")))
     ids = M.block_node_ids(c("block"))
     return d.select("o_orderkey", "block", F.array_join(M.subgraph_titles(c("s")), "|").alias("titles"),

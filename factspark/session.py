@@ -55,13 +55,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     finally:
         held.unpersist()
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split rows over all cores when their source has fewer splits than that.
-
-    For steps that cost far more than moving the rows (parsing, Python).  A source
-    with enough splits, which is every large one, is returned as it is.  Meant for
-    scans: counting the splits of a DataFrame that shuffles would run its shuffles.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
