@@ -120,6 +120,11 @@ def sweep(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("v").isNotNull() | F.col("kind").isin(ASSET_KINDS + SYSTEM_KINDS))
 
 
+def swept(ledger: DataFrame) -> DataFrame:
+    """The leftovers that ``sweep`` drops."""
+    return ledger.where(F.col("v").isNull() & ~F.col("kind").isin(ASSET_KINDS + SYSTEM_KINDS)).select("ws", "name")
+
+
 def figure_deps(kind: Column, source: Column, endpoints: Column, parties: Column, ids: Column, keys: Column) -> Column:
     """Packages an artifact depends on, by kind; NULL = all of them."""
     everything = F.lit(None).cast("array<string>")

@@ -63,28 +63,39 @@ def first_answers(events: DataFrame, life_seconds: int = 1800, key: str = "sessi
             .drop("_b", "_us", "_ans", "_same", "_next", "kind"))
 
 
-def running_total(df: DataFrame, key: str, ts: str, amount: str, out: str,
-                  bucket_seconds: int = 86400) -> DataFrame:
-    """Inclusive running sum per key in two levels: inside a bucket, then over buckets."""
-    bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / bucket_seconds).cast("long")
-    cut = df.withColumn("_b", bucket)
-    inside = Window.partitionBy(key, "_b").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("_part", F.sum(amount).over(inside))
-    carry = (cut.groupBy(key, "_b").agg(F.sum(amount).alias("_sum"))
-             .withColumn("_before", F.coalesce(F.sum("_sum").over(
-                 Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .drop("_sum"))
-    return (local.join(carry, [key, "_b"]).withColumn(out, F.col("_part") + F.col("_before"))
-            .drop("_b", "_part", "_before"))
-
+COUNTERS = ["uncached", "cache_read", "cache_write", "output"]
 
-def counter_delta(matches: DataFrame, counters: DataFrame, key: str = "session", counter: str = "total") -> DataFrame:
-    """Usage between request and answer: counter at the answer minus at the request.
 
-    Negative differences count as zero and rows without usage are dropped.
+def running_total(df: DataFrame, key: str, ts: str, amounts: str | list[str], out: str | list[str],
+                  bucket_seconds: int = 86400) -> DataFrame:
+    """Inclusive running sums, one row per key and time, in two levels: inside a bucket, then over buckets."""
+    amounts, out = ([amounts], [out]) if isinstance(amounts, str) else (amounts, out)
+    bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / bucket_seconds).cast("long")
+    # Events of one time count together, so that their order does not matter.
+    cut = df.groupBy(key, ts).agg(*[F.sum(a).alias(a) for a in amounts]).withColumn("_b", bucket)
+    inside = Window.partitionBy(key, "_b").orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumns({f"_part_{a}": F.sum(a).over(inside) for a in amounts})
+    carry = cut.groupBy(key, "_b").agg(*[F.sum(a).alias(f"_sum_{a}") for a in amounts])
+    carry = carry.select(key, "_b", *[F.coalesce(F.sum(f"_sum_{a}").over(before), F.lit(0)).alias(f"_before_{a}") for a in amounts])
+    both = local.join(carry, [key, "_b"])
+    return both.select(key, ts, *[(F.col(f"_part_{a}") + F.col(f"_before_{a}")).alias(o) for a, o in zip(amounts, out)])
+
+
+def counter_delta(matches: DataFrame, counters: DataFrame, key: str = "session", names: list[str] | None = None) -> DataFrame:
+    """Usage between request and answer: each counter at the answer minus at the request.
+
+    ``counters(key, ts, ...)`` may repeat a time; the largest value of each counter then holds.  Negative
+    differences count as zero; rows whose differences are all zero are dropped.  With the four
+    ``COUNTERS`` the result also has ``input``: uncached, cache reads and cache writes together.
     """
-    at = counters.select(key, F.col("ts").alias("_at"), F.col(counter).alias("_value"))
-    first = matches.join(at.withColumnRenamed("_at", "ts").withColumnRenamed("_value", "_start"), [key, "ts"])
-    both = first.join(at.withColumnRenamed("_at", "answer_ts").withColumnRenamed("_value", "_end"), [key, "answer_ts"])
-    return (both.withColumn("delta", F.greatest(F.lit(0), F.col("_end") - F.col("_start")))
-            .where(F.col("delta") != 0).drop("_start", "_end"))
+    names = names or COUNTERS
+    at = counters.groupBy(key, F.col("ts").alias("_at")).agg(*[F.max(n).alias(n) for n in names])
+    first = at.select(key, F.col("_at").alias("ts"), *[F.col(n).alias(f"_start_{n}") for n in names])
+    last = at.select(key, F.col("_at").alias("answer_ts"), *[F.col(n).alias(f"_end_{n}") for n in names])
+    both = matches.join(first, [key, "ts"]).join(last, [key, "answer_ts"])
+    deltas = {f"delta_{n}": F.greatest(F.lit(0), F.col(f"_end_{n}") - F.col(f"_start_{n}")) for n in names}
+    out = both.withColumns(deltas).where(F.greatest(*[F.col(d) for d in deltas], F.lit(0)) > 0)
+    if set(COUNTERS) <= set(names):
+        out = out.withColumn("input", F.col("delta_uncached") + F.col("delta_cache_read") + F.col("delta_cache_write"))
+    return out.drop(*[f"_start_{n}" for n in names], *[f"_end_{n}" for n in names])

@@ -123,15 +123,21 @@ def _(t):
     return U.first_answers(t.rel("session_events").select("session", "event_id", "ts", "kind"))
 
 
+_RUN = ", ".join(f"sum(CASE WHEN event_id % 4 = {k} THEN cents ELSE 0 END) OVER (PARTITION BY session ORDER BY ts RANGE UNBOUNDED PRECEDING) AS c{k}" for k in range(4))
+_GAIN = "greatest(0, b.c{0} - a.c{0})"
+
+
 @query("jn_asof_delta", f"""
-    WITH {_ANSWERED}, k AS (SELECT session, ts, sum(cents) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM {{session_events}})
-    SELECT r.session, r.event_id, CAST(greatest(0, b.total - a.total) AS BIGINT) AS delta FROM r JOIN k a ON a.session = r.session AND a.ts = r.ts
-      JOIN k b ON b.session = r.session AND b.ts = r.answer_ts WHERE answer_ts IS NOT NULL AND b.total > a.total""")
+    WITH {_ANSWERED}, k AS (SELECT DISTINCT session, ts, {_RUN} FROM {{session_events}})
+    SELECT r.session, r.event_id, CAST({" + ".join(_GAIN.format(k) for k in range(3))} AS BIGINT) AS input, CAST({_GAIN.format(3)} AS BIGINT) AS output
+    FROM r JOIN k a ON a.session = r.session AND a.ts = r.ts JOIN k b ON b.session = r.session AND b.ts = r.answer_ts
+    WHERE answer_ts IS NOT NULL AND ({" OR ".join(f"b.c{k} > a.c{k}" for k in range(4))})""")
 def _(t):
     e = t.rel("session_events")
-    totals = U.running_total(e, "session", "ts", "cents", "total").select("session", "ts", "total")
+    split = e.select("session", "ts", *[F.when(c("event_id") % 4 == k, c("cents")).otherwise(0).alias(n) for k, n in enumerate(U.COUNTERS)])
+    totals = U.running_total(split, "session", "ts", U.COUNTERS, U.COUNTERS)
     matched = U.first_answers(e.select("session", "event_id", "ts", "kind"))
-    return U.counter_delta(matched, totals).select("session", "event_id", c("delta").cast("long").alias("delta"))
+    return U.counter_delta(matched, totals).select("session", "event_id", c("input").cast("long").alias("input"), c("delta_output").cast("long").alias("output"))
 
 
 # -------------------------------------------------------------------- ledger

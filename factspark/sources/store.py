@@ -7,6 +7,8 @@ previous snapshot current.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +18,24 @@ from factspark.operators.artifacts import writable
 SNAPSHOT = "ws string, path string, version string, size long, md5 string"
 POINTER = "ws string, snapshot_id long"
 LEDGER = ("ws string, name string, kind string, lang string, v long, deps array<string>, requires array<string>, "
-          "payload string, written_at long")
+          "payload string, written_at long, seq long, gone boolean, keys_only boolean")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A store's table; empty while the store does not exist.  Any other fault is an error."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+def _order(spark: SparkSession) -> int:
+    """Later writes get larger numbers, whatever version they carry."""
+    return time.time_ns()
+
+
 def load_snapshot(spark: SparkSession, store: str) -> DataFrame:
     """Current snapshot of every workspace; empty where none was committed."""
     newest = _read(spark, f"{store}/pointers", POINTER).groupBy("ws").agg(F.max("snapshot_id").alias("snapshot_id"))
@@ -47,16 +57,30 @@ def commit_snapshot(workspaces: DataFrame, store: str, snapshot_id: int) -> None
 
 def append_artifacts(rows: DataFrame, store: str, at: int) -> None:
     """Append artifacts of a known version; rows of version 0 are left out."""
-    (writable(rows).withColumn("written_at", F.lit(at).cast("long"))
-     .select("ws", "name", "kind", "lang", "v", "deps", "requires", "payload", "written_at")
-     .write.mode("append").parquet(f"{store}/ledger"))
+    _append(writable(rows), store, at, gone=F.lit(False), keys_only=F.lit(False))
 
 
 def append_states(rows: DataFrame, store: str, at: int) -> None:
-    """Append the outcome of an invalidation, tombstones included."""
-    (rows.withColumn("written_at", F.lit(at).cast("long"))
-     .select("ws", "name", "kind", "lang", "v", "deps", "requires", "payload", "written_at")
-     .write.mode("append").parquet(f"{store}/ledger"))
+    """Append the outcome of an invalidation: what changed, tombstones included, without payloads.
+
+    ``rows`` have the ``action`` that ``invalidate`` names; rows that were kept are not written again, a
+    restamped row only carries its new version.
+    """
+    moved = rows.where(F.col("action") != "kept").withColumn("payload", F.lit(None).cast("string"))
+    _append(moved, store, at, gone=F.lit(False), keys_only=F.col("action") == "restamped")
+
+
+def remove_artifacts(rows: DataFrame, store: str, at: int) -> None:
+    """Append removals: the artifacts ``rows(ws, name)`` are no longer listed."""
+    none = {c: F.lit(None).cast(t) for c, t in (("kind", "string"), ("lang", "string"), ("v", "long"), ("deps", "array<string>"),
+                                                ("requires", "array<string>"), ("payload", "string"))}
+    _append(rows.select("ws", "name").withColumns(none), store, at, gone=F.lit(True), keys_only=F.lit(False))
+
+
+def _append(rows: DataFrame, store: str, at: int, gone, keys_only) -> None:
+    stamped = rows.withColumns({"gone": gone, "keys_only": keys_only, "written_at": F.lit(at).cast("long"),
+                                "seq": F.lit(_order(rows.sparkSession)).cast("long")})
+    stamped.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("append").parquet(f"{store}/ledger")
 
 
 def load_ledger(spark: SparkSession, store: str, history: bool = False) -> DataFrame:
@@ -64,13 +88,18 @@ def load_ledger(spark: SparkSession, store: str, history: bool = False) -> DataF
     rows = _read(spark, f"{store}/ledger", LEDGER)
     if history:
         return rows
-    cols = [c for c in rows.columns if c not in ("ws", "name")]
-    newest = rows.groupBy("ws", "name").agg(F.max_by(F.struct(*cols), "written_at").alias("r"))
-    return newest.select("ws", "name", "r.*").drop("written_at")
+    # Keys are resolved first; a payload moves once, from the write that the newest state goes back to.
+    key = F.struct("written_at", "seq")
+    facts = ["kind", "lang", "v", "deps", "requires", "gone", "keys_only"]
+    newest = rows.groupBy("ws", "name").agg(F.max_by(F.struct(*facts), key).alias("r"),
+                                            F.max(F.when(~F.col("keys_only"), key)).alias("body"))
+    newest = newest.where(~F.col("r.gone")).select("ws", "name", "r.*", F.col("body.written_at").alias("_at"), F.col("body.seq").alias("_seq"))
+    bodies = rows.where(~F.col("keys_only")).select("ws", "name", F.col("written_at").alias("_at"), F.col("seq").alias("_seq"), "payload")
+    return newest.join(bodies, ["ws", "name", "_at", "_seq"], "left").select("ws", "name", "kind", "lang", "v", "deps", "requires", "payload")
 
 
 def append_usage(calls: DataFrame, store: str) -> None:
-    calls.write.mode("append").partitionBy("ws").parquet(f"{store}/usage")
+    calls.write.mode("append").parquet(f"{store}/usage")
 
 
 def load_usage(spark: SparkSession, store: str, schema: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -151,6 +153,44 @@ def test_owner_is_deepest_directory(spark):
     assert tuples(S.owners_by_dir(files, nodes).select("path", "owner").na.fill("-")) == [("a/b/c/x", "inner"), ("a/z", "outer"), ("q", "-")]
 
 
+def test_rebuild_after_rescan_and_vanished_workspace(spark, tmp_path):
+    folder = str(tmp_path)
+    files = [("w", "packages/a/x.ts", "1", 3, "one"), ("v", "packages/b/y.ts", "1", 3, "two")]
+    ids = spark.createDataFrame([("w", "a"), ("v", "b")], "ws string, id string")
+    rescan(spark.createDataFrame(files, FILES), ids.limit(0), ids, folder, 100)
+    row = lambda name, v, payload: ("w", name, "core", "en", v, ["a"], None, payload)
+    store.append_artifacts(spark.createDataFrame([row("core-1", 100, "old")], LEDGER), folder, 100)
+    left = spark.createDataFrame([("w", "left", "core", "en", None, ["a"], None, "legacy")], LEDGER)
+    store._append(left, folder, 100, F.lit(False), F.lit(False))
+    changed = spark.createDataFrame([("w", "packages/a/x.ts", "2", 3, "new")], FILES)
+    out = rescan(changed, ids, ids, folder, 200)
+    assert {(r.ws, r.change) for r in out["diff"].collect()} == {("w", "modified"), ("v", "removed")}
+    assert {r.name: r.v for r in store.load_ledger(spark, folder).collect()} == {"core-1": 0}  # the legacy row is gone
+    store.append_artifacts(spark.createDataFrame([row("core-1", 200, "new")], LEDGER), folder, 200)
+    assert tuples(store.load_ledger(spark, folder).select("name", "v", "payload")) == [("core-1", 200, "new")]
+    assert {r.ws for r in store.load_snapshot(spark, folder).collect()} == {"w"}
+    again = rescan(changed, ids, ids, folder, 300)
+    assert {r.change for r in again["diff"].collect()} == {"unchanged"}
+
+
+def test_store_reports_other_faults(spark, tmp_path):
+    spark.range(2).selectExpr("'x' AS ws").write.parquet(f"{tmp_path}/usage/part=1")
+    spark.range(2).write.json(f"{tmp_path}/ledger")
+    with pytest.raises(Exception):
+        store.load_ledger(spark, str(tmp_path)).collect()
+    assert store.load_snapshot(spark, str(tmp_path)).count() == 0
+
+
+def test_read_workspaces_by_uri(spark, tmp_path):
+    deep = tmp_path / "w1" / str(tmp_path).strip("/") / "deep.ts"
+    for path in (tmp_path / "w1" / "a.ts", deep):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    want = [("w1", "a.ts"), ("w1", str(deep.relative_to(tmp_path / "w1")))]
+    for root in (f"file://{tmp_path}", f"file:{tmp_path}/", str(tmp_path)):
+        assert tuples(FS.read_workspaces(spark, root, ws_depth=1, names="*.ts").select("ws", "path")) == want
+
+
 def test_read_workspaces(spark, tmp_path):
     for rel in ("w1/src/a.ts", "w1/node_modules/b.ts", "w1/a.test.ts", "w2/README.md"):
         path = tmp_path / rel
@@ -382,6 +422,27 @@ def test_running_total_over_buckets(spark):
     assert got == list(itertools.accumulate(v for _, _, v in rows))
 
 
+def test_counter_delta_with_equal_times(spark):
+    at = spark.createDataFrame([("s", 1, 10, 0, 0, 5), ("s", 1, 4, 0, 0, 5), ("s", 2, 20, 3, 1, 5), ("s", 2, 12, 3, 0, 2), ("z", 1, 7, 0, 0, 0), ("z", 2, 3, 0, 0, 0)],
+                               "session string, ts long, uncached long, cache_read long, cache_write long, output long")
+    pairs = spark.createDataFrame([("s", 7, 1, 2), ("z", 8, 1, 2)], "session string, event_id long, ts long, answer_ts long")
+    assert tuples(U.counter_delta(pairs, at).select("session", "event_id", "input", "delta_uncached", "delta_output")) == [("s", 7, 14, 10, 0)]
+    rows = spark.createDataFrame([("k", 5, 1), ("k", 5, 2), ("k", 9, 4)], "k string, s long, v long").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r.total for r in U.running_total(rows, "k", "ts", "v", "total").orderBy("ts").collect()] == [3, 7]
+
+
+def test_whole_results_without_bounds(spark):
+    edges = spark.createDataFrame([("w", f"p{i}", "hub", i) for i in range(60)], "ws string, src string, dst string, edge_ord long")
+    assert [r.pos for r in G.dependents(edges).orderBy("pos").collect()] == list(range(1, 61))
+    assert [r.pos for r in G.dependents(edges, 40).orderBy("pos").collect()] == list(range(1, 41))
+    packages = spark.createDataFrame([("w", f"p{i}", i) for i in range(60)], "ws string, pkg_id string, pkg_ord long")
+    assert G.reference_messages(edges, packages).count() == 60 and G.reference_messages(edges, packages, 24).count() == 24
+    chain = spark.createDataFrame([("w", f"n{i}", f"n{i + 1}", i) for i in range(70)], "ws string, src string, dst string, edge_ord long")
+    start = spark.createDataFrame([("w", "n0")], "ws string, id string")
+    assert G.bfs_depths(chain, start).agg(F.max("depth")).first()[0] == 70
+    assert R.top_n(edges, ["ws"], [F.col("edge_ord").desc()], None, rank="at").where("src = 'p59'").first()["at"] == 1
+
+
 def test_natural_order_and_next_number(spark):
     df = spark.createDataFrame([("w", n) for n in ("dynamic-10", "dynamic-2", "zeta", "alpha")], "ws string, id string")
     assert [r.id for r in df.orderBy(R.natural_key(F.col("id"))).collect()] == ["dynamic-2", "dynamic-10", "alpha", "zeta"]
