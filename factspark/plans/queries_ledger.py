@@ -322,20 +322,22 @@ def _(t):
 
 # ------------------------------------------------------------------- streams
 
-def run_to_table(t, stream, mode: str = "append"):
+def run_to_table(t, stream):
     """Run a stream over everything there is and read what it wrote."""
     folder = t.work_dir()
-    writer = stream.writeStream.option("checkpointLocation", folder + "/state").trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        running = writer.format("parquet").option("path", folder + "/rows").start()
-    else:
-        def keep(rows, number):
-            rows.write.mode("overwrite").parquet(folder + "/rows")
-        running = writer.foreachBatch(keep).start()
-    running.awaitTermination()
+    writer = stream.writeStream.option("checkpointLocation", folder + "/state").trigger(availableNow=True).outputMode("append")
+    writer.format("parquet").option("path", folder + "/rows").start().awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(folder + "/rows")
 
 
+def updates_of(t, stream, keys):
+    """Run a stream of changed keys over everything there is and read the newest row of each."""
+    folder = t.work_dir()
+    ST.write_updates(stream, folder + "/rows", folder + "/state").awaitTermination()
+    schema = stream.schema.add("batch", "long")
+    return ST.latest(t.spark.read.schema(schema).parquet(folder + "/rows"), keys)
+
+
 def with_rocksdb(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -383,7 +385,7 @@ def _(t):
     s = t.stream("conversations").select(
         F.concat(F.lit("w"), c("conv_id").cast("string")).alias("ws"),
         F.when(said, "").otherwise(c("text")).alias("prompt"), F.when(said, c("text")).otherwise("").alias("output"))
-    return run_to_table(t, ST.running_usage(U.with_estimates(s)), "complete")
+    return updates_of(t, ST.running_usage(U.with_estimates(s)), ["ws"])
 
 
 @query("st_status_changes")
@@ -401,20 +403,21 @@ def _(t):
     s = t.stream("events").select(
         c("user_id").cast("string").alias("ws"), F.when(c("event_id") % 2 == 0, "figure").otherwise("docs").alias("kind"),
         c("ts").alias("at"), c("event_id").alias("seq"), F.when(c("event_type").isin("click", "view"), "enter").otherwise("exit").alias("what"))
-    return run_to_table(t, ST.active_operations(s), "complete").select("ws", "kind", "started_at")
+    return updates_of(t, ST.active_operations(s), ["ws", "kind"]).where(c("what") == "enter").select("ws", "kind", "started_at")
 
 
 @query("st_invalidate", """
-    SELECT ws, name FROM {ledger} l WHERE kind IN ('core', 'analysis') AND (deps_text IS NULL OR EXISTS (SELECT 1 FROM (SELECT DISTINCT 'w' || (1 + c_nationkey % 5) AS ws, 'n' || (c_custkey % 3) AS id FROM customer WHERE c_acctbal > 9000) g
+    SELECT ws, name FROM {ledger} l WHERE kind IN ('core', 'analysis') AND (deps_text IS NULL OR EXISTS (SELECT 1 FROM (SELECT DISTINCT 'w' || (1 + c_nationkey % 5) AS ws, 'n' || (c_custkey % 3) AS id FROM customer) g
       WHERE g.ws = l.ws AND list_contains(string_split(deps_text, ','), g.id))) AND v IS NOT NULL""")
 def _(t):
     """A change stream applied to the ledger in micro-batches."""
     folder = t.work_dir()
-    changes = t.stream("customer").where(c("c_acctbal") > 9000).select(
+    changes = t.stream("customer").select(
         F.concat(F.lit("w"), (1 + c("c_nationkey") % 5).cast("string")).alias("ws"), F.concat(F.lit("n"), (c("c_custkey") % 3).cast("string")).alias("id"))
     led = ledger_of(t).where(c("kind").isin("core", "analysis") & c("v").isNotNull())
 
     def apply(rows, number):
-        A.invalidate(led, rows, F.lit(2100)).where(c("action") == "invalidated").select("ws", "name").write.mode("append").parquet(folder + "/hits")
+        A.invalidate(led, rows, F.lit(2100)).write.mode("overwrite").parquet(f"{folder}/next/batch={number}")
     ST.invalidate_on_change(changes, apply, folder + "/state").awaitTermination()
-    return t.spark.read.schema("ws string, name string").parquet(folder + "/hits").distinct()
+    state = t.spark.read.schema("ws string, name string, action string").parquet(folder + "/next")
+    return state.where(c("action") == "invalidated").select("ws", "name").distinct()

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from factspark.functions.text import text_blocks, trimmed
 
 LIFE = "30 minutes"
+DAY_MS = 86_400_000
 
 
 def answer_events(events: DataFrame) -> DataFrame:
@@ -23,9 +24,9 @@ def answer_events(events: DataFrame) -> DataFrame:
 def matched_answers(requests: DataFrame, answers: DataFrame, key: str, life: str = LIFE) -> DataFrame:
     """Stream-stream join of each request with the answers inside its life.
 
-    Both sides carry watermarks, so the state is bounded by the life.  A request
-    is meant to be answered once; ``first_only`` in the sink or a downstream
-    minimum keeps the first.
+    Both sides carry watermarks, so the state is bounded by the life.  Where answers name their
+    request, use ``answered_requests``; here several answers of a session may fall into one life, and the
+    reader takes the first.
     """
     r = requests.withWatermark("ts", life).select(F.col(key).alias("r_key"), "request_id", F.col("ts").alias("request_ts"))
     a = answers.withWatermark("ts", life).select(F.col(key).alias("a_key"), F.col("ts").alias("answer_ts"))
@@ -34,22 +35,46 @@ def matched_answers(requests: DataFrame, answers: DataFrame, key: str, life: str
     return r.join(a, inside, "inner").select(F.col("r_key").alias(key), "request_id", "request_ts", "answer_ts")
 
 
+def answered_requests(requests: DataFrame, answers: DataFrame, life: str = LIFE) -> DataFrame:
+    """Each request with the answer that names it, once: ``(request_id, request_ts, answer_ts)``.
+
+    ``requests(request_id, ts)``, ``answers(request_id, ts)``.  A request id that comes again, and a second
+    answer, are dropped as long as the watermark remembers the first; a request without an answer leaves
+    the state after its life.
+    """
+    once = lambda d: d.withWatermark("ts", life).dropDuplicatesWithinWatermark(["request_id"])
+    r = once(requests).select(F.col("request_id").alias("r_id"), F.col("ts").alias("request_ts"))
+    a = once(answers).select(F.col("request_id").alias("a_id"), F.col("ts").alias("answer_ts"))
+    inside = (F.col("r_id") == F.col("a_id")) & (F.col("answer_ts") > F.col("request_ts")) & (
+        F.col("answer_ts") <= F.col("request_ts") + F.expr(f"INTERVAL {life}"))
+    return r.join(a, inside, "inner").select(F.col("r_id").alias("request_id"), "request_ts", "answer_ts")
+
+
 def running_usage(calls: DataFrame) -> DataFrame:
-    """Running totals per workspace, for update or complete mode."""
+    """Running totals per workspace; in update mode a batch sends the workspaces it touched."""
     return calls.groupBy("ws").agg(F.count("*").alias("calls"), F.sum("est_in").alias("est_in"), F.sum("est_out").alias("est_out"))
 
 
+def in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """A key's rows of one batch by time, without the columns that are not needed.
+
+    Their order decides, so they are held together: a few numbers an event.  Bound the batch
+    (``maxFilesPerTrigger``) to bound them.
+    """
+    return pd.concat([r[columns] for r in rows]).sort_values(columns[:2])
+
+
 class _PendingSlot(StatefulProcessor):
     """One pending request per session: a newer one replaces it, an answer takes it, time drops it."""
 
-    def __init__(self, life_ms: int):
-        self.life_ms = life_ms
+    def __init__(self, life_ms: int, keep_ms: int):
+        self.life_ms, self.keep_ms = life_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slot = handle.getValueState("slot", "request_id long, at long")
+        self.handle, self.slot = handle, handle.getValueState("slot", "request_id long, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        frame = in_order(rows, ["at", "event_id", "kind"])
         held = self.slot.get() if self.slot.exists() else None
         out = []
         for at, kind, event in zip(frame["at"], frame["kind"], frame["event_id"]):
@@ -63,8 +88,14 @@ class _PendingSlot(StatefulProcessor):
             self.slot.clear()
         else:
             self.slot.update((held[0], held[1]))
+            self.handle.registerTimer(held[1] + self.keep_ms)
         yield pd.DataFrame(out, columns=["session", "request_id", "request_at", "answer_at"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.slot.exists() and self.slot.get()[1] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.slot.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -72,14 +103,14 @@ class _PendingSlot(StatefulProcessor):
 class _StatusChanges(StatefulProcessor):
     """Emit a status when its sequence number moved and the last emission is old enough."""
 
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+    def __init__(self, gap_ms: int, keep_ms: int):
+        self.gap_ms, self.keep_ms = gap_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long, at long")
+        self.handle, self.last = handle, handle.getValueState("last", "seq long, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "seq"])
+        frame = in_order(rows, ["at", "seq"])
         seq, at = self.last.get() if self.last.exists() else (None, None)
         out = []
         for now, value in zip(frame["at"], frame["seq"]):
@@ -88,32 +119,63 @@ class _StatusChanges(StatefulProcessor):
                 out.append((key[0], seq, at))
         if seq is not None:
             self.last.update((seq, at))
+            self.handle.registerTimer(at + self.keep_ms)
         yield pd.DataFrame(out, columns=["ws", "seq", "at"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[1] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def pending_slots(events: DataFrame, life_ms: int = 1_800_000) -> DataFrame:
-    """``events(session, event_id, kind, at)`` to consumed requests, one slot per session."""
-    return events.groupBy("session").transformWithStateInPandas(
-        _PendingSlot(life_ms), "session string, request_id long, request_at long, answer_at long", "Append", "None")
+def timed(rows: DataFrame, late: str = LIFE) -> DataFrame:
+    """``rows`` with their milliseconds ``at`` as event time and a watermark on it."""
+    return rows.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", late)
 
 
-def status_changes(statuses: DataFrame, gap_ms: int = 150) -> DataFrame:
-    """``statuses(ws, seq, at)`` thinned to changes, at most one per gap and workspace."""
-    return statuses.groupBy("ws").transformWithStateInPandas(
-        _StatusChanges(gap_ms), "ws string, seq long, at long", "Append", "None")
+def pending_slots(events: DataFrame, life_ms: int = 1_800_000, keep_ms: int = DAY_MS) -> DataFrame:
+    """``events(session, event_id, kind, at)`` to consumed requests, one slot per session.
+
+    Events without a session share the slot ''.  A timer of event time forgets a request ``keep_ms`` old.
+    """
+    named = timed(events.withColumn("session", F.coalesce("session", F.lit(""))))
+    return named.groupBy("session").transformWithStateInPandas(
+        _PendingSlot(life_ms, keep_ms), "session string, request_id long, request_at long, answer_at long", "Append", "EventTime")
+
+
+def status_changes(statuses: DataFrame, gap_ms: int = 150, keep_ms: int = 7 * DAY_MS) -> DataFrame:
+    """``statuses(ws, seq, at)`` thinned to changes, at most one per gap and workspace.
+
+    A workspace silent for ``keep_ms`` is forgotten; its next status counts as a change.
+    """
+    return timed(statuses).groupBy("ws").transformWithStateInPandas(
+        _StatusChanges(gap_ms, keep_ms), "ws string, seq long, at long", "Append", "EventTime")
 
 
 def active_operations(marks: DataFrame) -> DataFrame:
     """Operations still running: the last mark per ``(ws, kind)`` is an entry.
 
     ``marks(ws, kind, at, seq, what)``; a plain aggregate, so the state is one row
-    per key.  Use complete or update mode.
+    per key.  In update mode a batch sends the keys it touched; ``what`` tells readers which have ended.
     """
     last = marks.groupBy("ws", "kind").agg(F.max(F.struct("at", "seq", "what")).alias("l"))
-    return last.select("ws", "kind", F.col("l.at").alias("started_at"), F.col("l.what").alias("what")).where(F.col("what") == "enter")
+    return last.select("ws", "kind", F.col("l.at").alias("started_at"), F.col("l.what").alias("what"))
+
+
+def write_updates(stream: DataFrame, folder: str, checkpoint: str):
+    """Start a query that writes each batch's changed keys into a folder of its own; a retried batch replaces it."""
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return stream.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key that ``write_updates`` wrote."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("l")).select(*keys, *[f"l.{c}" for c in rest])
 
 
 def invalidate_on_change(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
