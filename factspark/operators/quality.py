@@ -9,6 +9,7 @@ from factspark.functions import markdown as M
 from factspark.functions.rows import exploded
 from factspark.functions.text import trimmed
 from factspark.operators.ranking import first_of, top_n
+from factspark.session import cut_lineage
 
 # File suffixes that make a token a file reference.
 FILE_SUFFIXES = "ts|tsx|js|mjs|cjs|jsx|py|java|json|md|ya?ml|toml|go|rs|kt|swift|c|cpp|h|hpp"
@@ -143,7 +144,7 @@ def wrong_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
 def violation_report(docs: DataFrame, packages: DataFrame, files: DataFrame, edges: DataFrame,
                      cap: int | None = None) -> DataFrame:
     """All violations of each document, or the first ``cap`` in order, made distinct."""
-    found = claims(docs)
+    found = cut_lineage(claims(docs))  # written once, read by three checks; the prose is not in it
     rows = (unknown_files(found, files).unionByName(unknown_packages(found, packages))
             .unionByName(wrong_edges(found, edges)))
     kept = rows if cap is None else top_n(rows, ["ws", "doc"], ["ord"], cap)

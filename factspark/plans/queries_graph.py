@@ -11,6 +11,7 @@ from factspark.operators import ranking as R
 from factspark.operators import snapshot as S
 from factspark.operators.extract import scan_budget
 from factspark.plans.registry import query
+from factspark.session import cut_lineage
 
 c = F.col
 
@@ -24,6 +25,11 @@ def edges_of(t, relation: str = "calls"):
     return G.edge_set(t.rel(relation))
 
 
+def written_edges(t, relation: str = "calls"):
+    """The edge set for plans that read it several times: far smaller than the calls, so it is written once."""
+    return cut_lineage(edges_of(t, relation))
+
+
 # --------------------------------------------------------------- aggregation
 
 @query("agg_edges", """
@@ -250,6 +256,7 @@ def _(t):
     pkg = F.regexp_extract("from_file", r"^packages/([^/]+)/", 1)
     k = t.rel("source_calls").select("ws", c("call_ord").alias("ord"), pkg.alias("src"), "caller", "callee", c("from_file").alias("file"))
     label = F.when(F.startswith("callee", F.lit("b1")), F.lit("none")).otherwise(c("callee"))
+    k = cut_lineage(k)  # read by both kinds of evidence
     pairs = k.select("ws", F.concat("src", F.lit(">"), "callee").alias("pair_id"), "src", F.lit("zz").alias("dst"), F.array(label).alias("symbols")).distinct()
     return G.pair_evidence(pairs, k)
 
@@ -260,14 +267,14 @@ def _(t):
 def _(t):
     some = t.table("part").where(c("p_size") == 7).select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("id"))
     ids = t.rel("call_nodes").select("ws", c("pkg_id").alias("id")).join(some, "id", "left_semi")
-    return G.edges_touching(edges_of(t), ids)
+    return G.edges_touching(written_edges(t), ids)
 
 
 @query("jn_tier_fallback", """
     WITH a AS (SELECT DISTINCT ws, src, dst FROM {nation_calls} WHERE ws LIKE '%E%'), b AS (SELECT DISTINCT ws, src, dst FROM {nation_calls} WHERE src < dst)
     SELECT ws, src, dst, CAST(0 AS BIGINT) AS tier FROM a UNION ALL SELECT ws, src, dst, 1 FROM b WHERE ws NOT IN (SELECT ws FROM a)""")
 def _(t):
-    e = edges_of(t, "nation_calls").select("ws", "src", "dst")
+    e = written_edges(t, "nation_calls").select("ws", "src", "dst")
     return G.usable_tiers([e.where(c("ws").like("%E%")), e.where(c("src") < c("dst"))])
 
 
@@ -411,7 +418,9 @@ def seeds_of(t):
 def _(t):
     some = t.table("part").where(c("p_size") == 9).select(F.concat(F.lit("m"), c("p_partkey").cast("string")).alias("id"))
     ws = F.array(*[F.lit(a + b) for a in "ANR" for b in "FO"])
-    return G.neighbours(edges_of(t), some.select(F.explode(ws).alias("ws"), "id").join(t.rel("calls").select("ws").distinct(), "ws", "left_semi"))
+    edges = written_edges(t)
+    seeds = cut_lineage(some.select(F.explode(ws).alias("ws"), "id").join(edges.select("ws").distinct(), "ws", "left_semi"))
+    return G.neighbours(edges, seeds)
 
 
 @query("gr_bfs_levels", f"""WITH RECURSIVE {_EDGES}, {_DEGREES},
@@ -444,7 +453,7 @@ def _(t):
     SELECT ws, src, dst, msg_ord FROM (SELECT e.ws, src, dst, row_number() OVER (PARTITION BY e.ws ORDER BY pkg_ord, src, edge_ord, dst) AS msg_ord
       FROM edges e JOIN {{call_nodes}} n ON n.ws = e.ws AND n.pkg_id = src)""".replace("{{call_nodes}}", "{call_nodes}"))
 def _(t):
-    return G.reference_messages(edges_of(t), t.rel("call_nodes")).select("ws", "src", "dst", "msg_ord")
+    return G.reference_messages(written_edges(t), t.rel("call_nodes")).select("ws", "src", "dst", "msg_ord")
 
 
 @query("gr_node_meta", """
@@ -476,4 +485,4 @@ def _(t):
 def _(t):
     k = t.rel("calls")
     proposals = k.where(c("ws").like("A%")).select("ws", "ord", c("dst").alias("id"))
-    return G.core_tiers(t.rel("call_nodes"), proposals, edges_of(t), entries_of(t))
+    return G.core_tiers(cut_lineage(t.rel("call_nodes")), proposals, written_edges(t), cut_lineage(entries_of(t)))

@@ -11,6 +11,7 @@ from factspark.operators import snapshot as S
 from factspark.operators import usage as U
 from factspark.plans.registry import query
 from factspark.plans.rescan import rescan_state
+from factspark.session import cut_lineage
 from factspark.sources import store
 from factspark.streaming import jobs as ST
 
@@ -274,7 +275,7 @@ def _(t):
 def _(t):
     cu = t.table("customer").withColumn("ws", c("c_mktsegment"))
     s = lambda p, e: F.concat(F.lit(p), e.cast("string"))
-    messages = t.rel("nation_calls").where(c("ws").like("%U%")).select("ws", "src", "dst").distinct()
+    messages = cut_lineage(t.rel("nation_calls").where(c("ws").like("%U%")).select("ws", "src", "dst").distinct())
     events = cu.select("ws", F.array(s("n", c("c_nationkey"))).alias("producers"), F.array(s("x", c("c_custkey") % 9)).alias("consumers"))
     core = cu.where(c("ws") != "BUILDING").select("ws", s("n", c("c_custkey") % 5).alias("id"))
     return A.chapter_scopes(messages, events, core, cu.select("ws", s("e", c("c_custkey") % 11).alias("pkg_id")), cu.select("ws"))
