@@ -37,19 +37,33 @@ def ground_truth(nodes: DataFrame, packages: DataFrame, entities: DataFrame, cal
     return names, files, edges.select("ws", "src", "dst").distinct()
 
 
-def _deletions(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word)),
-                       lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+def _part(word: Column, length: Column, index: Column, shift: Column) -> Column:
+    """Key of the third ``index`` that a word of ``length`` has, read ``shift`` characters off in ``word``.
+
+    Null where the word ends before.  Words of one or two characters have a single, empty part.
+    """
+    third = F.floor(length / 3).cast("int")
+    size = F.when(length < 3, 0).when(index == 2, length - 2 * third).otherwise(third)
+    start = index * third + shift
+    inside = (start >= 0) & (start + size <= F.length(word)) & ((length >= 3) | ((index == 0) & (shift == 0)))
+    return F.when(inside, F.xxhash64(length, index, F.substring(word, start + 1, size)))
+
+
+def _own_parts(word: Column) -> Column:
+    thirds = F.array(*[F.lit(i) for i in range(3)])
+    return F.filter(F.transform(thirds, lambda i: _part(word, F.length(word), i, F.lit(0))), lambda k: k.isNotNull())
 
 
-def _signatures(word: Column) -> Column:
-    """Hashes of a word and of all its forms with one or two characters left out.
+def _near_parts(word: Column) -> Column:
+    """Keys of all thirds that words within edit distance two of ``word`` may have kept: 75 at most.
 
-    Two words within edit distance two always share one of these forms.
+    Two edits touch two of three parts; the third stands at most two characters off.
     """
-    once = F.when(F.length(word) > 0, _deletions(word)).otherwise(F.array().cast("array<string>"))
-    twice = F.flatten(F.transform(F.filter(once, lambda w: F.length(w) > 0), _deletions))
-    return F.array_distinct(F.transform(F.concat(F.array(word), once, twice), lambda w: F.xxhash64(w)))
+    near = F.array(*[F.lit(i) for i in range(-2, 3)])
+    thirds = F.array(*[F.lit(i) for i in range(3)])
+    keys = F.flatten(F.flatten(F.transform(near, lambda d: F.transform(thirds, lambda i: F.transform(
+        near, lambda shift: F.when(F.length(word) + d > 0, _part(word, F.length(word) + d, i, shift)))))))
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 
 
 def _prefixes(word: Column) -> Column:
@@ -61,8 +75,8 @@ def nearest_known(tokens: DataFrame, known: DataFrame) -> DataFrame:
 
     ``known(ws, name, ord)``.  The first known value that equals, starts or
     continues the token wins; otherwise the smallest edit distance up to two,
-    the earlier one on a tie.  Both rules are equi-joins (prefixes, deletion
-    forms), so tokens are never compared with all known values.
+    the earlier one on a tie.  Both rules are equi-joins (prefixes, thirds of
+    words), so tokens are never compared with all known values.
     """
     asked = tokens.select("ws", "token").where(F.length("token") > 0).distinct()
     names = known.where(F.length("name") > 0).groupBy("ws", "name").agg(F.min("ord").alias("ord"))
@@ -74,8 +88,8 @@ def nearest_known(tokens: DataFrame, known: DataFrame) -> DataFrame:
                 .join(names, ["ws", "name"]).groupBy("ws", "token").agg(F.min(entry).alias("_k")))
     by_prefix = continued.union(extended).groupBy("ws", "token").agg(F.min("_k").alias("_k"))
     rest = asked.join(by_prefix, ["ws", "token"], "left_anti")
-    left = exploded(rest, ["ws", "token"], _signatures(F.col("token")), "_s")
-    right = exploded(names, ["ws", "name", "ord"], _signatures(F.col("name")), "_s")
+    left = exploded(rest, ["ws", "token"], _near_parts(F.col("token")), "_s")
+    right = exploded(names, ["ws", "name", "ord"], _own_parts(F.col("name")), "_s")
     pairs = left.join(right, ["ws", "_s"]).select("ws", "token", "name", "ord").distinct()
     distance = F.levenshtein(F.col("token"), F.col("name"), 2)
     by_distance = (pairs.withColumn("_d", distance).where(F.col("_d") >= 0)

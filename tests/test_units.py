@@ -350,15 +350,15 @@ def test_nearest_equals_brute_force(spark):
 
 
 def test_report(spark):
-    text = ("`@app/auth-crue` `src/a.ts` `./src/A.ts` `src/none.ts` `plain`\n```\n`src/fenced.ts`\n```\n"
+    text = ("`@acme/ledger-mian` `src/a.ts` `./src/A.ts` `src/none.ts` `plain`\n```\n`src/fenced.ts`\n```\n"
             "| 调用方 | 被调用方 |\n| --- | --- |\n| a | b |\n| b | a |\n| a | z |\n")
     docs = spark.createDataFrame([("w", "d", text)], "ws string, doc string, text string")
-    packages = spark.createDataFrame([("w", "@app/auth-core", 0)], "ws string, name string, ord long")
+    packages = spark.createDataFrame([("w", "@acme/ledger-main", 0)], "ws string, name string, ord long")
     files = spark.createDataFrame([("w", "src/a.ts")], "ws string, path string")
     edges = spark.createDataFrame([("w", "a", "b")], "ws string, src string, dst string")
     out = Q.violation_report(docs, packages, files, edges).orderBy("ord").select("kind", "token", "reason", "suggestion").collect()
     assert [tuple(r) for r in out] == [
-        ("package", "@app/auth-crue", "unknown package", "@app/auth-core"), ("file", "src/none.ts", "unknown file", None),
+        ("package", "@acme/ledger-mian", "unknown package", "@acme/ledger-main"), ("file", "src/none.ts", "unknown file", None),
         ("edge", "b → a", "reversed", "a → b"), ("edge", "a → z", "absent", None)]
 
 
