@@ -48,7 +48,7 @@ def _closing(text: str, start: int) -> int:
     return -1
 
 
-def _find_object(answer: str | None, wanted: str, max_starts: int) -> str | None:
+def _find_object(answer: str | None, wanted: str, max_starts: int | None) -> str | None:
     if answer is None:
         return None
     fenced = re.findall(r"```(?:json)?\s*\n([\s\S]*?)```", answer)
@@ -64,7 +64,7 @@ def _find_object(answer: str | None, wanted: str, max_starts: int) -> str | None
     return None
 
 
-def balanced_object(max_starts: int = 256):
+def balanced_object(max_starts: int | None = None):
     """Pandas UDF ``(answer, wanted_id) -> JSON text`` of the object that carries the id.
 
     Brace balancing is a stateful scan, so it is the one text function here that
@@ -77,40 +77,48 @@ def balanced_object(max_starts: int = 256):
     return find
 
 
-def clean_messages(raw: Column, known_ids: Column, limit: int | None = 16) -> Column:
+def cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else head(text, chars)
+
+
+def clean_messages(raw: Column, known_ids: Column, limit: int | None = None, label_chars: int | None = None) -> Column:
     """Messages between known, different ids with a label."""
     ok = F.filter(raw, lambda m: F.array_contains(known_ids, m["from"]) & F.array_contains(known_ids, m["to"])
                   & (m["from"] != m["to"]) & (trimmed(m["label"]) != ""))
     out = F.transform(ok, lambda m: F.struct(
-        m["from"].alias("src"), m["to"].alias("dst"), head(trimmed(m["label"]), 60).alias("label")))
+        m["from"].alias("src"), m["to"].alias("dst"), cut(trimmed(m["label"]), label_chars).alias("label")))
     return out if limit is None else F.slice(out, 1, limit)
 
 
-def clean_events(raw: Column, limit: int | None = 14, parties: int = 8) -> Column:
-    """Named events; an unknown mode becomes ``emit``."""
+def clean_events(raw: Column, limit: int | None = None, parties: int | None = None, name_chars: int | None = None,
+                 note_chars: int | None = None) -> Column:
+    """Named events; an unknown mode becomes ``emit``.  The bounds are for readers with little room."""
     def party(names: Column) -> Column:
-        return F.slice(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.isNotNull()), 1, parties)
+        named = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.isNotNull())
+        return named if parties is None else F.slice(named, 1, parties)
     ok = F.filter(raw, lambda e: trimmed(F.coalesce(e["event"], F.lit(""))) != "")
     out = F.transform(ok, lambda e: F.struct(
-        head(trimmed(e["event"]), 80).alias("event"),
+        cut(trimmed(e["event"]), name_chars).alias("event"),
         F.when(e["mode"].isin(EVENT_MODES), e["mode"]).otherwise("emit").alias("mode"),
         party(e["producers"]).alias("producers"), party(e["consumers"]).alias("consumers"),
-        head(F.coalesce(e["note"], F.lit("")), 200).alias("note")))
+        cut(F.coalesce(e["note"], F.lit("")), note_chars).alias("note")))
     return out if limit is None else F.slice(out, 1, limit)
 
 
-def clean_tree(raw: Column, per_level: int = 12) -> Column:
+def clean_tree(raw: Column, per_level: int | None = None, name_chars: int | None = None,
+               descr_chars: int | None = None) -> Column:
     """Named nodes to depth three, as ``struct(path, depth, name, descr)`` in order."""
     def level(nodes: Column, prefix: Column, depth: int) -> Column:
         numbered = F.transform(nodes, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
-        named = F.slice(F.filter(numbered, lambda x: trimmed(F.coalesce(x["n"]["name"], F.lit(""))) != ""), 1, per_level)
+        named = F.filter(numbered, lambda x: trimmed(F.coalesce(x["n"]["name"], F.lit(""))) != "")
+        named = named if per_level is None else F.slice(named, 1, per_level)
 
         def one(x: Column) -> Column:
             path = F.concat(prefix, F.lit("-"), F.lit(str(depth)), F.lit("-"), x["i"].cast("string"))
             own = F.array(F.struct(
                 path.alias("path"), F.lit(depth).alias("depth"),
-                head(trimmed(x["n"]["name"]), 60).alias("name"),
-                head(F.coalesce(x["n"]["desc"], F.lit("")), 220).alias("descr")))
+                cut(trimmed(x["n"]["name"]), name_chars).alias("name"),
+                cut(F.coalesce(x["n"]["desc"], F.lit("")), descr_chars).alias("descr")))
             if depth == 2:
                 return own
             below = level(F.coalesce(x["n"]["children"], F.array()), path, depth + 1)
@@ -119,7 +127,7 @@ def clean_tree(raw: Column, per_level: int = 12) -> Column:
     return level(raw, F.lit("t"), 0)
 
 
-def clean_ids(raw: Column, known_ids: Column, limit: int | None = 25) -> Column:
+def clean_ids(raw: Column, known_ids: Column, limit: int | None = None) -> Column:
     out = F.filter(F.array_distinct(raw), lambda i: F.array_contains(known_ids, i))
     return out if limit is None else F.slice(out, 1, limit)
 

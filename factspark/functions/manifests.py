@@ -40,6 +40,7 @@ def manifest_deps(content: Column, language: Column, parse_specifiers: bool = Fa
             .when(language == "java", pom_artifacts(content)).otherwise(_empty()))
 
 
+# Fixed values in the patterns below: section and element names of the manifest formats.
 def pyproject_name(content: Column) -> Column:
     """Distribution name from the ``[project]`` or ``[tool.poetry]`` section; NULL if none."""
     sections = F.split(content, r"\n(?=[ \t]*\[[^\n]*\][ \t]*(?:\n|$))")

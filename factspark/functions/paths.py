@@ -105,6 +105,7 @@ def join_path(directory: Column, target: Column) -> Column:
     return resolve_dots(F.concat_ws("/", directory, target))
 
 
+# The names by which change detection and the call graph tell test files.
 def is_test_change(path: Column) -> Column:
     """Test files as change detection sees them: the file name only."""
     name = basename(path)

@@ -21,8 +21,10 @@ NOISE_CALLS = [
     "parseInt", "parseFloat", "isNaN", "isFinite", "fetch", "structuredClone",
     "queueMicrotask", "encodeURIComponent", "decodeURIComponent",
 ]
+# The texts that count as a link, a note heading and an identifier; results must agree exactly.
 INLINE_LINK = r"""(?<!!)\[[^\]]*\]\(\s*<?([^<>()\s]+)>?(?:\s+["'][^"']*["'])?\s*\)"""
 NOTE_HEADING = r"^## \[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?::\d{2})?)\] \((.*?)\)(.*)$"
+IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]{2,}"
 
 
 def trimmed(value: Column) -> Column:
@@ -62,7 +64,7 @@ def bounded_head(content: Column, size: Column, n: int, max_bytes: int = 262144)
 
 def symbols_in(label: Column) -> Column:
     """Distinct identifiers of three characters or more, stop words removed."""
-    found = F.regexp_extract_all(label, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]{2,}"), 0)
+    found = F.regexp_extract_all(label, F.lit(IDENTIFIER), 0)
     return F.array_distinct(F.filter(found, lambda t: ~F.lower(t).isin(SYMBOL_STOP_WORDS)))
 
 

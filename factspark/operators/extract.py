@@ -337,6 +337,7 @@ STEREOTYPES = [
     "RabbitListener", "StreamListener", "EventListener", "TransactionalEventListener", "Async", "EnableFeignClients",
     "EnableEurekaClient", "Mapper",
 ]
+# Class name endings that are read first.
 PRIORITY_FILE = r"(Application|Controller|Service|Client|Listener|Consumer|Producer|Config)\.java$"
 
 

@@ -14,6 +14,7 @@ from factspark.session import cut_lineage
 # File suffixes that make a token a file reference.
 FILE_SUFFIXES = "ts|tsx|js|mjs|cjs|jsx|py|java|json|md|ya?ml|toml|go|rs|kt|swift|c|cpp|h|hpp"
 FILE_EXT = rf"\.({FILE_SUFFIXES})\b"
+# What counts as a scoped package, a bare path and a quoted token; results must agree exactly.
 SCOPED_PACKAGE = r"(?i)^@[a-z0-9][a-z0-9_.-]*/[a-z0-9][a-z0-9_.-]*$"
 BARE_PATH = rf"[\w@.-]+(?:/[\w@.-]+)+\.(?:{FILE_SUFFIXES})\b"
 QUOTED = r"`([^`\n]+)`"
