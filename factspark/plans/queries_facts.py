@@ -15,6 +15,7 @@ from factspark.operators import layout as L
 from factspark.operators import quality as Q
 from factspark.plans.registry import query
 from factspark.plans.relations import RELATIONS
+from factspark.session import cut_lineage
 
 c = F.col
 _A, _B, _X, _Y, _P = "(o_custkey % 25)", "((o_custkey + 1) % 25)", "(o_custkey % 13)", "((o_custkey + 7) % 40)", "(o_custkey % 40)"
@@ -197,8 +198,8 @@ RELATIONS["tree"] = f"""
 
 
 def tree(t):
-    """The file listing; every rule takes the columns and files that it needs."""
-    return t.rel("tree")
+    """The file listing, written once: every layout rule reads it several times (without that the plans do not end)."""
+    return cut_lineage(t.rel("tree"))
 
 
 @query("agg_min_priority", "SELECT 'c' || c_custkey AS ws, CASE c_custkey % 6 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'java' WHEN 4 THEN 'java' ELSE 'unknown' END AS language FROM customer")
