@@ -135,9 +135,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
     t = targets.select(F.col("source").alias("_t"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     c = stored(c.join(t, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"))
 
-    order = Window.partitionBy(F.col(source), F.col(size), F.col("_salt")).orderBy(F.xxhash64(F.col(doc_id), F.lit(1)), F.col(doc_id))
-    rows = salted.withColumn("_at", F.row_number().over(order))
-    rows = rows.join(c, F.col(source).eqNullSafe(F.col("_s")) & (F.col(size) == F.col("_z")) & (F.col("_salt") == F.col("_k")))
+    # Plain equality of a key that is never null: the join keeps the window's partitioning, and rows move once.
+    key = lambda column: F.coalesce(F.concat(F.lit("="), column), F.lit(""))
+    c = c.withColumn("_s", key(F.col("_s")))
+    rows = salted.withColumn("_s", key(F.col(source).cast("string"))).withColumn("_z", F.col(size).cast("long")).withColumnRenamed("_salt", "_k")
+    order = Window.partitionBy("_s", "_z", "_k").orderBy(F.xxhash64(F.col(doc_id), F.lit(1)), F.col(doc_id))
+    rows = rows.withColumn("_at", F.row_number().over(order)).join(c, ["_s", "_z", "_k"])
     copies = F.col("_each") + (F.col("_at") <= F.col("_extra")).cast("long")
     return rows.select(*[F.col(f"`{x}`") for x in docs.columns], "_source_size", "_target", copies.alias("_copies"))
 
