@@ -95,7 +95,8 @@ def test_messages_plain_and_alias(spark):
     out = M.with_messages(spark.createDataFrame([Row(t=text)]), "t").first().messages
     assert [tuple(m) for m in out] == [("a", "b", "first"), ("b", "c", "")]
     many = "\n".join(f"a{i} -> b{i}" for i in range(40))
-    assert len(M.with_messages(spark.createDataFrame([Row(t=many)]), "t").first().messages) == 16
+    assert len(M.with_messages(spark.createDataFrame([Row(t=many)]), "t").first().messages) == 40
+    assert len(M.with_messages(spark.createDataFrame([Row(t=many)]), "t", limit=16).first().messages) == 16
 
 
 def test_answers(spark):
