@@ -161,13 +161,15 @@ EVIDENCE = "array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-                   max_examples: int = 4000, max_terms: int = 2048, min_chi2: float = 30.0, k: int = 25) -> DataFrame:
+                   max_examples: int = 4000, max_terms: int = 2048, min_chi2: float = 30.0, min_ratio: float = 4.0,
+                   k: int = 25) -> DataFrame:
     """One row per input row: doc_id, score (0 to 1) and evidence (the five nearest examples).
 
     Examples: at most ``max_examples`` labelled documents of either label with distinct texts, those with
     the smallest hash of their id; ``train`` (over the columns of ``labels``) says which rows may be learned from.
     Vocabulary: at most ``max_terms`` terms of the examples, of up to 40 letters, by their association with
-    the label (chi-squared of at least ``min_chi2``).  So the index has a fixed bound.  Document
+    the label: chi-squared of at least ``min_chi2``, which says that it is no chance, and ``min_ratio`` times as frequent in
+    documents of one label as of the other, which does not grow with the sample.  So the index has a fixed bound.  Document
     frequencies count all documents, class shares all labelled rows.
 
     Null text is empty; a text without a vocabulary term gets the rate of such examples.  Without examples
@@ -198,7 +200,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: st
     chi2 = (a - share * n1) ** 2 / (share * n1 * (1 - share) + 1e-9) + (b - share * n0) ** 2 / (share * n0 * (1 - share) + 1e-9)
     found = examples.select("y", F.explode(distinct_terms("text")).alias("term")).groupBy("term").agg(
         F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter("a + b >= 3").withColumn("chi2", chi2)
-    vocabulary = [r["term"] for r in found.filter(F.col("chi2") >= min_chi2).orderBy(F.col("chi2").desc(), "term").limit(max_terms).collect()]
+    one, other = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+    telling = (F.col("chi2") >= min_chi2) & (F.greatest(one, other) >= min_ratio * F.least(one, other))
+    vocabulary = [r["term"] for r in found.filter(telling).orderBy(F.col("chi2").desc(), "term").limit(max_terms).collect()]
 
     shipped = spark.sparkContext.broadcast(vocabulary)
 
