@@ -29,11 +29,12 @@ class Kind:
     after: int = 0
 
 
-#: The base kinds, in their order.
+#: The base kinds, in their order.  The least lengths of access and hex stand in the patterns too: a
+#: run of their characters matches as a whole or not at all, so short runs need not be listed to be dropped.
 BASE = (
     Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Kind("hex", r"[0-9a-f]+", 0, 32),
+    Kind("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    Kind("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: Kinds that count only when their owner is the only one.
 OWNED = (
