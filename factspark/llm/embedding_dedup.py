@@ -50,8 +50,30 @@ def keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.mapInPandas(run, "rep long, dim int, pass int, key long")
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs connect what the earlier ones leave apart: the others say nothing new."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = root[x]
+        return x
+
+    keep = np.zeros(len(a), dtype=bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
 def window_pairs(vectors: DataFrame, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
-    """Verified pairs a < b of distinct vectors that are at most ``window`` apart in a pass's order."""
+    """Verified pairs a < b of distinct vectors that are at most ``window`` apart in a pass's order.
+
+    Of the verified pairs of a block those stay that connect it; at most one for each vector.
+    """
     placed = ranked(keys(vectors, passes, seed), ["dim", "pass", "key", "rep"], "place")
     # Blocks of the whole order, each with the first ``window`` rows of the next one.
     width = max(BLOCK, 2 * window)
@@ -68,6 +90,7 @@ def window_pairs(vectors: DataFrame, passes: int, window: int, threshold: float,
                 hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold)
                 out.append(np.stack([rep[hit], rep[hit + k]], axis=1))
         found = np.concatenate(out) if out else np.empty((0, 2), dtype="i8")
+        found = found[spanning(found[:, 0], found[:, 1])]
         return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)})
 
     return rows.groupBy("block").applyInPandas(compare, "a long, b long").distinct()
