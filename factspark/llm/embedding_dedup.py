@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factspark.llm.common import components, ranked, stored, table
+from factspark.llm.common import components, ranked, spanning, stored, table
 from factspark.llm.registry import query
 
 BLOCK = 512
@@ -50,25 +50,6 @@ def keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.mapInPandas(run, "rep long, dim int, pass int, key long")
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs connect what the earlier ones leave apart: the others say nothing new."""
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root.setdefault(up, up)
-            x = root[x]
-        return x
-
-    keep = np.zeros(len(a), dtype=bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = top(x), top(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep[i] = True
-    return keep
-
-
 def window_pairs(vectors: DataFrame, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
     """Verified pairs a < b of distinct vectors that are at most ``window`` apart in a pass's order.
 

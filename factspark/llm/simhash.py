@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing; near copies of texts by min-hash bands.
 
 Two fingerprints within ``2 * half`` bits have a common variant within ``half`` bits of both.  Every
 distinct fingerprint therefore emits all its variants within ``half`` bits; variants are the shuffle
@@ -117,69 +117,64 @@ def op3_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(docs).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# ---- Near-duplicate texts: longer sketches, of which bands are linked by balls and pairs verified.
+# ---- Near-duplicate texts: bands of min-hashes find candidates, exact Jaccard of shingle hashes decides.
 
-SKETCH_WORDS = 16
-#: 256 rows: the bits of a byte, least first, one in each byte of a word.
-SPREAD = np.array([sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype="<u8")
+#: Two sets of Jaccard J share a band with J^6, and none of 30 with (1 - J^6)^30: 0.0001 at 0.8.
+BANDS, IN_BAND = 30, 6
+FACTORS = np.random.default_rng(5).integers(1 << 63, size=BANDS * IN_BAND + IN_BAND, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """A SimHash of 1024 bits: every shingle hash is mixed to 16 words.  Zero without hashes."""
-    counts = np.zeros(SKETCH_WORDS * 64, dtype="i8")
-    steps = np.arange(1, SKETCH_WORDS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
-    for a in range(0, len(hashes), 255):  # so that a byte can count
-        x = hashes[a:a + 255, None] + steps
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        counts += SPREAD[x.astype("<u8").view("u1")].sum(axis=0).view("u1")
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8").astype("i8")
+def shingle_set(text: str, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
 
 
-def sketched(text: Column, size: int) -> Column:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band, of the least of its permuted hashes.  Equal without hashes."""
+    least = np.full(BANDS * IN_BAND, np.iinfo("u8").max, dtype="u8")
+    for a in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[a:a + 512, None] * FACTORS[:BANDS * IN_BAND]).min(axis=0))
+    least ^= least >> np.uint64(32)
+    keys = (least.reshape(BANDS, IN_BAND) * FACTORS[BANDS * IN_BAND:]).sum(axis=1, dtype="u8") + np.arange(BANDS, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    return (keys ^ keys >> np.uint64(29)).view("i8")
+
+
+def hashed(text: Column, size: int, use) -> Column:
+    """``use`` of a text's set of shingle hashes, as an array of longs."""
     @F.pandas_udf("array<long>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([sketch(shingle_hashes(t or "", size)) for t in texts])
+            yield pd.Series([use(shingle_set(t or "", size)) for t in texts])
 
     return compute(text_of(text))
 
 
-def differing_share(jaccard: float) -> float:
-    """Share of SimHash bits that differ between two sets of one size with this Jaccard similarity."""
-    return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
-                bands: int = 8) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input without exact and near copies: of every group of texts one row stays, all columns kept.
 
-    Texts are alike from ``similarity`` (Jaccard, of ``size``-word shingles) on, as their 1024-bit sketches
-    tell it.  Each of ``bands`` 32-bit bands of the sketch is linked by balls within 2 bits; a pair is lost
-    only if it is further apart in every band.  Linked pairs are verified on whole sketches and groups are
-    connected components.  The row with the smallest id stays (null last), one of them if it is repeated.
-    Null text counts as empty; texts without words are one group.
+    Texts are alike from ``similarity`` on: the Jaccard similarity of their sets of ``size``-word shingle hashes,
+    which is computed for every link.  Texts that share none of ``BANDS`` keys are not compared; of pairs at 0.8
+    that is one in 9,000, of more similar ones fewer.  Groups are connected components.  The row with the smallest id stays
+    (null last), one of them if it is repeated.  Null text counts as empty; texts without words are one group.
     """
     k1, k2 = F.xxhash64(text_of(F.col(text))), F.xxhash64(F.lit(1), text_of(F.col(text)))
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
-    rows = docs.select(k1.alias("k1"), k2.alias("k2"), order.alias("o"), sketched(F.col(text), size).alias("sketch"))
-    texts = rows.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.first("sketch").alias("sketch"))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), order.alias("o"), hashed(F.col(text), size, band_keys).alias("keys"))
+    texts = rows.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.first("keys").alias("keys"))
     texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()))
 
-    halves = F.flatten(F.transform(F.slice("sketch", 1, (bands + 1) // 2), lambda x: F.array(x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))))
-    banded = texts.select("tid", F.posexplode(F.slice(halves, 1, bands)).alias("band", "value"))
-    # One text stands for all that share a band's value, so a large group is one fingerprint.
-    reps = stored(banded.groupBy("band", "value").agg(F.min("tid").alias("rep")))
-    same = banded.join(reps, ["band", "value"]).filter("tid <> rep").select(F.col("rep").alias("a"), F.col("tid").alias("b"))
-    near = ball_links(reps, "value", 32, 1, "band")
-    for side in ("a", "b"):
-        near = near.join(reps.select("band", F.col("value").alias(side), F.col("rep").alias(f"rep_{side}")), ["band", side])
-    links = same.union(near.select(F.least("rep_a", "rep_b"), F.greatest("rep_a", "rep_b"))).filter("a <> b").distinct()
+    banded = texts.select("tid", F.explode("keys").alias("key"))
+    groups = banded.groupBy("key").agg(F.min("tid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(banded.join(groups, "key"))
+    # Sets are made for texts with a partner only, from one row of each text.
+    wanted = texts.join(members.select("tid").distinct(), "tid").select("k1", "k2", "tid")
+    each = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    sets = stored(each.join(wanted, ["k1", "k2"]).select("tid", hashed(F.col("text"), size, lambda x: x.view("i8")).alias("set")))
+
+    links = members.filter("tid <> rep").select(F.col("rep").alias("a"), F.col("tid").alias("b")).distinct()
     for side in ("a", "b"):
-        links = links.join(texts.select(F.col("tid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    links = links.filter(apart <= int(differing_share(similarity) * 64 * SKETCH_WORDS)).select("a", "b")
+        links = links.join(sets.select(F.col("tid").alias(side), F.col("set").alias(f"set_{side}")), side)
+    links = links.withColumn("both", F.size(F.array_intersect("set_a", "set_b"))).withColumn("any", F.size("set_a") + F.size("set_b") - F.col("both"))
+    links = stored(links.filter((F.col("any") == 0) | (F.col("both") / F.col("any") >= similarity)).select("a", "b"))
 
     reach = components(links, "a", "b")
     placed = stored(reach.join(texts.select(F.col("tid").alias("node"), "k1", "k2", "o"), "node"))
