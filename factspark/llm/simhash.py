@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factspark.llm.common import components, stored, table, text_of
+from factspark.llm.common import components, spanning, stored, table, text_of
 from factspark.llm.registry import query
 
 PART = 50_000
@@ -121,6 +121,7 @@ def op3_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Two sets of Jaccard J share a band with J^6, and none of 30 with (1 - J^6)^30: 0.0001 at 0.8.
 BANDS, IN_BAND = 30, 6
+BLOCK = 256
 FACTORS = np.random.default_rng(5).integers(1 << 63, size=BANDS * IN_BAND + IN_BAND, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
@@ -148,6 +149,45 @@ def hashed(text: Column, size: int, use) -> Column:
     return compute(text_of(text))
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of the left sets shares with each of the right."""
+    ends = np.cumsum([len(x) for x in right])
+    names, at = np.unique(np.concatenate([*right, np.empty(0, dtype="i8")]), return_inverse=True)
+    out = np.zeros((len(left), len(right)), dtype="i8")
+    for k, x in enumerate(left):
+        has = np.zeros(len(names), dtype="i8")
+        has[np.searchsorted(names, x[np.isin(x, names)])] = 1
+        total = np.concatenate([[0], np.cumsum(has[at])])
+        out[k] = total[ends] - total[ends - [len(y) for y in right]]
+    return out
+
+
+def block_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key, size, tid, root, set) to verified links a < b of sets with one key and different roots.
+
+    All pairs are compared: a key's sets are dealt into blocks of about ``BLOCK``, and each pair of blocks is a group of
+    rows.  Of a group's verified pairs those stay that connect it.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("tid", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "root", "set")
+
+    def compare(own: pd.DataFrame) -> pd.DataFrame:
+        left, right = own[own["own"] == own["i"].iloc[0]], own[own["own"] == own["j"].iloc[0]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        both = shared_counts(left["set"].tolist(), right["set"].tolist())
+        union = left["set"].map(len).to_numpy()[:, None] + right["set"].map(len).to_numpy()[None, :] - both
+        near = (both / np.maximum(union, 1) >= similarity) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
+        x, y = np.nonzero(near)
+        x, y = left["tid"].to_numpy()[x], right["tid"].to_numpy()[y]
+        keep = spanning(x, y)
+        return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input without exact and near copies: of every group of texts one row stays, all columns kept.
 
@@ -155,6 +195,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     which is computed for every link.  Texts that share none of ``BANDS`` keys are not compared; of pairs at 0.8
     that is one in 9,000, of more similar ones fewer.  Groups are connected components.  The row with the smallest id stays
     (null last), one of them if it is repeated.  Null text counts as empty; texts without words are one group.
+
+    All pairs with a common key count.  Each text is first compared with the key's smallest; then all others of a key that
+    this has not connected are compared with each other, so one that is like none of them hides no pair.
     """
     k1, k2 = F.xxhash64(text_of(F.col(text))), F.xxhash64(F.lit(1), text_of(F.col(text)))
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
@@ -176,7 +219,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     links = links.withColumn("both", F.size(F.array_intersect("set_a", "set_b"))).withColumn("any", F.size("set_a") + F.size("set_b") - F.col("both"))
     links = stored(links.filter((F.col("any") == 0) | (F.col("both") / F.col("any") >= similarity)).select("a", "b"))
 
-    reach = components(links, "a", "b")
+    reach = components(links, "a", "b").select(F.col("node").alias("tid"), "root")
+    rest = members.filter("n > 2 and tid <> rep").join(reach, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
+    rest = stored(rest)
+    apart = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    more = block_links(rest.join(apart.select("key", "size"), "key").join(sets, "tid"), similarity)
+
+    reach = components(links.union(more), "a", "b")
     placed = stored(reach.join(texts.select(F.col("tid").alias("node"), "k1", "k2", "o"), "node"))
     first = placed.groupBy("root").agg(F.min(F.struct("o", "node")).alias("first"))
     gone = placed.join(first, "root").filter(F.col("node") != F.col("first.node")).select("k1", "k2")

@@ -45,3 +45,28 @@ def test_lone_pairs(spark):
     got = kept(spark, texts)
     assert {2 * k for k in range(len(alike))} <= got
     assert [2 * k + 1 in got for k in range(len(alike))] == [not x for x in alike]
+
+
+def test_pairs_in_a_template_family(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    template = words(104)
+    texts = [template + words(15) for _ in range(120)]  # 0.77 to any other of the family
+    texts += [t[:108] + words(11) for t in texts[:100]]  # 0.83 to one of them
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    got = kept(spark, texts)
+    assert got == expected(texts) and len(got) == 120
+
+
+def test_all_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    sets = [[10 * k + x for x in range(9)] + [-k] for k in range(1, 20)] + [[190 + x for x in range(9)] + [-30]] + [[10 + x for x in range(10)]]
+    rows = spark.createDataFrame([(1, len(sets), k, k, s) for k, s in enumerate(sets)], "key long, size long, tid long, root long, set array<long>")
+    assert {(r["a"], r["b"]) for r in simhash.block_links(rows, 0.8).collect()} == {(18, 19), (0, 20)}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(40, size=n)) for n in (0, 5, 30, 0, 12)]
+    assert simhash.shared_counts(sets[1:], sets).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets[1:]]
