@@ -210,8 +210,19 @@ def op1_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold(F.col("doc_id"), 5), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score", "coverage")
 
 
-def accepted(text: Column, model: LanguageFilter, spark: SparkSession, min_coverage: float = 0.1) -> Column:
-    """Whether a text has a determined language that knows at least ``min_coverage`` of its trigrams."""
+def acceptance_levels(docs: DataFrame, model: LanguageFilter, text: str = "text", lang: str = "lang", rate: float = 0.05,
+                      share: float = 2 / 3) -> dict[str, float]:
+    """Least coverage of a language: ``share`` of the ``rate`` quantile over its labelled texts that the filter gives it.
+
+    The quantile lies low among a language's own texts, and texts of other languages lie well below it.
+    """
+    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), predicted(F.col(text), model, docs.sparkSession).alias("p"))
+    own = rows.filter((F.col("p.lang_pred") == F.col("lang")) & (F.col("p.coverage") > 0)).groupBy("lang")
+    return {r["lang"]: share * r["low"] for r in own.agg(F.percentile_approx("p.coverage", rate).alias("low")).collect()}
+
+
+def accepted(text: Column, model: LanguageFilter, spark: SparkSession, levels: dict[str, float]) -> Column:
+    """Whether a text has a determined language, one of ``levels``, that knows at least that share of its trigrams."""
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -219,6 +230,6 @@ def accepted(text: Column, model: LanguageFilter, spark: SparkSession, min_cover
         letters = letter_table()
         for texts in batches:
             found = shipped.value.decide([t or "" for t in texts], letters)
-            yield (found["lang_pred"] != UNDETERMINED) & (found["coverage"] >= min_coverage)
+            yield (found["lang_pred"] != UNDETERMINED) & (found["coverage"] >= found["lang_pred"].map(levels).astype("f8"))
 
     return decide(text)
