@@ -48,6 +48,8 @@ KINDS = BASE + OWNED
 ANY = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]{8,}@"""
        r"""|(?:gh[pousr]_|xox[abprs]-|sk_live_|sk-|glpat-|AIza)[A-Za-z0-9_-]{16}|eyJ[A-Za-z0-9_-]{8}|[A-Za-z0-9+/_=-]{20}""")
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234567"
+#: A value that is nothing but such words; one with more in it may be a credential.
+WHOLE_PLACEHOLDER = r"(?i)^(?:(?:example|sample|dummy|change|placeholder|your|my|the|insert|enter|here|api|access|secret|private|key|token|password|passwd|me|x{3,}|0{3,}|1234567[0-9]*)[+/_.=-]*)+$"
 
 
 def matches(text: Column, kind: Kind, number: int) -> Column:
@@ -75,11 +77,11 @@ def candidates(rows: DataFrame, text: str, repo: str, owner: str) -> DataFrame:
     return found.filter(F.char_length("value") >= least).select("_rid", "kind", "start", "end", "value", "repo", "owner")
 
 
-def looks_live(value: Column, kind: Column) -> Column:
-    """At least 8 distinct characters, no placeholder word; a mixed one has small and large letters and digits."""
+def looks_live(value: Column, kind: Column, placeholder: str = PLACEHOLDER) -> Column:
+    """At least 8 distinct characters, no match of ``placeholder``; a mixed one has small and large letters and digits."""
     varied = F.size(F.array_distinct(F.split(value, ""))) >= 8
     mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
-    return varied & ~value.rlike(PLACEHOLDER) & ((kind != len(KINDS) - 1) | mixed)
+    return varied & ~value.rlike(placeholder) & ((kind != len(KINDS) - 1) | mixed)
 
 
 def judged(found: DataFrame, copied: int = 3) -> DataFrame:
@@ -137,14 +139,15 @@ def secret_spans(docs: DataFrame, text: str = "text", repo: str = "source", owne
     return rows.join(by_row, "_rid", "left").select(*keep, *filled).unionByName(others.select(*keep, *none))
 
 
-def redact(docs: DataFrame, text: str = "text", repo: str = "source", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """The input's rows and columns; values of live candidates of any kind are replaced by ``mark``.
+def redact(docs: DataFrame, text: str = "text", repo: str = "source", owner: str = "source", mark: str = "[SECRET]",
+           copied: int = 3) -> DataFrame:
+    """The input's rows and columns; values of any kind that look live and have fewer than ``copied`` owners are replaced by ``mark``.
 
-    Overlapping values are replaced once.  Copied examples and unclear candidates stay, and so does
-    every row.
+    So a value that two owners hold goes in both, and one with a placeholder word inside goes too.  Copied values and those that
+    are placeholders as a whole stay, and so does every row.  Overlapping values are replaced once.
     """
     rows, others = split_rows(docs, text)
-    found = judged(candidates(rows, text, repo, owner)).filter("verdict = 'live'")
+    found = judged(candidates(rows, text, repo, owner), copied).filter((F.col("owners") < copied) & looks_live(F.col("value"), F.col("kind"), WHOLE_PLACEHOLDER))
     after = F.element_at(F.array(*[F.lit(k.after) for k in KINDS]), F.col("kind") + 1)
     found = found.select("_rid", (F.col("end") - after).alias("b"), (F.col("end") - after - F.char_length("value")).alias("a"))
     order = Window.partitionBy("_rid").orderBy("a", "b")
