@@ -36,8 +36,13 @@ class LineRules:
 
 
 MARK = r"[.!?:;,\x{2026}\x{3002}\x{ff01}\x{ff1f}\x{061f}]"
-NAVIGATION = (r"(?i)^[\s|>/\x{00bb}\x{2022}\x{00b7}-]*((home|about( us)?|contact( us)?|login|log in|sign (in|up)|register|menu|search|next|previous|back|"
-              r"share|site ?map|help|faq|read more|skip to content|top)[\s|>/\x{00bb}\x{2022}\x{00b7}-]*)+$")
+_CAPTION = (r"home|about( us)?|contact( us)?|login|log in|sign (in|up)|register|menu|search|next|previous|back|"
+            r"share|site ?map|help|faq|read more|skip to content|top")
+_BETWEEN = r"[\s|>/\x{00bb}\x{2022}\x{00b7}-]"
+#: Link captions and separators.  What remains of a navigation line without them is empty; to match the line as a whole would
+#: repeat a group, which costs the JVM's regular expressions a stack frame a caption.
+CAPTION, NAVIGATION_PART = f"(?i){_CAPTION}", f"(?i){_CAPTION}|{_BETWEEN}+"
+NAVIGATION = f"(?i)^{_BETWEEN}*(({_CAPTION}){_BETWEEN}*)+$"
 BOILERPLATE = (r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|use(s)? cookies|enable javascript|"
                r"javascript (is )?(disabled|required)|lorem ipsum|subscribe to our newsletter|click here to|powered by wordpress)")
 
@@ -89,7 +94,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
                 | (shouts > rules.shout_ratio * n)
                 | ((n >= rules.long_line) & (F.size(F.array_distinct(w)) < rules.min_word_ratio * n))
                 | ((n >= rules.bare_words) & ~line.rlike(MARK))
-                | line.rlike(NAVIGATION)
+                | (line.rlike(CAPTION) & (F.regexp_replace(line, NAVIGATION_PART, "") == ""))
                 | ((n <= rules.boiler_words) & line.rlike(BOILERPLATE)))
 
     return bound(words(line), judge)
@@ -99,8 +104,8 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
     """Add to every row: clean_text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     ``clean_text`` holds the lines that pass every line rule, in order; of lines that repeat an
-    earlier one the first stays.  ``kept`` is false if ``base_failed`` or if the removed lines hold
-    more than ``max_loss`` of the word characters.  Null text counts as empty: zero words, not kept.
+    earlier one the first stays.  ``kept`` is false if ``base_failed`` or if the removed lines, repeats
+    included, hold more than ``max_loss`` of the document's word characters.  Null text counts as empty: zero words, not kept.
     Input columns of these names are replaced; rows are never dropped, repeated rows stay repeated.
     """
     made = ["clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -118,15 +123,14 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
     left = bound(F.col("_good"), lambda good: F.struct(
         F.array_join(good, "\n").alias("clean_text"),
         F.aggregate(good, F.lit(0).cast("long"), lambda n, line: n + F.char_length(F.regexp_replace(line, r"[\x20\x09-\x0D]", ""))).alias("chars")))
-    once = F.aggregate("_l.once", F.lit(0).cast("long"), lambda n, line: n + F.char_length(F.regexp_replace(line, r"[\x20\x09-\x0D]", "")))
-    out = out.withColumn("_left", left).withColumn("_once", once)
+    out = out.withColumn("_left", left)
     failed = (F.col("_w.n_words") < 50) | (100 * F.col("_w.n_repeat_words") > 50 * F.col("_w.n_words"))
     return out.select(
         *[F.col(f"`{c}`") for c in rest.columns], F.col("_left.clean_text"), "_w.n_words", "_w.word_chars",
         (F.char_length(whole) - F.char_length(F.regexp_replace(whole, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.col("_l.n") - F.size("_l.once")).cast("long").alias("n_dup_lines"), "_w.n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (F.col("_left.chars") >= (1 - rules.max_loss) * F.col("_once"))).alias("kept"))
+        (~failed & (F.col("_left.chars") >= (1 - rules.max_loss) * F.col("_w.word_chars"))).alias("kept"))
 
 
 _SQL = r"""
@@ -140,7 +144,7 @@ p AS (SELECT rid, least(3, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) -
 r AS (SELECT rid, sum(cover) AS n FROM p GROUP BY rid),
 l AS (SELECT rid, unnest(list_distinct(ls)) AS line FROM d),
 m AS (SELECT rid, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS v, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l),
-s AS (SELECT rid, sum(chars) AS total, coalesce(sum(chars) FILTER (WHERE NOT (
+s AS (SELECT rid, coalesce(sum(chars) FILTER (WHERE NOT (
         length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > 0.25 * len(v)
         OR (length(line) - length(replace(line, '!!', ''))) / 2 > 0.5 * len(v)
         OR (len(v) >= 20 AND len(list_distinct(v)) < 0.2 * len(v))
@@ -151,7 +155,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w,
        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
        len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed,
-       NOT (len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w)) AND coalesce(s.good, 0) >= 0.5 * coalesce(s.total, 0) AS kept
+       NOT (len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w)) AND coalesce(s.good, 0) >= 0.5 * length(array_to_string(w, '')) AS kept
 FROM d LEFT JOIN r USING (rid) LEFT JOIN s USING (rid)
 """.replace("{mark}", MARK).replace("{navigation}", NAVIGATION).replace("{boilerplate}", BOILERPLATE)
 

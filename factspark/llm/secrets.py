@@ -36,11 +36,12 @@ BASE = (
     Kind("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     Kind("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Kinds that count only when their owner is the only one.
+#: Kinds that count only when their owner is the only one.  A scheme or first part starts where its characters do and is read
+#: once: a pattern that may start again at each letter of a long run takes the square of its length.
 OWNED = (
-    Kind("login", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:/@]+:([^\x20\x09-\x0D:/@]{8,})@", 1, 8, 1),
+    Kind("login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D:/@]+:([^\x20\x09-\x0D:/@]{8,})@", 1, 8, 1),
     Kind("issued", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|sk-|glpat-|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
-    Kind("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 20),
+    Kind("signed", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 20),
     Kind("mixed", r"[A-Za-z0-9+/_=-]{20,}", 0, 20),
 )
 KINDS = BASE + OWNED
@@ -48,8 +49,9 @@ KINDS = BASE + OWNED
 ANY = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]{8,}@"""
        r"""|(?:gh[pousr]_|xox[abprs]-|sk_live_|sk-|glpat-|AIza)[A-Za-z0-9_-]{16}|eyJ[A-Za-z0-9_-]{8}|[A-Za-z0-9+/_=-]{20}""")
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234567"
-#: A value that is nothing but such words; one with more in it may be a credential.
-WHOLE_PLACEHOLDER = r"(?i)^(?:(?:example|sample|dummy|change|placeholder|your|my|the|insert|enter|here|api|access|secret|private|key|token|password|passwd|me|x{3,}|0{3,}|1234567[0-9]*)[+/_.=-]*)+$"
+#: A value that is nothing but such words and separators; one with more in it may be a credential.
+PLACEHOLDER_PART = (r"(?i)example|sample|dummy|change|placeholder|your|my|the|insert|enter|here|api|access|secret|private|key|token|password|passwd|me"
+                    r"|x{3,}|0{3,}|1234567[0-9]*|[+/_.=-]+")
 
 
 def matches(text: Column, kind: Kind, number: int) -> Column:
@@ -77,11 +79,20 @@ def candidates(rows: DataFrame, text: str, repo: str, owner: str) -> DataFrame:
     return found.filter(F.char_length("value") >= least).select("_rid", "kind", "start", "end", "value", "repo", "owner")
 
 
-def looks_live(value: Column, kind: Column, placeholder: str = PLACEHOLDER) -> Column:
-    """At least 8 distinct characters, no match of ``placeholder``; a mixed one has small and large letters and digits."""
+def has_placeholder(value: Column) -> Column:
+    return value.rlike(PLACEHOLDER)
+
+
+def is_placeholder(value: Column) -> Column:
+    """Nothing but placeholder words, each with separators after it."""
+    return (value != "") & ~value.rlike("^[+/_.=-]") & (F.regexp_replace(value, PLACEHOLDER_PART, "") == "")
+
+
+def looks_live(value: Column, kind: Column, placeholder=has_placeholder) -> Column:
+    """At least 8 distinct characters, not a ``placeholder``; a mixed one has small and large letters and digits."""
     varied = F.size(F.array_distinct(F.split(value, ""))) >= 8
     mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
-    return varied & ~value.rlike(placeholder) & ((kind != len(KINDS) - 1) | mixed)
+    return varied & ~placeholder(value) & ((kind != len(KINDS) - 1) | mixed)
 
 
 def judged(found: DataFrame, copied: int = 3) -> DataFrame:
@@ -147,7 +158,7 @@ def redact(docs: DataFrame, text: str = "text", repo: str = "source", owner: str
     are placeholders as a whole stay, and so does every row.  Overlapping values are replaced once.
     """
     rows, others = split_rows(docs, text)
-    found = judged(candidates(rows, text, repo, owner), copied).filter((F.col("owners") < copied) & looks_live(F.col("value"), F.col("kind"), WHOLE_PLACEHOLDER))
+    found = judged(candidates(rows, text, repo, owner), copied).filter((F.col("owners") < copied) & looks_live(F.col("value"), F.col("kind"), is_placeholder))
     after = F.element_at(F.array(*[F.lit(k.after) for k in KINDS]), F.col("kind") + 1)
     found = found.select("_rid", (F.col("end") - after).alias("b"), (F.col("end") - after - F.char_length("value")).alias("a"))
     order = Window.partitionBy("_rid").orderBy("a", "b")
