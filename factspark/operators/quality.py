@@ -16,7 +16,10 @@ FILE_SUFFIXES = "ts|tsx|js|mjs|cjs|jsx|py|java|json|md|ya?ml|toml|go|rs|kt|swift
 FILE_EXT = rf"\.({FILE_SUFFIXES})\b"
 # What counts as a scoped package, a bare path and a quoted token; results must agree exactly.
 SCOPED_PACKAGE = r"(?i)^@[a-z0-9][a-z0-9_.-]*/[a-z0-9][a-z0-9_.-]*$"
-BARE_PATH = rf"[\w@.-]+(?:/[\w@.-]+)+\.(?:{FILE_SUFFIXES})\b"
+# A bare path: names joined by single slashes, the last one with a file suffix.  Runs of its characters are found first, so no
+# pattern repeats a group: that costs the JVM's regular expressions a stack frame a name.
+PATH_RUN = r"[\w@./-]+"
+BARE_PATH = rf"^/?([\w@.-]+/[\w@./-]*[\w@.-]\.(?:{FILE_SUFFIXES})\b)"
 QUOTED = r"`([^`\n]+)`"
 
 
@@ -99,6 +102,12 @@ def nearest_known(tokens: DataFrame, known: DataFrame) -> DataFrame:
     return by_prefix.union(by_distance).select("ws", "token", F.col("_k.name").alias("suggestion"))
 
 
+def bare_paths(prose: Column) -> Column:
+    """Unquoted file paths in a text, in order; names that an empty one stands between belong to different paths."""
+    found = F.regexp_extract_all(F.regexp_replace(prose, "/{2,}", " "), F.lit(PATH_RUN), 0)
+    return F.filter(F.transform(F.filter(found, lambda r: F.contains(r, F.lit("/"))), lambda r: F.regexp_extract(r, BARE_PATH, 1)), lambda r: r != "")
+
+
 def claims(docs: DataFrame) -> DataFrame:
     """Every checkable reference of ``docs(ws, doc, text)``.
 
@@ -114,13 +123,13 @@ def claims(docs: DataFrame) -> DataFrame:
                         token.alias("token"), path.alias("path"), src.alias("src"), dst.alias("dst"))
 
     def as_path(token: Column) -> Column:
-        return F.regexp_replace(F.replace(token, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+        return F.regexp_replace(F.replace(token, F.lit("\\"), F.lit("/")), r"^(?:\./)++", "")
     quoted = F.transform(F.regexp_extract_all("prose", F.lit(QUOTED), 1), lambda t, i: F.struct(trimmed(t).alias("t"), i.alias("i")))
     is_path = lambda t: F.contains(t, F.lit("/")) & t.rlike(FILE_EXT)
     marked = F.transform(
         F.filter(quoted, lambda q: is_path(q["t"]) | q["t"].rlike(SCOPED_PACKAGE)),
         lambda q: item(0, F.when(is_path(q["t"]), "file").otherwise("package"), q["t"], as_path(q["t"]), none, none, q["i"]))
-    bare = F.transform(F.regexp_extract_all("prose", F.lit(BARE_PATH), 0),
+    bare = F.transform(bare_paths(F.col("prose")),
                        lambda t, i: item(1, F.lit("file"), t, as_path(t), none, none, i))
     rows = F.transform("table_edges", lambda e, i: item(
         2, F.lit("edge"), F.concat(e["src"], F.lit(" → "), e["dst"]), none, e["src"], e["dst"], i))
