@@ -82,18 +82,42 @@ def running_total(df: DataFrame, key: str, ts: str, amounts: str | list[str], ou
     return both.select(key, ts, *[(F.col(f"_part_{a}") + F.col(f"_before_{a}")).alias(o) for a, o in zip(amounts, out)])
 
 
-def counter_delta(matches: DataFrame, counters: DataFrame, key: str = "session", names: list[str] | None = None) -> DataFrame:
-    """Usage between request and answer: each counter at the answer minus at the request.
+def as_of(points: DataFrame, counters: DataFrame, key: str, names: list[str], ts: str = "ts", bucket_seconds: int = 86400) -> DataFrame:
+    """The last known value of each counter at or before each distinct ``(key, ts)`` of ``points``; null before the first.
 
-    ``counters(key, ts, ...)`` may repeat a time; the largest value of each counter then holds.  Negative
-    differences count as zero; rows whose differences are all zero are dropped.  With the four
-    ``COUNTERS`` the result also has ``input``: uncached, cache reads and cache writes together.
+    ``counters(key, ts, ...)`` may come at any time, leave counters out (null) and repeat a time; the largest value then
+    holds.  Two levels, as in ``running_total``: the last value inside a time bucket, else the last that an earlier
+    bucket hands on.  A time of a key is one row before anything is ordered.
+    """
+    told = counters.select(key, ts, *names, F.lit(False).alias("_asked"))
+    asked = points.select(key, ts, *[F.lit(None).cast(counters.schema[n].dataType).alias(n) for n in names], F.lit(True).alias("_asked"))
+    bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / bucket_seconds).cast("long")
+    marks = told.union(asked).groupBy(key, ts).agg(*[F.max(n).alias(n) for n in names], F.max("_asked").alias("_asked")).withColumn("_b", bucket)
+    inside = Window.partitionBy(key, "_b").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    local = marks.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).where("_asked")
+    carry = marks.groupBy(key, "_b").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(ts))).alias(n) for n in names])
+    carry = carry.select(key, "_b", *[F.last(n, ignorenulls=True).over(before).alias(f"_before_{n}") for n in names])
+    both = local.join(carry, [key, "_b"])
+    return both.select(key, ts, *[F.coalesce(n, f"_before_{n}").alias(n) for n in names])
+
+
+def counter_delta(matches: DataFrame, counters: DataFrame, key: str = "session", names: list[str] | None = None,
+                  bucket_seconds: int = 86400) -> DataFrame:
+    """Usage between request and answer: each counter as known at the answer minus as known at the request.
+
+    Counters are sampled at times of their own; the last value at or before a moment holds.  Where a counter is not known yet at
+    the request, the row is dropped.  Negative differences count as zero; rows whose differences are all zero are dropped.  With
+    the four ``COUNTERS`` the result also has ``input``: uncached, cache reads and cache writes together.
     """
     names = names or COUNTERS
-    at = counters.groupBy(key, F.col("ts").alias("_at")).agg(*[F.max(n).alias(n) for n in names])
-    first = at.select(key, F.col("_at").alias("ts"), *[F.col(n).alias(f"_start_{n}") for n in names])
-    last = at.select(key, F.col("_at").alias("answer_ts"), *[F.col(n).alias(f"_end_{n}") for n in names])
+    ends = matches.select(key, F.explode(F.array("ts", "answer_ts")).alias("ts"))
+    at = as_of(ends, counters, key, names, bucket_seconds=bucket_seconds)
+    first = at.select(key, "ts", *[F.col(n).alias(f"_start_{n}") for n in names])
+    last = at.select(key, F.col("ts").alias("answer_ts"), *[F.col(n).alias(f"_end_{n}") for n in names])
     both = matches.join(first, [key, "ts"]).join(last, [key, "answer_ts"])
+    for n in names:
+        both = both.where(F.col(f"_start_{n}").isNotNull())
     deltas = {f"delta_{n}": F.greatest(F.lit(0), F.col(f"_end_{n}") - F.col(f"_start_{n}")) for n in names}
     out = both.withColumns(deltas).where(F.greatest(*[F.col(d) for d in deltas], F.lit(0)) > 0)
     if set(COUNTERS) <= set(names):

@@ -129,15 +129,17 @@ _GAIN = "greatest(0, b.c{0} - a.c{0})"
 
 
 @query("jn_asof_delta", f"""
-    WITH {_ANSWERED}, k AS (SELECT DISTINCT session, ts, {_RUN} FROM {{session_events}})
+    WITH {_ANSWERED.replace("30 MINUTE", "7 DAY")}, k AS (SELECT DISTINCT session, ts, {_RUN} FROM {{session_events}} WHERE kind NOT IN ('request', 'answer'))
     SELECT r.session, r.event_id, CAST({" + ".join(_GAIN.format(k) for k in range(3))} AS BIGINT) AS input, CAST({_GAIN.format(3)} AS BIGINT) AS output
-    FROM r JOIN k a ON a.session = r.session AND a.ts = r.ts JOIN k b ON b.session = r.session AND b.ts = r.answer_ts
+    FROM r ASOF JOIN k a ON a.session = r.session AND a.ts <= r.ts ASOF JOIN k b ON b.session = r.session AND b.ts <= r.answer_ts
     WHERE answer_ts IS NOT NULL AND ({" OR ".join(f"b.c{k} > a.c{k}" for k in range(4))})""")
 def _(t):
+    """Counters are sampled at events that are neither request nor answer, so both moments look back."""
     e = t.rel("session_events")
-    split = e.select("session", "ts", *[F.when(c("event_id") % 4 == k, c("cents")).otherwise(0).alias(n) for k, n in enumerate(U.COUNTERS)])
+    sampled = e.where(~c("kind").isin("request", "answer"))
+    split = sampled.select("session", "ts", *[F.when(c("event_id") % 4 == k, c("cents")).otherwise(0).alias(n) for k, n in enumerate(U.COUNTERS)])
     totals = U.running_total(split, "session", "ts", U.COUNTERS, U.COUNTERS)
-    matched = U.first_answers(e.select("session", "event_id", "ts", "kind"))
+    matched = U.first_answers(e.select("session", "event_id", "ts", "kind"), life_seconds=7 * 86400)
     return U.counter_delta(matched, totals).select("session", "event_id", c("input").cast("long").alias("input"), c("delta_output").cast("long").alias("output"))
 
 
@@ -195,6 +197,19 @@ def _(t):
     return A.writable(ledger_of(t)).select("ws", "name", F.array_join(F.array_sort("deps"), ",").alias("deps"))
 
 
+@query("art_ledger_store", f"""WITH {_STATE}
+    SELECT ws, name, kind, {_NEXT}, CASE WHEN action <> 'invalidated' AND s.v > 0 THEN payload END AS payload FROM s
+    WHERE (v > 0 OR action <> 'kept') AND NOT (ws = 'w3' AND kind = 'overview')""")
+def _(t):
+    """Artifacts, a compaction, the outcome of an invalidation and removals; then the state that the store gives."""
+    folder, led = t.work_dir(), ledger_of(t)
+    store.append_artifacts(led, folder, 1)
+    store.compact_ledger(t.spark, folder)
+    store.append_states(A.invalidate(led, t.rel("changed"), F.lit(2100)), folder, 2)
+    store.remove_artifacts(led.where((c("ws") == "w3") & (c("kind") == "overview")), folder, 3)
+    return store.load_ledger(t.spark, folder).select("ws", "name", "kind", "v", "payload")
+
+
 @query("art_facts_version", """
     SELECT source AS ws, CAST(coalesce(max(CASE WHEN quality = 1 THEN n_chars END), 0) AS BIGINT) AS facts_v FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source""")
 def _(t):
@@ -367,11 +382,29 @@ def _(t):
     return pairs.groupBy("session", "request_id").agg(F.min("answer_ts").cast("timestamp_ntz").alias("answer_ts"))
 
 
-@query("st_pending_slot", """
+@query("st_answered_requests", """
+    SELECT event_id AS request_id, ts AS request_ts, ts + to_minutes(event_id % 50) AS answer_ts FROM events
+    WHERE event_type = 'click' AND event_id % 50 BETWEEN 1 AND 30""")
+def _(t):
+    """Requests and answers by id; every request comes twice, some answers after its life."""
+    t.spark.conf.set("spark.sql.session.timeZone", "UTC")
+    asked = stream_events(t).where(c("kind") == "request").select(c("event_id").alias("request_id"), "ts")
+    again = stream_events(t).where(c("kind") == "request").select(c("event_id").alias("request_id"), "ts")
+    answers = stream_events(t).where(c("kind") == "request").select(
+        c("event_id").alias("request_id"), F.timestamp_seconds(F.unix_micros("ts") / 1000000 + c("event_id") % 50 * 60).alias("ts"))
+    found = run_to_table(t, ST.answered_requests(asked.union(again), answers))
+    return found.select("request_id", c("request_ts").cast("timestamp_ntz").alias("request_ts"), c("answer_ts").cast("timestamp_ntz").alias("answer_ts"))
+
+
+#: What the watermark of a stream over all events has passed at its end.
+_PASSED = "epoch_us(ts) // 1000 < (SELECT epoch_us(max(ts)) // 1000 FROM {session_events}{0}) - 1800000"
+
+
+@query("st_pending_slot", f"""
     WITH e AS (SELECT session, event_id, kind, ts, lead(kind) OVER w AS next_kind, lead(ts) OVER w AS next_ts
-      FROM {session_events} WHERE kind IN ('request', 'answer') WINDOW w AS (PARTITION BY session ORDER BY ts, event_id))
+      FROM {{session_events}} WHERE kind IN ('request', 'answer') AND {_PASSED.replace("{0}", " WHERE kind IN ('request', 'answer')")} WINDOW w AS (PARTITION BY session ORDER BY epoch_us(ts) // 1000, event_id))
     SELECT CAST(session AS VARCHAR) AS session, event_id AS request_id FROM e WHERE kind = 'request' AND next_kind = 'answer'
-      AND epoch_ms(next_ts) - epoch_ms(ts) <= 1800000""")
+      AND epoch_us(next_ts) // 1000 - epoch_us(ts) // 1000 <= 1800000""")
 def _(t):
     with_rocksdb(t)
     e = stream_events(t).where(c("kind").isNotNull()).select(
@@ -389,7 +422,15 @@ def _(t):
     return updates_of(t, ST.running_usage(U.with_estimates(s)), ["ws"])
 
 
-@query("st_status_changes")
+@query("st_status_changes", f"""
+    WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, CAST(floor(value / 10) AS BIGINT) AS seq, epoch_us(ts) // 1000 AS "at" FROM events
+        WHERE {_PASSED.replace("{session_events}{0}", "events")}),
+      n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at", seq) AS i FROM e),
+      s AS (SELECT user_id, i, seq, "at", true AS sent FROM n WHERE i = 1 UNION ALL
+        SELECT n.user_id, n.i, CASE WHEN fresh THEN n.seq ELSE s.seq END, CASE WHEN fresh THEN n."at" ELSE s."at" END, fresh
+        FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1,
+          LATERAL (SELECT n."at" - s."at" >= 604800000 OR (n.seq <> s.seq AND n."at" - s."at" >= 3600000) AS fresh))
+    SELECT CAST(user_id AS VARCHAR) AS ws, seq, "at" FROM s WHERE sent""")
 def _(t):
     with_rocksdb(t)
     s = t.stream("events").select(c("user_id").cast("string").alias("ws"), (F.floor(c("value") / 10)).cast("long").alias("seq"),
@@ -407,18 +448,31 @@ def _(t):
     return updates_of(t, ST.active_operations(s), ["ws", "kind"]).where(c("what") == "enter").select("ws", "kind", "started_at")
 
 
-@query("st_invalidate", """
-    SELECT ws, name FROM {ledger} l WHERE kind IN ('core', 'analysis') AND (deps_text IS NULL OR EXISTS (SELECT 1 FROM (SELECT DISTINCT 'w' || (1 + c_nationkey % 5) AS ws, 'n' || (c_custkey % 3) AS id FROM customer) g
-      WHERE g.ws = l.ws AND list_contains(string_split(deps_text, ','), g.id))) AND v IS NOT NULL""")
+def _step(i: int) -> str:
+    """SQL of one batch: l<i> and the changes of nations i modulo 3 to l<i + 1>."""
+    return f"""
+    g{i} AS MATERIALIZED (SELECT DISTINCT 'w' || (1 + c_nationkey % 5) AS ws, 'n' || (c_custkey % 3) AS id FROM customer WHERE c_nationkey % 3 = {i}),
+    e{i} AS MATERIALIZED (SELECT l.*, deps IS NULL OR EXISTS (SELECT 1 FROM g{i} g WHERE g.ws = l.ws AND list_contains(l.deps, g.id)) AS own FROM l{i} l
+      WHERE ws IN (SELECT ws FROM g{i}) AND kind NOT IN ('draw', 'index')),
+    f{i} AS (SELECT DISTINCT ws, kind FROM e{i} WHERE own AND kind NOT IN ('seq-edge', 'flow-subgraph', 'overview')),
+    s{i} AS (SELECT *, own OR kind = 'overview' OR (kind IN ('seq-edge', 'flow-subgraph')
+      AND (ws, CASE kind WHEN 'seq-edge' THEN 'sequence' ELSE 'flow' END) IN (SELECT (ws, kind) FROM f{i})) AS hit FROM e{i}),
+    l{i + 1} AS MATERIALIZED (SELECT ws, name, kind, CASE WHEN hit THEN 0 ELSE 2100 + {i} END AS v, CASE WHEN NOT hit THEN deps END AS deps FROM s{i}
+      UNION ALL SELECT * FROM l{i} WHERE kind IN ('draw', 'index') OR ws NOT IN (SELECT ws FROM g{i}))"""
+
+
+@query("st_invalidate", f"""
+    WITH l0 AS (SELECT ws, name, kind, CAST(v AS BIGINT) AS v, {_DEPS} AS deps FROM {{ledger}} WHERE v > 0), {", ".join(_step(i) for i in range(3))}
+    SELECT ws, name, kind, CAST(v AS BIGINT) AS v FROM l3""")
 def _(t):
-    """A change stream applied to the ledger in micro-batches."""
+    """A change stream of three batches applied to a stored ledger: each batch goes on from the state before it."""
     folder = t.work_dir()
-    changes = t.stream("customer").select(
-        F.concat(F.lit("w"), (1 + c("c_nationkey") % 5).cast("string")).alias("ws"), F.concat(F.lit("n"), (c("c_custkey") % 3).cast("string")).alias("id"))
-    led = ledger_of(t).where(c("kind").isin("core", "analysis") & c("v").isNotNull())
-
-    def apply(rows, number):
-        A.invalidate(led, rows, F.lit(2100)).write.mode("overwrite").parquet(f"{folder}/next/batch={number}")
-    ST.invalidate_on_change(changes, apply, folder + "/state").awaitTermination()
-    state = t.spark.read.schema("ws string, name string, action string").parquet(folder + "/next")
-    return state.where(c("action") == "invalidated").select("ws", "name").distinct()
+    store.append_artifacts(ledger_of(t), folder, 1)
+    store.compact_ledger(t.spark, folder)
+    change = t.table("customer").select(c("c_nationkey"), F.concat(F.lit("w"), (1 + c("c_nationkey") % 5).cast("string")).alias("ws"),
+                                        F.concat(F.lit("n"), (c("c_custkey") % 3).cast("string")).alias("id"))
+    for k in range(3):  # the three together are all customers
+        change.where(c("c_nationkey") % 3 == k).select("ws", "id").coalesce(1).write.mode("append").parquet(folder + "/changes")
+    changes = t.spark.readStream.schema("ws string, id string").option("maxFilesPerTrigger", 1).parquet(folder + "/changes")
+    ST.invalidate_ledger(changes, folder, 2100, folder + "/state", compact_every=2).awaitTermination()
+    return store.load_ledger(t.spark, folder).select("ws", "name", "kind", "v")

@@ -12,6 +12,7 @@ from factspark.functions.rows import exploded, inlined
 from factspark.operators import extract as E
 from factspark.operators import ranking as R
 from factspark.plans.registry import query
+from factspark.sources.listing import scan_workspaces, write_workspaces
 
 c = F.col
 
@@ -27,6 +28,18 @@ def _(t):
     return t.rel("sources").where(P.is_tracked_file(c("path"))).select("ws", "path")
 
 
+@query("src_workspace_tree", """
+    SELECT ws, path, octet_length(encode(content)) AS size, md5(content) AS md5 FROM {sources}
+    WHERE len(list_filter(string_split(path, '/')[:-2], lambda s: s IN ('.git','node_modules','dist','out','test','tests',
+          '__tests__','__mocks__','__snapshots__','spec','specs','testing','testdata','fixtures'))) = 0
+      AND NOT regexp_matches(string_split(path, '/')[-1], '[.](test|spec)[.](c|m)?[jt]sx?$|^test_.*[.]py$|_test[.]py$|(Test|Tests|TestCase)[.]java$')""")
+def _(t):
+    """The files written as a tree of workspaces and read back by the listing source."""
+    root = t.work_dir()
+    write_workspaces(t.rel("sources"), root)
+    return scan_workspaces(t.spark, root, ws_depth=1).select("ws", "path", "size", F.md5("content").alias("md5"))
+
+
 @query("src_collect_cap", """
     SELECT ws, pkg_id, path FROM (
       SELECT ws, pkg_id, path, octet_length(encode(content)) AS size, row_number() OVER (PARTITION BY ws, pkg_id ORDER BY path) AS rn FROM {sources}

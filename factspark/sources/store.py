@@ -3,14 +3,20 @@
 Nothing is overwritten in place.  A snapshot becomes visible through a pointer
 row that is written after all of its data, so an interrupted job leaves the
 previous snapshot current.
+
+The ledger is a log in generations.  A generation begins with a base, the state of every artifact at that time, bucketed by
+``(ws, name)``; writes follow in folders of their own and count once they are committed.  Reading takes the newest
+generation's base and its committed writes, however long the history before it is.  ``compact_ledger`` starts
+the next generation; its pointer is written last.  One job at a time writes a store.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from factspark.operators.artifacts import writable
@@ -19,6 +25,9 @@ SNAPSHOT = "ws string, path string, version string, size long, md5 string"
 POINTER = "ws string, snapshot_id long"
 LEDGER = ("ws string, name string, kind string, lang string, v long, deps array<string>, requires array<string>, "
           "payload string, written_at long, seq long, gone boolean, keys_only boolean")
+BASE = "ws string, name string, kind string, lang string, v long, deps array<string>, requires array<string>, payload string, written_at long, seq long"
+COMMIT = "write long, stream string, batch long"
+GENERATION = "gen long, buckets int, streams map<string,long>"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -60,14 +69,14 @@ def append_artifacts(rows: DataFrame, store: str, at: int) -> None:
     _append(writable(rows), store, at, gone=F.lit(False), keys_only=F.lit(False))
 
 
-def append_states(rows: DataFrame, store: str, at: int) -> None:
+def append_states(rows: DataFrame, store: str, at: int, stream: str | None = None, batch: int | None = None) -> None:
     """Append the outcome of an invalidation: what changed, tombstones included, without payloads.
 
     ``rows`` have the ``action`` that ``invalidate`` names; rows that were kept are not written again, a
-    restamped row only carries its new version.
+    restamped row only carries its new version.  ``stream`` and ``batch`` name the micro-batch that the rows come from.
     """
     moved = rows.where(F.col("action") != "kept").withColumn("payload", F.lit(None).cast("string"))
-    _append(moved, store, at, gone=F.lit(False), keys_only=F.col("action") == "restamped")
+    _append(moved, store, at, gone=F.lit(False), keys_only=F.col("action") == "restamped", stream=stream, batch=batch)
 
 
 def remove_artifacts(rows: DataFrame, store: str, at: int) -> None:
@@ -77,25 +86,98 @@ def remove_artifacts(rows: DataFrame, store: str, at: int) -> None:
     _append(rows.select("ws", "name").withColumns(none), store, at, gone=F.lit(True), keys_only=F.lit(False))
 
 
-def _append(rows: DataFrame, store: str, at: int, gone, keys_only) -> None:
-    stamped = rows.withColumns({"gone": gone, "keys_only": keys_only, "written_at": F.lit(at).cast("long"),
-                                "seq": F.lit(_order(rows.sparkSession)).cast("long")})
-    stamped.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("append").parquet(f"{store}/ledger")
+def _append(rows: DataFrame, store: str, at: int, gone, keys_only, stream: str | None = None, batch: int | None = None) -> None:
+    """Write rows into a folder of their own, then commit it.  What was not committed is never read."""
+    spark = rows.sparkSession
+    seq, now = _order(spark), _generation(spark, store)
+    stamped = rows.withColumns({"gone": gone, "keys_only": keys_only, "written_at": F.lit(at).cast("long"), "seq": F.lit(seq).cast("long")})
+    stamped.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.parquet(f"{store}/ledger/gen={now.gen}/write={seq}")
+    mark = spark.createDataFrame([(seq, stream, batch)], COMMIT)
+    mark.coalesce(1).write.mode("append").parquet(f"{store}/commits/gen={now.gen}")
 
 
-def load_ledger(spark: SparkSession, store: str, history: bool = False) -> DataFrame:
-    """Latest state of every artifact, or with ``history`` every state ever written."""
-    rows = _read(spark, f"{store}/ledger", LEDGER)
-    if history:
-        return rows
+def _generation(spark: SparkSession, store: str) -> Row:
+    """The newest generation: gen (0 before the first compaction), buckets, and the last batch of each stream before it."""
+    found = _read(spark, f"{store}/generations", GENERATION).orderBy(F.col("gen").desc()).limit(1).collect()
+    return found[0] if found else Row(gen=0, buckets=0, streams={})
+
+
+def last_batch(spark: SparkSession, store: str, stream: str) -> int:
+    """The newest committed micro-batch of a stream; -1 before the first."""
+    now = _generation(spark, store)
+    found = _read(spark, f"{store}/commits/gen={now.gen}", COMMIT).where(F.col("stream") == stream).agg(F.max("batch")).first()[0]
+    return max(-1 if found is None else found, (now.streams or {}).get(stream, -1))
+
+
+def _log(spark: SparkSession, store: str, gen: int) -> DataFrame:
+    """Committed writes of a generation; there are as many as were made since its compaction."""
+    writes = sorted(r.write for r in _read(spark, f"{store}/commits/gen={gen}", COMMIT).select("write").collect())
+    if not writes:
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(*[f"{store}/ledger/gen={gen}/write={w}" for w in writes])
+
+
+def _base(spark: SparkSession, store: str, gen: int, buckets: int) -> DataFrame:
+    """The state that a generation began with, as a table bucketed by key: merging the log moves the log only."""
+    if not gen:
+        return spark.createDataFrame([], BASE)
+    name = f"ledger_{hashlib.md5(store.encode()).hexdigest()}_{gen}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({BASE}) USING parquet "
+              f"CLUSTERED BY (ws, name) SORTED BY (ws, name) INTO {buckets} BUCKETS LOCATION '{store}/base/gen={gen}'")
+    return spark.table(name)
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """Newest facts of every key of a log, and the payload that its newest state goes back to (``whole``: the log has it)."""
     # Keys are resolved first; a payload moves once, from the write that the newest state goes back to.
     key = F.struct("written_at", "seq")
-    facts = ["kind", "lang", "v", "deps", "requires", "gone", "keys_only"]
-    newest = rows.groupBy("ws", "name").agg(F.max_by(F.struct(*facts), key).alias("r"),
-                                            F.max(F.when(~F.col("keys_only"), key)).alias("body"))
-    newest = newest.where(~F.col("r.gone")).select("ws", "name", "r.*", F.col("body.written_at").alias("_at"), F.col("body.seq").alias("_seq"))
-    bodies = rows.where(~F.col("keys_only")).select("ws", "name", F.col("written_at").alias("_at"), F.col("seq").alias("_seq"), "payload")
-    return newest.join(bodies, ["ws", "name", "_at", "_seq"], "left").select("ws", "name", "kind", "lang", "v", "deps", "requires", "payload")
+    facts = ["kind", "lang", "v", "deps", "requires", "gone", "written_at", "seq"]
+    newest = rows.groupBy("ws", "name").agg(F.max_by(F.struct(*facts), key).alias("r"), F.max(F.when(~F.col("keys_only"), key)).alias("body"))
+    newest = newest.select("ws", "name", "r.*", F.col("body.written_at").alias("_at"), F.col("body.seq").alias("_seq"))
+    bodies = rows.where(~F.col("keys_only") & F.col("payload").isNotNull()).select(
+        "ws", "name", F.col("written_at").alias("_at"), F.col("seq").alias("_seq"), "payload")
+    return newest.join(bodies, ["ws", "name", "_at", "_seq"], "left").withColumn("whole", F.col("_at").isNotNull()).drop("_at", "_seq")
+
+
+def _current(spark: SparkSession, store: str) -> DataFrame:
+    now = _generation(spark, store)
+    log = _resolved(_log(spark, store, now.gen))
+    if not now.gen:
+        return log.where(~F.col("gone")).select(*[c.split()[0] for c in BASE.split(", ")])
+    news = log.select("ws", "name", *[F.col(c).alias(f"_{c}") for c in log.columns if c not in ("ws", "name")])
+    # The log is dealt out like the base's buckets, so the base stays where it is.
+    both = _base(spark, store, now.gen, now.buckets).join(news.repartition(now.buckets, "ws", "name"), ["ws", "name"], "full_outer")
+    told = F.col("_seq").isNotNull()
+    out = both.where(~F.coalesce("_gone", F.lit(False)))
+    fresh = {c: F.when(told, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("kind", "lang", "v", "deps", "requires", "written_at", "seq")}
+    payload = F.when(F.coalesce("_whole", F.lit(False)), F.col("_payload")).otherwise(F.col("payload"))
+    return out.withColumns({**fresh, "payload": payload}).select(*[c.split()[0] for c in BASE.split(", ")])
+
+
+def load_ledger(spark: SparkSession, store: str, history: bool = False) -> DataFrame:
+    """Latest state of every artifact, or with ``history`` every state ever written."""
+    if not history:
+        return _current(spark, store).drop("written_at", "seq")
+    done = _read(spark, f"{store}/commits", COMMIT).select(F.col("write").alias("seq"))
+    return _read(spark, f"{store}/ledger", LEDGER).join(done, "seq", "left_semi").select(*[c.split()[0] for c in LEDGER.split(", ")])
+
+
+def compact_ledger(spark: SparkSession, store: str, buckets: int | None = None) -> int:
+    """Start a new generation from the current state; returns its number.
+
+    The base is written before the pointer: until that is there, readers and writers go on with the generation before.
+    """
+    before = _generation(spark, store)
+    gen = _order(spark)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    streams = {r.stream: r.batch for r in _read(spark, f"{store}/commits/gen={before.gen}", COMMIT)
+               .where(F.col("stream").isNotNull()).groupBy("stream").agg(F.max("batch").alias("batch")).collect()}
+    rows = _current(spark, store).repartition(buckets, "ws", "name")
+    name = f"ledger_{hashlib.md5(store.encode()).hexdigest()}_{gen}"
+    rows.write.format("parquet").bucketBy(buckets, "ws", "name").sortBy("ws", "name").option("path", f"{store}/base/gen={gen}").saveAsTable(name)
+    pointer = spark.createDataFrame([(gen, buckets, {**(before.streams or {}), **streams})], GENERATION)
+    pointer.coalesce(1).write.mode("append").parquet(f"{store}/generations")
+    return gen
 
 
 def append_usage(calls: DataFrame, store: str) -> None:

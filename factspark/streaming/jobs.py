@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from factspark.functions.text import text_blocks, trimmed
+from factspark.operators.artifacts import invalidate
+from factspark.session import cut_lineage
+from factspark.sources import store
 
 LIFE = "30 minutes"
 DAY_MS = 86_400_000
@@ -55,80 +58,108 @@ def running_usage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("ws").agg(F.count("*").alias("calls"), F.sum("est_in").alias("est_in"), F.sum("est_out").alias("est_out"))
 
 
-def in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    """A key's rows of one batch by time, without the columns that are not needed.
+class _InOrder(StatefulProcessor):
+    """Hands each key's events to ``step`` in the order of their time, whatever batches they came in.
 
-    Their order decides, so they are held together: a few numbers an event.  Bound the batch
-    (``maxFilesPerTrigger``) to bound them.
+    An event waits in the state until the watermark has passed it; nothing earlier is accepted from then on.  So
+    the same events give the same rows however they are cut into batches, and what is held of a key is bounded by
+    the delay of the watermark, not by the batch.  ``step(held, event)`` returns what is held next and a row or None;
+    ``forget_at(held)`` is the time from which what is held says nothing any more.
     """
-    return pd.concat([r[columns] for r in rows]).sort_values(columns[:2])
 
-
-class _PendingSlot(StatefulProcessor):
-    """One pending request per session: a newer one replaces it, an answer takes it, time drops it."""
-
-    def __init__(self, life_ms: int, keep_ms: int):
-        self.life_ms, self.keep_ms = life_ms, keep_ms
+    columns: list[str]
+    event_schema: str
+    held_schema: str
+    result: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.slot = handle, handle.getValueState("slot", "request_id long, at long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.event_schema)
+        self.held = handle.getValueState("held", self.held_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            events = [tuple(v.item() if hasattr(v, "item") else v for v in e) for e in frame[self.columns].itertuples(index=False, name=None)]
+            if events:
+                self.waiting.appendList(events)
+                earliest = min(events)[0]
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        return iter([])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = in_order(rows, ["at", "event_id", "kind"])
-        held = self.slot.get() if self.slot.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        events = sorted(self.waiting.get()) if self.waiting.exists() else []
+        held = self.held.get() if self.held.exists() else None
+        passed = [e for e in events if e[0] < now]
         out = []
-        for at, kind, event in zip(frame["at"], frame["kind"], frame["event_id"]):
-            if kind == "request":
-                held = (int(event), int(at))
-            elif held is not None:
-                if at - held[1] <= self.life_ms:
-                    out.append((key[0], held[0], held[1], int(at)))
-                held = None
+        for event in passed:
+            held, row = self.step(held, event)
+            if row is not None:
+                out.append((key[0], *row))
+        if passed:
+            rest = events[len(passed):]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] + 1)
+            else:
+                self.waiting.clear()
+        if held is not None and self.forget_at(held) <= now:
+            held = None
         if held is None:
-            self.slot.clear()
+            self.held.clear()
         else:
-            self.slot.update((held[0], held[1]))
-            self.handle.registerTimer(held[1] + self.keep_ms)
-        yield pd.DataFrame(out, columns=["session", "request_id", "request_at", "answer_at"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.slot.exists() and self.slot.get()[1] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.slot.clear()
-        return iter([])
+            self.held.update(held)
+            self.handle.registerTimer(self.forget_at(held))
+        if out:
+            yield pd.DataFrame(out, columns=self.result)
 
     def close(self) -> None:
         pass
 
 
-class _StatusChanges(StatefulProcessor):
+class _PendingSlot(_InOrder):
+    """One pending request per session: a newer one replaces it, an answer takes it, time drops it."""
+
+    columns, event_schema = ["at", "event_id", "kind"], "at long, event_id long, kind string"
+    held_schema, result = "request_id long, at long", ["session", "request_id", "request_at", "answer_at"]
+
+    def __init__(self, life_ms: int):
+        self.life_ms = life_ms
+
+    def step(self, held, event):
+        at, number, kind = event
+        if kind == "request":
+            return (number, at), None
+        if held is not None and at - held[1] <= self.life_ms:
+            return None, (held[0], held[1], at)
+        return None, None
+
+    def forget_at(self, held) -> int:
+        return held[1] + self.life_ms + 1
+
+
+class _StatusChanges(_InOrder):
     """Emit a status when its sequence number moved and the last emission is old enough."""
 
+    columns, event_schema = ["at", "seq"], "at long, seq long"
+    held_schema, result = "seq long, at long", ["ws", "seq", "at"]
+
     def __init__(self, gap_ms: int, keep_ms: int):
         self.gap_ms, self.keep_ms = gap_ms, keep_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "seq long, at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = in_order(rows, ["at", "seq"])
-        seq, at = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for now, value in zip(frame["at"], frame["seq"]):
-            if value != seq and (at is None or now - at >= self.gap_ms):
-                seq, at = int(value), int(now)
-                out.append((key[0], seq, at))
-        if seq is not None:
-            self.last.update((seq, at))
-            self.handle.registerTimer(at + self.keep_ms)
-        yield pd.DataFrame(out, columns=["ws", "seq", "at"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self.last.get()[1] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
-        return iter([])
+    def step(self, held, event):
+        now, seq = event
+        if held is not None and now - held[1] >= self.keep_ms:
+            held = None
+        if held is None or (seq != held[0] and now - held[1] >= self.gap_ms):
+            return (seq, now), (seq, now)
+        return held, None
 
-    def close(self) -> None:
-        pass
+    def forget_at(self, held) -> int:
+        return held[1] + self.keep_ms
 
 
 def timed(rows: DataFrame, late: str = LIFE) -> DataFrame:
@@ -136,22 +167,24 @@ def timed(rows: DataFrame, late: str = LIFE) -> DataFrame:
     return rows.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", late)
 
 
-def pending_slots(events: DataFrame, life_ms: int = 1_800_000, keep_ms: int = DAY_MS) -> DataFrame:
+def pending_slots(events: DataFrame, life_ms: int = 1_800_000, late: str = LIFE) -> DataFrame:
     """``events(session, event_id, kind, at)`` to consumed requests, one slot per session.
 
-    Events without a session share the slot ''.  A timer of event time forgets a request ``keep_ms`` old.
+    Events without a session share the slot ''.  Events count in the order of their time (ties: by id) once the watermark, ``late``
+    behind the newest event, has passed them; later ones are dropped.
     """
-    named = timed(events.withColumn("session", F.coalesce("session", F.lit(""))))
+    named = timed(events.withColumn("session", F.coalesce("session", F.lit(""))), late)
     return named.groupBy("session").transformWithStateInPandas(
-        _PendingSlot(life_ms, keep_ms), "session string, request_id long, request_at long, answer_at long", "Append", "EventTime")
+        _PendingSlot(life_ms), "session string, request_id long, request_at long, answer_at long", "Append", "EventTime")
 
 
-def status_changes(statuses: DataFrame, gap_ms: int = 150, keep_ms: int = 7 * DAY_MS) -> DataFrame:
+def status_changes(statuses: DataFrame, gap_ms: int = 150, keep_ms: int = 7 * DAY_MS, late: str = LIFE) -> DataFrame:
     """``statuses(ws, seq, at)`` thinned to changes, at most one per gap and workspace.
 
-    A workspace silent for ``keep_ms`` is forgotten; its next status counts as a change.
+    Statuses count in the order of their time (ties: by seq) once the watermark, ``late`` behind the newest, has passed them.
+    After ``keep_ms`` an emitted status is forgotten; the next one counts as a change.
     """
-    return timed(statuses).groupBy("ws").transformWithStateInPandas(
+    return timed(statuses, late).groupBy("ws").transformWithStateInPandas(
         _StatusChanges(gap_ms, keep_ms), "ws string, seq long, at long", "Append", "EventTime")
 
 
@@ -183,3 +216,23 @@ def invalidate_on_change(changes: DataFrame, apply: Callable[[DataFrame, int], N
     def batch(rows: DataFrame, number: int) -> None:
         apply(rows.select("ws", "id").distinct(), number)
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def invalidate_ledger(changes: DataFrame, folder: str, version: int, checkpoint: str, stream: str = "changes", compact_every: int | None = None):
+    """Start a query that applies each batch of changed packages ``(ws, id)`` to the ledger in a store, one after the other.
+
+    A batch reads the state that the one before it left and commits its outcome, with version ``version`` plus its number,
+    under its own name: a batch that is tried again after its commit changes nothing, and what it wrote before a failure is
+    never read.  Workspaces without a change keep their rows.  Every ``compact_every`` batches a new generation begins.
+    """
+    def apply(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        if number <= store.last_batch(spark, folder, stream):
+            return
+        changed = cut_lineage(rows)
+        ledger = store.load_ledger(spark, folder).withColumn("payload", F.lit(None).cast("string"))
+        active = ledger.join(changed.select("ws").distinct(), "ws", "left_semi")
+        store.append_states(invalidate(active, changed, F.lit(version + number)), folder, version + number, stream, number)
+        if compact_every and (number + 1) % compact_every == 0:
+            store.compact_ledger(spark, folder)
+    return invalidate_on_change(changes, apply, checkpoint)

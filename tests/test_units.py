@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyarrow import fs
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from factspark.operators import ranking as R
 from factspark.operators import snapshot as S
 from factspark.operators import usage as U
 from factspark.plans.rescan import rescan
+from factspark.sources import listing as LS
 from factspark.sources import files as FS
 from factspark.sources import store
 
@@ -174,11 +176,78 @@ def test_rebuild_after_rescan_and_vanished_workspace(spark, tmp_path):
     assert {r.change for r in again["diff"].collect()} == {"unchanged"}
 
 
+def files_read(df):
+    return sorted(df.inputFiles())
+
+
+def test_compacted_ledger(spark, tmp_path):
+    """Generations equal the whole log; what is read does not grow with the history; an interrupted step changes nothing."""
+    rng, folder = random.Random(4), f"file://{tmp_path}/store"
+    schema = LEDGER
+    plain, counts = {}, []
+    for step in range(1, 7):
+        keys = rng.sample([("w", f"a{i}") for i in range(12)] + [("x", f"a{i}") for i in range(4)], 5)
+        rows = [(w, n, "core", "en", step, [n], ["seq"], f"p{step}{n}") for w, n in keys]
+        store.append_artifacts(spark.createDataFrame(rows, schema), folder, step)
+        plain.update({(r[0], r[1]): (step, r[7]) for r in rows})
+        moved = rng.sample(sorted(plain), 4)
+        states = spark.createDataFrame([(*k, "core", "en", 0 if i < 2 else 50 + step, None if i < 2 else ["z"], None, None, "invalidated" if i < 2 else "restamped") for i, k in enumerate(moved)],
+                                       schema + ", action string")
+        store.append_states(states, folder, step)
+        for i, k in enumerate(moved):
+            plain[k] = (0, None) if i < 2 else (50 + step, plain[k][1])
+        gone = rng.choice(sorted(plain))
+        store.remove_artifacts(spark.createDataFrame([gone], "ws string, name string"), folder, step)
+        del plain[gone]
+        if step % 2 == 0:
+            before = store._generation(spark, folder).gen
+            store.compact_ledger(spark, folder, buckets=3)
+            # A compaction that stopped before its pointer, and a write before its commit, are never read.
+            store._current(spark, folder).limit(1).write.parquet(f"{folder}/base/gen={before + 1}")
+            spark.createDataFrame(rows, schema).write.parquet(f"{folder}/ledger/gen={store._generation(spark, folder).gen}/write=1")
+        state = store.load_ledger(spark, folder)
+        assert {(r.ws, r.name): (r.v, r.payload) for r in state.collect()} == plain
+        counts.append(len(files_read(store._log(spark, folder, store._generation(spark, folder).gen))))
+    assert counts[1] == counts[3] == counts[5] == 0 and max(counts[2:]) <= counts[0]
+    assert store.load_ledger(spark, folder, history=True).count() == 6 * (5 + 4 + 1)
+    store.append_artifacts(spark.createDataFrame([("w", "a1", "core", "en", 9, [], [], "new")], schema), folder, 9)
+    plan = store.load_ledger(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    left = plan[plan.index("SortMergeJoin"):plan.index("Bucketed: true")]
+    assert "Exchange" not in left  # nothing moves the base to the join
+
+
+def test_ledger_stream_goes_on_from_its_state(spark, tmp_path):
+    """The second batch sees what the first left, and a batch tried again changes nothing."""
+    from factspark.streaming import jobs as ST
+    folder = f"{tmp_path}/store"
+    rows = [("w", "flow-1", "flow", "en", 10, ["a"], [], "1"), ("w", "core-1", "core", "en", 10, ["b"], [], "2"), ("w", "sub-1", "flow-subgraph", "en", 10, ["c"], [], "3"),
+            ("x", "core-2", "core", "en", 10, ["a"], [], "4")]
+    store.append_artifacts(spark.createDataFrame(rows, LEDGER), folder, 1)
+    state = lambda: {r.name: (r.v, r.payload) for r in store.load_ledger(spark, folder).collect()}
+
+    def changes(*parts):
+        for part in parts:
+            spark.createDataFrame(part, "ws string, id string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        return spark.readStream.schema("ws string, id string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+    ST.invalidate_ledger(changes([("w", "b")]), folder, 100, f"{tmp_path}/state").awaitTermination()
+    assert state() == {"flow-1": (100, "1"), "core-1": (0, None), "sub-1": (100, "3"), "core-2": (10, "4")}
+    ST.invalidate_ledger(changes([("w", "a")], [("w", "z")]), folder, 100, f"{tmp_path}/state", compact_every=2).awaitTermination()
+    # Batch 1 takes the family with it; in batch 2 its tombstone, which depends on everything, still does.
+    want = {"flow-1": (0, None), "core-1": (0, None), "sub-1": (0, None), "core-2": (10, "4")}
+    assert state() == want and store.last_batch(spark, folder, "changes") == 2
+    # A new checkpoint numbers the same files again: all are known.
+    before = store.load_ledger(spark, folder, history=True).count()
+    ST.invalidate_ledger(changes(), folder, 100, f"{tmp_path}/again").awaitTermination()
+    assert state() == want and store.load_ledger(spark, folder, history=True).count() == before
+
+
 def test_store_reports_other_faults(spark, tmp_path):
     spark.range(2).selectExpr("'x' AS ws").write.parquet(f"{tmp_path}/usage/part=1")
-    spark.range(2).write.json(f"{tmp_path}/ledger")
-    with pytest.raises(Exception):
-        store.load_ledger(spark, str(tmp_path)).collect()
+    for part in ("commits/gen=0", "generations"):
+        spark.range(2).write.json(f"{tmp_path}/{part}")
+        with pytest.raises(Exception):
+            store.load_ledger(spark, str(tmp_path)).collect()
     assert store.load_snapshot(spark, str(tmp_path)).count() == 0
 
 
@@ -201,6 +270,82 @@ def test_read_workspaces(spark, tmp_path):
     assert tuples(rows.select("ws", "path", "content")) == [("w1", "src/a.ts", "text é"), ("w2", "README.md", "text é")]
 
 
+class Recording(fs.FileSystemHandler):
+    """A local file system that notes what is listed and opened."""
+
+    def __init__(self):
+        self.inner, self.listed, self.opened = fs.LocalFileSystem(), [], []
+
+    def get_file_info_selector(self, selector):
+        self.listed.append(selector.base_dir)
+        return self.inner.get_file_info(selector)
+
+    def open_input_stream(self, path):
+        self.opened.append(path)
+        return self.inner.open_input_stream(path)
+
+    def get_type_name(self):
+        return "recording"
+
+    def _unused(self, *args):
+        raise NotImplementedError
+
+    get_file_info = create_dir = delete_dir = delete_dir_contents = delete_root_dir_contents = delete_file = _unused
+    move = copy_file = open_input_file = open_output_stream = open_append_stream = normalize_path = _unused
+
+
+TREE = ["w1/src/a.ts", "w1/src/deep/b.py", "w1/node_modules/x/c.ts", "w1/a.test.ts", "w1/tests/d.ts", "w1/.cache/e.ts", "w2/lib/f.ts", "w2/README.md"]
+
+
+@pytest.fixture
+def tree(tmp_path):
+    for rel in TREE:
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_text(f"text é {rel}")
+    return str(tmp_path)
+
+
+def walked(root, filters=(), **options):
+    reader = LS.WorkspaceReader({"path": root, "ws_depth": "1", "cache_dir": ".cache", **options})
+    reader.pushFilters(list(filters))
+    handler = Recording()
+    rows = [r for b in reader.walk().batches(fs.PyFileSystem(handler), root, LS.Folder("", True), True) for r in b.to_pylist()]
+    return sorted((r["ws"], r["path"]) for r in rows), [x.removeprefix(root).strip("/") for x in handler.listed], [x.removeprefix(root).strip("/") for x in handler.opened]
+
+
+def test_skipped_folders_are_never_listed_or_opened(tree):
+    rows, listed, opened = walked(tree)
+    assert rows == [("w1", "src/a.ts"), ("w1", "src/deep/b.py"), ("w2", "README.md"), ("w2", "lib/f.ts")]
+    assert sorted(listed) == ["", "w1", "w1/src", "w1/src/deep", "w2", "w2/lib"]
+    assert sorted(opened) == ["w1/src/a.ts", "w1/src/deep/b.py", "w2/README.md", "w2/lib/f.ts"]
+    from pyspark.sql.datasource import EqualTo, In, StringStartsWith
+    rows, listed, opened = walked(tree, [EqualTo(("ws",), "w1"), StringStartsWith(("path",), "src/d")])
+    assert (rows, sorted(listed), opened) == ([("w1", "src/deep/b.py")], ["", "w1", "w1/src", "w1/src/deep"], ["w1/src/deep/b.py"])
+    rows, listed, opened = walked(tree, [In(("path",), ("lib/f.ts", None, "lib/g.ts"))], names="*.ts", skip="src")
+    assert (rows, sorted(listed), opened) == ([("w2", "lib/f.ts")], ["", "w1", "w2", "w2/lib"], ["w2/lib/f.ts"])
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 64])
+def test_listing_source(spark, tree, partitions):
+    every = LS.scan_workspaces(spark, f"file://{tree}", ws_depth=1, cache_dir=".cache", partitions=partitions)
+    assert tuples(every.select("ws", "path", "content")) == [(w, p, f"text é {w}/{p}") for w, p in walked(tree)[0]]
+    assert tuples(every.where("ws = 'w1' and startswith(path, 'src/deep')").select("path")) == [("src/deep/b.py",)]
+    assert every.where("ws = 'none'").count() == 0
+    listed = LS.scan_workspaces(spark, tree, ws_depth=1, content="false", names="*.md")
+    assert tuples(listed.select("path", "size", "content")) == [("README.md", len(f"text é w2/README.md".encode()), None)]
+    flat = LS.scan_workspaces(spark, tree + "/w2", partitions=partitions)
+    assert tuples(flat.select("ws", "path")) == [(tree + "/w2", "README.md"), (tree + "/w2", "lib/f.ts")]
+
+
+def test_written_tree_reads_back(spark, tmp_path):
+    files = spark.createDataFrame([("w1", "a/b.ts", "one"), ("w1", "c.py", None), ("w2", "a/b.ts", "é")], "ws string, path string, content string")
+    for _ in range(2):  # a second write replaces the files
+        LS.write_workspaces(files, f"file://{tmp_path}/out")
+    assert tuples(LS.scan_workspaces(spark, f"{tmp_path}/out", ws_depth=1).select("ws", "path", "content")) == [("w1", "a/b.ts", "one"), ("w1", "c.py", ""), ("w2", "a/b.ts", "é")]
+    with pytest.raises(Exception, match="not a path below a workspace"):
+        LS.write_workspaces(spark.createDataFrame([("w1", "../b.ts", "x")], "ws string, path string, content string"), f"{tmp_path}/out")
+
+
 # --------------------------------------------------------------------- ledger
 
 LEDGER = "ws string, name string, kind string, lang string, v long, deps array<string>, requires array<string>, payload string"
@@ -452,10 +597,35 @@ def test_natural_order_and_next_number(spark):
 
 # -------------------------------------------------------------------- streams
 
-def test_status_changes_equals_loop(spark, tmp_path):
+def stream_of(spark, folder, parts, schema):
+    """A stream that takes the parts one a batch, in order."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def run_stream(spark, stream, folder):
+    running = (stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+               .trigger(availableNow=True).start())
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def cut_up(rows, parts, rng):
+    """The rows in random order, dealt to so many parts."""
+    rows = rng.sample(rows, len(rows))
+    return [p for p in (rows[k::parts] for k in range(parts)) if p]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_status_changes_in_any_batches(spark, rocksdb, tmp_path, parts):
+    """Events cut into batches out of order give the rows of one loop over all of them by time."""
     from factspark.streaming.jobs import status_changes
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rng = random.Random(5)
     rows, want = [], []
     for ws in ("a", "b", "c"):
@@ -467,13 +637,53 @@ def test_status_changes_equals_loop(spark, tmp_path):
             if last is None or (seq != last[0] and at - last[1] >= 150):
                 last = (seq, at)
                 want.append((ws, seq, at))
-    schema = "ws string, seq long, at long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = status_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    running = (out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
-               .option("path", str(tmp_path / "out")).trigger(availableNow=True).start())
-    running.awaitTermination()
-    assert tuples(spark.read.schema(schema).parquet(str(tmp_path / "out"))) == sorted(want)
+    stream = stream_of(spark, tmp_path, [*cut_up(rows, parts, rng), [("end", 0, 10 ** 8)]], "ws string, seq long, at long")
+    assert tuples(run_stream(spark, status_changes(stream), tmp_path)) == sorted(want)
+
+
+def test_pending_slot_in_any_batches(spark, rocksdb, tmp_path):
+    """An answer that comes a batch before its request still finds it; what the watermark has not passed waits."""
+    from factspark.streaming.jobs import pending_slots
+    rng = random.Random(6)
+    rows, want = [], []
+    for session in ("s", "t", None):
+        at, held = 1, None
+        for _ in range(40):
+            at += rng.randint(1, 900)
+            kind = rng.choice(["request", "answer"])
+            rows.append((session, len(rows), kind, at))
+            if kind == "request":
+                held = (len(rows) - 1, at)
+            else:
+                if held and at - held[1] <= 1000:
+                    want.append((session or "", *held, at))
+                held = None
+    # At the end the watermark stands at 60,000 ms: what comes later than that stays in the state.
+    last = [("end", 998, "request", 1_860_000), ("s", 999, "answer", 100_000)]
+    stream = stream_of(spark, tmp_path, [*cut_up(rows, 5, rng), last], "session string, event_id long, kind string, at long")
+    assert tuples(run_stream(spark, pending_slots(stream, 1000), tmp_path)) == sorted(want)
+
+
+def test_as_of_looks_back_over_buckets(spark):
+    """Counters sampled at times of their own, single ones left out, equal a plain look-back."""
+    rng = random.Random(9)
+    told = [(k, rng.randint(0, 400_000), *(rng.choice([None, rng.randint(0, 99)]) for _ in range(2))) for k in "uv" for _ in range(60)]
+    told = list({(r[0], r[1]): r for r in told}.values())
+    asked = [(k, rng.randint(-5, 500_000)) for k in "uvw" for _ in range(50)] + [told[0][:2]]
+    counters = spark.createDataFrame(told, "k string, ts long, a long, b long")
+    got = {(r.k, r.ts): (r.a, r.b) for r in U.as_of(spark.createDataFrame(asked, "k string, ts long"), counters, "k", ["a", "b"], bucket_seconds=3600).collect()}
+
+    def known(key, at, place):
+        return next((r[place] for r in sorted(told, key=lambda r: -r[1]) if r[0] == key and r[1] <= at and r[place] is not None), None)
+    assert got == {(k, at): (known(k, at, 2), known(k, at, 3)) for k, at in asked}
+
+
+def test_counter_delta_looks_back(spark):
+    counters = spark.createDataFrame([("s", 5, 10, 1, 0, 3), ("s", 90_000, 25, 1, 0, 2), ("t", 50, 4, 0, 0, 0)],
+                                     "session string, ts long, uncached long, cache_read long, cache_write long, output long")
+    pairs = spark.createDataFrame([("s", 1, 6, 90_001), ("s", 2, 4, 90_001), ("s", 3, 6, 7), ("t", 4, 60, 70)], "session string, event_id long, ts long, answer_ts long")
+    # Not known at the request (2), nothing moved (3, 4): dropped.
+    assert tuples(U.counter_delta(pairs, counters).select("session", "event_id", "input", "delta_output")) == [("s", 1, 15, 0)]
 
 
 def test_one_workspace_with_most_rows(spark):
@@ -485,7 +695,8 @@ def test_one_workspace_with_most_rows(spark):
         F.lit("f").alias("file"))
     edges = G.aggregate_edges(rows)
     assert edges.agg(F.sum("calls")).first()[0] == 30000
-    assert {(r.symbols, len(r.syms)) for r in edges.where("ws = 'hot'").collect()} == {(11, 8)}
+    assert {(r.symbols, len(r.syms)) for r in edges.where("ws = 'hot'").collect()} == {(11, 11)}
+    assert {(r.symbols, len(r.syms)) for r in G.aggregate_edges(rows, evidence=8).where("ws = 'hot'").collect()} == {(11, 8)}
     assert R.top_n(rows, ["ws"], ["ord"], 5).where("ws = 'hot'").count() == 5
     plan = R.top_n(rows, ["ws"], ["ord"], 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # once before the shuffle, once after
