@@ -39,9 +39,9 @@ MARK = r"[.!?:;,\x{2026}\x{3002}\x{ff01}\x{ff1f}\x{061f}]"
 _CAPTION = (r"home|about( us)?|contact( us)?|login|log in|sign (in|up)|register|menu|search|next|previous|back|"
             r"share|site ?map|help|faq|read more|skip to content|top")
 _BETWEEN = r"[\s|>/\x{00bb}\x{2022}\x{00b7}-]"
-#: Link captions and separators.  What remains of a navigation line without them is empty; to match the line as a whole would
+#: A line that begins with a link caption, and captions and separators.  What remains of a navigation line without these is empty; to match the line as a whole would
 #: repeat a group, which costs the JVM's regular expressions a stack frame a caption.
-CAPTION, NAVIGATION_PART = f"(?i){_CAPTION}", f"(?i){_CAPTION}|{_BETWEEN}+"
+CAPTION, NAVIGATION_PART = f"(?i)^{_BETWEEN}*({_CAPTION})", f"(?i){_CAPTION}|{_BETWEEN}+"
 NAVIGATION = f"(?i)^{_BETWEEN}*(({_CAPTION}){_BETWEEN}*)+$"
 BOILERPLATE = (r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|use(s)? cookies|enable javascript|"
                r"javascript (is )?(disabled|required)|lorem ipsum|subscribe to our newsletter|click here to|powered by wordpress)")
