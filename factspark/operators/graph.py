@@ -194,10 +194,13 @@ def degrees(edges: DataFrame) -> DataFrame:
         F.sum("e.i").alias("cited_by"), F.sum("e.o").alias("cites"))
 
 
-def roles(edges: DataFrame, hub: int = 2, entry: int = 2) -> DataFrame:
-    role = (F.when(F.col("cited_by") >= hub, "hub")
+def role_of(hub: int = 2, entry: int = 2) -> Column:
+    return (F.when(F.col("cited_by") >= hub, "hub")
             .when((F.col("cited_by") == 0) & (F.col("cites") >= entry), "entry").otherwise("leaf"))
-    return degrees(edges).withColumn("role", role)
+
+
+def roles(edges: DataFrame, hub: int = 2, entry: int = 2) -> DataFrame:
+    return degrees(edges).withColumn("role", role_of(hub, entry))
 
 
 def undirected_pairs(edges: DataFrame) -> DataFrame:
@@ -266,6 +269,26 @@ def pair_evidence(pairs: DataFrame, calls: DataFrame, by_symbol: int | None = No
     return first.unionByName(rest)
 
 
+def evidence_classes(pairs: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``pair_evidence`` lists, without the product of pairs and calls.
+
+    Calls with a symbol, and calls of a package, are a class; a pair refers to classes.  The first result has one row a pair and class,
+    ``(ws, pair_id, via, key, calls)`` with the number of calls, the second one row a class and call, ``(ws, via, key, ord,
+    caller, callee, file)``, of the classes that pairs refer to.  Joined on ``(ws, via, key)`` and made distinct they are the
+    rows of ``pair_evidence``; by themselves they are as many as there are symbols of pairs and calls.
+    """
+    rest = ["ord", "caller", "callee", "file"]
+    named = calls.select("ws", F.lit("symbol").alias("via"), F.explode(F.array_distinct(F.array("caller", "callee"))).alias("key"), *rest)
+    members = named.unionByName(calls.select("ws", F.lit("package").alias("via"), F.col("src").alias("key"), *rest)).where("key IS NOT NULL")
+    sizes = members.groupBy("ws", "via", "key").agg(F.count("*").alias("calls"))
+    wanted = pairs.select("ws", "pair_id", F.lit("symbol").alias("via"), F.explode(F.array_distinct("symbols")).alias("key")).distinct()
+    first = wanted.join(sizes, ["ws", "via", "key"])
+    bare = pairs.join(first.select("ws", "pair_id").distinct(), ["ws", "pair_id"], "left_anti")
+    owns = bare.select("ws", "pair_id", F.lit("package").alias("via"), F.explode(F.array_distinct(F.array("src", "dst"))).alias("key")).distinct()
+    links = first.unionByName(owns.join(sizes, ["ws", "via", "key"])).select("ws", "pair_id", "via", "key", "calls")
+    return links, members.join(links.select("ws", "via", "key").distinct(), ["ws", "via", "key"], "left_semi").select("ws", "via", "key", *rest)
+
+
 def first_tier(df: DataFrame, key: str = "ws", tier: str = "tier") -> DataFrame:
     """Per workspace only the rows of the best tier present."""
     best = df.groupBy(key).agg(F.min(tier).alias("_t"))
@@ -402,9 +425,13 @@ def node_metadata(messages: DataFrame, packages: DataFrame, entities: DataFrame)
     the package directory.
     """
     met = roles(messages.select("ws", "src", "dst"))
+    return met.join(node_paths(packages, entities), ["ws", "id"], "left").select(
+        "ws", "id", "role", "cited_by", "cites", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def node_paths(packages: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(ws, id, path)``: the first entry file, else the first file with an entity, else the package directory."""
     files = (entities.where(F.col("file") != "").groupBy("ws", F.col("pkg_id").alias("id"))
              .agg(F.min(F.struct("ord", "file")).alias("_f")))
     own = packages.select("ws", F.col("pkg_id").alias("id"), F.get("entry_files", F.lit(0)).alias("_e"), "path")
-    return (met.join(own, ["ws", "id"], "left").join(files, ["ws", "id"], "left")
-            .select("ws", "id", "role", "cited_by", "cites",
-                    F.coalesce("_e", P.norm_path(F.col("_f.file")), "path", F.lit("")).alias("path")))
+    return own.join(files, ["ws", "id"], "full_outer").select("ws", "id", F.coalesce("_e", P.norm_path(F.col("_f.file")), "path").alias("path"))

@@ -24,7 +24,7 @@ _A, _B, _X, _Y, _P = "(o_custkey % 25)", "((o_custkey + 1) % 25)", "(o_custkey %
 # ---------------------------------------------------------------- extraction
 
 def records(t, language: str | None = None):
-    files = t.rel("sources")
+    files = t.rel("sources", row_bytes=1000)
     return E.extract_records(files if language is None else files.where(c("language") == language))
 
 
@@ -117,7 +117,7 @@ def _(t):
       e AS (SELECT ws, node, 'endpoint' AS kind, '/o' || o_orderkey AS value, row_number() OVER (PARTITION BY ws, node ORDER BY pos) AS ord FROM f)
     SELECT DISTINCT ws, node, 'stereotype' AS kind, 'Service' AS value, CAST(1 AS BIGINT) AS ord FROM f UNION ALL SELECT * FROM e""")
 def _(t):
-    files = t.rel("sources").where(c("language") == "java").select("ws", c("pkg_id").alias("node"), "path", "content")
+    files = t.rel("sources", row_bytes=1000).where(c("language") == "java").select("ws", c("pkg_id").alias("node"), "path", "content")
     return E.annotation_profile(files)
 
 
@@ -280,7 +280,7 @@ def _(t):
 # -------------------------------------------------------------- prose checks
 
 def docs(t):
-    return t.rel("prose").select("ws", "doc", "text")
+    return t.rel("prose", row_bytes=1000).select("ws", "doc", "text")
 
 
 def truth(t):
@@ -345,7 +345,7 @@ def gate_report(t):
 @query("gate_cited", f"""SELECT doc, '@corp/n' || {_Y} AS name, CAST(1 AS BIGINT) AS first_ord FROM {{prose}} p WHERE o_orderkey % 6 <> 0
     AND (ws, {_Y}) IN (SELECT (ws, o_custkey % 40) FROM {{prose}})""")
 def _(t):
-    return Q.cited_packages(t.rel("prose").select("ws", "doc", "text"), truth(t)[0]).select("doc", "name", "first_ord")
+    return Q.cited_packages(t.rel("prose", row_bytes=1000).select("ws", "doc", "text"), truth(t)[0]).select("doc", "name", "first_ord")
 
 
 @query("gate_accept", """
@@ -394,7 +394,7 @@ def _(t):
 
 @query("json_outermost", "SELECT id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0 THEN id END AS found FROM {answers}")
 def _(t):
-    return t.rel("answers").select("id", F.get_json_object(J.outermost_object(c("text")), "$.figId").alias("found"))
+    return t.rel("answers", row_bytes=1000).select("id", F.get_json_object(J.outermost_object(c("text")), "$.figId").alias("found"))
 
 
 @query("json_outermost_array", "SELECT doc_id, len(string_split(text, ' ')) AS items FROM documents")
@@ -407,14 +407,14 @@ def _(t):
 @query("json_balanced", "SELECT id, CASE WHEN o_orderkey % 8 <> 0 THEN id END AS found FROM {answers}")
 def _(t):
     body = J.balanced_object()(c("text"), c("id"))
-    return t.rel("answers").select("id", F.get_json_object(body, "$.figId").alias("found"))
+    return t.rel("answers", row_bytes=1000).select("id", F.get_json_object(body, "$.figId").alias("found"))
 
 
 @query("json_sanitize_messages", f"""
     SELECT id, 'n' || {_P} AS src, 'n' || {_X} AS dst, 'go ' || {_A} AS label FROM {{answers}} WHERE o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0 AND {_P} <> {_X}""")
 def _(t):
     n = lambda k: F.concat(F.lit("n"), (c("o_custkey") % k).cast("string"))
-    a = t.rel("answers").withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.seqMessages"), J.MESSAGES_JSON))
+    a = t.rel("answers", row_bytes=1000).withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.seqMessages"), J.MESSAGES_JSON))
     return inlined(a, ["id"], J.clean_messages(c("raw"), F.array(n(40), n(13))), "src")
 
 
@@ -422,7 +422,7 @@ def _(t):
     SELECT id, 'e' || {_A} AS event, CASE o_orderkey % 2 WHEN 0 THEN 'serial' ELSE 'emit' END AS mode, 'n' || {_P} AS producers, 'n' || {_X} || ',n' || {_Y} AS consumers
     FROM {{answers}} WHERE o_orderkey % 5 <> 0 AND o_orderkey % 8 <> 0""")
 def _(t):
-    a = t.rel("answers").withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.events"), J.EVENTS_JSON))
+    a = t.rel("answers", row_bytes=1000).withColumn("raw", F.from_json(F.get_json_object(J.outermost_object(c("text")), "$.events"), J.EVENTS_JSON))
     e = inlined(a, ["id"], J.clean_events(c("raw")), "event")
     return e.select("id", "event", "mode", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers"))
 

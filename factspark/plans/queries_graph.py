@@ -10,6 +10,7 @@ from factspark.operators import graph as G
 from factspark.operators import ranking as R
 from factspark.operators import snapshot as S
 from factspark.operators.extract import scan_budget
+from factspark.plans import incremental as I
 from factspark.plans.registry import query
 from factspark.session import cut_lineage
 
@@ -247,18 +248,56 @@ def _(t):
 
 @query("jn_pair_evidence", """
     WITH k AS (SELECT ws, call_ord AS ord, 'n' || (o_custkey % 40) AS src, caller, callee, from_file AS file FROM {source_calls} JOIN orders ON call_ord // 4 = o_orderkey),
-      pairs AS (SELECT DISTINCT ws, src || '>' || callee AS pair_id, src, 'zz' AS dst, CASE WHEN callee LIKE 'b1%' THEN 'none' ELSE callee END AS sym FROM k),
-      a AS (SELECT pairs.ws, pair_id, ord, caller, callee, file, row_number() OVER (PARTITION BY pairs.ws, pair_id ORDER BY ord, callee) AS rn FROM pairs JOIN k ON k.ws = pairs.ws AND (k.caller = sym OR k.callee = sym)),
-      b AS (SELECT pairs.ws, pair_id, ord, caller, callee, file, row_number() OVER (PARTITION BY pairs.ws, pair_id ORDER BY ord, callee) AS rn FROM pairs JOIN k ON k.ws = pairs.ws AND k.src = pairs.src
+      pairs AS (SELECT DISTINCT ws, src || '>' || callee AS pair_id, src, CASE WHEN callee LIKE 'b1%' THEN 'none' ELSE callee END AS sym FROM k),
+      m AS (SELECT ws, 'symbol' AS via, caller AS key, ord, caller, callee, file FROM k UNION ALL SELECT ws, 'symbol', callee, ord, caller, callee, file FROM k WHERE callee <> caller
+        UNION ALL SELECT ws, 'package', src, ord, caller, callee, file FROM k),
+      z AS (SELECT ws, via, key, count(*) AS calls FROM m GROUP BY ws, via, key),
+      a AS (SELECT pairs.ws, pair_id, via, key, calls FROM pairs JOIN z ON z.ws = pairs.ws AND z.via = 'symbol' AND z.key = sym),
+      l AS (SELECT * FROM a UNION ALL SELECT pairs.ws, pair_id, via, key, calls FROM pairs JOIN z ON z.ws = pairs.ws AND z.via = 'package' AND z.key = pairs.src
         WHERE (pairs.ws, pair_id) NOT IN (SELECT (ws, pair_id) FROM a))
-    SELECT ws, pair_id, ord, caller, callee, file, 'symbol' AS via FROM a UNION ALL SELECT ws, pair_id, ord, caller, callee, file, 'package' FROM b""")
+    SELECT ws, via, key, pair_id, calls, NULL AS ord, NULL AS caller, NULL AS callee, NULL AS file FROM l
+    UNION ALL SELECT ws, via, key, NULL, NULL, ord, caller, callee, file FROM m WHERE (ws, via, key) IN (SELECT (ws, via, key) FROM l)""")
 def _(t):
+    """Pairs with their classes of evidence, and the classes with their calls."""
     pkg = F.regexp_extract("from_file", r"^packages/([^/]+)/", 1)
     k = t.rel("source_calls").select("ws", c("call_ord").alias("ord"), pkg.alias("src"), "caller", "callee", c("from_file").alias("file"))
     label = F.when(F.startswith("callee", F.lit("b1")), F.lit("none")).otherwise(c("callee"))
     k = cut_lineage(k)  # read by both kinds of evidence
     pairs = k.select("ws", F.concat("src", F.lit(">"), "callee").alias("pair_id"), "src", F.lit("zz").alias("dst"), F.array(label).alias("symbols")).distinct()
-    return G.pair_evidence(pairs, k)
+    links, members = G.evidence_classes(pairs, k)
+    return links.unionByName(members, allowMissingColumns=True)
+
+
+_AFTER = """after AS (SELECT l_returnflag || l_linestatus AS ws, l_orderkey * 8 + l_linenumber AS ord, 'm' || l_partkey AS src, 'm' || l_suppkey AS dst,
+        'f' || CAST(l_quantity AS INT) || CASE WHEN o_orderpriority LIKE '3%' THEN 'x' ELSE '' END AS sym, 'packages/m' || l_partkey || '/src/o' || l_orderkey || '.ts' AS file
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey <> l_suppkey AND o_orderpriority NOT LIKE '1%')"""
+
+
+@query("gr_incremental_edges", f"""
+    WITH {_AFTER}, f AS (SELECT ws, src, dst, count(*) AS calls, count(DISTINCT sym) AS symbols, min(ord) AS edge_ord, arg_min(file, ord) AS file FROM after GROUP BY ws, src, dst)
+    SELECT ws, src, dst, calls, symbols, edge_ord, file FROM f""")
+def _(t):
+    return edited_graph(t).edges.drop("syms")
+
+
+@query("gr_incremental_degrees", f"""
+    WITH {_AFTER}, e AS (SELECT DISTINCT ws, src, dst FROM after)
+    SELECT ws, id, CAST(sum(i) AS BIGINT) AS cited_by, CAST(sum(o) AS BIGINT) AS cites FROM (
+      SELECT ws, dst AS id, 1 AS i, 0 AS o FROM e UNION ALL SELECT ws, src, 0, 1 FROM e) GROUP BY ws, id""")
+def _(t):
+    return edited_graph(t).degrees
+
+
+def edited_graph(t):
+    """The call graph after an edit: files of urgent orders go, those of high ones come, medium ones change their symbols."""
+    calls = t.rel("calls").join(t.table("orders").select((c("o_orderkey") * 8).alias("_k"), F.substring("o_orderpriority", 1, 1).alias("_p")),
+                                c("ord") - c("ord") % 8 == c("_k"))
+    calls = cut_lineage(calls.select(*I.CALL, "_p"))
+    before = calls.where("_p <> '2'").select(*I.CALL)
+    after = calls.where("_p <> '1'").withColumn("sym", F.when(c("_p") == "3", F.concat("sym", F.lit("x"))).otherwise(c("sym"))).select(*I.CALL)
+    change = F.when(c("_p") == "1", "removed").when(c("_p") == "2", "added").when(c("_p") == "3", "modified").otherwise("unchanged")
+    diff = calls.select("ws", c("file").alias("path"), change.alias("change")).distinct()
+    return I.updated(I.graph_state(before).kept(), diff, lambda files: after.join(files, ["ws", "file"], "left_semi"))
 
 
 @query("jn_edges_touching", f"""WITH {_EDGES}

@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factspark.operators.dealing import dealt
 from factspark.plans.relations import RELATIONS, sql_with
 from factspark.session import ensure_checkpoint_dir
 
@@ -23,10 +25,16 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def rel(self, name: str) -> DataFrame:
-        """A derived relation, expanded from its SQL text over the tables."""
+    def rel(self, name: str, row_bytes: int | None = None) -> DataFrame:
+        """A derived relation, expanded from its SQL text over the tables.
+
+        With ``row_bytes``, about what a row of it holds, the rows it is composed from are dealt out to
+        all tasks first.
+        """
         text = RELATIONS[name]
-        parts = {n: self.rel(n) if n in RELATIONS else self.table(n) for n in self._names(text)}
+        parts = {n: self.rel(n, row_bytes) if n in RELATIONS else self.table(n) for n in self._names(text)}
+        if row_bytes:
+            parts = {n: d if n in RELATIONS else dealt(d, F.lit(row_bytes)) for n, d in parts.items()}
         return self.spark.sql(text, **parts)
 
     @staticmethod

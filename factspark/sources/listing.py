@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 from factspark.functions import paths as P
@@ -221,6 +223,31 @@ def scan_workspaces(spark: SparkSession, root: str, **options) -> DataFrame:
     return spark.read.format("workspace_files").options(**{k: str(v) for k, v in options.items() if v is not None}).load(root)
 
 
+def read_contents(listed: DataFrame, root: str, ws_is_root: bool = False) -> DataFrame:
+    """Add ``content`` to a listing ``(ws, path, version, size)``; a file that is gone gives null.
+
+    Deal the listing by size first (``dealt(listed, F.col("size"))``): each task then reads about as many bytes.
+    """
+    schema = T.StructType([*[f for f in listed.schema.fields if f.name != "content"], T.StructField("content", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = located(root)
+        for whole in batches:
+            sizes = np.cumsum(whole.column("size").to_numpy(zero_copy_only=False)) // BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), whole.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                batch, texts = whole.slice(a, b - a), []
+                for ws, path in zip(batch.column("ws").to_pylist(), batch.column("path").to_pylist()):
+                    try:
+                        with system.open_input_stream(f"{base}/{path}" if ws_is_root else f"{base}/{ws}/{path}") as stream:
+                            texts.append(stream.read().decode("utf-8", "replace"))
+                    except FileNotFoundError:
+                        texts.append(None)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+
+    return listed.drop("content").mapInArrow(run, schema)
+
+
 def write_workspaces(files: DataFrame, root: str) -> None:
     """Write ``files(ws, path, content)`` as files below ``root``, workspace by workspace."""
     files.sparkSession.dataSource.register(WorkspaceFiles)

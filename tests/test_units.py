@@ -15,6 +15,7 @@ from factspark.functions import markdown as M
 from factspark.functions import paths as P
 from factspark.functions import text as X
 from factspark.operators import artifacts as A
+from factspark.operators.dealing import dealt
 from factspark.operators import docset as DS
 from factspark.operators import extract as E
 from factspark.operators import graph as G
@@ -23,6 +24,7 @@ from factspark.operators import quality as Q
 from factspark.operators import ranking as R
 from factspark.operators import snapshot as S
 from factspark.operators import usage as U
+from factspark.plans import incremental as I
 from factspark.plans.rescan import rescan
 from factspark.sources import listing as LS
 from factspark.sources import files as FS
@@ -337,6 +339,33 @@ def test_listing_source(spark, tree, partitions):
     assert tuples(flat.select("ws", "path")) == [(tree + "/w2", "README.md"), (tree + "/w2", "lib/f.ts")]
 
 
+def test_contents_read_after_dealing(spark, tree):
+    listed = LS.scan_workspaces(spark, tree, ws_depth=1, cache_dir=".cache", content="false")
+    whole = LS.read_contents(dealt(listed, F.col("size")), tree)
+    assert tuples(whole.select("ws", "path", "content")) == [(w, p, f"text é {w}/{p}") for w, p in walked(tree)[0]]
+    gone = LS.read_contents(spark.createDataFrame([("w1", "none.ts", 5)], "ws string, path string, size long"), tree)
+    assert tuples(gone.select("content")) == [(None,)]
+
+
+@pytest.mark.parametrize("splits", [1, 3])
+def test_dealt_by_bytes(spark, splits):
+    """One row group or several: every partition but the last gets its share, and none is above the limit by more than a row."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 0, 5, 100, 900])) for i in range(2000)] + [(2000, 50_000)]
+    df = spark.createDataFrame(rows, "id int, size long").repartition(splits)
+    weight = lambda s: max(s or 0, 1)
+    for most in (1 << 40, 10_000):
+        parts = dealt(df, F.col("size"), most).withColumn("p", F.spark_partition_id()).collect()
+        assert sorted(parts, key=lambda r: r.id) == [(*r, p.p) for r, p in zip(rows, sorted(parts, key=lambda r: r.id))]
+        loads = {}
+        for r in parts:
+            loads.setdefault(r.p, []).append(weight(r["size"]))
+        total = sum(weight(s) for _, s in rows)
+        assert len(loads) >= (3 if most > total else total // most - 6)
+        assert all(sum(v) - max(v) <= min(most, -(-total // spark.sparkContext.defaultParallelism)) for v in loads.values())
+    assert dealt(df.limit(0), F.col("size")).count() == 0
+
+
 def test_written_tree_reads_back(spark, tmp_path):
     files = spark.createDataFrame([("w1", "a/b.ts", "one"), ("w1", "c.py", None), ("w2", "a/b.ts", "é")], "ws string, path string, content string")
     for _ in range(2):  # a second write replaces the files
@@ -552,6 +581,55 @@ def test_bad_source_gives_an_error_row(spark):
     assert tuples(E.extract_records(files).select("path", "rec_type")) == [("a.py", "error"), ("b.py", "import")]
 
 
+def test_incremental_graph_equals_full(spark):
+    """Random edits, one after the other: the merged state is that of a full computation, and only changed files are extracted."""
+    rng = random.Random(11)
+    schema = "ws string, file string, ord long, src string, dst string, sym string"
+
+    def calls_of(n):
+        return [(rng.choice("wx"), rng.randint(0, 99), rng.choice("abcd"), rng.choice("abcd"), rng.choice("st")) for _ in range(rng.randint(0, n))]
+    files = {f"f{i}": calls_of(4) for i in range(12)}
+    owner = lambda f: "w" if int(f[1:]) % 2 else "x"
+    rows = lambda names: [(owner(f), f, o, s, d, y) for f in names for _, o, s, d, y in files.get(f, [])]
+    state = I.graph_state(spark.createDataFrame(rows(files), schema)).kept()
+    for _ in range(3):
+        before, asked = dict(files), []
+        for f in rng.sample(sorted({f"f{i}" for i in range(14)}), 4):
+            if f in files and rng.random() < 0.4:
+                del files[f]
+            else:
+                files[f] = calls_of(4)
+        kind = lambda f: "added" if f not in before else "removed" if f not in files else "unchanged" if files[f] == before[f] else "modified"
+        diff = spark.createDataFrame([(owner(f), f, kind(f)) for f in before.keys() | files.keys()], "ws string, path string, change string")
+
+        def extract(changed):
+            asked.extend(r.file for r in changed.collect())
+            return spark.createDataFrame(rows(asked), schema)
+        state = I.updated(state, diff, extract).kept()
+        full = I.graph_state(spark.createDataFrame(rows(files), schema))
+        assert sorted(asked) == sorted(f for f in before.keys() | files.keys() if kind(f) != "unchanged")
+        for part in ("calls", "counts", "edges", "degrees"):
+            got, want = getattr(state, part), getattr(full, part)
+            assert tuples(got.select(*want.columns)) == tuples(want), part
+    packages = spark.createDataFrame([("w", "a", "packages/a", ["index.ts"]), ("x", "b", "packages/b", [])], "ws string, pkg_id string, path string, entry_files array<string>")
+    entities = spark.createDataFrame([("w", "c", 1, "c/one.ts")], "ws string, pkg_id string, ord long, file string")
+    edges = full.edges.select("ws", "src", "dst")
+    assert tuples(I.node_rows(state, packages, entities)) == tuples(G.node_metadata(edges, packages, entities))
+
+
+def test_evidence_classes_join_to_the_rows(spark):
+    rng = random.Random(12)
+    calls = [("w", i, rng.choice("pq"), rng.choice("stu"), rng.choice("stu"), f"f{i}") for i in range(30)]
+    pairs = [("w", f"{a}>{b}", a, b, syms) for a, b in (("p", "q"), ("q", "p"), ("p", "r")) for syms in (["s"], ["s", "t", "s"], ["none"], [])]
+    pairs = [(w, f"{p}{i}", *rest) for i, (w, p, *rest) in enumerate(pairs)]
+    calls = spark.createDataFrame(calls, "ws string, ord long, src string, caller string, callee string, file string")
+    pairs = spark.createDataFrame(pairs, "ws string, pair_id string, src string, dst string, symbols array<string>")
+    links, members = G.evidence_classes(pairs, calls)
+    cols = ["ws", "pair_id", "ord", "caller", "callee", "file", "via"]
+    joined = links.join(members, ["ws", "via", "key"]).select(*cols).distinct()
+    assert tuples(joined) == tuples(G.pair_evidence(pairs, calls).select(*cols)) and links.count() <= 12 * 2 and members.count() <= 3 * 30
+
+
 # -------------------------------------------------------------- usage, ranking
 
 def test_answers_within_life(spark):
