@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factspark.functions import paths as P
 from factspark.operators.ranking import top_n
-from factspark.session import cut_lineage
+from factspark.session import bucketed, cut_lineage
 
 MAX_CHARS = 2147483647
 
@@ -340,13 +340,18 @@ def valid_ids(proposals: DataFrame, packages: DataFrame, cap: int | None = None)
 
 # ----------------------------------------------------------------- traversal
 
+def adjacency(edges: DataFrame, *columns: str) -> DataFrame:
+    """Edges written once, bucketed by ``(ws, src)``: a frontier that is dealt out alike meets them where they are."""
+    return bucketed(edges.select("ws", "src", "dst", *columns), ["ws", "src"])
+
+
 def bfs_depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distance of every node reachable from ``seeds(ws, id)``; ``max_depth`` ends the walk early.
 
-    One join per level against the whole edge table; each level is checkpointed,
+    Edges move once, before the first level; after that only frontiers do.  Each level is checkpointed,
     so the plan stays short and a lost executor costs one level.
     """
-    links = cut_lineage(edges.select("ws", "src", "dst").distinct())
+    links = adjacency(edges.select("ws", "src", "dst").distinct())
     level = cut_lineage(seeds.select("ws", "id").distinct().withColumn("depth", F.lit(0).cast("long")))
     seen = level
     for depth in range(1, max_depth + 1) if max_depth else count(1):
@@ -371,7 +376,7 @@ def bfs_messages(edges: DataFrame, entries: DataFrame, packages: DataFrame,
     A package that emits nothing cannot matter and each other one emits at least
     one edge, so with a ``cap`` as many packages per workspace and level suffice.
     """
-    links = cut_lineage(edges.select("ws", "src", "dst", "edge_ord"))
+    links = adjacency(edges, "edge_ord")
     out_deg = links.select("ws", F.col("src").alias("id")).distinct()
     started = entries.select("ws").distinct()
     cited = links.groupBy("ws", F.col("dst").alias("id")).agg(F.count("*").alias("_in"))

@@ -476,12 +476,33 @@ def entries_of(t):
     return t.rel("call_nodes").select("ws", c("pkg_id").alias("id")).join(promo, "id", "left_semi").select("ws", "id")
 
 
-@query("gr_bfs_messages")
+def _walk_sql(entry: str) -> str:
+    """SQL of the whole walk: depths first, then the order in which packages are popped, level by level."""
+    return f"""WITH RECURSIVE {_EDGES}, nodes AS (SELECT * FROM {{call_nodes}}), outs AS MATERIALIZED (SELECT DISTINCT ws, src AS id FROM edges),
+      entry AS MATERIALIZED ({entry}),
+      s AS (SELECT nodes.ws, id, CAST(0 AS BIGINT) AS n, pkg_ord FROM entry JOIN nodes ON nodes.ws = entry.ws AND pkg_id = id
+        UNION ALL SELECT nodes.ws, pkg_id, coalesce(k.n, 0), pkg_ord FROM nodes LEFT JOIN (SELECT ws, dst, count(*) AS n FROM edges GROUP BY ws, dst) k
+          ON k.ws = nodes.ws AND k.dst = pkg_id WHERE nodes.ws NOT IN (SELECT ws FROM entry)),
+      seeds AS MATERIALIZED (SELECT * FROM s SEMI JOIN outs USING (ws, id)),
+      walk(ws, id, depth) AS (SELECT ws, id, 0 FROM seeds
+        UNION SELECT e.ws, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.ws = w.ws AND e.src = w.id WHERE w.depth < 40),
+      dep AS MATERIALIZED (SELECT ws, id, min(depth) AS depth FROM walk SEMI JOIN outs USING (ws, id) GROUP BY ws, id),
+      q(ws, id, level, pop) AS (SELECT ws, id, 0, row_number() OVER (PARTITION BY ws ORDER BY n DESC, pkg_ord, id) FROM seeds
+        UNION ALL SELECT ws, id, level, row_number() OVER (PARTITION BY ws ORDER BY pop, edge_ord, id) FROM (
+          SELECT e.ws, e.dst AS id, q.level + 1 AS level, q.pop, e.edge_ord FROM q JOIN edges e ON e.ws = q.ws AND e.src = q.id
+            JOIN dep d ON d.ws = e.ws AND d.id = e.dst AND d.depth = q.level + 1
+          QUALIFY row_number() OVER (PARTITION BY e.ws, e.dst ORDER BY q.pop, e.edge_ord) = 1)),
+      m AS (SELECT q.ws, src, dst, edge_ord, row_number() OVER (PARTITION BY q.ws ORDER BY level, pop, edge_ord, dst) AS msg_ord
+        FROM q JOIN edges e ON e.ws = q.ws AND e.src = q.id)
+    SELECT ws, msg_ord, src, dst, edge_ord FROM m WHERE ws IN (SELECT ws FROM m GROUP BY ws HAVING count(*) >= 3)"""
+
+
+@query("gr_bfs_messages", _walk_sql("SELECT DISTINCT ws, pkg_id AS id FROM {call_nodes} WHERE pkg_id IN (SELECT 'm' || p_partkey FROM part WHERE p_type = 'PROMO')"))
 def _(t):
     return G.bfs_messages(edges_of(t), entries_of(t), t.rel("call_nodes"))
 
 
-@query("gr_bfs_by_degree")
+@query("gr_bfs_by_degree", _walk_sql("SELECT ws, pkg_id AS id FROM {call_nodes} WHERE pkg_id = ''"))
 def _(t):
     """The walk where no entry is known: most cited packages first."""
     nodes = t.rel("call_nodes")

@@ -344,7 +344,7 @@ def _(t):
     text = F.concat(F.lit("intro x -> y: not in the diagram\n```mermaid\nsequenceDiagram\nparticipant P as Payer "), a,
                     F.lit("\nNote over P: hi\nP->>"), b, F.lit(": pay "), c("o_orderstatus"), F.lit("\nP->>P: self\n1. "), b,
                     F.lit(" --> P\nend\n```\n"))
-    docs = t.table("orders").select("o_orderkey", text.alias("text"))
+    docs = t.dealt("orders", 200).select("o_orderkey", text.alias("text"))
     return inlined(M.with_messages(docs, "text"), ["o_orderkey"], "messages", "src")
 
 

@@ -25,6 +25,10 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dealt(self, name: str, row_bytes: int) -> DataFrame:
+        """A narrow table, dealt out to all tasks: its rows are about to become texts of so many bytes."""
+        return dealt(self.table(name), F.lit(row_bytes))
+
     def rel(self, name: str, row_bytes: int | None = None) -> DataFrame:
         """A derived relation, expanded from its SQL text over the tables.
 

@@ -581,6 +581,33 @@ def test_bad_source_gives_an_error_row(spark):
     assert tuples(E.extract_records(files).select("path", "rec_type")) == [("a.py", "error"), ("b.py", "import")]
 
 
+def test_walk_moves_edges_once(spark):
+    """Three levels joined to the written adjacency: no exchange lies between it and any of the joins."""
+    edges = spark.createDataFrame([("w", f"n{i}", f"n{j}", i) for i in range(30) for j in (2 * i, 2 * i + 1)], "ws string, src string, dst string, edge_ord long")
+    links = G.adjacency(edges, "edge_ord")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        level = spark.createDataFrame([("w", "n1")], "ws string, src string")
+        for _ in range(3):
+            level = level.join(links, ["ws", "src"]).select("ws", F.col("dst").alias("src")).distinct()
+        plan = level._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Every scan of the adjacency is read by bucket, and what is above it up to its join moves nothing.
+    parts = plan.split("SortMergeJoin")[1:]
+    assert len(parts) == 3 and plan.count("Bucketed: true") == 3
+    for at in (i for i in range(len(plan)) if plan.startswith("Bucketed: true", i)):
+        above = plan[:at].splitlines()[::-1]
+        depth = above[0].index("+-") if "+-" in above[0] else above[0].index(":-")
+        for line in above[1:]:
+            own = min(i for i in (line.find("+-"), line.find(":-")) if i >= 0)
+            if own < depth:
+                assert "Exchange" not in line, plan
+                depth = own
+            if "SortMergeJoin" in line and own <= depth:
+                break
+
+
 def test_incremental_graph_equals_full(spark):
     """Random edits, one after the other: the merged state is that of a full computation, and only changed files are extracted."""
     rng = random.Random(11)
