@@ -8,7 +8,7 @@ append-only: invalidation produces the next state, older payloads stay readable.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspark.functions.text import target_key_endpoints
@@ -34,6 +34,44 @@ CHAPTER_REQUIRES = {
 FIGURE_DRIVEN = ["concepts", "seq", "flow", "interaction"]
 
 
+KIND = "kind string, role string, parent string, figure_ord long, deps_rule string, requires array<string>"
+# Which packages a figure of a kind depends on.
+DEPS_RULES = {"seq": "endpoints", "interaction": "parties", "core": "ids", "duties": "keys", "flow-event": "none if from a document",
+              "flow-pipeline": "none if from a document"}
+
+
+def kind_table(spark: SparkSession, more: list[tuple] = ()) -> DataFrame:
+    """The registry of artifact kinds, one row a kind: role (entity, drill, asset, system), the family that a drill-down falls with (its own
+    kind: always), place among the figures to rebuild, rule of its dependencies, and the kinds it consumes.
+
+    ``more`` are further rows, which replace those of the same kind.  What is not listed is an entity that depends on what it records.
+    """
+    rows = {k: [k, "drill", family, None, None, None] for k, family in DRILL_PARENT.items()}
+    for role, kinds in (("asset", ASSET_KINDS), ("system", SYSTEM_KINDS), ("entity", FIGURE_KINDS), ("entity", [f"doc-{k}" for k in CHAPTER_REQUIRES])):
+        rows.update({k: [k, role, None, None, None, None] for k in kinds})
+    for at, kind in enumerate(FIGURE_KINDS):
+        rows[kind][3:5] = at, DEPS_RULES.get(kind)
+    for chapter, needs in CHAPTER_REQUIRES.items():
+        rows[f"doc-{chapter}"][5] = needs
+    rows.update({r[0]: list(r) for r in more})
+    return spark.createDataFrame([tuple(r) for r in rows.values()], KIND)
+
+
+def _kinds(df: DataFrame, kinds: DataFrame | None) -> DataFrame:
+    return kind_table(df.sparkSession) if kinds is None else kinds
+
+
+def _lasting(kinds: DataFrame) -> DataFrame:
+    """Kinds that belong to users or to the system."""
+    return kinds.where(F.col("role").isin("asset", "system")).select("kind")
+
+
+def with_requires(rows: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """Artifacts about to be written, with the kinds that their own consumes as ``requires``."""
+    known = _kinds(rows, kinds).select("kind", F.coalesce("requires", F.array().cast("array<string>")).alias("requires"))
+    return rows.drop("requires").join(known, "kind", "left")
+
+
 def facts_version(snapshots: DataFrame) -> DataFrame:
     """Newest facts version per workspace; 0 while nothing is known."""
     return snapshots.groupBy("ws").agg(F.coalesce(F.max("generated_at"), F.lit(0)).cast("long").alias("facts_v"))
@@ -81,62 +119,69 @@ def _stamped(rows: DataFrame, hit: Column, version: Column) -> DataFrame:
             .withColumn("payload", F.when(hit, blank).otherwise(F.col("payload"))))
 
 
-def invalidate(ledger: DataFrame, changed: DataFrame, new_version: Column) -> DataFrame:
+def invalidate(ledger: DataFrame, changed: DataFrame, new_version: Column, kinds: DataFrame | None = None) -> DataFrame:
     """Next ledger state after the packages ``changed(ws, id)`` moved.
 
     Entity artifacts fall when a dependency changed or none is recorded; drill-downs
     also fall with their family, and overviews always.  All others are restamped
     (``requires`` is kept, so later cascades still reach them).  Assets, system rows
     and unversioned entity rows stay as they are.  Dependency overlap is one
-    exploded semi-join for both passes.
+    exploded semi-join for both passes.  ``kinds`` is the registry that says which kind is what.
     """
-    drills = list(DRILL_PARENT)
+    roles = _kinds(ledger, kinds).select("kind", F.col("role").alias("_role"), F.col("parent").alias("_parent"))
     touched = _touched(ledger, changed).withColumn("_dep", F.lit(True))
-    flagged = ledger.join(touched, ["ws", "name"], "left").withColumn(
+    flagged = ledger.join(touched, ["ws", "name"], "left").join(roles, "kind", "left").withColumn(
         "_own", F.col("deps").isNull() | F.coalesce("_dep", F.lit(False))).drop("_dep")
-    fixed = F.col("kind").isin(ASSET_KINDS + SYSTEM_KINDS) | (F.col("v").isNull() & ~F.col("kind").isin(drills))
-    entity = flagged.where(~fixed & ~F.col("kind").isin(drills))
+    drill = F.coalesce(F.col("_role") == "drill", F.lit(False))
+    fixed = F.coalesce(F.col("_role").isin("asset", "system"), F.lit(False)) | (F.col("v").isNull() & ~drill)
+    entity = flagged.where(~fixed & ~drill)
     fallen = entity.where("_own").select("ws", F.col("kind").alias("_parent")).distinct()
-    first = _stamped(entity, F.col("_own"), new_version)
-    parent = F.create_map(*[F.lit(x) for pair in DRILL_PARENT.items() for x in pair])[F.col("kind")]
-    drill = (flagged.where(F.col("kind").isin(drills)).withColumn("_parent", parent)
-             .join(fallen.withColumn("_fell", F.lit(True)), ["ws", "_parent"], "left"))
-    hit = F.col("_own") | (F.col("kind") == "overview") | F.col("v").isNull() | F.coalesce("_fell", F.lit(False))
-    second = _stamped(drill, hit, new_version).drop("_parent", "_fell")
-    kept = flagged.where(fixed).withColumn("action", F.lit("kept"))
-    return first.unionByName(second).unionByName(kept).drop("_own")
+    first = _stamped(entity, F.col("_own"), new_version).drop("_parent")
+    under = flagged.where(drill).join(fallen.withColumn("_fell", F.lit(True)), ["ws", "_parent"], "left")
+    hit = F.col("_own") | F.coalesce(F.col("_parent") == F.col("kind"), F.lit(False)) | F.col("v").isNull() | F.coalesce("_fell", F.lit(False))
+    second = _stamped(under, hit, new_version).drop("_parent", "_fell")
+    kept = flagged.where(fixed).withColumn("action", F.lit("kept")).drop("_parent")
+    order = [*ledger.columns, "action"]
+    return first.select(*order).unionByName(second.select(*order)).unionByName(kept.select(*order))
 
 
-def cascade_requires(ledger: DataFrame, rewritten: DataFrame) -> DataFrame:
+def cascade_requires(ledger: DataFrame, rewritten: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """Artifacts to tombstone because they consumed a rewritten kind ``(ws, kind)``."""
     node = rewritten.select("ws", F.col("kind").alias("_r")).distinct()
-    live = ledger.where((F.col("v") > 0) & ~F.col("kind").isin(ASSET_KINDS + SYSTEM_KINDS))
+    live = ledger.where(F.col("v") > 0).join(_lasting(_kinds(ledger, kinds)), "kind", "left_anti")
     return (live.select("ws", "name", "kind", F.explode("requires").alias("_r"))
             .join(node, ["ws", "_r"], "left_semi").select("ws", "name", "kind").distinct())
 
 
-def sweep(ledger: DataFrame) -> DataFrame:
+def sweep(ledger: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """Drop unversioned leftovers; tombstones, assets and system rows stay."""
-    return ledger.where(F.col("v").isNotNull() | F.col("kind").isin(ASSET_KINDS + SYSTEM_KINDS))
+    lasting = _lasting(_kinds(ledger, kinds)).withColumn("_lasting", F.lit(True))
+    return ledger.join(lasting, "kind", "left").where(F.col("v").isNotNull() | F.col("_lasting")).select(*ledger.columns)
 
 
-def swept(ledger: DataFrame) -> DataFrame:
+def swept(ledger: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """The leftovers that ``sweep`` drops."""
-    return ledger.where(F.col("v").isNull() & ~F.col("kind").isin(ASSET_KINDS + SYSTEM_KINDS)).select("ws", "name")
+    return ledger.where(F.col("v").isNull()).join(_lasting(_kinds(ledger, kinds)), "kind", "left_anti").select("ws", "name")
 
 
 def figure_deps(kind: Column, source: Column, endpoints: Column, parties: Column, ids: Column, keys: Column) -> Column:
-    """Packages an artifact depends on, by kind; NULL = all of them."""
+    """Packages an artifact depends on, by the rule of its kind; NULL = all of them."""
+    rule = F.create_map(*[F.lit(x) for pair in DEPS_RULES.items() for x in pair])[kind]
+    return deps_by_rule(rule, source, endpoints, parties, ids, keys)
+
+
+def deps_by_rule(rule: Column, source: Column, endpoints: Column, parties: Column, ids: Column, keys: Column) -> Column:
+    """Packages an artifact depends on, by a ``deps_rule`` of the registry; NULL = all of them, as where there is no rule."""
     everything = F.lit(None).cast("array<string>")
 
     def listed(names: Column) -> Column:
         real = F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))
         return F.when(F.size(real) > 0, real).otherwise(everything)
-    return (F.when(kind.isin("flow-event", "flow-pipeline") & (source == "doc"), F.array().cast("array<string>"))
-            .when(kind == "seq", listed(endpoints))
-            .when(kind == "interaction", listed(parties))
-            .when(kind == "core", F.filter(ids, lambda n: n.isNotNull()))
-            .when(kind == "duties", keys)
+    return (F.when((rule == "none if from a document") & (source == "doc"), F.array().cast("array<string>"))
+            .when(rule == "endpoints", listed(endpoints))
+            .when(rule == "parties", listed(parties))
+            .when(rule == "ids", F.filter(ids, lambda n: n.isNotNull()))
+            .when(rule == "keys", keys)
             .otherwise(everything))
 
 
@@ -153,10 +198,10 @@ def drill_deps(drills: DataFrame, ledger: DataFrame) -> DataFrame:
         .when(F.col("kind") == "flow-subgraph", F.col("_pdeps"))).drop("_pdeps"))
 
 
-def rebuild_plan(ledger: DataFrame, versions: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """``(ws, kind, ord, state)``: skip a kind that has a current artifact, rebuild the rest."""
-    specs = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(k).alias("kind"))
-                      for i, k in enumerate(kinds or FIGURE_KINDS)])
+def rebuild_plan(ledger: DataFrame, versions: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """``(ws, kind, ord, state)``: skip a figure kind that has a current artifact, rebuild the rest."""
+    figures = _kinds(ledger, kinds).where("figure_ord IS NOT NULL").orderBy("figure_ord").select("kind").collect()  # one row a kind
+    specs = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(r.kind).alias("kind")) for i, r in enumerate(figures)])
     wanted = versions.select("ws", "facts_v", F.explode(specs).alias("s")).select("ws", "facts_v", "s.*")
     have = ledger.where(F.col("v") > 0).select("ws", "kind", F.col("v").alias("facts_v")).distinct() \
         .withColumn("_ok", F.lit(True))

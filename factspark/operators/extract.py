@@ -22,7 +22,6 @@ from factspark.functions.rows import inlined
 from factspark.functions.text import NOISE_CALLS
 from factspark.operators.ranking import top_n
 
-CALL_CAP = 200
 RECORD = ("ws string, pkg_id string, path string, rec_type string, ord long, parent_ord long, name string, kind string, "
           "line long, modifiers array<string>, spec string, names array<string>, type_only boolean, "
           "caller string, root string")
@@ -197,8 +196,6 @@ def _typescript_calls(text: str, line: Callable[[int], int], blocks: dict) -> It
             yield {"rec_type": "call", "ord": ord_, "name": callee, "line": line(m.start()),
                    "caller": (inner or outer or [None])[-1], "root": root if root and root != callee else None}
             ord_ += 1
-            if ord_ >= CALL_CAP:
-                return
 
 
 def extract_python(source: str) -> Iterator[dict]:
@@ -269,17 +266,13 @@ EXTRACTORS: dict[str, Extractor] = {
     "typescript": extract_typescript, "python": extract_python, "java": extract_java}
 
 
-def register_extractor(language: str, extractor: Extractor) -> None:
-    """Use ``extractor(source)`` for files of a language."""
-    EXTRACTORS[language] = extractor
-
-
-def extract_records(files: DataFrame) -> DataFrame:
+def extract_records(files: DataFrame, extractors: dict[str, Extractor] | None = None, call_cap: int | None = None) -> DataFrame:
     """Tagged records of ``files(ws, pkg_id, path, language, content)``.
 
-    A file that cannot be read yields one ``error`` record and nothing else.
+    ``extractors`` adds languages or replaces the reader of one.  A file that cannot be read yields one ``error`` record and
+    nothing else.  All calls of a file are listed, or with ``call_cap`` the first so many.
     """
-    chosen = dict(EXTRACTORS)
+    chosen = {**EXTRACTORS, **(extractors or {})}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -290,7 +283,7 @@ def extract_records(files: DataFrame) -> DataFrame:
                     rows = [{**base, **r} for r in chosen[language](content)] if language in chosen else []
                 except (SyntaxError, ValueError, RecursionError) as error:
                     rows = [{**base, "rec_type": "error", "ord": 0, "name": type(error).__name__}]
-                out.extend(rows)
+                out.extend(r for r in rows if call_cap is None or r["rec_type"] != "call" or r["ord"] < call_cap)
             frame = pd.DataFrame(out, columns=FIELDS)
             for name in ("ord", "parent_ord", "line"):
                 frame[name] = frame[name].astype("Int64")

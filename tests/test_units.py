@@ -178,6 +178,39 @@ def test_rebuild_after_rescan_and_vanished_workspace(spark, tmp_path):
     assert {r.change for r in again["diff"].collect()} == {"unchanged"}
 
 
+def test_kinds_added_as_rows(spark):
+    """A kind that is a row of the registry takes part in invalidation, cascades, sweeps, dependencies and the rebuild plan."""
+    more = [("timeline", "entity", None, 7, "endpoints", ["seq"]), ("timeline-zoom", "drill", "timeline", None, None, None), ("sketch", "asset", None, None, None, None)]
+    kinds = A.kind_table(spark, more)
+    rows = [("w", "t1", "timeline", "en", 5, ["a"], ["seq"], "1"), ("w", "z1", "timeline-zoom", "en", 5, ["b"], None, "2"), ("w", "s1", "sketch", "en", None, None, None, "3"),
+            ("w", "c1", "core", "en", 5, ["b"], None, "4")]
+    ledger = spark.createDataFrame(rows, LEDGER)
+    changed = spark.createDataFrame([("w", "a")], "ws string, id string")
+    state = lambda k: {r.name: (r.v, r.action) for r in A.invalidate(ledger, changed, F.lit(9), k).collect()}
+    assert state(kinds) == {"t1": (0, "invalidated"), "z1": (0, "invalidated"), "s1": (None, "kept"), "c1": (9, "restamped")}
+    assert state(None)["z1"] == (9, "restamped")  # an unknown kind has no family
+    assert tuples(A.cascade_requires(ledger, spark.createDataFrame([("w", "seq")], "ws string, kind string"), kinds)) == [("w", "t1", "timeline")]
+    assert {r.name for r in A.sweep(ledger, kinds).collect()} == {"t1", "z1", "s1", "c1"} and A.swept(ledger, kinds).count() == 0
+    assert {r.name for r in A.sweep(ledger).collect()} == {"t1", "z1", "c1"}
+    plan = A.rebuild_plan(ledger, spark.createDataFrame([("w", 5)], "ws string, facts_v long"), kinds)
+    assert {r.kind: r.state for r in plan.collect()} == {**{k: "rebuild" for k in A.FIGURE_KINDS}, "core": "skipped", "timeline": "skipped"}
+    fresh = A.with_requires(ledger.select("ws", "name", "kind"), kinds)
+    assert {r.name: r.requires for r in fresh.collect()} == {"t1": ["seq"], "z1": [], "s1": [], "c1": []}
+    ends = kinds.where("kind = 'timeline'").select(A.deps_by_rule(F.col("deps_rule"), F.lit("x"), F.array(F.lit("p"), F.lit("")), F.array(), F.array(), F.array()).alias("d"))
+    assert ends.first().d == ["p"]
+
+
+def test_extractors_are_an_argument(spark):
+    files = spark.createDataFrame([("w", "p", "a.sql", "sql", "one two"), ("w", "p", "b.ts", "typescript", "f()\n" * 300)], "ws string, pkg_id string, path string, language string, content string")
+
+    def words(source):
+        for i, word in enumerate(source.split()):
+            yield {"rec_type": "entity", "ord": i, "name": word, "kind": "word"}
+    got = E.extract_records(files, {"sql": words})
+    assert tuples(got.where("rec_type = 'entity'").select("path", "name")) == [("a.sql", "one"), ("a.sql", "two")]
+    assert got.where("rec_type = 'call'").count() == 300 and E.extract_records(files, call_cap=200).count() == 200
+
+
 def files_read(df):
     return sorted(df.inputFiles())
 
