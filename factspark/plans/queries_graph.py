@@ -148,26 +148,34 @@ def _(t):
     return out.withColumn("spec", F.regexp_replace("spec", r"^\./a", "./local"))
 
 
-@query("jn_import_edges", """
-    WITH u AS (SELECT ws, pkg_id, spec, min(imp_ord) AS ord FROM {specs} GROUP BY ALL),
-      parts AS (SELECT *, string_split(spec, '/') AS p FROM u),
-      bare AS (SELECT parts.ws, parts.pkg_id, spec, ord, arg_min(k.pkg_id, k.pkg_ord) AS dst FROM parts JOIN {spec_packages} k ON k.ws = parts.ws
-        AND (list_contains(list_transform(p, lambda x: regexp_replace(x, '^x-', '')), k.pkg_id) OR starts_with(p[1], k.pkg_id))
-        WHERE NOT starts_with(spec, '.') GROUP BY ALL),
-      near AS (SELECT ws, pkg_id, spec, ord, pkg_id AS dst FROM parts WHERE starts_with(spec, '.'))
-    SELECT ws, pkg_id AS src, dst, min(ord) AS edge_ord FROM (SELECT * FROM bare UNION ALL SELECT * FROM near) WHERE pkg_id <> dst GROUP BY ALL""")
+#: Specifiers whose relative ones lead into other packages; half of these lie in a folder that names no package.
+_ACROSS = """s2 AS (SELECT ws, pkg_id, imp_ord, CASE WHEN imp_ord % 10 = 2 THEN 'shared/x/y/a.ts' ELSE from_file END AS from_file,
+      CASE WHEN imp_ord % 5 = 2 THEN '../' || spec ELSE spec END AS spec FROM {specs}),
+    u AS (SELECT ws, pkg_id, spec, min(imp_ord) AS ord FROM s2 WHERE NOT starts_with(spec, '.') GROUP BY ALL),
+    bare AS (SELECT u.ws, u.pkg_id, ord, arg_min(k.pkg_id, k.pkg_ord) AS dst FROM u JOIN {spec_packages} k ON k.ws = u.ws
+      AND (list_contains(list_transform(string_split(spec, '/'), lambda x: regexp_replace(x, '^x-', '')), k.pkg_id) OR starts_with(string_split(spec, '/')[1], k.pkg_id))
+      GROUP BY u.ws, u.pkg_id, spec, ord)"""
+
+
+def specs_across(t):
+    s = t.rel("specs")
+    return s.withColumn("from_file", F.when(c("imp_ord") % 10 == 2, "shared/x/y/a.ts").otherwise(c("from_file"))) \
+        .withColumn("spec", F.when(c("imp_ord") % 5 == 2, F.concat(F.lit("../"), "spec")).otherwise(c("spec")))
+
+
+@query("jn_import_edges", f"""
+    WITH {_ACROSS}, near AS (SELECT ws, pkg_id, string_split(spec, '/')[3] AS dst, imp_ord AS ord FROM s2 WHERE imp_ord % 10 = 2)
+    SELECT ws, pkg_id AS src, dst, min(ord) AS edge_ord FROM (SELECT ws, pkg_id, ord, dst FROM bare UNION ALL SELECT ws, pkg_id, ord, dst FROM near) WHERE pkg_id <> dst GROUP BY ALL""")
 def _(t):
-    return G.import_edges(t.rel("specs"), t.rel("spec_packages"), id_prefix="x-")
+    """By default '..' is not followed: a relative path from inside a package stays there."""
+    return G.import_edges(specs_across(t), t.rel("spec_packages"), id_prefix="x-")
 
 
-@query("jn_import_edges_resolved", """
-    WITH rel AS (SELECT ws, pkg_id, imp_ord, string_split(p_name, ' ')[1] AS first FROM {specs} JOIN part ON imp_ord = p_partkey WHERE starts_with(spec, '../')),
-      u AS (SELECT ws, pkg_id, spec, min(imp_ord) AS ord FROM {specs} WHERE NOT starts_with(spec, '.') GROUP BY ALL),
-      bare AS (SELECT u.ws, u.pkg_id, ord, arg_min(k.pkg_id, k.pkg_ord) AS dst FROM u JOIN {spec_packages} k ON k.ws = u.ws
-        AND (list_contains(list_transform(string_split(spec, '/'), lambda x: regexp_replace(x, '^x-', '')), k.pkg_id) OR starts_with(string_split(spec, '/')[1], k.pkg_id)) GROUP BY u.ws, u.pkg_id, spec, ord)
-    SELECT ws, src, dst, min(ord) AS edge_ord FROM (SELECT ws, pkg_id AS src, dst, ord FROM bare) WHERE src <> dst GROUP BY ALL""")
+@query("jn_import_edges_resolved", f"""
+    WITH {_ACROSS}, near AS (SELECT ws, pkg_id, string_split(spec, '/')[3] AS dst, imp_ord AS ord FROM s2 WHERE imp_ord % 5 = 2)
+    SELECT ws, pkg_id AS src, dst, min(ord) AS edge_ord FROM (SELECT ws, pkg_id, ord, dst FROM bare UNION ALL SELECT ws, pkg_id, ord, dst FROM near) WHERE pkg_id <> dst GROUP BY ALL""")
 def _(t):
-    return G.import_edges(t.rel("specs"), t.rel("spec_packages"), id_prefix="x-", mode="resolve")
+    return G.import_edges(specs_across(t), t.rel("spec_packages"), id_prefix="x-", mode="resolve")
 
 
 @query("jn_alias_fold", """
@@ -192,7 +200,7 @@ def _(t):
     WITH n AS (SELECT 'n' || n_nationkey AS id, 'dir_' || n_nationkey AS base, n_nationkey AS ord FROM nation),
       a AS (SELECT DISTINCT c_mktsegment AS ws, 'n' || (c_custkey % 25) AS src, CASE WHEN c_custkey % 3 = 0 THEN 'dir' || c_nationkey ELSE 'n' || c_nationkey END AS k FROM customer),
       f AS (SELECT DISTINCT ws, src, arg_min(id, ord) AS dst FROM a JOIN n ON n.id = a.k OR replace(n.base, '_', '') = a.k WHERE id <> src GROUP BY ws, src, k)
-    SELECT f.* FROM f LEFT JOIN (SELECT DISTINCT ws, src, dst FROM {nation_calls}) e USING (ws, src, dst) WHERE e.ws IS NULL""")
+    SELECT f.* FROM f LEFT JOIN (SELECT DISTINCT ws, src, dst FROM {nation_calls} WHERE src < dst) e USING (ws, src, dst) WHERE e.ws IS NULL""")
 def _(t):
     seg = F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
     k = c("n_nationkey").cast("string")
@@ -201,7 +209,8 @@ def _(t):
     targets = t.table("customer").select(
         c("c_mktsegment").alias("ws"), F.concat(F.lit("n"), (c("c_custkey") % 25).cast("string")).alias("src"),
         F.concat(F.when(c("c_custkey") % 3 == 0, "Dir-").otherwise("N."), c("c_nationkey").cast("string")).alias("target"))
-    return G.declared_targets(targets, nodes, edges_of(t, "nation_calls"))
+    known = edges_of(t, "nation_calls").where(c("src") < c("dst"))  # edges known in one direction: the other is new
+    return G.declared_targets(targets, nodes, known)
 
 
 @query("jn_dependents", f"""WITH {_EDGES}
@@ -310,11 +319,16 @@ def _(t):
 
 
 @query("jn_tier_fallback", """
-    WITH a AS (SELECT DISTINCT ws, src, dst FROM {nation_calls} WHERE ws LIKE '%E%'), b AS (SELECT DISTINCT ws, src, dst FROM {nation_calls} WHERE src < dst)
+    WITH e AS (SELECT ws || '/' || src || '/' || (CAST(substr(dst, 2) AS INT) % 8) AS ws, src, dst, count(*) AS n FROM {nation_calls} GROUP BY ALL),
+      a AS (SELECT ws, src, dst FROM e WHERE n % 2 = 0 QUALIFY count(*) OVER (PARTITION BY ws) >= 2),
+      b AS (SELECT ws, src, dst FROM e QUALIFY count(*) OVER (PARTITION BY ws) >= 2)
     SELECT ws, src, dst, CAST(0 AS BIGINT) AS tier FROM a UNION ALL SELECT ws, src, dst, 1 FROM b WHERE ws NOT IN (SELECT ws FROM a)""")
 def _(t):
-    e = written_edges(t, "nation_calls").select("ws", "src", "dst")
-    return G.usable_tiers([e.where(c("ws").like("%E%")), e.where(c("src") < c("dst"))])
+    """Small workspaces (a caller and an eighth of the callees); edges with an even number of calls are the first tier, all are the second."""
+    e = G.aggregate_edges(t.rel("nation_calls"))
+    part = (F.substring("dst", 2, 9).cast("int") % 8).cast("string")
+    e = cut_lineage(e.select(F.concat_ws("/", "ws", "src", part).alias("ws"), "src", "dst", "calls"))
+    return G.usable_tiers([e.where(c("calls") % 2 == 0).drop("calls"), e.drop("calls")], minimum=2)
 
 
 @query("jn_path_entities", """

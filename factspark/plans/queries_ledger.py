@@ -278,7 +278,7 @@ def _(t):
 
 
 @query("agg_chapter_scope", """
-    WITH m AS (SELECT DISTINCT ws, src, dst FROM {nation_calls} WHERE ws LIKE '%U%'),
+    WITH m AS (SELECT DISTINCT ws, src, dst FROM {nation_calls}),
       path AS (SELECT ws, src AS id FROM m UNION SELECT ws, dst FROM m),
       party AS (SELECT DISTINCT c_mktsegment AS ws, unnest(['n' || c_nationkey, 'x' || (c_custkey % 9)]) AS id FROM customer),
       core AS (SELECT DISTINCT c_mktsegment AS ws, 'n' || (c_custkey % 5) AS id FROM customer WHERE c_mktsegment <> 'BUILDING'),
@@ -290,7 +290,7 @@ def _(t):
 def _(t):
     cu = t.table("customer").withColumn("ws", c("c_mktsegment"))
     s = lambda p, e: F.concat(F.lit(p), e.cast("string"))
-    messages = cut_lineage(t.rel("nation_calls").where(c("ws").like("%U%")).select("ws", "src", "dst").distinct())
+    messages = cut_lineage(t.rel("nation_calls").select("ws", "src", "dst").distinct())
     events = cu.select("ws", F.array(s("n", c("c_nationkey"))).alias("producers"), F.array(s("x", c("c_custkey") % 9)).alias("consumers"))
     core = cu.where(c("ws") != "BUILDING").select("ws", s("n", c("c_custkey") % 5).alias("id"))
     return A.chapter_scopes(messages, events, core, cu.select("ws", s("e", c("c_custkey") % 11).alias("pkg_id")), cu.select("ws"))
