@@ -32,6 +32,24 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def set_aside(docs: DataFrame, names: set[str], keep: tuple[str, ...] = ()):
+    """``docs`` with its columns of these names (case ignored) under other names, and what gives a result the names back.
+
+    Columns in ``keep``, those an operator reads, stay.
+    """
+    taken, moved = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in names and c not in keep:
+            new = f"{c}_own"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            moved[c] = new
+    back = {new: c for c, new in moved.items()}
+    rows = docs.select(*[F.col(f"`{c}`").alias(moved.get(c, c)) for c in docs.columns]) if moved else docs
+    return rows, lambda out: out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns]) if moved else out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factspark.llm.common import WORD, ranked, stored, table, text_of
+from factspark.llm.common import WORD, ranked, set_aside, stored, table, text_of
 from factspark.llm.registry import query
 
 #: Rows of equal source and size are dealt to so many groups, so that a large set of copies is split.
@@ -86,6 +86,11 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float, rounds: int = 60
     raise RuntimeError(f"no balance within {rounds} rounds")
 
 
+RESULT = {"_source_size", "_target", "_copies"}
+#: Columns that rows get on the way.
+WORKING = {"_salt", "_k", "_s", "_z", "_at", "_each", "_extra"}
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, source: str = "source", doc_id: str = "doc_id",
         size: str = "size") -> DataFrame:
     """Add to every row: _source_size, _target (its source's) and _copies (0 to ``cap``).
@@ -94,8 +99,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
     down at every size, from the starting point (of ``OFFSETS``) whose tokens come nearest to the target;
     any of them is off by less than the source's longest document.  Among rows of one source and size those with the smallest hash of their id are taken once
     more.  Null sources are one source; rows without words have rate one; null ids and repeated rows are
-    rows like any other.  Reruns agree.  An empty table stays empty.
+    rows like any other.  Reruns agree.  An empty table stays empty.  Input columns of the result's names are replaced.
     """
+    docs, named = set_aside(docs.drop(*[c for c in docs.columns if c.lower() in RESULT]), WORKING, (source, doc_id, size))
     salted = docs.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int"))
     counts = stored(salted.groupBy(F.col(source).alias("source"), F.col(size).cast("long").alias("size"), "_salt").agg(F.count(F.lit(1)).alias("n")))
     histogram = stored(counts.groupBy("source", "size").agg(F.sum("n").alias("n")))
@@ -142,7 +148,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
     order = Window.partitionBy("_s", "_z", "_k").orderBy(F.xxhash64(F.col(doc_id), F.lit(1)), F.col(doc_id))
     rows = rows.withColumn("_at", F.row_number().over(order)).join(c, ["_s", "_z", "_k"])
     copies = F.col("_each") + (F.col("_at") <= F.col("_extra")).cast("long")
-    return rows.select(*[F.col(f"`{x}`") for x in docs.columns], "_source_size", "_target", copies.alias("_copies"))
+    return named(rows.select(*[F.col(f"`{x}`") for x in docs.columns], "_source_size", "_target", copies.alias("_copies")))
 
 
 @query("op2_entropy_balance")

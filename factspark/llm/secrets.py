@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factspark.llm.common import bound, stored, table, text_of
+from factspark.llm.common import bound, set_aside, stored, table, text_of
 from factspark.llm.registry import query
 
 
@@ -121,6 +121,10 @@ def added(found: DataFrame) -> DataFrame:
     return rows.filter(base | apart).drop("_a", "_b")
 
 
+#: Columns that rows get on the way.
+WORKING = {"_rid", "_all", "_cuts"}
+
+
 def split_rows(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows that may hold a candidate, stored, with a unique ``_rid``; and all others as they are."""
     hit = text_of(F.col(text)).rlike(ANY)
@@ -134,7 +138,7 @@ def secret_spans(docs: DataFrame, text: str = "text", repo: str = "source", owne
     repeated rows stay repeated.  Columns with these names are replaced.
     """
     made = ["n_assign", "n_access", "n_hex", "base", "spans"]
-    rest = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    rest, named = set_aside(docs.drop(*[c for c in docs.columns if c.lower() in made]), WORKING, (text, repo, owner))
     rows, others = split_rows(rest, text)
     found = added(judged(candidates(rows, text, repo, owner)))
     name = F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), F.col("kind") + 1)
@@ -147,7 +151,7 @@ def secret_spans(docs: DataFrame, text: str = "text", repo: str = "source", owne
     keep = [F.col(f"`{c}`") for c in rest.columns]
     filled = [F.coalesce(f"n_{k.name}", F.lit(0)).cast("long").alias(f"n_{k.name}") for k in BASE] + [F.coalesce(c, empty).alias(c) for c in ("base", "spans")]
     none = [F.lit(0).cast("long").alias(f"n_{k.name}") for k in BASE] + [empty.alias("base"), empty.alias("spans")]
-    return rows.join(by_row, "_rid", "left").select(*keep, *filled).unionByName(others.select(*keep, *none))
+    return named(rows.join(by_row, "_rid", "left").select(*keep, *filled).unionByName(others.select(*keep, *none)))
 
 
 def redact(docs: DataFrame, text: str = "text", repo: str = "source", owner: str = "source", mark: str = "[SECRET]",
@@ -157,6 +161,7 @@ def redact(docs: DataFrame, text: str = "text", repo: str = "source", owner: str
     So a value that two owners hold goes in both, and one with a placeholder word inside goes too.  Copied values and those that
     are placeholders as a whole stay, and so does every row.  Overlapping values are replaced once.
     """
+    docs, named = set_aside(docs, WORKING, (text, repo, owner))
     rows, others = split_rows(docs, text)
     found = judged(candidates(rows, text, repo, owner), copied).filter((F.col("owners") < copied) & looks_live(F.col("value"), F.col("kind"), is_placeholder))
     after = F.element_at(F.array(*[F.lit(k.after) for k in KINDS]), F.col("kind") + 1)
@@ -177,7 +182,7 @@ def redact(docs: DataFrame, text: str = "text", repo: str = "source", owner: str
     last = F.substring(whole, cast(F.element_at("_cuts", -1)["b"]) + 1, F.char_length(whole))
     clean = F.when(F.col("_cuts").isNull(), whole).otherwise(F.concat(F.array_join(F.transform("_cuts", piece), ""), last))
     keep = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(cuts, "_rid", "left").select(*keep).unionByName(others)
+    return named(rows.join(cuts, "_rid", "left").select(*keep).unionByName(others))
 
 
 def joined(spans: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,7 +217,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: st
     rows = stored(own.select("id", vectors("text").alias("v")).select("id", "v.terms", "v.counts"))
     total = rows.count()
     frequency = np.zeros(len(vocabulary))
-    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # max_terms rows
+    size = len(vocabulary)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size, dtype="i8")
+        for batch in batches:
+            found += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["t", "n"])
+
+    # A task adds up what it reads, so at most tasks x max_terms rows move and max_terms reach the driver.
+    for r in rows.select("terms").mapInArrow(counted, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
         frequency[r["t"]] = r["n"]
     idf = np.log((1 + total) / (1 + frequency)) + 1
 

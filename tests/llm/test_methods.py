@@ -227,6 +227,19 @@ def test_toxicity_finds_labelled(spark, db):
     assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean)
 
 
+def test_toxicity_held_out(spark, tmp_path):
+    """On the fold that nothing was learned from: AUC, recall and precision."""
+    sf = "/root/testdata/sf0.1"
+    y = dict(duckdb.sql(f"SELECT doc_id, max(toxic) FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL GROUP BY doc_id").fetchall())
+    got = [(r["score"], r["predicted"], y[r["doc_id"]]) for r in QUERIES["op6_nearest_examples"](spark, sf).where("held_out").collect() if r["doc_id"] in y]
+    toxic, clean = [g for g in got if g[2]], [g for g in got if not g[2]]
+    assert len(toxic) > 100 and len(clean) > 500
+    auc = np.mean([[(a > b) + 0.5 * (a == b) for b, _, _ in clean] for a, _, _ in toxic])
+    caught = sum(p for _, p, _ in toxic)
+    # A constant score has AUC 0.5 and catches none; 305 toxic examples of this small table give about 0.96.
+    assert (auc >= 0.95, caught >= 0.6 * len(toxic), caught >= 0.9 * sum(p for _, p, _ in got)) == (True,) * 3, (auc, caught, len(toxic))
+
+
 def test_secret_base(spark, texts):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
              ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
