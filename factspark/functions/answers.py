@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factspark.functions.text import head, trimmed
 
@@ -20,61 +16,61 @@ TREE_JSON = ("array<struct<name:string,`desc`:string,children:array<struct<name:
              "children:array<struct<name:string,`desc`:string>>>>>>")
 
 
+def json_value(text: Column) -> Column:
+    """A text as a variant whose element 0 is its JSON value; NULL unless the text is one value and nothing else.
+
+    The parser stops after a value and takes no notice of what follows.  A second element behind the text shows that all of it was read.
+    """
+    value = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"end"]')))
+    return F.when(F.try_variant_get(value, "$[1]", "string") == "end", value)
+
+
 def outermost_object(text: Column) -> Column:
     """From the first ``{`` to the last ``}`` if that is valid JSON, else NULL."""
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull(), body)
+    return F.when(json_value(F.nullif(body, F.lit(""))).isNotNull(), body)
 
 
 def outermost_array(text: Column) -> Column:
     body = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    return F.when(F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull(), body)
-
-
-def _with_id(candidate: str, wanted: str) -> bool:
-    try:
-        value = json.loads(candidate)
-    except ValueError:
-        return False
-    return isinstance(value, dict) and value.get("figId") == wanted
-
-
-def _closing(text: str, start: int) -> int:
-    depth = 0
-    for hit in re.finditer(r"[{}]", text[start:]):
-        depth += 1 if hit.group() == "{" else -1
-        if depth == 0:
-            return start + hit.start()
-    return -1
-
-
-def _find_object(answer: str | None, wanted: str, max_starts: int | None) -> str | None:
-    if answer is None:
-        return None
-    fenced = re.findall(r"```(?:json)?\s*\n([\s\S]*?)```", answer)
-    for text in [*fenced, answer]:
-        whole = text.strip()
-        if whole.startswith("{") and whole.endswith("}") and _with_id(whole, wanted):
-            return whole
-        starts = [m.start() for m in re.finditer(r"\{", text)][::-1][:max_starts]
-        for start in starts:
-            end = _closing(text, start)
-            if end >= 0 and _with_id(text[start:end + 1], wanted):
-                return text[start:end + 1]
-    return None
-
-
-def balanced_object(max_starts: int | None = None):
-    """Pandas UDF ``(answer, wanted_id) -> JSON text`` of the object that carries the id.
-
-    Brace balancing is a stateful scan, so it is the one text function here that
-    leaves the JVM; it goes over Arrow batches.
+    return F.when(json_value(F.nullif(body, F.lit(""))).isNotNull(), body)
+
+
+def _object_with_id(body: Column, wanted: Column) -> Column:
+    """Whether a text is a JSON object whose ``figId`` is that string."""
+    value = json_value(body)
+    own = F.try_variant_get(value, "$[0].figId", "variant")
+    return F.coalesce(F.startswith(body, F.lit("{")) & (F.schema_of_variant(own) == "STRING") & (F.try_variant_get(value, "$[0].figId", "string") == wanted), F.lit(False))
+
+
+def balanced_objects(answers: DataFrame, key: str = "id", text: str = "text", wanted: str = "id", max_starts: int | None = None) -> DataFrame:
+    """Add ``found`` to every row: the JSON text of the object in its ``text`` that carries the id ``wanted``; NULL if there is none.
+
+    Fenced blocks are looked at before the whole text, in each the whole before its parts, and of these the one that opens last
+    (of the last ``max_starts``).  ``key`` is unique.  Brackets are rows: a running depth gives each its level, and an opening
+    bracket closes at the next bracket of its level.  That is one sort of the brackets, however they nest; texts do not take part.
     """
-    @F.pandas_udf("string")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for answers, ids in batches:
-            yield pd.Series([_find_object(a, i, max_starts) for a, i in zip(answers, ids)], dtype="object")
-    return find
+    fenced = F.regexp_extract_all(text, F.lit(r"```(?:json)?\s*\n([\s\S]*?)```"), 1)
+    bodies = answers.where(F.col(text).isNotNull()).select(key, F.col(wanted).alias("_wanted"), F.posexplode(F.concat(fenced, F.array(text))).alias("_part", "_body"))
+    # Each mark is a bracket and the text up to the next one; their lengths add up to places.
+    marks = bodies.select(key, "_part", F.length(F.regexp_extract("_body", r"^[^{}]*", 0)).alias("_lead"),
+                          F.posexplode(F.transform(F.regexp_extract_all("_body", F.lit(r"[{}][^{}]*"), 0), lambda m: F.struct(
+                              F.startswith(m, F.lit("{")).alias("open"), F.length(m).alias("size")))).alias("_i", "_m"))
+    run = Window.partitionBy(key, "_part").orderBy("_i")
+    sign = F.when(F.col("_m.open"), 1).otherwise(-1)
+    marks = marks.select(key, "_part", "_m.open", (F.col("_lead") + F.sum("_m.size").over(run) - F.col("_m.size") + 1).alias("at"),
+                         (F.sum(sign).over(run) + F.when(F.col("_m.open"), 0).otherwise(1)).alias("level"))
+    level = Window.partitionBy(key, "_part", "level").orderBy("at")
+    spans = marks.withColumn("end", F.lead("at").over(level)).where("open AND end IS NOT NULL")
+    spans = spans.groupBy(key, "_part").agg(F.sort_array(F.collect_list(F.struct("at", "end")), asc=False).alias("_spans"))
+    whole = trimmed(F.col("_body"))
+    shown = F.col("_spans") if max_starts is None else F.slice("_spans", 1, max_starts)
+    parts = F.transform(shown, lambda s: F.substring(F.col("_body"), s["at"].cast("int"), (s["end"] - s["at"] + 1).cast("int")))
+    tried = F.concat(F.when(F.endswith(whole, F.lit("}")), F.array(whole)).otherwise(F.array().cast("array<string>")), F.coalesce(parts, F.array().cast("array<string>")))
+    hits = bodies.join(spans, [key, "_part"], "left").select(key, "_part", "_wanted", tried.alias("_tried"))
+    hits = hits.select(key, "_part", F.get(F.filter("_tried", lambda b: _object_with_id(b, F.col("_wanted"))), F.lit(0)).alias("_hit")).where("_hit IS NOT NULL")
+    first = hits.groupBy(key).agg(F.min_by("_hit", "_part").alias("found"))
+    return answers.join(first, key, "left")
 
 
 def cut(text: Column, chars: int | None) -> Column:

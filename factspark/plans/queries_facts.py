@@ -406,8 +406,8 @@ def _(t):
 
 @query("json_balanced", "SELECT id, CASE WHEN o_orderkey % 8 <> 0 THEN id END AS found FROM {answers}")
 def _(t):
-    body = J.balanced_object()(c("text"), c("id"))
-    return t.rel("answers", row_bytes=1000).select("id", F.get_json_object(body, "$.figId").alias("found"))
+    found = J.balanced_objects(t.rel("answers", row_bytes=1000).select("id", "text"))
+    return found.select("id", F.get_json_object("found", "$.figId").alias("found"))
 
 
 @query("json_sanitize_messages", f"""

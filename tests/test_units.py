@@ -1,7 +1,9 @@
 """Operators on small fixtures with known outcomes."""
 
 import itertools
+import json
 import random
+import re
 
 import pytest
 from pyarrow import fs
@@ -106,10 +108,48 @@ def test_messages_plain_and_alias(spark):
 def test_answers(spark):
     text = 'Sure {x}\n```json\n{"figId":"f1","a":{"b":1}}\n``` end }'
     df = spark.createDataFrame([Row(text=text, id="f1"), Row(text="nothing", id="f1"), Row(text='{"figId":"f2"}', id="f1")])
-    got = [r[0] for r in df.select(J.balanced_object()("text", "id")).collect()]
+    got = [r.found for r in J.balanced_objects(df.withColumn("k", F.monotonically_increasing_id()), "k").orderBy("k").collect()]
     assert got == ['{"figId":"f1","a":{"b":1}}', None, None]
     assert one(spark, 'say {"a": 1} ok', J.outermost_object(F.col("text")))[0] == '{"a": 1}'
     assert one(spark, "say {a: } ok", J.outermost_object(F.col("text")))[0] is None
+    for more in ('{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1}],[{"b": 2}'):  # one value and nothing else
+        assert one(spark, more, J.outermost_object(F.col("text")))[0] is None
+
+
+def plain_balanced(answer, wanted):
+    """Fenced blocks first, the whole before its parts, the last opening bracket first; braces are counted without regard to quotes."""
+    def valid(text):
+        try:
+            value = json.loads(text)
+        except ValueError:
+            return False
+        return isinstance(value, dict) and value.get("figId") == wanted
+    for text in [*re.findall(r"```(?:json)?\s*\n([\s\S]*?)```", answer), answer]:
+        whole = text.strip()
+        if whole.startswith("{") and whole.endswith("}") and valid(whole):
+            return whole
+        for start in [i for i, ch in enumerate(text) if ch == "{"][::-1]:
+            depth = 0
+            for end in range(start, len(text)):
+                depth += {"{": 1, "}": -1}.get(text[end], 0)
+                if depth == 0:
+                    if valid(text[start:end + 1]):
+                        return text[start:end + 1]
+                    break
+    return None
+
+
+def test_balanced_objects_equal_plain_scan(spark):
+    rng = random.Random(21)
+    bits = ['{"figId":"f"}', '{"figId":"f","a":', '{"figId":"g"}', "{", "}", "}}", '"}"', '{"b":"{"}', "```json\n", "```\n", "```", " say ", '{"figId":7}', '{"c":{"figId":"f","d":[1]}}', "é{}", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(400)] + [None, "", "{" * 3000 + '{"figId":"f"}' + "}" * 3000]
+    df = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "k int, text string, id string")
+    got = {r.k: r.found for r in J.balanced_objects(df, "k").collect()}
+    want = {i: None if t is None else plain_balanced(t, "f") if len(t) < 5000 else '{"figId":"f"}' for i, t in enumerate(texts)}
+    assert {k: (texts[k], got[k], want[k]) for k in want if got[k] != want[k]} == {}
+    assert sum(v is not None for v in want.values()) > 50
+    first = J.balanced_objects(spark.createDataFrame([(1, '{"figId":"f"} {} {}', "f")], "k int, text string, id string"), "k", max_starts=2).first()
+    assert first.found is None
 
 
 def test_billed_usage(spark):
