@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from factspark.llm.common import fold, stored, table
 from factspark.llm.registry import query
 
-PART = 1_000_000
+PART = 250_000
 PROBES = 3
 MAX_LANGUAGES = 1024
 UNDETERMINED = "und"
