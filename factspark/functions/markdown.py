@@ -31,8 +31,8 @@ FLOW_EDGE = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:-->|==>|\.->)\s*([A-Za-z_][A-Za-
 CONCEPT_TITLES = ["概念层级", "概念层", "Concept Hierarchy"]
 
 
-def heading_title(raw: Column) -> Column:
-    return head(F.regexp_replace(trimmed(raw), r"[`*_]", ""), 60)
+def heading_title(raw: Column, chars: int | None = None) -> Column:
+    return cut(F.regexp_replace(trimmed(raw), r"[`*_]", ""), chars)
 
 
 def with_headings(df: DataFrame, text: str = "text", lines: str = "lines", heads: str = "heads") -> DataFrame:
@@ -94,7 +94,7 @@ def anchor(doc: Column, heading: Column) -> Column:
     return F.concat(doc, F.lit("#"), name)
 
 
-def _cut(text: Column, chars: int | None) -> Column:
+def cut(text: Column, chars: int | None) -> Column:
     return text if chars is None else head(text, chars)
 
 
@@ -120,7 +120,7 @@ def with_messages(df: DataFrame, text: str, out: str = "messages", limit: int |
                  & ~(F.col("_in") & (r["line"].rlike(PARTICIPANT) | r["line"].rlike(DIAGRAM_NOISE)))),
         lambda r: F.struct(r["at"].alias("at"), F.regexp_extract(r["line"], ARROW_LINE, 1).alias("a"),
                            F.regexp_extract(r["line"], ARROW_LINE, 2).alias("b"),
-                           _cut(trimmed(F.regexp_extract(r["line"], ARROW_LINE, 3)), label_chars).alias("label"))))
+                           cut(trimmed(F.regexp_extract(r["line"], ARROW_LINE, 3)), label_chars).alias("label"))))
 
     def named(r: Column, raw: str) -> Column:
         own = F.filter("_names", lambda n: (n["id"] == r[raw]) & (n["at"] < r["at"]))

@@ -60,23 +60,24 @@ def resolve_docs(files: DataFrame, language: str = "中文", exclude: list[str]
     return first_of(open_rows.withColumn("_tag", tag), ["ws", "key"], ["_tag", "at"]).select("ws", "pos", "path")
 
 
-def heading_rows(docs: DataFrame, desc_chars: int = 220, body_chars: int = 2000) -> DataFrame:
+def heading_rows(docs: DataFrame, title_chars: int | None = None, desc_chars: int | None = None, body_chars: int | None = None,
+                 line_chars: int | None = None) -> DataFrame:
     """Every heading of ``docs(ws, doc, text)`` with its parent, text and anchor.
 
-    The parent is the nearest earlier heading of a lower level.  Bodies are cut
+    Titles, descriptions, bodies and lines are whole unless a number of characters bounds them.  The parent is the nearest earlier heading of a lower level.  Bodies are cut
     out inside the row; only the headings, not the text, reach the window.
     """
     shaped = M.with_headings(docs.select("ws", "doc", "text"))
 
     def part(h, k):
         stop = F.coalesce(F.get("heads", k + 1)["at"], F.size("lines"))
-        body = F.transform(F.slice("lines", h["at"] + 2, stop - h["at"] - 1), lambda l: head(M.trimmed(l), 400))
+        body = F.transform(F.slice("lines", h["at"] + 2, stop - h["at"] - 1), lambda l: M.cut(M.trimmed(l), line_chars))
         blank = lambda l: (l == "") | F.startswith(l, F.lit("<!--"))
         shown = F.transform(body, lambda l: F.when(blank(l), F.lit("")).otherwise(l))
         said = F.array_join(F.filter(body, lambda l: ~blank(l)), " ")
-        return F.struct(k.alias("ord"), h["level"].alias("level"), M.heading_title(h["raw"]).alias("title"),
-                        head(F.trim(head(said, 600)), desc_chars).alias("descr"),
-                        head(M.trimmed(F.array_join(shown, "\n")), body_chars).alias("body"), h["raw"].alias("raw"))
+        return F.struct(k.alias("ord"), h["level"].alias("level"), M.heading_title(h["raw"], title_chars).alias("title"),
+                        M.cut(F.trim(said), desc_chars).alias("descr"),
+                        M.cut(M.trimmed(F.array_join(shown, "\n")), body_chars).alias("body"), h["raw"].alias("raw"))
     rows = inlined(shaped, ["ws", "doc"], F.transform("heads", part), "ord")
     before = Window.partitionBy("ws", "doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(before) for k in range(1, 6)}

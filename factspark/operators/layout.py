@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factspark.functions import manifests as MF
 from factspark.functions import paths as P
-from factspark.functions.text import first_nonblank, first_paragraph, head
+from factspark.functions.text import first_nonblank, first_paragraph
 from factspark.session import cut_lineage
 
 NAME = P.basename
@@ -41,7 +41,7 @@ def detect_language(files: DataFrame) -> DataFrame:
         "ws", F.coalesce(F.get(names, F.col("_r")), F.lit("unknown")).alias("language"))
 
 
-def manifest_dirs(files: DataFrame, manifests: list[str], max_depth: int | None = 3) -> DataFrame:
+def manifest_dirs(files: DataFrame, manifests: list[str], max_depth: int | None = None) -> DataFrame:
     """All directories ``(ws, dir)`` that own a manifest, nested ones included."""
     found = (files.where(NAME(F.col("path")).isin(manifests) & ~P.in_skipped_dir(F.col("path"), P.INDEX_SKIP_DIRS))
              .select("ws", P.dirname(F.col("path")).alias("dir")).distinct())
@@ -97,14 +97,14 @@ def typescript_packages(files: DataFrame, scope: str = "") -> DataFrame:
     listed = named(listed)
     root = named(meta.where(F.col("dir") == "")).join(listed.select("ws").distinct(), "ws", "left_anti")
     notes = lambda n, c: files.where(F.endswith("path", F.lit(n))).where(NAME(F.col("path")) == n).select(
-        "ws", P.dirname(F.col("path")).alias("dir"), first_paragraph(head(F.col("content"), 400)).alias(c))
+        "ws", P.dirname(F.col("path")).alias("dir"), first_paragraph(F.col("content")).alias(c))
     cut = (lambda c: F.when(F.startswith(c, F.lit(scope)), F.substring(c, F.lit(len(scope) + 1), F.length(c))).otherwise(c)) if scope else (lambda c: c)
     peers = F.filter(MF.json_keys(F.col("content"), "peerDependencies"), lambda k: F.startswith(k, F.lit(scope)))
     return (listed.unionByName(root).join(notes("README.md", "_en"), ["ws", "dir"], "left")
             .join(notes("README.zh.md", "blurb_zh"), ["ws", "dir"], "left")
             .select("ws", cut(F.col("name")).alias("id"), "dir",
                     F.when(F.size(F.split("dir", "/")) == 3, _under(F.col("dir"), F.lit(1))).otherwise("").alias("grp"),
-                    first_nonblank(head(F.trim(F.get_json_object("content", "$.description")), 220), F.col("_en")).alias("blurb"),
+                    first_nonblank(F.trim(F.get_json_object("content", "$.description")), F.col("_en")).alias("blurb"),
                     F.coalesce("blurb_zh", F.lit("")).alias("blurb_zh"), F.transform(peers, cut).alias("deps")))
 
 

@@ -272,8 +272,8 @@ def _(t):
 
 @query("doc_heading_body", f"""
     WITH {_HEADS}
-    SELECT doc, k // 4 AS ord, trim(string_agg(trim(substr(trim(line, chr(9) || chr(13) || ' '), 1, 400), chr(9) || chr(13) || ' '), chr(10) ORDER BY k) FILTER (WHERE k % 4 <> 0)) IS NOT NULL AS has_body,
-      coalesce(substr(trim(string_agg(substr(trim(line, chr(9) || chr(13) || ' '), 1, 400), chr(10) ORDER BY k) FILTER (WHERE k % 4 <> 0), chr(9) || chr(10) || chr(13) || ' '), 1, 2000), '') AS body
+    SELECT doc, k // 4 AS ord, trim(string_agg(trim(line, chr(9) || chr(13) || ' '), chr(10) ORDER BY k) FILTER (WHERE k % 4 <> 0)) IS NOT NULL AS has_body,
+      coalesce(trim(string_agg(trim(line, chr(9) || chr(13) || ' '), chr(10) ORDER BY k) FILTER (WHERE k % 4 <> 0), chr(9) || chr(10) || chr(13) || ' '), '') AS body
     FROM lines GROUP BY ALL""")
 def _(t):
     from factspark.operators.docset import heading_rows
