@@ -37,10 +37,15 @@ def outermost_array(text: Column) -> Column:
 
 
 def _object_with_id(body: Column, wanted: Column) -> Column:
-    """Whether a text is a JSON object whose ``figId`` is that string."""
-    value = json_value(body)
-    own = F.try_variant_get(value, "$[0].figId", "variant")
-    return F.coalesce(F.startswith(body, F.lit("{")) & (F.schema_of_variant(own) == "STRING") & (F.try_variant_get(value, "$[0].figId", "string") == wanted), F.lit(False))
+    """Whether a text is a JSON object whose ``figId`` is that string.  Texts that cannot have the key are not parsed."""
+    def judge(value: Column) -> Column:
+        own = F.try_variant_get(value, "$[0].figId", "variant")
+        return (F.try_variant_get(value, "$[1]", "string") == "end") & (F.try_variant_get(own, "$", "string") == wanted) & (F.schema_of_variant(own) == "STRING")
+
+    # An array of one, so that the text is parsed once.
+    parsed = F.transform(F.array(F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"end"]')))), judge)
+    may = F.startswith(body, F.lit("{")) & (F.contains(body, F.lit("figId")) | F.contains(body, F.lit("\\u")))
+    return F.when(may, F.coalesce(F.get(parsed, F.lit(0)), F.lit(False))).otherwise(F.lit(False))
 
 
 def balanced_objects(answers: DataFrame, key: str = "id", text: str = "text", wanted: str = "id", max_starts: int | None = None) -> DataFrame:
