@@ -16,7 +16,7 @@ from factspark.llm.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TABLES = ("documents", "labels", "conversations", "embeddings")
+TABLES = ("documents", "labels", "conversations", "embeddings", "benchmark")
 
 
 @pytest.fixture(scope="module")
