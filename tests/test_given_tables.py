@@ -21,3 +21,9 @@ def against_sql(spark, folder, name, **tables):
 @pytest.mark.parametrize("name", ["st_usage_totals", "st_capture"])
 def test_streams_read_folders(spark, tmp_path, name):
     assert against_sql(spark, tmp_path, name, conversations=spark.read.parquet(f"{SF}/conversations.parquet")) == ""
+
+
+def test_outlines_of_long_documents(spark, tmp_path):
+    """As many headings as the SQL takes: 60 of a document before."""
+    docs = spark.createDataFrame([(4, "s", "\n".join(f"line {k}" for k in range(240))), (8, "s", "short")], "doc_id long, source string, text string")
+    assert against_sql(spark, tmp_path, "doc_outline", documents=docs) == ""
