@@ -32,3 +32,12 @@ def test_outlines_of_long_documents(spark, tmp_path):
 def test_documents_that_end_within_a_workspace(spark, tmp_path):
     docs = spark.createDataFrame([(k, None if k == 7 else "text") for k in range(12)], "doc_id long, text string")
     assert against_sql(spark, tmp_path, "docset_resolve", documents=docs) == ""
+
+
+def test_declared_targets_know_all_edges(spark):
+    """An edge that is called in either direction of its names is not new."""
+    from factspark.plans.registry import Tables
+
+    calls = Tables(spark, SF).rel("nation_calls").select("ws", "src", "dst").distinct()
+    found = QUERIES["jn_declared_target"](spark, SF)
+    assert found.count() > 0 and found.join(calls, ["ws", "src", "dst"], "left_semi").count() == 0
