@@ -149,6 +149,16 @@ def hashed(text: Column, size: int, use) -> Column:
     return compute(text_of(text))
 
 
+def prints_and_keys(text: Column, size: int) -> Column:
+    """A text's SimHash fingerprint, then its band keys: one pass over the text for both."""
+    @F.pandas_udf("array<long>")
+    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.append(simhash(shingle_hashes(t or "", 3)), band_keys(shingle_set(t or "", size))) for t in texts])
+
+    return compute(text_of(text))
+
+
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many hashes each of the left sets shares with each of the right."""
     ends = np.cumsum([len(x) for x in right])
@@ -191,7 +201,8 @@ def block_links(rows: DataFrame, similarity: float) -> DataFrame:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input without exact and near copies: of every group of texts one row stays, all columns kept.
 
-    Texts are alike from ``similarity`` on: the Jaccard similarity of their sets of ``size``-word shingle hashes,
+    Texts whose SimHash fingerprints differ in 2 bits or fewer are copies (``ball_links``).  Fingerprints of close copies often
+    differ in more, so texts are also alike from ``similarity`` on: the Jaccard similarity of their sets of ``size``-word shingle hashes,
     which is computed for every link.  Texts that share none of ``BANDS`` keys are not compared; of pairs at 0.8
     that is one in 9,000, of more similar ones fewer.  Groups are connected components.  The row with the smallest id stays
     (null last), one of them if it is repeated.  Null text counts as empty; texts without words are one group.
@@ -201,9 +212,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     """
     k1, k2 = F.xxhash64(text_of(F.col(text))), F.xxhash64(F.lit(1), text_of(F.col(text)))
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
-    rows = docs.select(k1.alias("k1"), k2.alias("k2"), order.alias("o"), hashed(F.col(text), size, band_keys).alias("keys"))
-    texts = rows.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.first("keys").alias("keys"))
-    texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), order.alias("o"), prints_and_keys(F.col(text), size).alias("marks"))
+    texts = rows.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.first("marks").alias("marks"))
+    texts = stored(texts.select("k1", "k2", "o", F.get("marks", F.lit(0)).alias("fp"), F.slice("marks", 2, BANDS).alias("keys"), F.monotonically_increasing_id().alias("tid")))
+
+    # Copies by fingerprint: texts of one fingerprint by its smallest, fingerprints by their balls.
+    prints = stored(texts.groupBy("fp").agg(F.min("tid").alias("least")))
+    same = texts.join(prints, "fp").filter("tid <> least").select(F.col("least").alias("a"), F.col("tid").alias("b"))
+    close = ball_links(prints)
+    for side in ("a", "b"):
+        close = close.join(prints.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")), side)
+    copies = same.union(close.select("least_a", "least_b"))
 
     banded = texts.select("tid", F.explode("keys").alias("key"))
     groups = banded.groupBy("key").agg(F.min("tid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -217,7 +236,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     for side in ("a", "b"):
         links = links.join(sets.select(F.col("tid").alias(side), F.col("set").alias(f"set_{side}")), side)
     links = links.withColumn("both", F.size(F.array_intersect("set_a", "set_b"))).withColumn("any", F.size("set_a") + F.size("set_b") - F.col("both"))
-    links = stored(links.filter((F.col("any") == 0) | (F.col("both") / F.col("any") >= similarity)).select("a", "b"))
+    links = stored(links.filter((F.col("any") == 0) | (F.col("both") / F.col("any") >= similarity)).select("a", "b").union(copies))
 
     reach = components(links, "a", "b").select(F.col("node").alias("tid"), "root")
     rest = members.filter("n > 2 and tid <> rep").join(reach, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))

@@ -70,3 +70,14 @@ def test_shared_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(40, size=n)) for n in (0, 5, 30, 0, 12)]
     assert simhash.shared_counts(sets[1:], sets).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets[1:]]
+
+
+def test_fingerprints_link_what_sets_do_not(spark):
+    """Texts of one fingerprint are copies by SimHash, though most of their distinct shingles differ."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    line = "one two three "
+    texts = [line * 200 + " ".join(word() for _ in range(40)) for _ in range(2)] + [" ".join(word() for _ in range(80)) for _ in range(3)]
+    prints = [simhash.simhash(simhash.shingle_hashes(t, 3)) for t in texts]
+    assert prints[0] == prints[1] and len(set(prints)) == 4
+    assert kept(spark, texts) == {0, 2, 3, 4}
