@@ -105,8 +105,9 @@ def import_edges(imports: DataFrame, packages: DataFrame, id_prefix: str = "",
     """
     def short(s: Column) -> Column:
         return without_prefix(s, id_prefix)
-    uses = imports.groupBy("ws", "pkg_id", "spec", P.dirname(F.col("from_file")).alias("dir")) \
-        .agg(F.min("imp_ord").alias("ord"))
+    # Only relative specifiers need their folder.  Written once: extraction must not run again for every use below.
+    folder = F.when(F.startswith("spec", F.lit(".")), P.dirname(F.col("from_file")))
+    uses = cut_lineage(imports.groupBy("ws", "pkg_id", "spec", folder.alias("dir")).agg(F.min("imp_ord").alias("ord")))
     relative = uses.where(F.startswith("spec", F.lit(".")))
     if mode == "resolve":
         segments = F.split(P.join_path(F.col("dir"), F.col("spec")), "/")
@@ -120,7 +121,7 @@ def import_edges(imports: DataFrame, packages: DataFrame, id_prefix: str = "",
             .join(ids, ["ws", "dst"])
             .groupBy("ws", "pkg_id", "spec", "dir").agg(F.min(F.struct("_pos", "_seg", "ord")).alias("_m"))
             .select("ws", F.col("pkg_id").alias("src"), short(F.col("_m._seg")).alias("dst"), F.col("_m.ord").alias("ord")))
-    bare = uses.where(~F.startswith("spec", F.lit("."))).groupBy("ws", "pkg_id", "spec").agg(F.min("ord").alias("ord"))
+    bare = uses.where(~F.startswith("spec", F.lit("."))).drop("dir")
     parts = F.split("spec", "/")
     lead = F.get(parts, F.lit(0))
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(lead), F.lit(1))),

@@ -59,3 +59,23 @@ def test_packed_trees_read_like_files(spark, tmp_path):
     assert not [p for p in tmp_path.glob("True/**/*.ts")] and scan_workspaces(spark, f"{tmp_path}/True", ws_depth=1, partitions=1).count() == 12
     listed = scan_workspaces(spark, f"{tmp_path}/True", ws_depth=1, content="false")
     assert listed.where(F.col("content").isNotNull()).count() == 0 and listed.count() == 12
+
+
+def test_import_edges_extract_once(spark):
+    """Imports are made once, however often the edges refer to them."""
+    from pyspark.sql import functions as F
+
+    from factspark.operators import graph as G
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(spec):
+        seen.add(1)
+        return spec
+
+    rows = [("w", f"p{k % 3}", k, f"packages/p{k % 3}/src/f{k}.ts", spec) for k, spec in enumerate(["p0/x", "p1", "../p2/y", "p2", "zz", "p0"])]
+    imports = spark.createDataFrame(rows, "ws string, pkg_id string, imp_ord long, from_file string, spec string").withColumn("spec", made("spec"))
+    packages = spark.createDataFrame([("w", f"p{k}", k) for k in range(3)], "ws string, pkg_id string, pkg_ord long")
+    got = sorted(tuple(r) for r in G.import_edges(imports, packages).select("src", "dst", "edge_ord").collect())
+    assert got == [("p0", "p2", 3), ("p2", "p0", 5)] and seen.value == len(rows)
