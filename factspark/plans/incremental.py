@@ -47,11 +47,11 @@ def changed_files(diff: DataFrame) -> DataFrame:
     return real_changes(diff).select("ws", F.col("path").alias("file")).distinct()
 
 
-def signed_calls(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
+def signed_calls(gone: DataFrame, new: DataFrame) -> DataFrame:
     """Calls of the changed files with ``sign`` -1 (gone) or +1 (new); repeated ones have their number.  Calls that stay are not listed."""
-    old = before.join(changed, ["ws", "file"], "left_semi").select(*CALL, F.lit(-1).cast("long").alias("sign"))
-    new = after.join(changed, ["ws", "file"], "left_semi").select(*CALL, F.lit(1).cast("long").alias("sign"))
-    return old.unionByName(new).groupBy(*CALL).agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    old = gone.select(*CALL, F.lit(-1).cast("long").alias("sign"))
+    both = old.unionByName(new.select(*CALL, F.lit(1).cast("long").alias("sign")))
+    return both.groupBy(*CALL).agg(F.sum("sign").alias("sign")).where("sign <> 0")
 
 
 def merged_counts(counts: DataFrame, delta: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -78,14 +78,17 @@ def updated(state: GraphState, diff: DataFrame, calls_of_files: Callable[[DataFr
     """
     changed = cut_lineage(changed_files(diff))
     after = cut_lineage(calls_of_files(changed).select(*CALL))
-    delta = cut_lineage(signed_calls(state.calls, after, changed))
-    calls = state.calls.join(changed, ["ws", "file"], "left_anti").unionByName(after)
+    # One join tells which calls go; the difference and the calls that stay both read its result.
+    placed = cut_lineage(state.calls.select(*CALL).join(changed.withColumn("_gone", F.lit(True)), ["ws", "file"], "left"))
+    delta = cut_lineage(signed_calls(placed.where("_gone"), after))
+    calls = placed.where("_gone IS NULL").select(*CALL).unionByName(after)
 
     per_symbol = delta.groupBy(*EDGE, "sym").agg(F.sum("sign").alias("n"))
     counts = merged_counts(state.counts, per_symbol, [*EDGE, "sym"], ["n"])
-    touched = delta.select(*EDGE).distinct()
+    touched = cut_lineage(delta.select(*EDGE).distinct())
     # First places and symbol order cannot be taken back from sums: those of touched edges come from their calls.
-    again = cut_lineage(aggregate_edges(calls.join(touched, EDGE, "left_semi")))
+    # Not written here: degrees need their ends alone.
+    again = aggregate_edges(calls.join(touched, EDGE, "left_semi"))
     was = state.edges.join(touched, EDGE, "left_semi")
     edges = state.edges.join(touched, EDGE, "left_anti").unionByName(again)
     moved = edge_ends(again, 1).unionByName(edge_ends(was, -1)).groupBy("ws", "id").agg(F.sum("cited_by").alias("cited_by"), F.sum("cites").alias("cites"))

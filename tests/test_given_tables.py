@@ -79,3 +79,23 @@ def test_import_edges_extract_once(spark):
     packages = spark.createDataFrame([("w", f"p{k}", k) for k in range(3)], "ws string, pkg_id string, pkg_ord long")
     got = sorted(tuple(r) for r in G.import_edges(imports, packages).select("src", "dst", "edge_ord").collect())
     assert got == [("p0", "p2", 3), ("p2", "p0", 5)] and seen.value == len(rows)
+
+
+def test_cut_rows_are_read_by_column(spark):
+    from factspark.session import cut_lineage
+    rows = spark.range(5).selectExpr("id", "id AS id", "cast(id AS string) AS `a b`")
+    cut = cut_lineage(rows)
+    assert cut.columns == ["id", "id", "a b"] and sorted(tuple(r) for r in cut.collect()) == [(i, i, str(i)) for i in range(5)]
+    plan = cut.select("a b")._jdf.queryExecution().toString()
+    assert "parquet" in plan and "ReadSchema: struct<c2:string>" in plan
+    assert cut_lineage(spark.sql("SELECT 1 AS a, NULL AS b")).collect() == [(1, None)]
+
+
+def test_degrees_after_an_edit_need_no_symbols(spark):
+    from factspark.plans import incremental as I
+    calls = spark.createDataFrame([("w", "f", 1, "a", "b", "x"), ("w", "g", 2, "b", "c", "y")], "ws string, file string, ord long, src string, dst string, sym string")
+    diff = spark.createDataFrame([("w", "f", "removed")], "ws string, path string, change string")
+    state = I.updated(I.graph_state(calls), diff, lambda files: calls.limit(0))
+    plan = state.degrees._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_sort" not in plan
+    assert sorted(tuple(r) for r in state.degrees.select("id", "cited_by", "cites").collect()) == [("b", 0, 1), ("c", 1, 0)]
