@@ -1,6 +1,6 @@
 """Imports, entities and calls of source files.
 
-One ``mapInPandas`` pass yields one tagged row stream for all three record types
+One ``mapInArrow`` pass yields one tagged row stream for all three record types
 (``rec_type``), which the callers split by filter.  Python sources are read with
 ``ast``; TypeScript and Java have no grammar library here, so small scanners
 approximate one: strings and comments are blanked, then brackets are followed.
@@ -13,7 +13,7 @@ import bisect
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +26,15 @@ RECORD = ("ws string, pkg_id string, path string, rec_type string, ord long, par
           "line long, modifiers array<string>, spec string, names array<string>, type_only boolean, "
           "caller string, root string")
 FIELDS = [f.split()[0] for f in RECORD.split(", ")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+ARROW_RECORD = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in RECORD.split(", "))])
+FILES_AT_ONCE, RECORDS_AT_ONCE = 500, 4000
 
 _BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`")
 _IMPORT = re.compile(r"(?m)^[ \t]*import\b(\s+type\b(?!\s*,|\s+from\b))?([^;'\"()]*?)(?:\bfrom\s*)?(['\"])")
 _DECL = re.compile(r"(?<![.\w$])(abstract\s+class|class|interface|enum|type|function)\b\s*\*?\s*([A-Za-z_$][\w$]*)")
-_CHAIN = re.compile(r"([A-Za-z_$][\w$]*(?:\s*[?!]?\.\s*#?[A-Za-z_$][\w$]*)*)\s*(?:<[^<>()]*>)?\s*(?:\?\.\s*)?\(|[{}()]|;|=|\n")
+# A name is tried once, from its first letter, and never given back piece by piece.
+_CHAIN = re.compile(r"((?<![A-Za-z_$])[A-Za-z_$][\w$]*+(?:\s*[?!]?\.\s*#?[A-Za-z_$][\w$]*+)*+)\s*(?:<[^<>()]*>)?\s*(?:\?\.\s*)?\(|[{}()]|;|=|\n")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "function", "return", "super", "import", "typeof", "await",
              "constructor", "with", "new", "async"}
 _DOT = re.compile(r"[?!]?\.")
@@ -274,22 +278,37 @@ def extract_records(files: DataFrame, extractors: dict[str, Extractor] | None =
     """
     chosen = {**EXTRACTORS, **(extractors or {})}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = ARROW_RECORD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = {f: [] for f in FIELDS}
+
+        def emitted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(lists[f.name], f.type) for f in types], schema=types)
+            for values in lists.values():
+                values.clear()
+            return out
+
         for batch in batches:
-            out = []
-            for ws, pkg, path, language, content in zip(batch.ws, batch.pkg_id, batch.path, batch.language, batch.content):
-                base = {**dict.fromkeys(FIELDS), "ws": ws, "pkg_id": pkg, "path": path}
-                try:
-                    rows = [{**base, **r} for r in chosen[language](content)] if language in chosen else []
-                except (SyntaxError, ValueError, RecursionError) as error:
-                    rows = [{**base, "rec_type": "error", "ord": 0, "name": type(error).__name__}]
-                out.extend(r for r in rows if call_cap is None or r["rec_type"] != "call" or r["ord"] < call_cap)
-            frame = pd.DataFrame(out, columns=FIELDS)
-            for name in ("ord", "parent_ord", "line"):
-                frame[name] = frame[name].astype("Int64")
-            frame["type_only"] = frame["type_only"].astype("boolean")
-            yield frame
-    return files.select("ws", "pkg_id", "path", "language", "content").mapInPandas(run, RECORD)
+            # Few files and records at a time are Python objects, however many a batch has.
+            for start in range(0, batch.num_rows, FILES_AT_ONCE):
+                some = batch.slice(start, FILES_AT_ONCE).to_pydict()
+                for ws, pkg, path, language, content in zip(*[some[n] for n in ("ws", "pkg_id", "path", "language", "content")]):
+                    try:
+                        rows = list(chosen[language](content)) if language in chosen else []
+                    except (SyntaxError, ValueError, RecursionError) as error:
+                        rows = [{"rec_type": "error", "ord": 0, "name": type(error).__name__}]
+                    if call_cap is not None:
+                        rows = [r for r in rows if r["rec_type"] != "call" or r["ord"] < call_cap]
+                    for f, own in (("ws", ws), ("pkg_id", pkg), ("path", path)):
+                        lists[f].extend([own] * len(rows))
+                    for f in FIELDS[3:]:
+                        lists[f].extend([r.get(f) for r in rows])
+                    if len(lists["ws"]) >= RECORDS_AT_ONCE:
+                        yield emitted()
+        if lists["ws"]:
+            yield emitted()
+    return files.select("ws", "pkg_id", "path", "language", "content").mapInArrow(run, RECORD)
 
 
 def imports_of(records: DataFrame) -> DataFrame:
@@ -334,10 +353,14 @@ STEREOTYPES = [
 PRIORITY_FILE = r"(Application|Controller|Service|Client|Listener|Consumer|Producer|Config)\.java$"
 
 
+def file_rank(path):
+    """0 for files with a telling name, 1 for the others."""
+    return F.when(path.rlike(PRIORITY_FILE), 0).otherwise(1)
+
+
 def scan_budget(files: DataFrame, budget: int | None = None) -> DataFrame:
     """The files of each node an annotation scan reads: telling names first, then by name."""
-    rank = F.when(F.col("path").rlike(PRIORITY_FILE), 0).otherwise(1)
-    return top_n(files, ["ws", "node"], [rank, F.col("path")], budget, rank="pos")
+    return top_n(files, ["ws", "node"], [file_rank(F.col("path")), F.col("path")], budget, rank="pos")
 
 
 def annotation_profile(files: DataFrame, budget: int | None = None, caps: dict[str, int] | None = None) -> DataFrame:
@@ -362,8 +385,11 @@ def annotation_profile(files: DataFrame, budget: int | None = None, caps: dict[s
     client_list = F.when(client.isNotNull(), F.array(client)).otherwise(F.array().cast("array<string>"))
     found = F.concat(tagged("stereotype", first_per_line), tagged("client", client_list),
                      tagged("listener", heard), tagged("endpoint", routes))
-    rows = inlined(scan_budget(files, budget), ["ws", "node", "pos"], found, "kind")
-    seen = rows.groupBy("ws", "node", "kind", "value").agg(F.min(F.struct("pos", "i")).alias("at"))
+    # Without a budget no file needs its number: what orders the files orders their values.
+    telling = file_rank(F.col("path"))
+    read = files if budget is None else scan_budget(files, budget)
+    rows = inlined(read, ["ws", "node", telling.alias("_rank"), "path"], found, "kind")
+    seen = rows.groupBy("ws", "node", "kind", "value").agg(F.min(F.struct("_rank", "path", "i")).alias("at"))
     ranked = top_n(seen, ["ws", "node", "kind"], ["at", "value"], max(caps.values()) if caps else None, rank="ord")
     if caps:
         cap = F.create_map(*[F.lit(x) for p in caps.items() for x in p])[F.col("kind")]

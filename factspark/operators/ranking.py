@@ -31,18 +31,24 @@ def positions(df: DataFrame, keys, order, rank: str) -> DataFrame:
     """Every row with its position from 1 in its group, without sorting a group in one task.
 
     Rows are dealt by ranges of group and order.  A window numbers the rows of a group inside one
-    range; the ranges of a group hand their sizes on, one row each.
+    range.  Only the group a range begins with may have rows in earlier ranges: those groups, one a
+    range at most, hand their sizes on.
     """
     names = [f"_k{i}" for i in range(len(keys))]
     dealt = df.select("*", *[k.alias(n) for k, n in zip(_cols(keys), names)])
-    dealt = cut_lineage(dealt.repartitionByRange(*_cols(keys), *_cols(order)).withColumn("_range", F.spark_partition_id()))
-    inside = Window.partitionBy("_range", *names).orderBy(*_cols(order))
+    sorting = [*_cols(keys), *_cols(order)]
+    # The high bits of this id are the range, the low 33 count its rows in their order.
+    dealt = cut_lineage(dealt.repartitionByRange(*sorting).sortWithinPartitions(*sorting).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    inside = Window.partitionBy("_range", *names).orderBy("_at")
     before = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_range", *names).agg(F.count("*").alias("_n"))
+    begins = dealt.where(F.col("_at").bitwiseAND((1 << 33) - 1) == 0).select(*[F.col(n).alias(f"{n}b") for n in names]).distinct()
+    cut = dealt.select("_range", *names).join(F.broadcast(begins), [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in names], "left_semi")
+    sizes = cut.groupBy("_range", *names).agg(F.count("*").alias("_n"))
     sizes = sizes.select("_range", *[F.col(n).alias(f"{n}s") for n in names], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rows = dealt.withColumn("_in", F.row_number().over(inside)).withColumnRenamed("_range", "_own")
     same = [F.col("_own") == F.col("_range"), *[F.col(n).eqNullSafe(F.col(f"{n}s")) for n in names]]
-    rows = rows.join(sizes, same).withColumn(rank, (F.col("_in") + F.col("_before")).cast("long"))
+    rows = rows.join(F.broadcast(sizes), same, "left").withColumn(rank, (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long"))
     return rows.select(*df.columns, rank)
 
 

@@ -99,3 +99,51 @@ def test_degrees_after_an_edit_need_no_symbols(spark):
     plan = state.degrees._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "array_sort" not in plan
     assert sorted(tuple(r) for r in state.degrees.select("id", "cited_by", "cites").collect()) == [("b", 0, 1), ("c", 1, 0)]
+
+
+def test_records_leave_python_in_small_batches(spark):
+    """One batch of files was one frame of records before, however many they were."""
+    import pyarrow as pa
+
+    from factspark.operators import extract as E
+    sent = {}
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            sent["run"] = run
+    E.extract_records(Files())
+    rows = 3000
+    batch = pa.RecordBatch.from_pydict({"ws": ["w"] * rows, "pkg_id": ["p"] * rows, "path": [f"{i}.java" for i in range(rows)], "language": ["java"] * rows,
+                                        "content": ["class A {\n  int a, b;\n}"] * rows})
+    out = list(sent["run"](iter([batch])))
+    counts = [b.num_rows for b in out]
+    assert sum(counts) == 3 * rows and max(counts) < 4100
+
+
+def test_positions_of_groups_over_many_ranges(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from factspark.operators.ranking import positions
+    rows = spark.range(4000).select((F.when(F.col("id") < 3000, F.lit(None)).otherwise(F.col("id") % 7)).alias("k"), F.col("id").alias("o"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = positions(rows, ["k"], ["o"], "pos")
+        assert "Window" in found._jdf.queryExecution().toString()
+        want = rows.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("long"))
+        assert found.exceptAll(want).isEmpty() and found.count() == 4000
+        sizes = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in sizes  # only groups that a range begins with hand their sizes on
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_dealt_tables_hold_what_is_read(spark):
+    """Comments and clerks were written with every order before, and places were found by a sort."""
+    from factspark.plans.registry import Tables
+    rows = Tables(spark, SF).rel("sources", row_bytes=1000)
+    assert Tables._columns(spark.read.parquet(f"{SF}/orders.parquet"), "SELECT o_orderkey FROM {orders}") == ["o_orderkey"]
+    assert rows.exceptAll(Tables(spark, SF).rel("sources")).isEmpty()
