@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from factspark.llm.registry import query
 PART = 250_000
 PROBES = 3
 MAX_LANGUAGES = 1024
+TEXTS = 256
 UNDETERMINED = "und"
 
 
@@ -47,6 +49,12 @@ def slices(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield owners, parts
 
 
+def some_texts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, a few at a time: only those are Python strings at once."""
+    for a in range(0, len(texts), TEXTS):
+        yield texts.slice(a, TEXTS).to_pylist()
+
+
 def trigrams(owners: list[int], parts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams with a letter in the middle, 21 bits a code point, and the texts they lie in.
 
@@ -130,17 +138,24 @@ class LanguageFilter:
 
 def trigram_counts(rows: DataFrame) -> DataFrame:
     """(lang, text) rows to lang, gram, n; each task adds up before it emits, in bounded memory."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = letter_table(), {}
 
-        def emitted() -> Iterator[pd.DataFrame]:
+        def emitted() -> Iterator[pa.RecordBatch]:
             for lang, (grams, n) in sums.items():
-                yield pd.DataFrame({"lang": lang, "gram": grams.astype("i8"), "n": n})
+                yield pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(grams)), "gram": grams.astype("i8"), "n": n.astype("i8")})
             sums.clear()
 
+        def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+            for langs, texts in zip(some_texts(batch.column("lang")), some_texts(batch.column("text"))):
+                own = {}
+                for lang, text in zip(langs, texts):
+                    own.setdefault(lang, []).append(text)
+                yield from own.items()
+
         for batch in batches:
-            for lang, own in batch.groupby("lang", sort=False):
-                for owners, parts in slices(own["text"].tolist()):
+            for lang, own in by_language(batch):
+                for owners, parts in slices(own):
                     grams, n = np.unique(trigrams(owners, parts, letters)[0], return_counts=True)
                     if lang in sums:
                         grams, at = np.unique(np.concatenate([sums[lang][0], grams]), return_inverse=True)
@@ -150,7 +165,7 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
                         yield from emitted()
         yield from emitted()
 
-    return rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = 1e-5, min_share: float = 0.1) -> LanguageFilter:
@@ -176,15 +191,22 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_rate: flo
                           ordered[0]["lang"] if ordered else UNDETERMINED)
 
 
+def decided_row(found: pd.DataFrame | None) -> pa.Array:
+    """``decide``'s frame as an Arrow struct, with no rows for None."""
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "coverage": pa.float64()}
+    columns = [pa.array([] if found is None else found[n].tolist(), kind) for n, kind in kinds.items()]
+    return pa.StructArray.from_arrays(columns, fields=[pa.field(n, kind) for n, kind in kinds.items()])
+
+
 def predicted(text: Column, model: LanguageFilter, spark: SparkSession) -> Column:
     """struct(lang_pred, score, coverage) of a text; null counts as empty, which is undetermined."""
     shipped = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, coverage double")
-    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, coverage double")
+    def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = letter_table()
         for texts in batches:
-            yield shipped.value.decide([t or "" for t in texts], letters)
+            yield pa.concat_arrays([decided_row(shipped.value.decide([t or "" for t in some], letters)) for some in some_texts(texts)] or [decided_row(None)])
 
     return decide(text)
 
@@ -225,11 +247,14 @@ def accepted(text: Column, model: LanguageFilter, spark: SparkSession, levels: d
     """Whether a text has a determined language, one of ``levels``, that knows at least that share of its trigrams."""
     shipped = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = letter_table()
         for texts in batches:
-            found = shipped.value.decide([t or "" for t in texts], letters)
-            yield (found["lang_pred"] != UNDETERMINED) & (found["coverage"] >= found["lang_pred"].map(levels).astype("f8"))
+            kept = []
+            for some in some_texts(texts):
+                found = shipped.value.decide([t or "" for t in some], letters)
+                kept += ((found["lang_pred"] != UNDETERMINED) & (found["coverage"] >= found["lang_pred"].map(levels).astype("f8"))).tolist()
+            yield pa.array(kept, pa.bool_())
 
     return decide(text)

@@ -147,3 +147,14 @@ def test_dealt_tables_hold_what_is_read(spark):
     rows = Tables(spark, SF).rel("sources", row_bytes=1000)
     assert Tables._columns(spark.read.parquet(f"{SF}/orders.parquet"), "SELECT o_orderkey FROM {orders}") == ["o_orderkey"]
     assert rows.exceptAll(Tables(spark, SF).rel("sources")).isEmpty()
+
+
+def test_few_texts_are_strings_at_once():
+    """All texts of a batch were Python strings at once before."""
+    import pyarrow as pa
+
+    from factspark.llm.language_id import TEXTS, some_texts
+    batch = pa.array([None, "a", ""] * TEXTS)
+    parts = list(some_texts(batch))
+    assert sum(parts, []) == batch.to_pylist() and max(map(len, parts)) == TEXTS
+    assert list(some_texts(pa.array([], pa.string()))) == []
