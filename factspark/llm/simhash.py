@@ -13,11 +13,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factspark.llm.common import components, spanning, stored, table, text_of
+from factspark.llm.language_id import some_texts
 from factspark.llm.registry import query
 
 PART = 50_000
@@ -139,22 +141,29 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (keys ^ keys >> np.uint64(29)).view("i8")
 
 
+def lists_of(batches: Iterator[pa.Array], use) -> Iterator[pa.Array]:
+    """``use`` of every text of Arrow batches, arrays of longs: a few texts are strings at once, and their arrays leave before the next."""
+    for texts in batches:
+        for some in some_texts(texts):
+            found = [use(t or "") for t in some]
+            ends = np.cumsum([0, *map(len, found)], dtype="i4")
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype("i8", copy=False)))
+
+
 def hashed(text: Column, size: int, use) -> Column:
     """``use`` of a text's set of shingle hashes, as an array of longs."""
-    @F.pandas_udf("array<long>")
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([use(shingle_set(t or "", size)) for t in texts])
+    @F.arrow_udf("array<long>")
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lists_of(batches, lambda t: use(shingle_set(t, size)))
 
     return compute(text_of(text))
 
 
 def prints_and_keys(text: Column, size: int) -> Column:
     """A text's SimHash fingerprint, then its band keys: one pass over the text for both."""
-    @F.pandas_udf("array<long>")
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.append(simhash(shingle_hashes(t or "", 3)), band_keys(shingle_set(t or "", size))) for t in texts])
+    @F.arrow_udf("array<long>")
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lists_of(batches, lambda t: np.append(simhash(shingle_hashes(t, 3)), band_keys(shingle_set(t, size))))
 
     return compute(text_of(text))
 

@@ -81,3 +81,17 @@ def test_fingerprints_link_what_sets_do_not(spark):
     prints = [simhash.simhash(simhash.shingle_hashes(t, 3)) for t in texts]
     assert prints[0] == prints[1] and len(set(prints)) == 4
     assert kept(spark, texts) == {0, 2, 3, 4}
+
+
+def test_few_texts_leave_python_at_once(spark):
+    """A batch's sets of shingles were all made before the first left."""
+    import pyarrow as pa
+
+    from factspark.llm.language_id import TEXTS
+    texts = [None, "", "a b c d e f g"] * TEXTS
+    use = lambda t: simhash.shingle_set(t, 5).view("i8")
+    parts = list(simhash.lists_of(iter([pa.array(texts, pa.string()), pa.array([], pa.string())]), use))
+    assert max(map(len, parts)) == TEXTS and sum((x.to_pylist() for x in parts), []) == [use(t or "").tolist() for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = rows.select("id", simhash.hashed(rows["text"], 5, lambda x: x.view("i8")).alias("s")).orderBy("id").collect()
+    assert [r["s"] for r in got] == [use(t or "").tolist() for t in texts]
