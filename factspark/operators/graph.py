@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factspark.functions import paths as P
@@ -376,44 +376,59 @@ def bfs_messages(edges: DataFrame, entries: DataFrame, packages: DataFrame,
 
     A package that emits nothing cannot matter and each other one emits at least
     one edge, so with a ``cap`` as many packages per workspace and level suffice.
+
+    Only packages are walked: a package waits at the number of the first message of its level that names it, and messages are numbered
+    from the sums of the edges popped before.  Edges are listed once, at the end, without a sort of them all.
     """
-    links = adjacency(edges, "edge_ord")
-    out_deg = links.select("ws", F.col("src").alias("id")).distinct()
-    started = entries.select("ws").distinct()
-    cited = links.groupBy("ws", F.col("dst").alias("id")).agg(F.count("*").alias("_in"))
-    by_entry = (entries.select("ws", "id").distinct()
-                .join(packages.select("ws", F.col("pkg_id").alias("id"), "pkg_ord"), ["ws", "id"])
-                .select("ws", "id", F.lit(0).cast("long").alias("_in"), "pkg_ord"))
-    by_degree = (packages.join(started, "ws", "left_anti").select("ws", F.col("pkg_id").alias("id"), "pkg_ord")
-                 .join(cited, ["ws", "id"], "left")
-                 .select("ws", "id", F.coalesce("_in", F.lit(0)).alias("_in"), "pkg_ord"))
-    seeds = by_entry.union(by_degree).join(out_deg, ["ws", "id"], "left_semi")
-    queue = cut_lineage(top_n(seeds, ["ws"], [F.col("_in").desc(), F.col("pkg_ord"), F.col("id")], cap, rank="pop")
-                        .select("ws", "id", "pop"))
-    popped, out = queue.select("ws", "id"), None
-    for level in range(cap) if cap else count():
-        emitted = (queue.select("ws", F.col("id").alias("src"), "pop").join(links, ["ws", "src"])
-                   .withColumn("level", F.lit(level).cast("long")))
-        emitted = cut_lineage(top_n(emitted, ["ws"], ["pop", "edge_ord", "dst"], cap))
-        if emitted.isEmpty():
-            break
-        out = emitted if out is None else out.union(emitted)
-        found = (emitted.groupBy("ws", F.col("dst").alias("id"))
-                 .agg(F.min(F.struct("pop", "edge_ord", "dst")).alias("_at"))
-                 .join(popped, ["ws", "id"], "left_anti")
-                 .join(out_deg, ["ws", "id"], "left_semi"))
+    nth = F.row_number().over(Window.partitionBy("ws", "src").orderBy("edge_ord", "dst"))
+    links = bucketed(edges.select("ws", "src", "dst", "edge_ord"), ["ws", "src"], nth=nth)
+    outs = bucketed(links.groupBy("ws", F.col("src").alias("id")).agg(F.count("*").alias("degree")), ["ws", "id"])
+    packages = cut_lineage(packages.select("ws", F.col("pkg_id").alias("id"), "pkg_ord"))
+    entries = cut_lineage(entries.select("ws", "id").distinct())
+    by_entry = entries.join(packages, ["ws", "id"]).select("ws", "id", F.lit(0).cast("long").alias("_in"), "pkg_ord")
+    rest = packages.join(entries.select("ws").distinct(), "ws", "left_anti")
+    cited = (links.join(entries.select("ws").distinct(), "ws", "left_anti")
+             .groupBy("ws", F.col("dst").alias("id")).agg(F.count("*").alias("_in")))
+    by_degree = rest.join(cited, ["ws", "id"], "left").select("ws", "id", F.coalesce("_in", F.lit(0)).alias("_in"), "pkg_ord")
+    seeds = by_entry.union(by_degree).join(outs, ["ws", "id"])
+    queue = cut_lineage(top_n(seeds, ["ws"], [F.col("_in").desc(), F.col("pkg_ord"), F.col("id")], cap, rank="at")
+                        .select("ws", "id", F.lit(0).cast("long").alias("level"), "at", "degree"))
+    popped = queue
+    for level in range(1, cap) if cap else count(1):
+        found = (messages_before(queue).select("ws", F.col("id").alias("src"), "before").join(links, ["ws", "src"])
+                 .groupBy("ws", F.col("dst").alias("id")).agg(F.min(F.col("before") + F.col("nth")).alias("at"))
+                 .join(outs, ["ws", "id"])
+                 .join(popped.select("ws", "id"), ["ws", "id"], "left_anti"))
         if cap:
-            full = out.groupBy("ws").agg(F.count("*").alias("_n")).where(F.col("_n") >= cap).select("ws")
-            found = found.join(full, "ws", "left_anti")
-        queue = cut_lineage(top_n(found, ["ws"], ["_at"], cap, rank="pop").select("ws", "id", "pop"))
+            full = popped.groupBy("ws").agg(F.sum("degree").alias("_n")).where(F.col("_n") >= cap).select("ws")
+            found = top_n(found.join(full, "ws", "left_anti"), ["ws"], ["at"], cap)
+        queue = cut_lineage(found.select("ws", "id", F.lit(level).cast("long").alias("level"), "at", "degree"))
         if queue.isEmpty():
             break
-        popped = popped.union(queue.select("ws", "id"))
-    if out is None:
-        return links.limit(0).select("ws", F.lit(0).cast("long").alias("msg_ord"), "src", "dst", "edge_ord")
-    listed = top_n(out, ["ws"], ["level", "pop", "edge_ord", "dst"], cap, rank="msg_ord")
-    enough = listed.groupBy("ws").agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum).select("ws")
-    return listed.join(enough, "ws", "left_semi").select("ws", "msg_ord", "src", "dst", "edge_ord")
+        popped = popped.union(queue)
+    told = popped.groupBy("ws").agg(F.sum("degree").alias("_n"))
+    enough = told.where((F.least("_n", F.lit(cap)) if cap else F.col("_n")) >= minimum).select("ws")
+    listed = (messages_before(popped).join(enough, "ws", "left_semi").select("ws", F.col("id").alias("src"), "before")
+              .join(links, ["ws", "src"]).withColumn("msg_ord", F.col("before") + F.col("nth")))
+    return (listed.where(F.col("msg_ord") <= cap) if cap else listed).select("ws", "msg_ord", "src", "dst", "edge_ord")
+
+
+#: Waiting packages are summed up in spans of so many places (two to that power).
+SPAN_BITS = 16
+
+
+def messages_before(queue: DataFrame) -> DataFrame:
+    """``queue(ws, id, level, at, degree)`` with ``before``, how many edges those have that are popped before, by level and place.
+
+    No workspace passes through one task: a window sums up a span of places, another one the spans' sums.
+    """
+    keys = ["ws", "level", "_span"]
+    spans = queue.withColumn("_span", F.shiftright("at", SPAN_BITS))
+    earlier = Window.partitionBy("ws").orderBy("level", "_span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy(*keys).agg(F.sum("degree").alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = spans.withColumn("_in", F.coalesce(F.sum("degree").over(inside), F.lit(0)))
+    return own.join(sums, keys).withColumn("before", F.col("_earlier") + F.col("_in")).select(*queue.columns, "before")
 
 
 def reference_messages(edges: DataFrame, packages: DataFrame, cap: int | None = None, minimum: int = 3) -> DataFrame:
