@@ -27,7 +27,7 @@ def file_packages(entities: DataFrame, imports: DataFrame, packages: DataFrame)
     A file claimed twice goes to the package declared last.
     """
     claimed = (entities.select("ws", P.norm_path(F.col("file")).alias("file"), "pkg_id")
-               .union(imports.select("ws", P.norm_path(F.col("from_file")).alias("file"), "pkg_id")).distinct())
+               .union(imports.select("ws", P.norm_path(F.col("from_file")).alias("file"), "pkg_id")))
     order = packages.select("ws", "pkg_id", "pkg_ord")
     return (claimed.join(order, ["ws", "pkg_id"])
             .groupBy("ws", "file").agg(F.max(F.struct("pkg_ord", "pkg_id")).alias("_p"))
@@ -60,39 +60,51 @@ def resolve_modules(requests: DataFrame, files: DataFrame, packages: DataFrame,
 
     ``mode='resolve'`` also resolves ``..`` segments, which the default leaves as written.
     """
-    wanted = requests.select("ws", "file", "spec").distinct()
-    relative = wanted.where(F.col("spec").rlike(r"^\.\.?/"))
+    bare = requests.where(~_relative(F.col("spec"))).select("ws", "file", "spec").distinct()
+    named = named_targets(requests, packages, id_prefix)
+    return local_targets(requests, files, mode).unionByName(bare.join(named, ["ws", "spec"]).select("ws", "file", "spec", "pkg_id"))
+
+
+def _relative(spec: Column) -> Column:
+    return spec.rlike(r"^\.\.?/")
+
+
+def local_targets(requests: DataFrame, files: DataFrame, mode: str = "reference") -> DataFrame:
+    """``(ws, file, spec, pkg_id)`` of the relative specifiers that lead to a file."""
+    relative = requests.where(_relative(F.col("spec"))).select("ws", "file", "spec").distinct()
     base = F.concat(F.regexp_replace("file", r"[^/]*$", ""), F.col("spec"))
     path = P.resolve_dots(base) if mode == "resolve" else base
     tried = F.array(*[F.concat(path, F.lit(s)) for s in P.MODULE_SUFFIXES])
     probes = (relative.select("ws", "file", "spec", F.posexplode(tried).alias("_pos", "_c"))
               .withColumn("_c", P.norm_path(F.col("_c"))))
-    local = (probes.join(files.select("ws", F.col("file").alias("_c"), "pkg_id"), ["ws", "_c"])
-             .groupBy("ws", "file", "spec").agg(F.min(F.struct("_pos", "pkg_id")).alias("_p"))
-             .select("ws", "file", "spec", F.col("_p.pkg_id").alias("pkg_id")))
-    bare = wanted.where(~F.col("spec").rlike(r"^\.\.?/"))
-    named = (bare.select("ws", "spec").distinct()
-             .select("ws", "spec", F.explode(bare_spellings(F.col("spec"), id_prefix)).alias("pkg_id"))
-             .join(packages.select("ws", "pkg_id", "pkg_ord"), ["ws", "pkg_id"])
-             .groupBy("ws", "spec").agg(F.min(F.struct("pkg_ord", "pkg_id")).alias("_p"))
-             .select("ws", "spec", F.col("_p.pkg_id").alias("pkg_id")))
-    return local.unionByName(bare.join(named, ["ws", "spec"]).select("ws", "file", "spec", "pkg_id"))
+    return (probes.join(files.select("ws", F.col("file").alias("_c"), "pkg_id"), ["ws", "_c"])
+            .groupBy("ws", "file", "spec").agg(F.min(F.struct("_pos", "pkg_id")).alias("_p"))
+            .select("ws", "file", "spec", F.col("_p.pkg_id").alias("pkg_id")))
+
+
+def named_targets(requests: DataFrame, packages: DataFrame, id_prefix: str = "") -> DataFrame:
+    """``(ws, spec, pkg_id)`` of the bare specifiers that spell a package, whatever files use them."""
+    return (requests.where(~_relative(F.col("spec"))).select("ws", "spec").distinct()
+            .select("ws", "spec", F.explode(bare_spellings(F.col("spec"), id_prefix)).alias("pkg_id"))
+            .join(packages.select("ws", "pkg_id", "pkg_ord"), ["ws", "pkg_id"])
+            .groupBy("ws", "spec").agg(F.min(F.struct("pkg_ord", "pkg_id")).alias("_p"))
+            .select("ws", "spec", F.col("_p.pkg_id").alias("pkg_id")))
 
 
 def resolve_calls(calls: DataFrame, imports: DataFrame, entities: DataFrame, packages: DataFrame,
                   id_prefix: str = "", mode: str = "reference") -> DataFrame:
     """Cross-package calls ``(ws, ord, src, dst, sym, file)``; test callers are left out."""
     files = file_packages(entities, imports, packages)
-    bound = bound_imports(imports)
-    target = resolve_modules(bound, files, packages, id_prefix, mode).withColumnRenamed("pkg_id", "dst")
-    # Bindings are resolved to package pairs first, so the calls are joined once.
-    links = (bound.join(target, ["ws", "file", "spec"])
-             .join(files.withColumnRenamed("pkg_id", "src"), ["ws", "file"])
-             .where((F.col("src") != F.col("dst")) & ~P.is_test_call(F.col("file")))
-             .select("ws", "file", "binding", "src", "dst"))
     made = calls.select("ws", P.norm_path(F.col("from_file")).alias("file"), F.col("call_ord").alias("ord"),
-                        F.col("callee").alias("sym"), F.coalesce("root", "callee").alias("binding"))
-    return made.join(links, ["ws", "file", "binding"]).select("ws", "ord", "src", "dst", "sym", "file")
+                        F.col("callee").alias("sym"), F.coalesce("root", "callee").alias("binding")).where(~P.is_test_call(F.col("file")))
+    # Calls meet the bindings where these are reduced; bare specifiers are resolved by themselves, not file by file.
+    asked = imports.where(F.size("names") > 0).select("ws", P.norm_path(F.col("from_file")).alias("file"), "spec")
+    named = named_targets(asked, packages, id_prefix).withColumnRenamed("pkg_id", "_named")
+    local = local_targets(asked, files, mode).withColumnRenamed("pkg_id", "_local")
+    hits = (made.join(bound_imports(imports), ["ws", "file", "binding"]).join(named, ["ws", "spec"], "left")
+            .join(local, ["ws", "file", "spec"], "left").withColumn("dst", F.coalesce("_named", "_local")).where("dst IS NOT NULL"))
+    return (hits.join(files.withColumnRenamed("pkg_id", "src"), ["ws", "file"]).where(F.col("src") != F.col("dst"))
+            .select("ws", "ord", "src", "dst", "sym", "file"))
 
 
 def import_edges(imports: DataFrame, packages: DataFrame, id_prefix: str = "",

@@ -45,3 +45,37 @@ def test_walk_moves_packages_only(spark, monkeypatch):
             got.setdefault(r["ws"], []).append((r["msg_ord"], r["src"], r["dst"], r["edge_ord"]))
         assert got == {w: [(k, *m) for k, m in enumerate(walked(rows, s, cap), 1)] for w, s in seeds.items()}
     assert max(df.count() for df in written) <= packages.count() < edges.count()
+
+
+def test_calls_are_resolved_with_few_exchanges(spark):
+    """Bindings were aggregated three times, and met files, specifiers and calls one after the other, before."""
+    rng = random.Random(6)
+    files = [f"packages/a{k % 4}/{'tests' if k % 6 == 0 else 'src'}/f{k}.ts" for k in range(24)]
+    specs = ["a0", "@x/a1", "@x/lib/a2", "./f3", "./f5", "../src/f9", "none", "./none"]
+    imports = [(w, f"a{files.index(f) % 4}", n, f, rng.choice(specs), rng.choice([["b"], ["b", "c"], ["d"], [], None]))
+               for n, (w, f) in enumerate((w, rng.choice(files)) for w in "xy" for _ in range(90))]
+    calls = [(w, n, rng.choice(files), rng.choice("bcde"), rng.choice([None, None, "b"])) for n, w in enumerate("xy" * 150)]
+    packages = [(w, f"a{k}", k) for w in "xy" for k in range(4)]
+    owner = {(w, f): f"a{files.index(f) % 4}" for w, _, _, f, _, _ in imports}
+    first = {}
+    for w, _, n, f, s, names in imports:
+        for b in names or []:
+            first.setdefault((w, f, b), s)
+
+    def target(w, f, s):
+        if s.startswith("."):
+            return owner.get((w, f.rsplit("/", 1)[0] + "/" + s[2:] + ".ts")) if s.startswith("./") else None
+        return next((p for p in (s, s.split("/")[-1]) if p in ("a0", "a1", "a2")), None)
+    want = set()
+    for w, n, f, callee, root in calls:
+        s = first.get((w, f, root or callee))
+        dst = target(w, f, s) if s and "/tests/" not in f else None
+        if dst and dst != owner[w, f]:
+            want.add((w, n, owner[w, f], dst, callee, f))
+    none = spark.createDataFrame([], "ws string, file string, pkg_id string")
+    got = G.resolve_calls(spark.createDataFrame(calls, "ws string, call_ord long, from_file string, callee string, root string"),
+                          spark.createDataFrame(imports, "ws string, pkg_id string, imp_ord long, from_file string, spec string, names array<string>"),
+                          none, spark.createDataFrame(packages, "ws string, pkg_id string, pkg_ord long"))
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and any("./" in first[w, f, root or callee] for w, n, f, callee, root in calls if (w, f, root or callee) in first)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(names") == 1
