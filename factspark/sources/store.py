@@ -127,26 +127,33 @@ def _base(spark: SparkSession, store: str, gen: int, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def _resolved(rows: DataFrame) -> DataFrame:
-    """Newest facts of every key of a log, and the payload that its newest state goes back to (``whole``: the log has it)."""
+def _resolved(rows: DataFrame, payloads: bool = True) -> DataFrame:
+    """Newest facts of every key of a log, and the payload that its newest state goes back to (``whole``: the log has it).
+
+    Without ``payloads`` they are not looked up.
+    """
     # Keys are resolved first; a payload moves once, from the write that the newest state goes back to.
     key = F.struct("written_at", "seq")
     facts = ["kind", "lang", "v", "deps", "requires", "gone", "written_at", "seq"]
     newest = rows.groupBy("ws", "name").agg(F.max_by(F.struct(*facts), key).alias("r"), F.max(F.when(~F.col("keys_only"), key)).alias("body"))
     newest = newest.select("ws", "name", "r.*", F.col("body.written_at").alias("_at"), F.col("body.seq").alias("_seq"))
+    if not payloads:
+        return newest.select("*", F.lit(None).cast("string").alias("payload"), F.col("_at").isNotNull().alias("whole")).drop("_at", "_seq")
     bodies = rows.where(~F.col("keys_only") & F.col("payload").isNotNull()).select(
         "ws", "name", F.col("written_at").alias("_at"), F.col("seq").alias("_seq"), "payload")
     return newest.join(bodies, ["ws", "name", "_at", "_seq"], "left").withColumn("whole", F.col("_at").isNotNull()).drop("_at", "_seq")
 
 
-def _current(spark: SparkSession, store: str) -> DataFrame:
+def _current(spark: SparkSession, store: str, payloads: bool = True) -> DataFrame:
     now = _generation(spark, store)
-    log = _resolved(_log(spark, store, now.gen))
+    log = _log(spark, store, now.gen)
+    # Dealt out like the base's buckets first, the log's keys are resolved where they then meet the base.
+    log = _resolved(log.repartition(now.buckets, "ws", "name") if now.gen and not payloads else log, payloads)
     if not now.gen:
         return log.where(~F.col("gone")).select(*[c.split()[0] for c in BASE.split(", ")])
     news = log.select("ws", "name", *[F.col(c).alias(f"_{c}") for c in log.columns if c not in ("ws", "name")])
     # The log is dealt out like the base's buckets, so the base stays where it is.
-    both = _base(spark, store, now.gen, now.buckets).join(news.repartition(now.buckets, "ws", "name"), ["ws", "name"], "full_outer")
+    both = _base(spark, store, now.gen, now.buckets).join(news.repartition(now.buckets, "ws", "name") if payloads else news, ["ws", "name"], "full_outer")
     told = F.col("_seq").isNotNull()
     out = both.where(~F.coalesce("_gone", F.lit(False)))
     fresh = {c: F.when(told, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("kind", "lang", "v", "deps", "requires", "written_at", "seq")}
@@ -154,10 +161,11 @@ def _current(spark: SparkSession, store: str) -> DataFrame:
     return out.withColumns({**fresh, "payload": payload}).select(*[c.split()[0] for c in BASE.split(", ")])
 
 
-def load_ledger(spark: SparkSession, store: str, history: bool = False) -> DataFrame:
-    """Latest state of every artifact, or with ``history`` every state ever written."""
+def load_ledger(spark: SparkSession, store: str, history: bool = False, payloads: bool = True) -> DataFrame:
+    """Latest state of every artifact, or with ``history`` every state ever written.  Without ``payloads`` the state's are not read but null."""
     if not history:
-        return _current(spark, store).drop("written_at", "seq")
+        rows = _current(spark, store, payloads).drop("written_at", "seq")
+        return rows if payloads else rows.withColumn("payload", F.lit(None).cast("string"))
     done = _read(spark, f"{store}/commits", COMMIT).select(F.col("write").alias("seq"))
     return _read(spark, f"{store}/ledger", LEDGER).join(done, "seq", "left_semi").select(*[c.split()[0] for c in LEDGER.split(", ")])
 

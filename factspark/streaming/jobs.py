@@ -230,7 +230,7 @@ def invalidate_ledger(changes: DataFrame, folder: str, version: int, checkpoint:
         if number <= store.last_batch(spark, folder, stream):
             return
         changed = cut_lineage(rows)
-        ledger = store.load_ledger(spark, folder).withColumn("payload", F.lit(None).cast("string"))
+        ledger = store.load_ledger(spark, folder, payloads=False)
         active = ledger.join(changed.select("ws").distinct(), "ws", "left_semi")
         store.append_states(invalidate(active, changed, F.lit(version + number)), folder, version + number, stream, number)
         if compact_every and (number + 1) % compact_every == 0:

@@ -79,3 +79,27 @@ def test_calls_are_resolved_with_few_exchanges(spark):
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want) and any("./" in first[w, f, root or callee] for w, n, f, callee, root in calls if (w, f, root or callee) in first)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(names") == 1
+
+
+def test_ledger_without_payloads_moves_its_log_once(spark, tmp_path):
+    """The log moved by key, by key and write, and by bucket, also where nobody read payloads, before."""
+    from factspark.sources import store
+    schema = "ws string, name string, kind string, lang string, v long, deps array<string>, requires array<string>, payload string"
+    row = lambda name, v, payload="p": ("w", name, "core", "en", v, [name], None, payload)
+    folder = f"file://{tmp_path}/store"
+
+    def same():
+        whole, bare = store.load_ledger(spark, folder), store.load_ledger(spark, folder, payloads=False)
+        assert bare.columns == whole.columns and bare.where("payload IS NOT NULL").isEmpty()
+        rows = lambda df: sorted(map(repr, df.drop("payload").collect()))
+        assert rows(bare) == rows(whole)
+        return bare
+    store.append_artifacts(spark.createDataFrame([row(f"a{k}", 100) for k in range(6)], schema), folder, 100)
+    same()
+    store.compact_ledger(spark, folder, buckets=3)
+    store.append_artifacts(spark.createDataFrame([row("a1", 200), row("b", 200)], schema), folder, 200)
+    moved = spark.createDataFrame([(*row("a2", 0, None), "tombstoned"), (*row("a3", 300, None), "restamped")], schema + ", action string")
+    store.append_states(moved, folder, 300)
+    store.remove_artifacts(spark.createDataFrame([("w", "a4")], "ws string, name string"), folder, 400)
+    bare = same()
+    assert bare._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
