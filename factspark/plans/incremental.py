@@ -13,17 +13,17 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspark.operators.graph import aggregate_edges, degrees
+from factspark.operators.graph import EDGE, degrees, keyed_edges, text_key
 from factspark.operators.snapshot import real_changes
 from factspark.session import cut_lineage
 
 CALL = ["ws", "file", "ord", "src", "dst", "sym"]
-EDGE = ["ws", "src", "dst"]
+FILE = ["ws", "file"]
 
 
 @dataclass
 class GraphState:
-    """``calls(ws, file, ord, src, dst, sym)``, ``counts(ws, src, dst, sym, n)``, ``edges`` as ``aggregate_edges`` gives them, ``degrees``."""
+    """``calls(ws, file, ord, src, dst, sym)``, ``counts(ws, src, dst, sym, n)``, ``edges`` as ``keyed_edges`` gives them, ``degrees``."""
 
     calls: DataFrame
     counts: DataFrame
@@ -38,13 +38,14 @@ class GraphState:
 def graph_state(calls: DataFrame) -> GraphState:
     """The state of a whole set of calls, computed in full."""
     rows = calls.select(*CALL)
-    edges = aggregate_edges(rows)
+    edges = keyed_edges(rows.withColumn("key", text_key(*EDGE)))
     return GraphState(rows, rows.groupBy(*EDGE, "sym").agg(F.count("*").alias("n")), edges, degrees(edges))
 
 
 def changed_files(diff: DataFrame) -> DataFrame:
-    """``(ws, file)`` of the files that a snapshot diff adds, modifies or removes."""
-    return real_changes(diff).select("ws", F.col("path").alias("file")).distinct()
+    """``(key, ws, file)`` of the files that a snapshot diff adds, modifies or removes; ``key`` is a number that joins sort by."""
+    files = real_changes(diff).select("ws", F.col("path").alias("file"))
+    return files.select(text_key(*FILE).alias("key"), *FILE).distinct()
 
 
 def signed_calls(gone: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,23 +75,25 @@ def updated(state: GraphState, diff: DataFrame, calls_of_files: Callable[[DataFr
 
     ``calls_of_files(files)`` extracts and resolves the calls of ``files(ws, file)``, which are the changed files only; removed
     files are among them and give none.  Resolution may look at a file and at the packages; when packages come or go, files
-    that name them count as changed.
+    that name them count as changed.  ``diff`` is read for it and for the calls that go, and may name a file more than once.
     """
-    changed = cut_lineage(changed_files(diff))
-    after = cut_lineage(calls_of_files(changed).select(*CALL))
+    changed = changed_files(diff)
+    after = cut_lineage(calls_of_files(changed.select(*FILE)).select(*CALL))
     # One join tells which calls go; the difference and the calls that stay both read its result.
-    placed = cut_lineage(state.calls.select(*CALL).join(changed.withColumn("_gone", F.lit(True)), ["ws", "file"], "left"))
-    delta = cut_lineage(signed_calls(placed.where("_gone"), after))
+    placed = state.calls.select(*CALL).withColumn("key", text_key(*FILE)).join(changed.withColumn("_gone", F.lit(True)), ["key", *FILE], "left")
+    placed = cut_lineage(placed.drop("key"))
+    gone = placed.where("_gone").select(*CALL)
     calls = placed.where("_gone IS NULL").select(*CALL).unionByName(after)
 
-    per_symbol = delta.groupBy(*EDGE, "sym").agg(F.sum("sign").alias("n"))
+    per_symbol = signed_calls(gone, after).groupBy(*EDGE, "sym").agg(F.sum("sign").alias("n"))
     counts = merged_counts(state.counts, per_symbol, [*EDGE, "sym"], ["n"])
-    touched = cut_lineage(delta.select(*EDGE).distinct())
+    # Touched edges are told by their number alone.  Should two edges share one, both leave and both are computed again.
+    touched = gone.unionByName(after).select(text_key(*EDGE).alias("key")).distinct()
     # First places and symbol order cannot be taken back from sums: those of touched edges come from their calls.
     # Not written here: degrees need their ends alone.
-    again = aggregate_edges(calls.join(touched, EDGE, "left_semi"))
-    was = state.edges.join(touched, EDGE, "left_semi")
-    edges = state.edges.join(touched, EDGE, "left_anti").unionByName(again)
+    again = keyed_edges(calls.withColumn("key", text_key(*EDGE)).join(touched, "key", "left_semi"))
+    was = state.edges.join(touched, "key", "left_semi")
+    edges = state.edges.join(touched, "key", "left_anti").unionByName(again)
     moved = edge_ends(again, 1).unionByName(edge_ends(was, -1)).groupBy("ws", "id").agg(F.sum("cited_by").alias("cited_by"), F.sum("cites").alias("cites"))
     return GraphState(calls, counts, edges, merged_counts(state.degrees, moved, ["ws", "id"], ["cited_by", "cites"]))
 

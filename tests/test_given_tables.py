@@ -101,6 +101,43 @@ def test_degrees_after_an_edit_need_no_symbols(spark):
     assert sorted(tuple(r) for r in state.degrees.select("id", "cited_by", "cites").collect()) == [("b", 0, 1), ("c", 1, 0)]
 
 
+def test_touched_edges_move_as_numbers(spark, monkeypatch):
+    """Joins with touched edges asked for three texts before; edges that share a number must come out right all the same."""
+    from pyspark.sql import functions as F
+
+    from factspark.operators import graph as G
+    from factspark.plans import incremental as I
+    schema = "ws string, file string, ord long, src string, dst string, sym string"
+    rows = [("w", "f", 1, "a", "b", "x"), ("w", "g", 2, "a", "b", "y"), ("w", "g", 3, "b", "c", "y"), ("w", "h", 4, "c", "a", "z"), ("v", "f", 1, "a", "b", "x")]
+    new = [("w", "f", 5, "a", "b", "x"), ("w", "n", 6, "c", "d", "x")]
+    kept = [r for r in rows if r[:2] not in {("w", "f"), ("w", "h")}]
+    # A file may be named twice.
+    diff = spark.createDataFrame([("w", f, k) for f, k in (("f", "modified"), ("f", "modified"), ("h", "removed"), ("n", "added"), ("g", "unchanged"))],
+                                 "ws string, path string, change string")
+
+    def edges():
+        found = I.updated(I.graph_state(spark.createDataFrame(rows, schema)), diff, lambda files: spark.createDataFrame(new, schema))
+        whole = I.graph_state(spark.createDataFrame(kept + new, schema))
+        for part in ("calls", "counts", "edges", "degrees"):
+            got, want = getattr(found, part), getattr(whole, part)
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), part
+        return found.edges
+    plan = edges()._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Left" in line]
+    assert len(joins) >= 2 and all("src" not in line and "key" in line for line in joins), plan
+    for module in (G, I):  # every edge and file of a workspace has the same number
+        monkeypatch.setattr(module, "text_key", lambda *names: F.xxhash64(names[0]))
+    edges()
+
+
+def test_orders_meet_lines_not_texts(spark):
+    """The edited call graph made all texts of a call before its join with orders, so they were moved and sorted."""
+    from factspark.plans.registry import Tables
+    plan = Tables(spark, "/root/testdata/sf0.001").rel("order_calls")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "packages/m" in above and "packages/m" not in below
+
+
 def test_records_leave_python_in_small_batches(spark):
     """One batch of files was one frame of records before, however many they were."""
     import pyarrow as pa
