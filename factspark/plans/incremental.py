@@ -1,8 +1,8 @@
 """Call graph of many workspaces, kept up to date by signed changes.
 
 State: the calls of every file, calls per edge and symbol, edges, degrees.  After an edit the calls of changed files leave with -1
-and those extracted anew enter with +1; what cancels out is dropped.  Sums are merged, and only edges and nodes that
-the difference touches are computed again, from the calls of those edges alone.  Nothing else is extracted or recomputed.
+and those extracted anew enter with +1; what cancels out is dropped from the sums.  Sums are merged, and only edges that
+have calls which go or come are computed again, from the calls of those edges alone.  Nothing else is extracted or recomputed.
 """
 
 from __future__ import annotations
