@@ -283,16 +283,22 @@ def pair_evidence(pairs: DataFrame, calls: DataFrame, by_symbol: int | None = No
     Calls that mention one of the symbols come first; a pair without any gets the
     calls made by its two packages.  With caps, candidates are cut per symbol and per
     package before they meet the pairs, which loses nothing a pair could show.
+
+    Without caps the rows of pairs and calls are made once and move no further: symbols alone tell which pairs have no call,
+    and a call that mentions two symbols of a pair is dropped where it meets the second one.
     """
+    cols = ["ws", "pair_id", "ord", "caller", "callee", "file"]
     named = calls.select("ws", "ord", "caller", "callee", "file",
                          F.explode(F.array_distinct(F.array("caller", "callee"))).alias("sym"))
-    wanted = pairs.select("ws", "pair_id", F.explode("symbols").alias("sym"))
-    cols = ["ws", "pair_id", "ord", "caller", "callee", "file"]
-    hits = wanted.join(top_n(named, ["ws", "sym"], ["ord", "callee"], by_symbol), ["ws", "sym"]).select(*cols).distinct()
+    labels = pairs.select("ws", "pair_id", F.explode("symbols").alias("sym")).groupBy("ws", "pair_id").agg(F.collect_set("sym").alias("symbols"))
+    wanted = labels.select("ws", "pair_id", "symbols", F.explode("symbols").alias("sym"))
+    again = (F.col("sym") != F.col("caller")) & F.array_contains("symbols", F.col("caller"))
+    hits = wanted.join(top_n(named, ["ws", "sym"], ["ord", "callee"], by_symbol), ["ws", "sym"]).where(~F.coalesce(again, F.lit(False))).select(*cols)
     first = top_n(hits, ["ws", "pair_id"], ["ord", "callee"], by_symbol).withColumn("via", F.lit("symbol"))
-    bare = pairs.join(first.select("ws", "pair_id").distinct(), ["ws", "pair_id"], "left_anti")
-    owns = bare.select("ws", "pair_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("src"))
-    own = owns.join(top_n(calls, ["ws", "src"], ["ord", "callee"], by_package), ["ws", "src"]).select(*cols).distinct()
+    found = named.select("ws", "sym").join(wanted.select("ws", "sym").distinct(), ["ws", "sym"], "left_semi").distinct()
+    bare = pairs.join(wanted.join(found, ["ws", "sym"], "left_semi").select("ws", "pair_id").distinct(), ["ws", "pair_id"], "left_anti")
+    owns = bare.select("ws", "pair_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("src")).distinct()
+    own = owns.join(top_n(calls, ["ws", "src"], ["ord", "callee"], by_package), ["ws", "src"]).select(*cols)
     rest = top_n(own, ["ws", "pair_id"], ["ord", "callee"], by_package).withColumn("via", F.lit("package"))
     return first.unionByName(rest)
 

@@ -43,6 +43,21 @@ def test_declared_targets_know_all_edges(spark):
     assert found.count() > 0 and found.join(calls, ["ws", "src", "dst"], "left_semi").count() == 0
 
 
+def test_pairs_list_every_call(spark, tmp_path):
+    """A row a pair and call, however many pairs share a symbol; a pair whose symbol is in no call lists those of its package."""
+    orders = [(k, k % 90, f"{k % 2 + 1}-X") for k in range(1, 181)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    calls = [(f"w{p[0]}", 4 * k + i, f"n{u % 40}", f"o{k}", callee) for k, u, p in orders
+             for i, callee in enumerate((f"b{u % 25}", f"b{(u + 1) % 25}", "launch"))]
+    want = []
+    for ws, src, label in {(ws, src, callee) for ws, _, src, _, callee in calls}:
+        named = [x for x in calls if x[0] == ws and not label.startswith("b1") and label in x[3:]]
+        own = [x for x in calls if x[0] == ws and x[2] == src]
+        want += [(ws, f"{src}>{label}", ord, caller, callee, "symbol" if named else "package") for _, ord, _, caller, callee in named or own]
+    got = QUERIES["jn_pair_evidence"](spark, str(tmp_path)).select("ws", "pair_id", "ord", "caller", "callee", "via")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 10 * len(calls)
+
+
 def test_packed_trees_read_like_files(spark, tmp_path):
     from pyspark.sql import functions as F
 

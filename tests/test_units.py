@@ -730,6 +730,21 @@ def test_evidence_classes_join_to_the_rows(spark):
     assert tuples(joined) == tuples(G.pair_evidence(pairs, calls).select(*cols)) and links.count() <= 12 * 2 and members.count() <= 3 * 30
 
 
+def test_pair_evidence_lists_a_call_once(spark):
+    calls = [("w", 1, "p", "s", "t"), ("w", 2, "p", "s", "s"), ("w", 3, "q", None, "t"), ("w", 4, "q", "u", "t"), ("v", 5, "q", "s", "t"), ("w", 6, "q", "t", "u")]
+    pairs = [("w", "a", "p", "q", ["s", "t", None]), ("w", "b", "p", "p", ["none"]), ("w", "c", "q", "p", None), ("w", "d", "r", "r", ["none"]), ("v", "e", "p", "q", ["t"])]
+    df = spark.createDataFrame([(*x, f"f{x[1]}") for x in calls], "ws string, ord long, src string, caller string, callee string, file string")
+    labelled = spark.createDataFrame(pairs, "ws string, pair_id string, src string, dst string, symbols array<string>")
+    for by_symbol, by_package in ((None, None), (2, 3)):
+        want = []
+        for ws, pair, src, dst, symbols in pairs:
+            named = [x for x in calls if x[0] == ws and {*x[3:]} & {s for s in symbols or [] if s}][:by_symbol]
+            own = [x for x in calls if x[0] == ws and x[2] in (src, dst)][:by_package]
+            want += [(ws, pair, x[1], "symbol" if named else "package") for x in named or own]
+        got = G.pair_evidence(labelled, df, by_symbol, by_package)
+        assert tuples(got.select("ws", "pair_id", "ord", "via")) == sorted(want)
+
+
 # -------------------------------------------------------------- usage, ranking
 
 def test_answers_within_life(spark):
